@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from leafloom.llm.decontaminate import OP9_SQL, op9_benchmark_decontamination
 from leafloom.llm.secret_scan import op7_secret_scan
+from leafloom.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op5_url_filter": op5_url_filter,
     "op7_secret_scan": op7_secret_scan,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": OP5_SQL,
+    "op9_benchmark_decontamination": OP9_SQL,
+}

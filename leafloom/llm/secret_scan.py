@@ -114,7 +114,7 @@ def fit_markov(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
 def log_ratio(value: Column, model: list[float]) -> Column:
     """Mean log ratio of a token's transitions."""
     size = len(ALPHABET)
-    weights = F.array(*map(F.lit, model)) if len(model) <= 1 else F.lit(model)
+    weights = F.lit(model)
     place = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1)))
     total = F.aggregate(
         F.sequence(F.lit(1), F.length(value) - 1),
