@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from leafloom.llm.decontaminate import OP9_SQL, op9_benchmark_decontamination
 from leafloom.llm.secret_scan import op7_secret_scan
+from leafloom.llm.toxicity import op8_toxicity
 from leafloom.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op7_secret_scan": op7_secret_scan,
+    "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
