@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 import zlib
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +74,12 @@ def text_slices(pdf: pd.DataFrame, limit: int = 1 << 21, column: str = "text") -
 
 def feature(text: str, bits: int) -> int:
     return zlib.crc32(text.encode()) & ((1 << bits) - 1)
+
+
+def shipped(spark: SparkSession, model: object) -> Broadcast:
+    """A model of bounded size for the tasks, pickled with its class; read it with `received`."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def received(parcel: Broadcast) -> object:
+    return pickle.loads(parcel.value)

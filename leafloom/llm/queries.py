@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from leafloom.llm.decontaminate import OP9_SQL, op9_benchmark_decontamination
+from leafloom.llm.language_id import op4_language_id
 from leafloom.llm.secret_scan import op7_secret_scan
 from leafloom.llm.sentencepiece_codec import op6_sentencepiece
 from leafloom.llm.toxicity import op8_toxicity
 from leafloom.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op4_language_id": op4_language_id,
     "op5_url_filter": op5_url_filter,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_secret_scan": op7_secret_scan,

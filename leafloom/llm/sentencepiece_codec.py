@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import table, text_slices
+from leafloom.llm.common import received, shipped, table, text_slices
 from leafloom.llm.pieces import PieceTable, by_length
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -134,15 +134,16 @@ def load(path: str = VOCABULARY) -> Codec:
 
 
 def encoded(docs: DataFrame, codec: Codec, text: str = "text", ids: str = "ids") -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(codec)
+    parcel = shipped(docs.sparkSession, codec)
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tool = received(parcel)
         for series in batches:
             out: list = []
             for part in text_slices(pd.DataFrame({"text": series}), 1 << 20):
                 texts = part["text"]
-                rows = shared.value.encode([t if t is not None else "" for t in texts])
+                rows = tool.encode([t if t is not None else "" for t in texts])
                 out += [r if t is not None else None for r, t in zip(rows, texts, strict=True)]
             yield pd.Series(out, dtype=object)
 
@@ -150,12 +151,13 @@ def encoded(docs: DataFrame, codec: Codec, text: str = "text", ids: str = "ids")
 
 
 def decoded(df: DataFrame, codec: Codec, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(codec)
+    parcel = shipped(df.sparkSession, codec)
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tool = received(parcel)
         for series in batches:
-            yield pd.Series([shared.value.decode(x) if x is not None else None for x in series], dtype=object)
+            yield pd.Series([tool.decode(x) if x is not None else None for x in series], dtype=object)
 
     return df.withColumn(text, decode(F.col(ids)))
 
