@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import table
+from leafloom.llm.common import let, table, written
 
 #: Words are runs of letters and digits of the lower-case text.
 BREAK = r"[^\p{L}\p{N}]+"
@@ -28,9 +28,14 @@ def words(text: Column) -> Column:
 
 def shingles(tokens: Column, length: int) -> Column:
     """Distinct runs of `length` words; all words as one run, if there are fewer."""
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: F.array_join(F.slice(tokens, i, length), " "))
-    return F.when(n >= length, F.array_distinct(runs)).when(n > 0, F.array(F.array_join(tokens, " "))).otherwise(F.expr("cast(array() as array<string>)"))
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        found = F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: F.array_join(F.slice(w, i, length), " "))
+        whole = F.array(F.array_join(w, " "))
+        return F.when(n >= length, F.array_distinct(found)).when(n > 0, whole).otherwise(F.expr("cast(array() as array<string>)"))
+
+    return let(tokens, runs)
 
 
 def size_class(n: Column) -> Column:
@@ -59,12 +64,12 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, length:
     posted = sketch.groupBy("h").agg(F.min("n_item").alias("least"), F.collect_set("item_id").alias("ids"))
     tokens = docs.select("doc_id", words(F.col("text")).alias("w"))
     run = F.array_join(F.slice("w", F.col("i"), length), " ")
-    probes = tokens.where(F.size("w") > 0).select(
-        "doc_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - length + 1, F.lit(1)))).alias("i")
-    )
-    probes = probes.select("doc_id", F.greatest(F.size("w") - length + 1, F.lit(1)).alias("n_runs"), F.xxhash64(run).alias("h"))
+    n_runs = F.greatest(F.size("w") - length + 1, F.lit(1))
+    probes = tokens.select("doc_id", "w", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(1), n_runs))).alias("i"))
+    probes = probes.select("doc_id", n_runs.alias("n_runs"), F.xxhash64(run).alias("h"))
     hits = probes.join(F.broadcast(posted) if small else posted, "h").where(F.col("n_runs") >= F.ceil(threshold * F.col("least") - 1e-9))
     pairs = hits.select("doc_id", F.explode("ids").alias("item_id")).distinct()
+    pairs = written(pairs, "contained")  # read twice: else the documents are probed twice
     wanted = pairs.join(items.select("item_id", "shingles", "n_item"), "item_id")
     sets = docs.select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id")
     sets = sets.select("doc_id", shingles(words(F.col("text")), length).alias("held"))
