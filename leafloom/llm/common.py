@@ -40,6 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Python tasks get whole texts in batches of `rows`, so that a batch of long ones fits beside the JVM."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

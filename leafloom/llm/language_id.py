@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import received, remainder, shipped, table, text_slices
+from leafloom.llm.common import received, remainder, shipped, small_batches, table, text_slices
 from leafloom.llm.pieces import PieceTable, by_length
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -150,6 +150,7 @@ def sample_words(docs: DataFrame, cap: int) -> DataFrame:
             yield rows.dropna().groupby(["lang", "word"], as_index=False).size().rename(columns={"size": "n"})
 
     parts = known.select("lang", "text").mapInPandas(split, "lang string, word string, n long")
+    small_batches(docs.sparkSession)
     return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -162,6 +163,7 @@ def identified(docs: DataFrame, model: Unigrams | None, text: str = "text") -> D
     """Add lang_pred and score."""
     if model is None:
         return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+    small_batches(docs.sparkSession)
     parcel = shipped(docs.sparkSession, model)
 
     @F.pandas_udf("lang string, score double")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import bounded_sample, feature, remainder, table, text_slices
+from leafloom.llm.common import bounded_sample, feature, remainder, small_batches, table, text_slices
 
 BITS = 20
 PREFIX = 5
@@ -119,6 +119,7 @@ def fit(
 
 def train(docs: DataFrame, labels: DataFrame, cap: int = 8_000) -> tuple[np.ndarray, float]:
     """Fit on about `cap` labelled documents, chosen by a hash of doc_id; only their features reach the driver."""
+    small_batches(docs.sparkSession)
     chosen = bounded_sample(labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull()), "doc_id", cap)
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
     rows = texts.mapInPandas(training_rows, "y int, plain array<int>, swapped array<int>").toPandas()
@@ -127,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = 8_000) -> tuple[np.ndar
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", score: str = "score") -> DataFrame:
     """Add `score`, 0 to 1. The weights, 4 MB, are broadcast."""
+    small_batches(docs.sparkSession)
     weights = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
