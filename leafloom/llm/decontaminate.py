@@ -26,12 +26,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
+def run_at(w: Column, i: Column, length: int) -> Column:
+    """The words from i on, joined. Element by element: slice() would copy the whole array each time."""
+    return F.concat_ws(" ", *[w[i + k] for k in range(length)])
+
+
 def shingles(tokens: Column, length: int) -> Column:
     """Distinct runs of `length` words; all words as one run, if there are fewer."""
 
     def runs(w: Column) -> Column:
         n = F.size(w)
-        found = F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: F.array_join(F.slice(w, i, length), " "))
+        found = F.transform(F.sequence(F.lit(0), n - length), lambda i: run_at(w, i, length))
         whole = F.array(F.array_join(w, " "))
         return F.when(n >= length, F.array_distinct(found)).when(n > 0, whole).otherwise(F.expr("cast(array() as array<string>)"))
 
@@ -63,9 +68,9 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, length:
     small = sketch.count() <= broadcast_rows
     posted = sketch.groupBy("h").agg(F.min("n_item").alias("least"), F.collect_set("item_id").alias("ids"))
     tokens = docs.select("doc_id", words(F.col("text")).alias("w"))
-    run = F.array_join(F.slice("w", F.col("i"), length), " ")
+    run = F.when(F.size("w") >= length, run_at(F.col("w"), F.col("i"), length)).otherwise(F.array_join("w", " "))
     n_runs = F.greatest(F.size("w") - length + 1, F.lit(1))
-    probes = tokens.select("doc_id", "w", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(1), n_runs))).alias("i"))
+    probes = tokens.select("doc_id", "w", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), n_runs - 1))).alias("i"))
     probes = probes.select("doc_id", n_runs.alias("n_runs"), F.xxhash64(run).alias("h"))
     hits = probes.join(F.broadcast(posted) if small else posted, "h").where(F.col("n_runs") >= F.ceil(threshold * F.col("least") - 1e-9))
     pairs = hits.select("doc_id", F.explode("ids").alias("item_id")).distinct()
