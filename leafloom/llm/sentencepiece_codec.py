@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import received, shipped, table, text_slices
+from leafloom.llm.common import received, shipped, small_batches, table, text_slices
 from leafloom.llm.pieces import PieceTable, by_length
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -133,24 +133,28 @@ def load(path: str = VOCABULARY) -> Codec:
     return Codec(pieces, byte_ids, size)
 
 
-def encoded(docs: DataFrame, codec: Codec, text: str = "text", ids: str = "ids") -> DataFrame:
+def encoded(docs: DataFrame, codec: Codec, text: str = "text", ids: str = "ids", back: str | None = None) -> DataFrame:
+    """Add the ids; with `back`, also what these ids decode to, in the same pass."""
+    small_batches(docs.sparkSession)
     parcel = shipped(docs.sparkSession, codec)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ids array<int>, back string")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tool = received(parcel)
         for series in batches:
-            out: list = []
+            rows: list = []
             for part in text_slices(pd.DataFrame({"text": series}), 1 << 20):
-                texts = part["text"]
-                rows = tool.encode([t if t is not None else "" for t in texts])
-                out += [r if t is not None else None for r, t in zip(rows, texts, strict=True)]
-            yield pd.Series(out, dtype=object)
+                found = tool.encode([t if t is not None else "" for t in part["text"]])
+                rows += [r if t is not None else None for r, t in zip(found, part["text"], strict=True)]
+            told = [tool.decode(r) if back and r is not None else None for r in rows]
+            yield pd.DataFrame({"ids": pd.Series(rows, dtype=object), "back": pd.Series(told, dtype=object)})
 
-    return docs.withColumn(ids, encode(F.col(text)))
+    found = docs.withColumn("__coded", encode(F.col(text))).withColumn(ids, F.col("__coded.ids"))
+    return (found.withColumn(back, F.col("__coded.back")) if back else found).drop("__coded")
 
 
 def decoded(df: DataFrame, codec: Codec, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    small_batches(df.sparkSession)
     parcel = shipped(df.sparkSession, codec)
 
     @F.pandas_udf("string")
@@ -164,7 +168,7 @@ def decoded(df: DataFrame, codec: Codec, ids: str = "ids", text: str = "decoded"
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     codec = load(vocabulary)
-    both = decoded(encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), codec), codec)
+    both = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), codec, back="decoded")
     return both.select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
