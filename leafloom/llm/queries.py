@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from leafloom.llm.decontaminate import OP9_SQL, op9_benchmark_decontamination
 from leafloom.llm.language_id import op4_language_id
+from leafloom.llm.minhash_dedup import OP3_SQL, op3_minhash_near_dedup
 from leafloom.llm.secret_scan import op7_secret_scan
 from leafloom.llm.sentencepiece_codec import op6_sentencepiece
 from leafloom.llm.toxicity import op8_toxicity
 from leafloom.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_language_id": op4_language_id,
     "op5_url_filter": op5_url_filter,
     "op6_sentencepiece": op6_sentencepiece,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_near_dedup": OP3_SQL,
     "op5_url_filter": OP5_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
 }
