@@ -7,10 +7,12 @@ from leafloom.llm.language_id import op4_language_id
 from leafloom.llm.minhash_dedup import OP3_SQL, op3_minhash_near_dedup
 from leafloom.llm.secret_scan import op7_secret_scan
 from leafloom.llm.sentencepiece_codec import op6_sentencepiece
+from leafloom.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from leafloom.llm.toxicity import op8_toxicity
 from leafloom.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_language_id": op4_language_id,
     "op5_url_filter": op5_url_filter,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
     "op3_minhash_near_dedup": OP3_SQL,
     "op5_url_filter": OP5_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
