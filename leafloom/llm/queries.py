@@ -8,10 +8,12 @@ from leafloom.llm.minhash_dedup import OP3_SQL, op3_minhash_near_dedup
 from leafloom.llm.secret_scan import op7_secret_scan
 from leafloom.llm.sentencepiece_codec import op6_sentencepiece
 from leafloom.llm.substring_dedup import OP2_SQL, op2_substring_dedup
+from leafloom.llm.suffix_dedup import op1_suffix_array_dedup
 from leafloom.llm.toxicity import op8_toxicity
 from leafloom.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_language_id": op4_language_id,
