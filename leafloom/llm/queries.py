@@ -5,6 +5,7 @@ from __future__ import annotations
 from leafloom.llm.decontaminate import OP9_SQL, op9_benchmark_decontamination
 from leafloom.llm.language_id import op4_language_id
 from leafloom.llm.minhash_dedup import OP3_SQL, op3_minhash_near_dedup
+from leafloom.llm.nearest import op10_nearest_neighbours
 from leafloom.llm.secret_scan import op7_secret_scan
 from leafloom.llm.sentencepiece_codec import op6_sentencepiece
 from leafloom.llm.substring_dedup import OP2_SQL, op2_substring_dedup
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_secret_scan": op7_secret_scan,
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {
