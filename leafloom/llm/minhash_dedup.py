@@ -3,12 +3,13 @@
 Documents with the same shingle set form a class; one of each stands for it. A representative is
 posted under its (coordinate, value) pairs. Two sets that agree in at least `matches` of the
 `coordinates` must share one of the first coordinates - matches + 1, the prefix: only those lists
-are joined, and the collisions in the others are counted from the two signatures (skip merging).
+are joined, shortest first, and the collisions in the others are counted from the two signatures
+(skip merging).
 Pairs with enough collisions are confirmed on the full shingle sets of their texts.
 
 Inside a list, pairs are not all made. Members are first compared with one hub; linked members
 become one component, and only members of different components need to be compared further, with
-new hubs while that saves work, and then with each other. So no link between components is
+new hubs while that saves work, and then with each other, block by block. So no link between components is
 missed that the signatures show, whatever the size of a list.
 
 Cases. Null, empty or wordless texts: empty set, linked with nothing, own component. Repeated rows
@@ -30,14 +31,21 @@ from pyspark.sql import functions as F
 from leafloom.llm.common import small_batches, table, text_slices, written
 from leafloom.llm.components import components
 
-COORDINATES = 32
-#: Of two sets with similarity 0.85, fewer than 14 of 32 coordinates agree with probability under 1e-7.
-MATCHES = 14
+#: Coordinates that are posted, and all that a signature has.
+COORDINATES, LENGTH = 32, 96
+#: Pairs of documents are compared in blocks of so many.
+BLOCK = 64
 
-MULTIPLIERS = (np.random.default_rng(3).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+MULTIPLIERS = (np.random.default_rng(3).integers(1, 1 << 63, LENGTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
+def least_matches(coordinates: int, percent: int) -> int:
+    """So few collisions that a pair of that similarity has fewer with probability about 1e-8 (6 deviations)."""
+    p = percent / 100
+    return max(1, int(coordinates * p - 6.1 * (coordinates * p * (1 - p)) ** 0.5 + 1))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -82,62 +90,110 @@ def signature_rows(length: int):
                 sets, counts = shingle_sets(part["text"].tolist(), length)
                 starts = np.cumsum(counts) - counts
                 some = counts > 0
-                sig = np.zeros((len(counts), COORDINATES), dtype=np.int32)
+                sig = np.zeros((len(counts), LENGTH), dtype=np.int32)
                 for j, m in enumerate(MULTIPLIERS):
                     if some.any():
                         values = mixed(sets * m) >> np.uint64(32)
                         sig[some, j] = np.minimum.reduceat(values, starts[some]).astype(np.uint32).view(np.int32)
                 keys = [hashlib.sha256(sets[a : a + n].tobytes()).digest()[:16] for a, n in zip(starts, counts, strict=True)]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": counts, "set_key": keys, "sig": list(sig)})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": counts, "set_key": keys, "sig": list(sig[:, :COORDINATES]), "all_sig": [x.tobytes() for x in sig]})
 
     return rows
 
 
 def confirmed(length: int, percent: int):
+    """Rows of bounded lists of ids, texts and pairs: the pairs that are similar enough on their full sets."""
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for part in text_slices(pdf, 1 << 20, "text_a"):
-                left, n_left = shingle_sets(part["text_a"].tolist(), length)
-                right, n_right = shingle_sets(part["text_b"].tolist(), length)
-                own = np.concatenate([np.repeat(np.arange(len(part)), n_left), np.repeat(np.arange(len(part)), n_right)])
-                both = np.concatenate([left, right])
-                order = np.lexsort((both, own))
-                both, own = both[order], own[order]
-                shared = np.bincount(own[1:][(both[1:] == both[:-1]) & (own[1:] == own[:-1])], minlength=len(part))
-                linked = 100 * shared >= percent * (n_left + n_right - shared)
-                yield part.loc[linked, ["a", "b"]]
+            found = []
+            for ids, texts, left, right in zip(pdf["ids"], pdf["texts"], pdf["a"], pdf["b"], strict=True):
+                sets, counts = shingle_sets(list(texts), length)
+                own = dict(zip(ids.tolist(), np.split(sets, np.cumsum(counts)[:-1]), strict=True))
+                for a, b in zip(left.tolist(), right.tolist(), strict=True):
+                    shared = len(np.intersect1d(own[a], own[b], assume_unique=True))
+                    if 100 * shared >= percent * (len(own[a]) + len(own[b]) - shared):
+                        found.append((a, b))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows
+
+
+def collisions(least: int, percent: int):
+    """Rows of two blocks of a list: pairs of different components with enough collisions in all coordinates, each
+    pair in the first list that both are posted under."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for row in pdf.itertuples(index=False):
+                sig = np.frombuffer(b"".join(row.sig), dtype=np.int32).reshape(-1, LENGTH)
+                side, first = np.asarray(row.block) == row.y, np.asarray(row.block) == row.x
+                ids, part, n, mask = (np.asarray(v) for v in (row.rep, row.c, row.n, row.mask))
+                right = np.flatnonzero(side)
+                for i in np.flatnonzero(first).tolist():
+                    other = right[(ids[right] > ids[i]) if row.x == row.y else slice(None)]
+                    other = other[(part[other] != part[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
+                    equal = sig[other] == sig[i]
+                    other, equal = other[equal.sum(axis=1) >= least], equal[equal.sum(axis=1) >= least]
+                    both = equal[:, :COORDINATES] & ((mask[other, None] & mask[i]) >> np.arange(COORDINATES) & 1).astype(bool)
+                    other = other[both.argmax(axis=1) == row.j]
+                    found += [(min(ids[i], x), max(ids[i], x)) for x in ids[other].tolist()]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows
 
 
 class Links:
-    """The state of the join: representatives, postings, links so far and pairs compared."""
+    """The representatives and the links found so far."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, length: int, percent: int):
         self.docs, self.reps, self.length, self.percent = docs, reps, length, percent
         self.found: DataFrame | None = None
-        self.compared: DataFrame | None = None
 
     def compare(self, pairs: DataFrame, name: str) -> int:
-        """Count collisions of new pairs (a < b), confirm those with enough, and keep the links."""
+        """Count collisions of pairs (a, b) in the posted coordinates and confirm those with enough."""
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.compared is not None:
-            pairs = pairs.join(self.compared, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"{name}-pairs")
-        self.compared = pairs if self.compared is None else self.compared.union(pairs)
         one = lambda side: self.reps.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"))
         both = pairs.join(one("a"), "a").join(one("b"), "b")
         low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
         agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        near = written(both.where((100 * low >= self.percent * high) & (agree >= MATCHES)).select("a", "b"), f"{name}-near")
+        near = both.where((100 * low >= self.percent * high) & (agree >= least_matches(COORDINATES, self.percent)))
+        return self.confirm(written(near.select("a", "b"), f"{name}-near"), name)
+
+    def compare_all(self, marked: DataFrame, masks: DataFrame) -> int:
+        """Compare the members of different components of each list, block by block."""
+        members = marked.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
+        members = members.join(self.reps.select("rep", "n", "all_sig"), "rep").join(masks, "rep")
+        members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        own = F.struct("rep", "c", "n", "mask", "block", F.col("all_sig").alias("sig"))
+        keys = ["list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")]
+        blocks = dealt.groupBy(*keys).agg(F.collect_list(own).alias("own"))
+        fields = [F.col(f"own.{f}").alias(f) for f in ("rep", "c", "n", "mask", "block", "sig")]
+        blocks = blocks.select(F.shiftright("list", 32).cast("int").alias("j"), "x", "y", *fields)
+        near = blocks.mapInPandas(collisions(least_matches(LENGTH, self.percent), self.percent), "a long, b long")
+        return self.confirm(written(near, "rest-near"), "rest")
+
+    def confirm(self, near: DataFrame, name: str) -> int:
+        """Confirm pairs on full sets. Documents with the same smallest partner stand in blocks, so that a text is sent
+        once for many pairs."""
         if near.isEmpty():
             return 0
-        ids = written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-        texts = self.docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.any_value("text").alias("text"))
-        texts = written(texts, f"{name}-texts")
-        side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
-        sure = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-        links = written(sure.mapInPandas(confirmed(self.length, self.percent), "a long, b long"), f"{name}-links")
+        ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("f")), F.struct(F.col("b").alias("id"), F.col("a").alias("f")))).alias("e"))
+        ends = written(ends.groupBy("e.id").agg(F.min("e.f").alias("f")), f"{name}-ends")
+        sizes = ends.groupBy("f").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("parts"))
+        blocks = ends.join(sizes, "f").select("id", F.xxhash64("f", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+        blocks = written(blocks, f"{name}-blocks")
+        pairs = near.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("x")), "a").join(blocks.select(F.col("id").alias("b"), F.col("block").alias("y")), "b")
+        pairs = written(pairs.select(F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("g"), "a", "b"), f"{name}-pairs")
+        by_group = pairs.groupBy("g").agg(F.collect_list(F.struct("a", "b")).alias("p"))
+        held = pairs.select("g", F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = self.docs.select(F.col("doc_id").alias("id"), "text").join(ends.select("id"), "id").groupBy("id").agg(F.any_value("text").alias("text"))
+        groups = held.join(texts, "id").groupBy("g").agg(F.collect_list(F.struct("id", "text")).alias("t")).join(by_group, "g")
+        split = [F.col("t.id").alias("ids"), F.col("t.text").alias("texts"), F.col("p.a").alias("a"), F.col("p.b").alias("b")]
+        links = groups.select(*split).mapInPandas(confirmed(self.length, self.percent), "a long, b long")
+        links = written(links, f"{name}-links")
         self.found = links if self.found is None else self.found.union(links)
         return links.count()
 
@@ -147,22 +203,38 @@ class Links:
         return written(components(self.found), "labels")
 
 
-def near_components(docs: DataFrame, length: int = 3, percent: int = 85, most_hubs: int = 8) -> DataFrame:
+def prefix_posts(reps: DataFrame, matches: int) -> DataFrame:
+    """(list, rep, hub): each representative under the shortest of its lists that any partner must share.
+
+    Lists are ordered by length for all documents alike, so that two signatures with enough collisions share one of
+    the first coordinates - matches + 1 of each. The long lists of passages that many documents hold come last, and
+    are only counted. Lists of one member are left out after that.
+    """
+    posts = reps.select("rep", F.posexplode("sig").alias("j", "value")).select(
+        (F.col("j").cast("long") * F.lit(1 << 32) + F.col("value").cast("long").bitwiseAND(F.lit((1 << 32) - 1))).alias("list"), "rep"
+    )
+    lengths = posts.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
+    common = posts.join(lengths, "list")
+    own = common.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "list"))).alias("lists"))
+    # The lists of one member, which are not here, come first and use up places of the prefix.
+    places = F.lit(COORDINATES - matches + 1) - (F.lit(COORDINATES) - F.size("lists"))
+    posted = own.where(places > 0).select("rep", F.explode(F.slice("lists", F.lit(1), places)).alias("l")).select("l.list", "rep")
+    posted = written(posted, "posts")
+    shared = posted.groupBy("list").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    return written(posted.join(shared.select("list", "hub"), "list"), "posts")
+
+
+def near_components(docs: DataFrame, length: int = 3, percent: int = 85, most_hubs: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of `docs`."""
     small_batches(docs.sparkSession)
     signed = docs.select("doc_id", "text").mapInPandas(
-        signature_rows(length), "doc_id long, n_shingles long, set_key binary, sig array<int>"
+        signature_rows(length), "doc_id long, n_shingles long, set_key binary, sig array<int>, all_sig binary"
     )
     signed = written(signed, "signatures")
     filled = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    reps = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("all_sig").alias("all_sig"))
     reps = written(reps, "representatives")
-    prefix = COORDINATES - MATCHES + 1
-    posts = reps.select("rep", F.posexplode(F.slice("sig", 1, prefix)).alias("j", "value")).select(
-        (F.col("j").cast("long") * F.lit(1 << 32) + F.col("value").cast("long")).alias("list"), "rep"
-    )
-    shared = posts.groupBy("list").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
-    posts = written(posts.join(shared.select("list", "hub"), "list"), "posts")
+    posts = prefix_posts(reps, least_matches(COORDINATES, percent))
     state = Links(docs, reps, length, percent)
     state.compare(posts.select(F.col("hub").alias("a"), F.col("rep").alias("b")), "hub")
     labels = state.labels()
@@ -174,18 +246,15 @@ def near_components(docs: DataFrame, length: int = 3, percent: int = 85, most_hu
         left, members = open_lists.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.sum("m")).first()
         if not left:
             break
-        marked = written(marked.join(open_lists.select("list"), "list"), "marked")
-        if k < most_hubs and left > 4 * members:
-            hubs = marked.groupBy("list").agg(F.max(F.struct("c", "rep")).alias("h")).select("list", F.col("h.c").alias("hc"), F.col("h.rep").alias("a"))
-            pairs = marked.join(hubs, "list").where("c <> hc").select("a", F.col("rep").alias("b"))
-            state.compare(pairs, "hub")
-            labels = state.labels()
-            continue
-        other = marked.select("list", F.col("rep").alias("b"), F.col("c").alias("cb"))
-        pairs = marked.withColumnRenamed("rep", "a").join(other, "list").where("a < b and c <> cb").select("a", "b")
-        if state.compare(pairs, "rest"):
+        marked = written(marked.join(open_lists.select("list", "m"), "list"), "marked")
+        if k == most_hubs or left <= 50 * members:
+            masks = posts.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(list, 32) as int))")).alias("mask"))
+            if state.compare_all(marked, masks):
+                labels = state.labels()
+            break
+        hubs = marked.groupBy("list").agg(F.max(F.struct("c", "rep")).alias("h")).select("list", F.col("h.c").alias("hc"), F.col("h.rep").alias("a"))
+        if state.compare(marked.join(hubs, "list").where("c <> hc").select("a", F.col("rep").alias("b")), f"hub{k}"):
             labels = state.labels()
-        break
     classes = reps.select("set_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("set_key", F.coalesce("component", "rep").alias("component_id"))
     known = filled.select("doc_id", "n_shingles", "set_key").join(classes, "set_key").select("doc_id", "n_shingles", "component_id")
