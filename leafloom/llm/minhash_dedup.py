@@ -34,7 +34,7 @@ from leafloom.llm.components import components
 #: Coordinates that are posted, and all that a signature has.
 COORDINATES, LENGTH = 32, 96
 #: Pairs of documents are compared in blocks of so many.
-BLOCK = 64
+BLOCK = 256
 
 MULTIPLIERS = (np.random.default_rng(3).integers(1, 1 << 63, LENGTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -101,6 +101,27 @@ def signature_rows(length: int):
     return rows
 
 
+def shared_counts(texts: list[str], length: int, columns: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of all intersections of the texts' shingle sets, as a matrix, and the sizes of the sets. A shingle of one
+    text only is left out; the others are counted by a product of 0-1 matrices, some columns at a time."""
+    sets, sizes = shingle_sets(texts, length)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, times = np.unique(sets, return_inverse=True, return_counts=True)
+    several = times > 1
+    place = np.cumsum(several) - 1
+    kept = several[column]
+    owner, column = owner[kept], place[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(sizes), len(sizes)))
+    for start in range(0, int(several.sum()), columns):
+        a, b = np.searchsorted(column, [start, start + columns])
+        part = np.zeros((len(sizes), columns), dtype=np.float32)
+        part[owner[a:b], column[a:b] - start] = 1
+        shared += part @ part.T
+    return shared, sizes
+
+
 def confirmed(length: int, percent: int):
     """Rows of bounded lists of ids, texts and pairs: the pairs that are similar enough on their full sets."""
 
@@ -108,25 +129,25 @@ def confirmed(length: int, percent: int):
         for pdf in batches:
             found = []
             for ids, texts, left, right in zip(pdf["ids"], pdf["texts"], pdf["a"], pdf["b"], strict=True):
-                sets, counts = shingle_sets(list(texts), length)
-                own = dict(zip(ids.tolist(), np.split(sets, np.cumsum(counts)[:-1]), strict=True))
-                for a, b in zip(left.tolist(), right.tolist(), strict=True):
-                    shared = len(np.intersect1d(own[a], own[b], assume_unique=True))
-                    if 100 * shared >= percent * (len(own[a]) + len(own[b]) - shared):
-                        found.append((a, b))
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                shared, n = shared_counts(list(texts), length)
+                order = np.argsort(ids)
+                a, b = (order[np.searchsorted(ids, side, sorter=order)] for side in (left, right))
+                linked = 100 * shared[a, b] >= percent * (n[a] + n[b] - shared[a, b])
+                found.append(pd.DataFrame({"a": left[linked], "b": right[linked]}))
+            yield pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     return rows
 
 
 def collisions(least: int, percent: int):
-    """Rows of two blocks of a list: pairs of different components with enough collisions in all coordinates, each
-    pair in the first list that both are posted under."""
+    """Rows of two blocks of a list: as lists, the pairs of different components with enough collisions in all
+    coordinates, each pair in the first list that both are posted under."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = []
             for row in pdf.itertuples(index=False):
+                pairs: list[tuple[int, int]] = []
                 sig = np.frombuffer(b"".join(row.sig), dtype=np.int32).reshape(-1, LENGTH)
                 side, first = np.asarray(row.block) == row.y, np.asarray(row.block) == row.x
                 ids, part, n, mask = (np.asarray(v) for v in (row.rep, row.c, row.n, row.mask))
@@ -138,8 +159,11 @@ def collisions(least: int, percent: int):
                     other, equal = other[equal.sum(axis=1) >= least], equal[equal.sum(axis=1) >= least]
                     both = equal[:, :COORDINATES] & ((mask[other, None] & mask[i]) >> np.arange(COORDINATES) & 1).astype(bool)
                     other = other[both.argmax(axis=1) == row.j]
-                    found += [(min(ids[i], x), max(ids[i], x)) for x in ids[other].tolist()]
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                    pairs += [(int(ids[i]), x) for x in ids[other].tolist()]
+                if pairs:
+                    a, b = map(list, zip(*pairs, strict=True))
+                    found.append((row.list, row.x, row.y, sorted({*a, *b}), a, b))
+            yield pd.DataFrame(found, columns=["list", "x", "y", "ids", "a", "b"])
 
     return rows
 
@@ -171,9 +195,25 @@ class Links:
         keys = ["list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")]
         blocks = dealt.groupBy(*keys).agg(F.collect_list(own).alias("own"))
         fields = [F.col(f"own.{f}").alias(f) for f in ("rep", "c", "n", "mask", "block", "sig")]
-        blocks = blocks.select(F.shiftright("list", 32).cast("int").alias("j"), "x", "y", *fields)
-        near = blocks.mapInPandas(collisions(least_matches(LENGTH, self.percent), self.percent), "a long, b long")
-        return self.confirm(written(near, "rest-near"), "rest")
+        blocks = blocks.select("list", F.shiftright("list", 32).cast("int").alias("j"), "x", "y", *fields)
+        schema = "list long, x int, y int, ids array<long>, a array<long>, b array<long>"
+        near = written(blocks.mapInPandas(collisions(least_matches(LENGTH, self.percent), self.percent), schema), "rest-near")
+        if near.isEmpty():
+            return 0
+        held = near.select("list", "x", "y", F.explode("ids").alias("id"))
+        texts = written(self.texts(held.select("id").distinct()), "rest-texts")
+        sets = held.join(texts, "id").groupBy("list", "x", "y").agg(F.collect_list(F.struct("id", "text")).alias("t"))
+        groups = near.drop("ids").join(sets, ["list", "x", "y"])
+        return self.linked(groups.select(F.col("t.id").alias("ids"), F.col("t.text").alias("texts"), "a", "b"), "rest")
+
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(id, text), one row an id."""
+        return self.docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id").groupBy("id").agg(F.any_value("text").alias("text"))
+
+    def linked(self, groups: DataFrame, name: str) -> int:
+        links = written(groups.mapInPandas(confirmed(self.length, self.percent), "a long, b long"), f"{name}-links")
+        self.found = links if self.found is None else self.found.union(links)
+        return links.count()
 
     def confirm(self, near: DataFrame, name: str) -> int:
         """Confirm pairs on full sets. Documents with the same smallest partner stand in blocks, so that a text is sent
@@ -182,20 +222,16 @@ class Links:
             return 0
         ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("f")), F.struct(F.col("b").alias("id"), F.col("a").alias("f")))).alias("e"))
         ends = written(ends.groupBy("e.id").agg(F.min("e.f").alias("f")), f"{name}-ends")
-        sizes = ends.groupBy("f").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("parts"))
+        sizes = ends.groupBy("f").agg(F.ceil(F.count("*") / (BLOCK // 8)).cast("int").alias("parts"))
         blocks = ends.join(sizes, "f").select("id", F.xxhash64("f", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
         blocks = written(blocks, f"{name}-blocks")
         pairs = near.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("x")), "a").join(blocks.select(F.col("id").alias("b"), F.col("block").alias("y")), "b")
         pairs = written(pairs.select(F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("g"), "a", "b"), f"{name}-pairs")
         by_group = pairs.groupBy("g").agg(F.collect_list(F.struct("a", "b")).alias("p"))
         held = pairs.select("g", F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = self.docs.select(F.col("doc_id").alias("id"), "text").join(ends.select("id"), "id").groupBy("id").agg(F.any_value("text").alias("text"))
-        groups = held.join(texts, "id").groupBy("g").agg(F.collect_list(F.struct("id", "text")).alias("t")).join(by_group, "g")
+        groups = held.join(self.texts(ends.select("id")), "id").groupBy("g").agg(F.collect_list(F.struct("id", "text")).alias("t")).join(by_group, "g")
         split = [F.col("t.id").alias("ids"), F.col("t.text").alias("texts"), F.col("p.a").alias("a"), F.col("p.b").alias("b")]
-        links = groups.select(*split).mapInPandas(confirmed(self.length, self.percent), "a long, b long")
-        links = written(links, f"{name}-links")
-        self.found = links if self.found is None else self.found.union(links)
-        return links.count()
+        return self.linked(groups.select(*split), name)
 
     def labels(self) -> DataFrame:
         if self.found is None:
@@ -224,7 +260,7 @@ def prefix_posts(reps: DataFrame, matches: int) -> DataFrame:
     return written(posted.join(shared.select("list", "hub"), "list"), "posts")
 
 
-def near_components(docs: DataFrame, length: int = 3, percent: int = 85, most_hubs: int = 4) -> DataFrame:
+def near_components(docs: DataFrame, length: int = 3, percent: int = 85, most_hubs: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of `docs`."""
     small_batches(docs.sparkSession)
     signed = docs.select("doc_id", "text").mapInPandas(
