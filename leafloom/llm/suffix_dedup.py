@@ -78,8 +78,9 @@ class Texts:
         bits = np.uint64(max(1, len(data).bit_length()))
         place = np.arange(len(grams), dtype=np.uint64)
         own = (np.uint64(1) << bits) - np.uint64(1)
-        lowest = (sliding_least((grams >> bits << bits) | place, width) & own).astype(np.int64)
-        highest = (sliding_least((~grams >> bits << bits) | place, width) & own).astype(np.int64)
+        lowest = (sliding_least((grams >> bits << bits) | place, width) & own).astype(np.int32)
+        highest = (sliding_least((~grams >> bits << bits) | place, width) & own).astype(np.int32)
+        del place
         inside = np.zeros(n, dtype=bool)
         for end, size in zip(self.ends.tolist(), self.sizes.tolist(), strict=True):
             if size >= length:
@@ -212,7 +213,7 @@ def sorted_segments(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
 
 
 def without_repeats(
-    docs: DataFrame, length: int = 200, split_bytes: int = 4 << 20, part_bytes: int = 12 << 20, texts: bool = False
+    docs: DataFrame, length: int = 200, split_bytes: int = 3 << 19, part_bytes: int = 4 << 20, texts: bool = False
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row and, with `texts`, `kept`: the bytes that stay."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
