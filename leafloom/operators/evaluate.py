@@ -46,12 +46,12 @@ def long(table: DataFrame) -> DataFrame:
     """Back to (fixture, backend, chr, wrd, sec); backends come from the columns, the Average row goes, blank rows go."""
     backends = [c[: -len("_chr")] for c in table.columns if c.endswith("_chr")]
     rows = F.explode(F.array(*[F.struct(F.lit(b).alias("backend"), *[F.col(f"{b}_{m}").cast("double").alias(m) for m in ("chr", "wrd", "sec")]) for b in backends]))
-    return table.where(F.col("fixture") != "Average").select("fixture", rows.alias("r")).select("fixture", "r.*").where("chr is not null")
+    return table.where(F.col("fixture").cast("string") != "Average").select("fixture", rows.alias("r")).select("fixture", "r.*").where("chr is not null")
 
 
 def rendered(table: DataFrame) -> DataFrame:
     """Text cells: scores to four places, seconds to two, N/A for null."""
-    cells = [F.coalesce(F.format_string("%.2f" if c.endswith("_sec") else "%.4f", F.col(c)), F.lit("N/A")).alias(c) for c in table.columns if c != "fixture"]
+    cells = [F.when(F.col(c).isNull(), "N/A").otherwise(F.format_string("%.2f" if c.endswith("_sec") else "%.4f", F.col(c))).alias(c) for c in table.columns if c != "fixture"]
     return table.select("fixture", *cells)
 
 

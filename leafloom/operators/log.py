@@ -23,7 +23,8 @@ def run_totals(events: DataFrame) -> DataFrame:
 def elapsed(events: DataFrame) -> DataFrame:
     """Seconds since the previous event of the same run and file; null for the first."""
     along = Window.partitionBy("run", "file").orderBy("ts", "event_id")
-    return events.withColumn("elapsed", F.unix_micros("ts") / 1e6 - F.unix_micros(F.lag("ts").over(along)) / 1e6)
+    at = F.col("ts").cast("timestamp")
+    return events.withColumn("elapsed", F.unix_micros(at) / 1e6 - F.unix_micros(F.lag(at).over(along)) / 1e6)
 
 
 def json_lines(events: DataFrame) -> DataFrame:

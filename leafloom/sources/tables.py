@@ -90,8 +90,8 @@ def manifest_rows(rows: DataFrame) -> DataFrame:
     unknown = set(rows.columns) - set(MANIFEST)
     if unknown:
         raise ValueError(f"not columns of the manifest: {sorted(unknown)}")
-    shown = {"quality": F.format_string("%.4f", "quality"), "outputs": F.array_join("outputs", ";")}
-    return rows.select(*[F.coalesce(shown.get(c, F.col(c)).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in MANIFEST])
+    shown = {"quality": F.when(F.col("quality").isNotNull(), F.format_string("%.4f", "quality")) if "quality" in rows.columns else None, "outputs": F.array_join("outputs", ";") if "outputs" in rows.columns else None}
+    return rows.select(*[F.coalesce((shown[c] if c in shown else F.col(c)).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in MANIFEST])
 
 
 def append_manifest(rows: DataFrame, path: str) -> None:
