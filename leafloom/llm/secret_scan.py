@@ -81,9 +81,11 @@ def labelled_samples(docs: DataFrame, cap: int = 20_000) -> DataFrame:
     return randoms.unionByName(plain.withColumn("label", F.lit(0)))
 
 
-def fit_markov(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def fit_markov(samples: DataFrame, smoothing: float = 0.5, backoff: float = 5.0) -> list[float]:
     """Log ratio of the transition probabilities, row by row of the alphabet; all 0 if a class has no sample.
 
+    Transitions from characters that a class has seldom seen back off to how often it has the next character at all.
+
     Only the counts of character pairs, bounded by the alphabet, reach the driver.
     """
     size = len(ALPHABET)
@@ -96,19 +98,19 @@ def fit_markov(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
         .count()
         .collect()
     )
-    counts = {label: [[smoothing] * size for _ in range(size)] for label in (0, 1)}
+    counts = {label: [[0.0] * size for _ in range(size)] for label in (0, 1)}
     seen = set()
     for label, pair, n in counted:
         counts[label][ALPHABET.index(pair[0])][ALPHABET.index(pair[1])] += n
         seen.add(label)
     if seen != {0, 1}:
         return [0.0] * (size * size)
-    totals = {label: [sum(row) for row in counts[label]] for label in (0, 1)}
-    return [
-        math.log(counts[1][a][b] / totals[1][a]) - math.log(counts[0][a][b] / totals[0][a])
-        for a in range(size)
-        for b in range(size)
-    ]
+    logs = {}
+    for label, rows in counts.items():
+        single = [sum(row[b] for row in rows) + smoothing for b in range(size)]
+        total = sum(single)
+        logs[label] = [math.log((row[b] + backoff * single[b] / total) / (sum(row) + backoff)) for row in rows for b in range(size)]
+    return [x - y for x, y in zip(logs[1], logs[0], strict=True)]
 
 
 def log_ratio(value: Column, model: list[float]) -> Column:
