@@ -28,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import small_batches, table, text_slices, written
+from leafloom.llm.common import batches_of, small_batches, table, text_slices, written
 from leafloom.llm.components import components
 
-#: Coordinates that are posted, and all that a signature has.
+#: Coordinates that are posted, and all that a signature has (of which 16 bits are kept for counting).
 COORDINATES, LENGTH = 32, 96
 #: Pairs of documents are compared in blocks of so many.
 BLOCK = 256
@@ -96,7 +96,7 @@ def signature_rows(length: int):
                         values = mixed(sets * m) >> np.uint64(32)
                         sig[some, j] = np.minimum.reduceat(values, starts[some]).astype(np.uint32).view(np.int32)
                 keys = [hashlib.sha256(sets[a : a + n].tobytes()).digest()[:16] for a, n in zip(starts, counts, strict=True)]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": counts, "set_key": keys, "sig": list(sig[:, :COORDINATES]), "all_sig": [x.tobytes() for x in sig]})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": counts, "set_key": keys, "sig": list(sig[:, :COORDINATES]), "all_sig": [x.tobytes() for x in sig.astype(np.uint16)]})
 
     return rows
 
@@ -148,7 +148,7 @@ def collisions(least: int, percent: int):
             found = []
             for row in pdf.itertuples(index=False):
                 pairs: list[tuple[int, int]] = []
-                sig = np.frombuffer(b"".join(row.sig), dtype=np.int32).reshape(-1, LENGTH)
+                sig = np.frombuffer(b"".join(row.sig), dtype=np.uint16).reshape(-1, LENGTH)
                 side, first = np.asarray(row.block) == row.y, np.asarray(row.block) == row.x
                 ids, part, n, mask = (np.asarray(v) for v in (row.rep, row.c, row.n, row.mask))
                 right = np.flatnonzero(side)
@@ -197,7 +197,8 @@ class Links:
         fields = [F.col(f"own.{f}").alias(f) for f in ("rep", "c", "n", "mask", "block", "sig")]
         blocks = blocks.select("list", F.shiftright("list", 32).cast("int").alias("j"), "x", "y", *fields)
         schema = "list long, x int, y int, ids array<long>, a array<long>, b array<long>"
-        near = written(blocks.mapInPandas(collisions(least_matches(LENGTH, self.percent), self.percent), schema), "rest-near")
+        with batches_of(self.docs.sparkSession, 16):
+            near = written(blocks.mapInPandas(collisions(least_matches(LENGTH, self.percent), self.percent), schema), "rest-near")
         if near.isEmpty():
             return 0
         held = near.select("list", "x", "y", F.explode("ids").alias("id"))
@@ -211,7 +212,8 @@ class Links:
         return self.docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id").groupBy("id").agg(F.any_value("text").alias("text"))
 
     def linked(self, groups: DataFrame, name: str) -> int:
-        links = written(groups.mapInPandas(confirmed(self.length, self.percent), "a long, b long"), f"{name}-links")
+        with batches_of(self.docs.sparkSession, 16):
+            links = written(groups.mapInPandas(confirmed(self.length, self.percent), "a long, b long"), f"{name}-links")
         self.found = links if self.found is None else self.found.union(links)
         return links.count()
 
