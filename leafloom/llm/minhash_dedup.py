@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from leafloom.llm.common import batches_of, small_batches, table, text_slices, written
 from leafloom.llm.components import components
 
-#: Coordinates that are posted, and all that a signature has (of which 16 bits are kept for counting).
+#: Coordinates that are posted, and all that a signature has.
 COORDINATES, LENGTH = 32, 96
 #: Pairs of documents are compared in blocks of so many.
 BLOCK = 256
@@ -83,6 +83,17 @@ def shingle_sets(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray]
     return runs[fresh], np.bincount(owner[fresh], minlength=len(sizes))
 
 
+def packed(sig: np.ndarray) -> list[bytes]:
+    """Posted coordinates whole, as they also tell which list two documents share first; 16 bits of the others."""
+    return [a.tobytes() + b.tobytes() for a, b in zip(sig[:, :COORDINATES], sig[:, COORDINATES:].astype(np.uint16), strict=True)]
+
+
+def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
+    cut = 4 * COORDINATES
+    return np.ascontiguousarray(data[:, :cut]).view(np.int32), np.ascontiguousarray(data[:, cut:]).view(np.uint16)
+
+
 def signature_rows(length: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -96,7 +107,7 @@ def signature_rows(length: int):
                         values = mixed(sets * m) >> np.uint64(32)
                         sig[some, j] = np.minimum.reduceat(values, starts[some]).astype(np.uint32).view(np.int32)
                 keys = [hashlib.sha256(sets[a : a + n].tobytes()).digest()[:16] for a, n in zip(starts, counts, strict=True)]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": counts, "set_key": keys, "sig": list(sig[:, :COORDINATES]), "all_sig": [x.tobytes() for x in sig.astype(np.uint16)]})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": counts, "set_key": keys, "sig": list(sig[:, :COORDINATES]), "all_sig": packed(sig)})
 
     return rows
 
@@ -148,16 +159,17 @@ def collisions(least: int, percent: int):
             found = []
             for row in pdf.itertuples(index=False):
                 pairs: list[tuple[int, int]] = []
-                sig = np.frombuffer(b"".join(row.sig), dtype=np.uint16).reshape(-1, LENGTH)
+                posted, more = unpacked(row.sig)
                 side, first = np.asarray(row.block) == row.y, np.asarray(row.block) == row.x
                 ids, part, n, mask = (np.asarray(v) for v in (row.rep, row.c, row.n, row.mask))
                 right = np.flatnonzero(side)
                 for i in np.flatnonzero(first).tolist():
                     other = right[(ids[right] > ids[i]) if row.x == row.y else slice(None)]
                     other = other[(part[other] != part[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
-                    equal = sig[other] == sig[i]
-                    other, equal = other[equal.sum(axis=1) >= least], equal[equal.sum(axis=1) >= least]
-                    both = equal[:, :COORDINATES] & ((mask[other, None] & mask[i]) >> np.arange(COORDINATES) & 1).astype(bool)
+                    equal = posted[other] == posted[i]
+                    enough = equal.sum(axis=1) + (more[other] == more[i]).sum(axis=1) >= least
+                    other, equal = other[enough], equal[enough]
+                    both = equal & ((mask[other, None] & mask[i]) >> np.arange(COORDINATES) & 1).astype(bool)
                     other = other[both.argmax(axis=1) == row.j]
                     pairs += [(int(ids[i]), x) for x in ids[other].tolist()]
                 if pairs:
