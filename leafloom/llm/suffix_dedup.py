@@ -93,7 +93,8 @@ class Texts:
         fresh = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)]))
         self.first = at[fresh]
         self.last = at[np.concatenate([fresh[1:] - 1, [len(at) - 1]])]
-        self.low = grams[low[fresh]]
+        # Smallest hashes are small numbers: an odd factor spreads them over the parts again.
+        self.low = grams[low[fresh]] * np.uint64(FACTOR)
 
     def part_of(self, keys: np.ndarray) -> np.ndarray:
         return ((keys >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
