@@ -34,7 +34,7 @@ from leafloom.llm.components import components
 #: Coordinates that are posted, and all that a signature has.
 COORDINATES, LENGTH = 32, 96
 #: Pairs of documents are compared in blocks of so many.
-BLOCK = 256
+BLOCK = 1024
 
 MULTIPLIERS = (np.random.default_rng(3).integers(1, 1 << 63, LENGTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -209,7 +209,7 @@ class Links:
         fields = [F.col(f"own.{f}").alias(f) for f in ("rep", "c", "n", "mask", "block", "sig")]
         blocks = blocks.select("list", F.shiftright("list", 32).cast("int").alias("j"), "x", "y", *fields)
         schema = "list long, x int, y int, ids array<long>, a array<long>, b array<long>"
-        with batches_of(self.docs.sparkSession, 16):
+        with batches_of(self.docs.sparkSession, 4):
             near = written(blocks.mapInPandas(collisions(least_matches(LENGTH, self.percent), self.percent), schema), "rest-near")
         if near.isEmpty():
             return 0
@@ -224,7 +224,7 @@ class Links:
         return self.docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id").groupBy("id").agg(F.any_value("text").alias("text"))
 
     def linked(self, groups: DataFrame, name: str) -> int:
-        with batches_of(self.docs.sparkSession, 16):
+        with batches_of(self.docs.sparkSession, 4):
             links = written(groups.mapInPandas(confirmed(self.length, self.percent), "a long, b long"), f"{name}-links")
         self.found = links if self.found is None else self.found.union(links)
         return links.count()
@@ -236,7 +236,7 @@ class Links:
             return 0
         ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("f")), F.struct(F.col("b").alias("id"), F.col("a").alias("f")))).alias("e"))
         ends = written(ends.groupBy("e.id").agg(F.min("e.f").alias("f")), f"{name}-ends")
-        sizes = ends.groupBy("f").agg(F.ceil(F.count("*") / (BLOCK // 8)).cast("int").alias("parts"))
+        sizes = ends.groupBy("f").agg(F.ceil(F.count("*") / (BLOCK // 32)).cast("int").alias("parts"))
         blocks = ends.join(sizes, "f").select("id", F.xxhash64("f", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
         blocks = written(blocks, f"{name}-blocks")
         pairs = near.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("x")), "a").join(blocks.select(F.col("id").alias("b"), F.col("block").alias("y")), "b")
