@@ -155,10 +155,10 @@ def t20_pricing(spark, d):
     return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(cost), 4).alias("cost"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(s * CASE WHEN m <= 0 THEN 1 ELSE 0.8 + 0.2 * least(greatest(w / m, 0), 1) END, 6) AS effective FROM (SELECT *, l_discount AS s, l_quantity AS w, CAST(l_suppkey % 40 AS DOUBLE) AS m FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(s * CASE WHEN m <= 0 THEN 1 ELSE 0.8 + 0.2 * least(greatest(w / m, 0), 1) END, 9) AS effective FROM (SELECT *, l_discount AS s, l_quantity AS w, CAST(l_suppkey % 40 AS DOUBLE) AS m FROM lineitem)")
 def p1_effective_score(spark, d):
     value = rules.effective_score(F.col("l_discount"), F.col("l_quantity"), (F.col("l_suppkey") % 40).cast("double"))
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(value, 6).alias("effective"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(value, 9).alias("effective"))
 
 
 BANDS = [(10.0, 1.5), (25.0, 2.0), (40.0, 2.5), (float("inf"), 3.0)]
