@@ -27,20 +27,15 @@ def keys_of(symbols: np.ndarray) -> np.ndarray:
 
 def left_of(symbols: np.ndarray) -> np.ndarray:
     """How many symbols stand before the next separator."""
-    ends = np.flatnonzero(symbols == 0)
-    return (ends[np.searchsorted(ends, np.arange(len(symbols)))] - np.arange(len(symbols))).astype(np.int32)
+    ends = np.flatnonzero(symbols == 0).astype(np.int32)
+    return np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(symbols), dtype=np.int32)
 
 
 def smaller_than_next(symbols: np.ndarray) -> np.ndarray:
     """Is the suffix smaller than its successor? Equal symbols follow the end of their run."""
-    n = len(symbols)
     change = np.flatnonzero(symbols[1:] != symbols[:-1])
-    rises = symbols[change + 1] > symbols[change]
-    out = np.zeros(n, dtype=bool)
-    run = np.searchsorted(change, np.arange(n))
-    inside = run < len(change)
-    out[inside] = rises[run[inside]]
-    return out
+    rises = np.append(symbols[change + 1] > symbols[change], False)
+    return np.repeat(rises, np.diff(np.append(change, len(symbols) - 1), prepend=-1))
 
 
 def sorted_directly(at: np.ndarray, keys: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
@@ -68,15 +63,14 @@ def sorted_directly(at: np.ndarray, keys: np.ndarray, left: np.ndarray, depth: i
     return out
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(symbols: np.ndarray, keys: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     """All suffixes but the separators, ordered by their first `depth` symbols.
 
     Those smaller than their successors are sorted directly. A scan over the buckets of first symbols, from the smallest,
     places the others: each entry puts its predecessor, if that is not smaller than it, at the next free place of the
     predecessor's bucket.
     """
-    keys, left, rising = keys_of(symbols), left_of(symbols), smaller_than_next(symbols)
-    rising &= symbols > 0
+    rising = smaller_than_next(symbols) & (symbols > 0)
     direct = sorted_directly(np.flatnonzero(rising), keys, left, depth)
     first = symbols[direct]
     edges = np.searchsorted(first, np.arange(258))
@@ -133,9 +127,10 @@ def repeated_starts(strings: list[bytes], length: int) -> np.ndarray:
     """For the symbols of joined(strings): does a substring of `length` start here that also starts elsewhere?"""
     symbols = joined(strings)
     flags = np.zeros(len(symbols), dtype=bool)
-    order = suffix_order(symbols, length)
-    order = order[left_of(symbols)[order] >= length]
-    same = common_prefixes(order, keys_of(symbols), length) >= length
+    keys, left = keys_of(symbols), left_of(symbols)
+    order = suffix_order(symbols, keys, left, length)
+    order = order[left[order] >= length]
+    same = common_prefixes(order, keys, length) >= length
     flags[order[same]] = True
     flags[order[:-1][same[1:]]] = True
     return flags

@@ -99,7 +99,7 @@ def test_suffix_order_and_repeats():
         texts = [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(1, 6))]
         symbols = suffix_sort.joined(texts)
         plain = symbols.tolist()
-        order = suffix_sort.suffix_order(symbols, 1000).tolist()
+        order = suffix_sort.suffix_order(symbols, suffix_sort.keys_of(symbols), suffix_sort.left_of(symbols), 1000).tolist()
         suffixes = [plain[i : plain.index(0, i)] for i in order]
         assert suffixes == sorted(suffixes) and len(set(order)) == sum(map(len, texts))
         flags, times, at = suffix_sort.repeated_starts(texts, length), Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1)), 1
