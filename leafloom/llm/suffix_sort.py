@@ -54,9 +54,14 @@ def sorted_directly(at: np.ndarray, keys: np.ndarray, left: np.ndarray, depth: i
             break
         own = out[place]
         value = keys[np.minimum(own + seen, len(keys) - 1)]
-        order = np.lexsort((value, group))
-        value, group = value[order], group[order]
-        out[place] = own[order]
+        # Groups that go on alike, as long repeats do, need no sort in this round.
+        uneven = np.zeros(int(group[-1]) + 1, dtype=bool)
+        uneven[group[1:][(value[1:] != value[:-1]) & (group[1:] == group[:-1])]] = True
+        some = np.flatnonzero(uneven[group])
+        if len(some):
+            order = some[np.lexsort((value[some], group[some]))]
+            value[some] = value[order]
+            out[place[some]] = own[order]
         fresh = np.concatenate([[0], (group[1:] != group[:-1]) | (value[1:] != value[:-1])])
         group = np.cumsum(fresh)
         seen += STEP
