@@ -34,7 +34,7 @@ from leafloom.llm.components import components
 #: Coordinates that are posted, and all that a signature has.
 COORDINATES, LENGTH = 32, 96
 #: Pairs of documents are compared in blocks of so many.
-BLOCK = 1024
+BLOCK = 256
 
 MULTIPLIERS = (np.random.default_rng(3).integers(1, 1 << 63, LENGTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -220,8 +220,8 @@ class Links:
         return self.linked(groups.select(F.col("t.id").alias("ids"), F.col("t.text").alias("texts"), "a", "b"), "rest")
 
     def texts(self, ids: DataFrame) -> DataFrame:
-        """(id, text), one row an id."""
-        return self.docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id").groupBy("id").agg(F.any_value("text").alias("text"))
+        """(id, text), one row an id. The ids grow with the documents, so they are never broadcast, at any size."""
+        return self.docs.select(F.col("doc_id").alias("id"), "text").join(ids.hint("merge"), "id").groupBy("id").agg(F.any_value("text").alias("text"))
 
     def linked(self, groups: DataFrame, name: str) -> int:
         with batches_of(self.docs.sparkSession, 4):
@@ -236,7 +236,7 @@ class Links:
             return 0
         ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("f")), F.struct(F.col("b").alias("id"), F.col("a").alias("f")))).alias("e"))
         ends = written(ends.groupBy("e.id").agg(F.min("e.f").alias("f")), f"{name}-ends")
-        sizes = ends.groupBy("f").agg(F.ceil(F.count("*") / (BLOCK // 32)).cast("int").alias("parts"))
+        sizes = ends.groupBy("f").agg(F.ceil(F.count("*") / (BLOCK // 8)).cast("int").alias("parts"))
         blocks = ends.join(sizes, "f").select("id", F.xxhash64("f", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
         blocks = written(blocks, f"{name}-blocks")
         pairs = near.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("x")), "a").join(blocks.select(F.col("id").alias("b"), F.col("block").alias("y")), "b")
@@ -315,7 +315,7 @@ def near_components(docs: DataFrame, length: int = 3, percent: int = 85, most_hu
 def one_of_each(docs: DataFrame, length: int = 3, percent: int = 85) -> DataFrame:
     """The documents that are the smallest of their component; columns stay. Rows of null doc_id stay."""
     gone = near_components(docs, length, percent).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
