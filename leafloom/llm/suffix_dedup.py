@@ -133,18 +133,22 @@ class Texts:
         return np.concatenate(first), np.concatenate(last), np.concatenate(key)
 
     def distinct(self, answers: pd.DataFrame):
-        """The repeated segments: per occurrence its place among the distinct ones; those by key and content."""
+        """The repeated segments: per occurrence its place among the distinct ones; those by part, content and key.
+
+        The numbers must not depend on the order of the rows: a shuffle that is read twice can give them in two orders.
+        """
         first, last, key = self.repeated_segments(answers)
         digests = [
             xxhash.xxh3_128_digest(self.content[a : b + self.length]) + k
             for a, b, k in zip(first.tolist(), last.tolist(), map(np.uint64.tobytes, key), strict=True)
         ]
-        where, _ = pd.factorize(np.array([*digests, None], dtype=object)[:-1])
-        n = int(where.max()) + 1 if len(where) else 0
+        where, kinds = pd.factorize(np.array([*digests, None], dtype=object)[:-1])
+        n = len(kinds)
         shown = np.zeros(n, dtype=np.int64)
         shown[where[::-1]] = np.arange(len(where))[::-1]
         many = np.bincount(where, minlength=n) > 1
-        order = np.argsort(self.part_of(key[shown]), kind="stable")
+        words = np.frombuffer(b"".join(kinds), dtype=np.uint64).reshape(n, 3)
+        order = np.lexsort((words[:, 2], words[:, 1], words[:, 0], self.part_of(key[shown])))
         rank = np.zeros(n, dtype=np.int64)
         rank[order] = np.arange(n)
         return first, last, rank[where] if n else where, first[shown][order], last[shown][order], key[shown][order], many[order]

@@ -92,6 +92,28 @@ def test_op1_hot_grams(spark, monkeypatch):
     assert list(map(tuple, got[["n_bytes", "n_removed", "n_spans", "kept_sha256"]].values.tolist())) == want
 
 
+def test_op1_rows_in_another_order():
+    """The second read of a split may give its rows in another order than the first."""
+    parts, length = 3, 200
+    lines = [passage(60 + i, 45) for i in range(6)]
+    texts = [f"{passage(300 + i, 20)} {lines[i % 6]} {passage(400 + i, 20)} {lines[(i + 1) % 6]}" for i in range(18)]
+    pdf = pd.DataFrame({"doc_id": range(18), "text": texts})
+    want = removed_bytes(texts)
+    for seed in range(3):
+        other = pdf.sample(frac=1, random_state=seed)
+        own, again = (suffix_dedup.Texts(p, parts, length) for p in (pdf, other))
+        counts = own.counted(0)
+        first = pd.concat([suffix_dedup.classes(p) for _, p in counts.groupby("part")])
+        sent = own.segments(0, first)
+        assert sent.equals(again.segments(0, first))
+        second = pd.concat([suffix_dedup.sorted_segments(p, length) for _, p in sent.groupby("part")])
+        gone = again.removed(pd.concat([first, second]))
+        for i, end, size in zip(other["doc_id"], again.ends, again.sizes, strict=True):
+            flags = gone[end - size : end]
+            kept = bytes(x for x, y in zip(texts[i].encode(), flags) if not y)
+            assert (int(flags.sum()), hashlib.sha256(kept).hexdigest()) == (want[i][1], want[i][3])
+
+
 def test_suffix_order_and_repeats():
     rng = random.Random(5)
     for trial in range(60):
