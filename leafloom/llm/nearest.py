@@ -10,9 +10,10 @@ Arrays are dealt into ranges of strings, and large ranges into equal shares; onl
 go through the forest, and candidates meet the vectors once, in blocks. Of equal vectors only the
 rows with the smallest `k + 1` ids enter the arrays: no other copy can be among the nearest k.
 
-Enough rows: `share` of all rows and at least `least`. In many dimensions, where near rows are
-hardly nearer than others, a recall of 0.9 needs such a share; with fewer rows than `least`, all
-rows are compared. Ascending stops at the first symbol once the rows fill more than one range.
+Enough rows: `share` of the rows of that length, at least `least`, and so many that some tree holds
+`k + 1`. In many dimensions, where near rows are hardly nearer than others, a recall of 0.9 needs
+such a share. A query that is short of them under its first symbols ascends to the root, at every
+table size: it is compared with all rows, block by block, without the trees.
 
 Cases. Vectors that are null, empty, zero, or hold null or non-finite components take no part.
 Vectors of different lengths are never compared. Equal distances: the smaller id. Repeated ids:
@@ -98,7 +99,7 @@ def prefix_ranges(arrays: np.ndarray, code: int, base: int) -> list[tuple[int, i
 def shared_counts(key: tuple, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     arrays, base = np.sort(index["code"].to_numpy()), 2 * int(key[0])
     rows = [[b - a for a, b in prefix_ranges(arrays, code, base)] for code in asked["code"].tolist()]
-    return pd.DataFrame({"query_id": asked["vec_id"].to_numpy(), "counts": rows})
+    return pd.DataFrame({"query_id": asked["vec_id"].to_numpy(), "dim": int(key[0]), "counts": pd.Series(rows, dtype=object)})
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, share: float = 0.05, least: int = 2000) -> DataFrame:
@@ -107,7 +108,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES,
     rows = usable(df.select("vec_id", "embedding"), "embedding")
     asked = usable(queries.select("vec_id", "embedding"), "embedding").dropDuplicates(["vec_id"])
     n = rows.count()
-    wanted = max(least, share * n)
+    of_length = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("rows"))
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     index = rows.withColumn("__copy", F.row_number().over(copies)).where(F.col("__copy") <= k + 1).drop("__copy")
     sample = bounded_sample(rows, "vec_id", 5000).toPandas()["embedding"]
@@ -118,13 +119,13 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES,
     arrays = coded(index, centres, trees).select("dim", "tree", of_range, F.pmod(F.xxhash64("vec_id"), F.lit(shares)).cast("int").alias("salt"), "vec_id", "code")
     probes = coded(asked, centres, trees).select("dim", "tree", of_range, F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("salt"), "vec_id", "code")
     keys = ["dim", "tree", "range", "salt"]
-    counted = arrays.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(shared_counts, "query_id long, counts array<long>")
-    totals = counted.groupBy("query_id").agg(*[F.sum(F.col("counts")[s]).alias(f"n{s}") for s in range(SYMBOLS + 1)])
-    lowest = 0 if ranges == 1 else 1
-    level = F.lit(lowest)
-    for s in range(lowest + 1, SYMBOLS + 1):
+    counted = arrays.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(shared_counts, "query_id long, dim int, counts array<long>")
+    totals = counted.groupBy("query_id", "dim").agg(*[F.sum(F.col("counts")[s]).alias(f"n{s}") for s in range(1, SYMBOLS + 1)])
+    wanted = F.greatest(F.lit(least), F.lit(trees * (k + 1)), share * F.coalesce("rows", F.lit(0)))
+    level = F.lit(0)
+    for s in range(1, SYMBOLS + 1):
         level = F.when(F.col(f"n{s}") >= wanted, s).otherwise(level)
-    levels = totals.select(F.col("query_id").alias("vec_id"), level.alias("level"))
+    levels = totals.join(F.broadcast(of_length), "dim", "left").select(F.col("query_id").alias("vec_id"), level.alias("level"))
     blocks = max(1, math.ceil(n / BLOCK_ROWS))
 
     def gathered(key: tuple, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -157,9 +158,12 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES,
         for d in tables:
             place[lengths == d] = np.arange(int((lengths == d).sum()))
         for query, vector, wanted_ids in zip(asked["query_id"], asked["query"], asked["ids"], strict=True):
-            some = np.frombuffer(wanted_ids, dtype=np.int64)
-            first, last = np.searchsorted(ids, some), np.searchsorted(ids, some, side="right")
-            at = np.repeat(first, last - first) + np.arange(int((last - first).sum())) - np.repeat(np.cumsum(last - first) - (last - first), last - first)
+            if wanted_ids is None:
+                at = np.flatnonzero(ids != query)
+            else:
+                some = np.frombuffer(wanted_ids, dtype=np.int64)
+                first, last = np.searchsorted(ids, some), np.searchsorted(ids, some, side="right")
+                at = np.repeat(first, last - first) + np.arange(int((last - first).sum())) - np.repeat(np.cumsum(last - first) - (last - first), last - first)
             at = at[lengths[at] == len(vector)]
             if len(at):
                 gap = tables[len(vector)][place[at]] - np.asarray(vector, dtype=np.float64)
@@ -168,11 +172,15 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES,
                 out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
-    told = probes.join(levels, "vec_id")
+    told = probes.join(levels.where("level > 0"), "vec_id")
     found = arrays.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInPandas(gathered, "query_id long, ids binary")
     queries_by_id = asked.withColumnRenamed("vec_id", "query_id")
     per_block = found.groupBy("query_id").cogroup(queries_by_id.groupBy("query_id"))
     per_block = per_block.applyInPandas(blocked, "block long, query_id long, query array<double>, ids binary")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
+    at_root = levels.where("level = 0").withColumnRenamed("vec_id", "query_id").join(queries_by_id, "query_id")
+    at_root = at_root.select(every, "query_id", F.col("embedding").cast("array<double>").alias("query"), F.lit(None).cast("binary").alias("ids"))
+    per_block = per_block.unionByName(at_root)
     vectors = index.withColumn("block", F.pmod("vec_id", F.lit(blocks)).cast("long"))
     best = vectors.groupBy("block").cogroup(per_block.groupBy("block")).applyInPandas(compared, "query_id long, vec_id long, score double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))

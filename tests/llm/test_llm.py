@@ -312,6 +312,45 @@ def test_op10_recall_and_cases(spark, sf_dir):
     assert nearest.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def nearest_by_hand(ids, x, query, k=10):
+    gap = np.sqrt(((x - x[ids == query][0]) ** 2).sum(axis=1))
+    gap[ids == query] = np.inf
+    return ids[np.lexsort((ids, gap))[:k]].tolist()
+
+
+def test_op10_several_ranges(spark, monkeypatch):
+    """Rows of several ranges: a few vectors of another length, and one far from all others, still get all they have."""
+    monkeypatch.setattr(nearest, "RANGE_ROWS", 500)
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 700)
+    rng = np.random.default_rng(4)
+    long, short = rng.standard_normal((2000, 64)), rng.standard_normal((50, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(long)] + [(10_000 + i, v.tolist()) for i, v in enumerate(short)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 40 = 0 or vec_id >= 10000")
+    out = nearest.nearest(df, asked, trees=12, least=100).orderBy("query_id", "rank").collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert all(by[q] == nearest_by_hand(np.arange(10_000, 10_050), short, q) for q in range(10_000, 10_050))
+    assert all(len(by[q]) == 10 for q in range(0, 2000, 40))
+    # Nothing is enough here: all ascend to the root.
+    few = nearest.nearest(df, df.where("vec_id % 400 = 0"), trees=12, least=10**9).orderBy("query_id", "rank").collect()
+    for q in range(0, 2000, 400):
+        assert [r["vec_id"] for r in few if r["query_id"] == q] == nearest_by_hand(np.arange(2000), long, q)
+
+
+def test_op10_recall_of_the_forest(spark, monkeypatch):
+    """With `least` small the trees choose the rows; of the 2,000 of sf0.1 in several ranges."""
+    monkeypatch.setattr(nearest, "RANGE_ROWS", 500)
+    df = common.table(spark, "/root/testdata/sf0.1", "embeddings")
+    data = df.toPandas()
+    ids, x = data["vec_id"].to_numpy(), np.array(data["embedding"].tolist(), dtype=np.float64)
+    got = nearest.nearest(df, df.where("vec_id % 20 = 0"), least=100).toPandas()
+    asked = ids[ids % 20 == 0]
+    hits = sum(len(set(nearest_by_hand(ids, x, q)) & set(got[got["query_id"] == q]["vec_id"])) for q in asked)
+    assert hits / (10 * len(asked)) >= 0.85
+
+
 def test_pipeline_stages(spark, odd, sf_dir):
     import corpus_pipeline
 
