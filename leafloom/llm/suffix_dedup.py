@@ -9,7 +9,10 @@ others, equal segments are merged with a mark, and a two-stage suffix sort with
 prefixes (suffix_sort.py) finds the repeated starts among the distinct ones.
 
 A 32-gram with very many occurrences, such as that of a common line, is split: there, starts are
-dealt by their smallest and largest 32-gram together, which equal strings also share.
+dealt by their smallest and largest 32-gram together, which equal strings also share. Both can lie
+in one common passage, so with still more occurrences each start is dealt by the 128-bit hash of its
+200 bytes, which is all that is sent of it; equal hashes are counted, not sorted. So what is sorted
+under one key is at most ALONE segments of 368 bytes.
 
 Cases. Null, empty and short texts: nothing removed. Matches never cross rows. Rows that share a
 doc_id are different texts. Null doc_id: as any other. Extra columns are not read.
@@ -33,6 +36,8 @@ GRAM = 32
 FACTOR = 0x9E3779B97F4A7C15
 #: Occurrences of a 32-gram beyond which starts are dealt by two 32-grams.
 HOT = 4096
+#: Occurrences of a 32-gram beyond which each start is dealt by the hash of its whole string.
+ALONE = 16_384
 COUNTED = "part int, split int, keys binary, counts binary"
 SEGMENTS = "part int, split int, keys binary, windows binary, lengths binary, many binary, content binary"
 ANSWER = "split int, part int, stage int, bits binary"
@@ -109,8 +114,17 @@ class Texts:
         ]
         return pd.DataFrame(rows, columns=["part", "split", "keys", "counts"])
 
-    def repeated_segments(self, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First start, last start and key of the segments whose 32-gram occurs twice; hot ones cut by the largest one."""
+    def starts_of(self, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in `at` of all starts of some segments, and how many each has."""
+        sizes = self.last[segments] - self.first[segments] + 1
+        begin = np.searchsorted(self.at, self.first[segments])
+        return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum())), sizes
+
+    def repeated_segments(self, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First start, last start and key of the segments whose 32-gram occurs twice; hot ones cut by the largest one.
+
+        Last, the single starts of those that are dealt by their whole string.
+        """
         kinds, where = np.unique(self.low, return_inverse=True)
         edges = np.searchsorted(self.part_of(kinds), np.arange(self.parts + 1))
         class_of = np.zeros(len(kinds), dtype=np.uint8)
@@ -122,26 +136,30 @@ class Texts:
         first, last, key = [self.first[plain]], [self.last[plain]], [self.low[plain]]
         if (kept == 2).any():
             hot = np.flatnonzero(kept == 2)
-            sizes = self.last[hot] - self.first[hot] + 1
-            begin = np.searchsorted(self.at, self.first[hot])
-            index = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            index, sizes = self.starts_of(hot)
             owner, high = np.repeat(hot, sizes), self.highest[index]
             fresh = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (high[1:] != high[:-1])]))
             first.append(self.at[index[fresh]])
             last.append(self.at[index[np.concatenate([fresh[1:] - 1, [len(index) - 1]])]])
             key.append(self.low[owner[fresh]] * np.uint64(FACTOR) + self.grams[high[fresh]])
-        return np.concatenate(first), np.concatenate(last), np.concatenate(key)
+        alone = self.at[self.starts_of(np.flatnonzero(kept == 3))[0]]
+        return np.concatenate(first), np.concatenate(last), np.concatenate(key), alone
 
     def distinct(self, answers: pd.DataFrame):
         """The repeated segments: per occurrence its place among the distinct ones; those by part, content and key.
 
         The numbers must not depend on the order of the rows: a shuffle that is read twice can give them in two orders.
         """
-        first, last, key = self.repeated_segments(answers)
+        first, last, key, alone = self.repeated_segments(answers)
         digests = [
             xxhash.xxh3_128_digest(self.content[a : b + self.length]) + k
             for a, b, k in zip(first.tolist(), last.tolist(), map(np.uint64.tobytes, key), strict=True)
         ]
+        segments = len(digests)
+        hashes = [xxhash.xxh3_128_digest(self.content[a : a + self.length]) for a in alone.tolist()]
+        digests += [h + h[:8] for h in hashes]
+        first, last = np.concatenate([first, alone]), np.concatenate([last, alone])
+        key = np.concatenate([key, np.frombuffer(b"".join(hashes), dtype=np.uint64)[::2]])
         where, kinds = pd.factorize(np.array([*digests, None], dtype=object)[:-1])
         n = len(kinds)
         shown = np.zeros(n, dtype=np.int64)
@@ -151,23 +169,24 @@ class Texts:
         order = np.lexsort((words[:, 2], words[:, 1], words[:, 0], self.part_of(key[shown])))
         rank = np.zeros(n, dtype=np.int64)
         rank[order] = np.arange(n)
-        return first, last, rank[where] if n else where, first[shown][order], last[shown][order], key[shown][order], many[order]
+        sent = [kinds[i][:16] if shown[i] >= segments else None for i in order.tolist()]
+        return first, last, rank[where] if n else where, first[shown][order], last[shown][order], key[shown][order], many[order], sent
 
     def segments(self, split: int, answers: pd.DataFrame) -> pd.DataFrame:
-        _, _, _, first, last, key, many = self.distinct(answers)
+        _, _, _, first, last, key, many, sent = self.distinct(answers)
         edges = np.searchsorted(self.part_of(key), np.arange(self.parts + 1))
         rows = []
         for p, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)):
             if b > a:
                 windows = (last[a:b] - first[a:b] + 1).astype(np.uint32)
-                content = b"".join(self.content[x : y + self.length] for x, y in zip(first[a:b].tolist(), last[a:b].tolist(), strict=True))
-                lengths = (windows + np.uint32(self.length - 1)).tobytes()
-                rows.append((p, split, key[a:b].tobytes(), windows.tobytes(), lengths, many[a:b].astype(np.uint8).tobytes(), content))
+                contents = [h or self.content[x : y + self.length] for x, y, h in zip(first[a:b].tolist(), last[a:b].tolist(), sent[a:b], strict=True)]
+                content, lengths = b"".join(contents), np.fromiter(map(len, contents), dtype=np.uint32, count=b - a)
+                rows.append((p, split, key[a:b].tobytes(), windows.tobytes(), lengths.tobytes(), many[a:b].astype(np.uint8).tobytes(), content))
         return pd.DataFrame(rows, columns=["part", "split", "keys", "windows", "lengths", "many", "content"])
 
     def removed(self, answers: pd.DataFrame) -> np.ndarray:
         """For every byte: is it covered by a repeated string?"""
-        first, last, where, own_first, own_last, key, _ = self.distinct(answers)
+        first, last, where, own_first, own_last, key, _, _ = self.distinct(answers)
         windows = own_last - own_first + 1
         flags = np.zeros(int(windows.sum()), dtype=bool)
         offset = np.concatenate([[0], np.cumsum(windows)])
@@ -186,17 +205,20 @@ class Texts:
 
 
 def classes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of each 32-gram asked about: 0, it occurs once; 1, repeated; 2, hot."""
+    """Of each 32-gram asked about: 0, it occurs once; 1, repeated; 2, hot; 3, dealt by whole strings."""
     blobs = [np.frombuffer(b, dtype=np.uint64) for b in pdf["keys"]]
     _, where = np.unique(np.concatenate(blobs), return_inverse=True)
     total = np.bincount(where, weights=np.frombuffer(b"".join(pdf["counts"]), dtype=np.uint32))
-    told = ((total > 1).astype(np.uint8) + (total > HOT))[where].astype(np.uint8)
+    told = ((total > 1).astype(np.uint8) + (total > HOT) + (total > ALONE))[where].astype(np.uint8)
     parts = np.split(told, np.cumsum([len(b) for b in blobs])[:-1])
     return pd.DataFrame({"split": pdf["split"], "part": pdf["part"], "stage": 1, "bits": [p.tobytes() for p in parts]})
 
 
 def sorted_segments(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Repeated starts of all segments of a part: one suffix sort over its distinct contents."""
+    """Repeated starts of all segments of a part: one suffix sort over its distinct contents.
+
+    Hashes of single strings are shorter than `length`: equal ones are counted, and they take no part in the sort.
+    """
     contents: list[bytes] = []
     windows = [np.frombuffer(b, dtype=np.uint32).astype(np.int64) for b in pdf["windows"]]
     for content, lengths in zip(pdf["content"], pdf["lengths"], strict=True):
@@ -206,7 +228,8 @@ def sorted_segments(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     del contents
     many = np.bincount(where, minlength=len(kinds)) > 1
     many[where[np.frombuffer(b"".join(pdf["many"]), dtype=np.uint8) > 0]] = True
-    flags = repeated_starts(list(kinds), length)
+    kinds = [k if len(k) >= length else b"" for k in kinds]
+    flags = repeated_starts(kinds, length)
     begin = 1 + np.concatenate([[0], np.cumsum([len(k) + 1 for k in kinds])])
     told, i = [], 0
     for sizes in windows:

@@ -114,6 +114,36 @@ def test_op1_rows_in_another_order():
             assert (int(flags.sum()), hashlib.sha256(kept).hexdigest()) == (want[i][1], want[i][3])
 
 
+def test_op1_size_of_a_hot_key(monkeypatch):
+    """A passage of all documents, in differing surroundings: what is sorted under one key stays bounded, and nothing is lost."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    monkeypatch.setattr(suffix_dedup, "ALONE", 20, raising=False)
+    parts, length, line = 5, 200, passage(9, 23)
+    texts = [f"{passage(500 + i % 50, 40)} {line} {passage(600 + i, 40)}" for i in range(60)]
+    pdf = pd.DataFrame({"split": [i % 3 for i in range(60)], "text": texts})
+    splits = {k: suffix_dedup.Texts(p, parts, length) for k, p in pdf.groupby("split")}
+
+    def by_part(frames, ask):
+        return pd.concat([ask(p) for _, p in pd.concat(frames).groupby("part")])
+
+    first = by_part([t.counted(k) for k, t in splits.items()], suffix_dedup.classes)
+    sent = [t.segments(k, first[first["split"] == k]) for k, t in splits.items()]
+    sizes = Counter()
+    for row in pd.concat(sent).itertuples():
+        for key, size in zip(np.frombuffer(row.keys, dtype=np.uint64), np.frombuffer(row.lengths, dtype=np.uint32), strict=True):
+            sizes[int(key)] += int(size)
+    assert max(sizes.values()) <= 20 * 368
+    answers = pd.concat([first, by_part(sent, lambda p: suffix_dedup.sorted_segments(p, length))])
+    want = removed_bytes(texts)
+    assert sum(w[1] for w in want) > 0
+    for k, t in splits.items():
+        gone = t.removed(answers[answers["split"] == k])
+        for i, end, size in zip(pdf.index[pdf["split"] == k], t.ends, t.sizes, strict=True):
+            flags = gone[end - size : end]
+            kept = bytes(x for x, y in zip(texts[i].encode(), flags) if not y)
+            assert (int(flags.sum()), hashlib.sha256(kept).hexdigest()) == (want[i][1], want[i][3])
+
+
 def test_suffix_order_and_repeats():
     rng = random.Random(5)
     for trial in range(60):
