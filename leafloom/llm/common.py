@@ -25,24 +25,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Unset, a temporary one serves a local master; a cluster refuses."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+class Scratch:
+    """The tables that one call writes to the shared folder; `drop` deletes those that its result does not read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[str, DataFrame]] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """Cut the lineage: write `df` as a table and read it back."""
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((path, table))
+        return table
+
+    def drop(self, *kept: DataFrame) -> None:
+        gone = [path for path, table in self.tables if not any(table is k for k in kept)]
+        for path in gone:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.tables = [(path, table) for path, table in self.tables if path not in gone]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write `df` as a table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A table that outlives the call, as its result is read lazily."""
+    return Scratch(df.sparkSession).written(df, name)
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str, row: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join on `key`, of which `few` has each value once: rows of a hot key are dealt over `salts` tasks by their `row`."""
+    salt = unused(many, "salt")
+    dealt = many.withColumn(salt, F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
+    spread = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(spread, [key, salt], how).drop(salt)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Let Python tasks get whole texts in batches of `rows`, so that a batch of long ones fits beside the JVM."""
+    """Let Python tasks get whole texts in batches of `rows`, so that a batch of long ones fits beside the JVM.
+
+    Results are lazy, so the setting stays in the session; it is only ever lowered.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
@@ -97,6 +138,12 @@ def text_slices(pdf: pd.DataFrame, limit: int = 1 << 21, column: str = "text") -
         yield pdf.iloc[part]
 
 
+def sections(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that occur in a sorted array and the bounds of their runs."""
+    kinds, first = np.unique(part, return_index=True)
+    return kinds, np.append(first, len(part))
+
+
 def feature(text: str, bits: int) -> int:
     return zlib.crc32(text.encode()) & ((1 << bits) - 1)
 

@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import written
+from leafloom.llm.common import Scratch
 
 
-def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, component) of every id in `links` (a, b); component is the smallest id reachable.
 
     The neighbours of an id are never gathered: each step is an aggregate and a join. The driver sees one count and
-    one checksum a round.
+    one checksum a round. Rounds go on until the edges repeat: stars only ever move to smaller ids, so they do.
     """
+    written = (scratch or Scratch(links.sparkSession)).written
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = written(edges, "edges")
     last = None
-    for _ in range(most_rounds):
+    while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last or state[0] == 0:
             break

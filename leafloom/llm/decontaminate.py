@@ -1,14 +1,23 @@
 """Operator 9, benchmark decontamination, in DataFrame functions only.
 
-Size-partitioned MinHash containment search. Items are partitioned by the size class of their
-shingle sets (powers of two). The class fixes the length of an item's sketch, its smallest
-shingle hashes: of a set of at most u shingles, u - ceil(t * u) + 1 of them cannot all be missing
-from a text that contains a share t of the set, so the sketch loses no item. Documents probe the
-sketches with every shingle; what meets is verified by the exact containment of shingle sets.
+Size-partitioned MinHash containment search, in the form for small sets inside large ones: items are
+sketched, and a document is asked which minima of a sketch it holds, as the equal coordinates of two
+signatures tell nothing where one set is a hundredth of the other. Items are partitioned by the size
+class of their shingle sets (powers of two). A class fixes the length of its sketches, the smallest
+shingle hashes of an item, and with it how many of them a document has to hold: of n shingles at most
+n - ceil(t * n) may be missing, so a sketch of that many and `extra` more has `extra` hits at least.
+No item is lost. Larger classes ask for more hits. What meets is verified by the exact containment
+of shingle sets.
+
+Documents probe with every shingle. Up to `broadcast_rows` the sketch rows are sent to every executor;
+beyond that a blocked Bloom filter of bounded size turns most shingles away, and the rest are joined by
+shuffle, a hot shingle over several tasks.
 
 Cases. Null or wordless texts have no shingle and match nothing. Fewer words than the shingle
 length: the whole sequence is the one shingle. Repeated items: each is reported. Rows that share
-a doc_id: one pair, with the best containment. Extra columns of either table are not read.
+a doc_id: one pair, with the best containment. Rows of null doc_id: told apart by their texts, each
+text reported once with a null id, and all its rows removed by `clean`. Items of null item_id take
+no part in pairs but clean like the others. Extra columns of either table are not read.
 """
 
 from __future__ import annotations
@@ -16,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import let, table, written
+from leafloom.llm import bloom
+from leafloom.llm.common import let, table, unused, written
 
 #: Words are runs of letters and digits of the lower-case text.
 BREAK = r"[^\p{L}\p{N}]+"
@@ -48,44 +58,74 @@ def size_class(n: Column) -> Column:
 
 
 def sketched_items(items: DataFrame, length: int, threshold: float) -> DataFrame:
-    """(item_id, shingles, n_item, size_class, sketch)."""
+    """(item, item_id, shingles, n_item, size_class, sketch, hits): an item's sketch and how many of it a text must hold."""
     sets = items.select("item_id", shingles(words(F.col("text")), length).alias("shingles")).where(F.size("shingles") > 0)
     sets = sets.withColumn("n_item", F.size("shingles")).withColumn("size_class", size_class(F.col("n_item")))
-    largest = F.pow(F.lit(2.0), F.col("size_class") + 1) - 1
-    longest = (largest - F.ceil(F.lit(threshold) * largest - 1e-9) + 1).cast("int")
+    missing = lambda n: n - F.ceil(F.lit(threshold) * n - 1e-9)
+    extra = F.greatest(F.lit(1), F.col("size_class"))
+    longest = (missing(F.pow(F.lit(2.0), F.col("size_class") + 1) - 1) + extra).cast("int")
     hashes = F.array_sort(F.transform("shingles", lambda s: F.xxhash64(s)))
-    return sets.withColumn("sketch", F.slice(hashes, F.lit(1), longest))
+    sketched = sets.withColumn("sketch", F.slice(hashes, F.lit(1), longest))
+    # An item is named by its content, so that equal items are probed and verified once.
+    item = F.xxhash64(F.array_sort("shingles")).alias("item")
+    return sketched.select(item, "*", (F.size("sketch") - missing(F.col("n_item"))).cast("int").alias("hits"))
 
 
-def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, length: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item) of each item whose shingles a document holds to at least `threshold`.
-
-    The sketch rows are counted: up to `broadcast_rows` they are sent to every executor, beyond that both sides are
-    shuffled by hash.
-    """
-    items = sketched_items(items, length, threshold)
-    sketch = items.select("item_id", "n_item", F.explode("sketch").alias("h"))
-    small = sketch.count() <= broadcast_rows
-    posted = sketch.groupBy("h").agg(F.min("n_item").alias("least"), F.collect_set("item_id").alias("ids"))
-    tokens = docs.select("doc_id", words(F.col("text")).alias("w"))
+def named(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc_key, text): rows of null doc_id are named by their text."""
+    doc_key = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).otherwise("")
+    return docs.select(F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("doc_id"), doc_key.alias("doc_key"), "text")
+
+
+def probes(docs: DataFrame, length: int) -> DataFrame:
+    """(doc_id, doc_key, n_runs, h): the hash of every shingle."""
+    tokens = docs.select("doc_id", "doc_key", words(F.col("text")).alias("w"))
     run = F.when(F.size("w") >= length, run_at(F.col("w"), F.col("i"), length)).otherwise(F.array_join("w", " "))
     n_runs = F.greatest(F.size("w") - length + 1, F.lit(1))
-    probes = tokens.select("doc_id", "w", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), n_runs - 1))).alias("i"))
-    probes = probes.select("doc_id", n_runs.alias("n_runs"), F.xxhash64(run).alias("h"))
-    hits = probes.join(F.broadcast(posted) if small else posted, "h").where(F.col("n_runs") >= F.ceil(threshold * F.col("least") - 1e-9))
-    pairs = hits.select("doc_id", F.explode("ids").alias("item_id")).distinct()
-    pairs = written(pairs, "contained")  # read twice: else the documents are probed twice
-    wanted = pairs.join(items.select("item_id", "shingles", "n_item"), "item_id")
-    sets = docs.select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id")
-    sets = sets.select("doc_id", shingles(words(F.col("text")), length).alias("held"))
-    shared = wanted.join(sets, "doc_id").select("doc_id", "item_id", "n_item", F.size(F.array_intersect("shingles", "held")).alias("n_shared"))
+    each = tokens.select("doc_id", "doc_key", "w", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), n_runs - 1))).alias("i"))
+    return each.select("doc_id", "doc_key", n_runs.alias("n_runs"), F.xxhash64(run).alias("h"))
+
+
+def matches(docs: DataFrame, items: DataFrame, threshold: float, length: int, broadcast_rows: int, salts: int = 16) -> DataFrame:
+    """(doc_id, doc_key, item, n_item, n_shared) of documents as `named` and distinct sketched items."""
+    sketch = items.select("item", "n_item", "hits", F.explode("sketch").alias("h"))
+    asked = probes(docs, length)
+    if sketch.count() <= broadcast_rows:
+        met = asked.join(F.broadcast(sketch), "h")
+    else:
+        asked = bloom.passed(asked, sketch.select("h"), "h")
+        asked = asked.withColumn("salt", F.pmod(F.xxhash64("doc_id", "doc_key"), F.lit(salts)).cast("int"))
+        met = asked.join(sketch.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["h", "salt"])
+    met = met.where(F.col("n_runs") >= F.ceil(threshold * F.col("n_item") - 1e-9))
+    met = met.select("doc_id", "doc_key", "item", "hits", "h").distinct()
+    pairs = met.groupBy("doc_id", "doc_key", "item").agg(F.count("*").alias("n"), F.max("hits").alias("hits")).where("n >= hits")
+    pairs = written(pairs.select("doc_id", "doc_key", "item"), "contained")  # read twice: else the documents are probed twice
+    wanted = pairs.join(items.select("item", "shingles", "n_item"), "item")
+    sets = docs.join(pairs.select("doc_id", "doc_key").distinct(), ["doc_id", "doc_key"])
+    sets = sets.select("doc_id", "doc_key", shingles(words(F.col("text")), length).alias("held"))
+    shared = wanted.join(sets, ["doc_id", "doc_key"])
+    shared = shared.select("doc_id", "doc_key", "item", "n_item", F.size(F.array_intersect("shingles", "held")).alias("n_shared"))
     exact = shared.where(F.col("n_shared") >= F.ceil(threshold * F.col("n_item") - 1e-9))
-    return exact.groupBy("doc_id", "item_id").agg(F.max("n_shared").cast("long").alias("n_shared"), F.max("n_item").cast("long").alias("n_item"))
+    return exact.groupBy("doc_id", "doc_key", "item").agg(F.max("n_shared").cast("long").alias("n_shared"), F.max("n_item").cast("long").alias("n_item"))
 
 
-def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents that hold no item. Rows of null doc_id are kept: they cannot be named."""
-    return docs.join(contained(docs, items, threshold).select("doc_id").distinct(), "doc_id", "left_anti")
+def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, length: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item) of each item whose shingles a document holds to at least `threshold`."""
+    sketched = sketched_items(items, length, threshold)
+    found = matches(named(docs), sketched.dropDuplicates(["item"]), threshold, length, broadcast_rows)
+    out = found.join(sketched.where("item_id is not null").select("item", "item_id").distinct(), "item")
+    return out.select(F.when(F.col("doc_key") == "", F.col("doc_id")).alias("doc_id"), "item_id", "n_shared", "n_item")
+
+
+def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8, length: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
+    """The documents that hold no item, with their columns; of null doc_id, those whose text holds none."""
+    sketched = sketched_items(items, length, threshold).dropDuplicates(["item"])
+    gone = matches(named(docs), sketched, threshold, length, broadcast_rows).select("doc_id", "doc_key").distinct()
+    own, key = unused(docs, "own_id"), unused(docs, "own_key")
+    kept = docs.withColumn(own, F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)))
+    kept = kept.withColumn(key, F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).otherwise(""))
+    gone = gone.select(F.col("doc_id").alias(own), F.col("doc_key").alias(key))
+    return kept.join(gone, [own, key], "left_anti").select(*docs.columns)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

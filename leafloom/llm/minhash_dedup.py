@@ -10,11 +10,12 @@ Pairs with enough collisions are confirmed on the full shingle sets of their tex
 Inside a list, pairs are not all made. Members are first compared with one hub; linked members
 become one component, and only members of different components need to be compared further, with
 new hubs while that saves work, and then with each other, block by block. So no link between components is
-missed that the signatures show, whatever the size of a list.
+missed that the signatures show, whatever the size of a list. The rows of a long list are dealt over
+several tasks wherever lists are joined.
 
 Cases. Null, empty or wordless texts: empty set, linked with nothing, own component. Repeated rows
-of a doc_id share its component; each row is returned. Null doc_id: own component, null. Extra
-columns are not read.
+of a doc_id share its component; each row is returned, and each of their texts can link. Null doc_id:
+own component, null. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import batches_of, small_batches, table, text_slices, written
+from leafloom.llm.common import Scratch, batches_of, salted_join, small_batches, table, text_slices
 from leafloom.llm.components import components
 
 #: Coordinates that are posted, and all that a signature has.
 COORDINATES, LENGTH = 32, 96
-#: Pairs of documents are compared in blocks of so many.
-BLOCK = 256
+#: Signatures of a list are compared in blocks of so many; pairs are confirmed on the texts of twice TILE documents at most.
+BLOCK, TILE = 2048, 128
 
 MULTIPLIERS = (np.random.default_rng(3).integers(1, 1 << 63, LENGTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -52,19 +53,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, one text after the other, and the number of words of each."""
+def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of all words of the texts, one text after the other, and the number of words of each."""
     found = [(t or "").encode() for t in texts]
     found = [(b.lower() if lower else b).split() for b in found]
     sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
     codes, words = pd.factorize(np.array([w for f in found for w in f], dtype=object))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    return (hashes[codes] if len(codes) else np.zeros(0, np.uint64)), sizes
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype=np.uint64).reshape(-1, 2)
+    return hashes[codes, 0], hashes[codes, 1], sizes
 
 
 def shingle_sets(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of the texts, one text after the other, and how many each has."""
-    hashes, sizes = word_hashes(texts)
+    hashes, _, sizes = word_hashes(texts)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     n = len(hashes)
     runs = np.zeros(max(0, n - length + 1), dtype=np.uint64)
@@ -134,7 +135,7 @@ def shared_counts(texts: list[str], length: int, columns: int = 8192) -> tuple[n
 
 
 def confirmed(length: int, percent: int):
-    """Rows of bounded lists of ids, texts and pairs: the pairs that are similar enough on their full sets."""
+    """Rows of bounded lists of ids, texts and pairs of ids: the pairs of which two texts are similar enough on full sets."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -142,8 +143,13 @@ def confirmed(length: int, percent: int):
             for ids, texts, left, right in zip(pdf["ids"], pdf["texts"], pdf["a"], pdf["b"], strict=True):
                 shared, n = shared_counts(list(texts), length)
                 order = np.argsort(ids)
-                a, b = (order[np.searchsorted(ids, side, sorter=order)] for side in (left, right))
-                linked = 100 * shared[a, b] >= percent * (n[a] + n[b] - shared[a, b])
+                begin, end = ([np.searchsorted(ids, v, side=side, sorter=order) for v in (left, right)] for side in ("left", "right"))
+                linked = np.zeros(len(left), dtype=bool)
+                # An id has as many places as texts, nearly always one.
+                for i in range(int((end[0] - begin[0]).max())):
+                    for j in range(int((end[1] - begin[1]).max())):
+                        a, b = order[np.minimum(begin[0] + i, end[0] - 1)], order[np.minimum(begin[1] + j, end[1] - 1)]
+                        linked |= 100 * shared[a, b] >= percent * (n[a] + n[b] - shared[a, b])
                 found.append(pd.DataFrame({"a": left[linked], "b": right[linked]}))
             yield pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
@@ -152,17 +158,17 @@ def confirmed(length: int, percent: int):
 
 def collisions(least: int, percent: int):
     """Rows of two blocks of a list: as lists, the pairs of different components with enough collisions in all
-    coordinates, each pair in the first list that both are posted under."""
+    coordinates, each pair in the first list that both are posted under; a row for each pair of tiles of the blocks."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = []
             for row in pdf.itertuples(index=False):
-                pairs: list[tuple[int, int]] = []
                 posted, more = unpacked(row.sig)
                 side, first = np.asarray(row.block) == row.y, np.asarray(row.block) == row.x
                 ids, part, n, mask = (np.asarray(v) for v in (row.rep, row.c, row.n, row.mask))
                 right = np.flatnonzero(side)
+                left_at, right_at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for i in np.flatnonzero(first).tolist():
                     other = right[(ids[right] > ids[i]) if row.x == row.y else slice(None)]
                     other = other[(part[other] != part[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
@@ -171,11 +177,16 @@ def collisions(least: int, percent: int):
                     other, equal = other[enough], equal[enough]
                     both = equal & ((mask[other, None] & mask[i]) >> np.arange(COORDINATES) & 1).astype(bool)
                     other = other[both.argmax(axis=1) == row.j]
-                    pairs += [(int(ids[i]), x) for x in ids[other].tolist()]
-                if pairs:
-                    a, b = map(list, zip(*pairs, strict=True))
-                    found.append((row.list, row.x, row.y, sorted({*a, *b}), a, b))
-            yield pd.DataFrame(found, columns=["list", "x", "y", "ids", "a", "b"])
+                    left_at.append(np.full(len(other), i))
+                    right_at.append(other)
+                at, to = np.concatenate(left_at), np.concatenate(right_at)
+                tile = (at // TILE) * len(ids) + to // TILE
+                order = np.argsort(tile, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
+                    if len(own):
+                        a, b = ids[at[own]].tolist(), ids[to[own]].tolist()
+                        found.append((row.list, row.x, row.y, int(tile[own[0]]), sorted({*a, *b}), a, b))
+            yield pd.DataFrame(found, columns=["list", "x", "y", "tile", "ids", "a", "b"])
 
     return rows
 
@@ -183,9 +194,9 @@ def collisions(least: int, percent: int):
 class Links:
     """The representatives and the links found so far."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, length: int, percent: int):
-        self.docs, self.reps, self.length, self.percent = docs, reps, length, percent
-        self.found: DataFrame | None = None
+    def __init__(self, docs: DataFrame, reps: DataFrame, links: DataFrame, length: int, percent: int, scratch: Scratch):
+        self.docs, self.reps, self.length, self.percent, self.scratch = docs, reps, length, percent, scratch
+        self.found = scratch.written(links, "same-id")
 
     def compare(self, pairs: DataFrame, name: str) -> int:
         """Count collisions of pairs (a, b) in the posted coordinates and confirm those with enough."""
@@ -195,7 +206,7 @@ class Links:
         low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
         agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         near = both.where((100 * low >= self.percent * high) & (agree >= least_matches(COORDINATES, self.percent)))
-        return self.confirm(written(near.select("a", "b"), f"{name}-near"), name)
+        return self.confirm(self.scratch.written(near.select("a", "b").distinct(), f"{name}-near"), name)
 
     def compare_all(self, marked: DataFrame, masks: DataFrame) -> int:
         """Compare the members of different components of each list, block by block."""
@@ -208,25 +219,26 @@ class Links:
         blocks = dealt.groupBy(*keys).agg(F.collect_list(own).alias("own"))
         fields = [F.col(f"own.{f}").alias(f) for f in ("rep", "c", "n", "mask", "block", "sig")]
         blocks = blocks.select("list", F.shiftright("list", 32).cast("int").alias("j"), "x", "y", *fields)
-        schema = "list long, x int, y int, ids array<long>, a array<long>, b array<long>"
+        schema = "list long, x int, y int, tile long, ids array<long>, a array<long>, b array<long>"
         with batches_of(self.docs.sparkSession, 4):
-            near = written(blocks.mapInPandas(collisions(least_matches(LENGTH, self.percent), self.percent), schema), "rest-near")
+            near = self.scratch.written(blocks.mapInPandas(collisions(least_matches(LENGTH, self.percent), self.percent), schema), "rest-near")
         if near.isEmpty():
             return 0
-        held = near.select("list", "x", "y", F.explode("ids").alias("id"))
-        texts = written(self.texts(held.select("id").distinct()), "rest-texts")
-        sets = held.join(texts, "id").groupBy("list", "x", "y").agg(F.collect_list(F.struct("id", "text")).alias("t"))
-        groups = near.drop("ids").join(sets, ["list", "x", "y"])
+        held = near.select("list", "x", "y", "tile", F.explode("ids").alias("id"))
+        texts = self.scratch.written(self.texts(held.select("id").distinct()), "rest-texts")
+        sets = held.join(texts, "id").groupBy("list", "x", "y", "tile").agg(F.collect_list(F.struct("id", "text")).alias("t"))
+        groups = near.drop("ids").join(sets, ["list", "x", "y", "tile"])
         return self.linked(groups.select(F.col("t.id").alias("ids"), F.col("t.text").alias("texts"), "a", "b"), "rest")
 
     def texts(self, ids: DataFrame) -> DataFrame:
-        """(id, text), one row an id. The ids grow with the documents, so they are never broadcast, at any size."""
-        return self.docs.select(F.col("doc_id").alias("id"), "text").join(ids.hint("merge"), "id").groupBy("id").agg(F.any_value("text").alias("text"))
+        """(id, text) of every text of the ids. The ids grow with the documents, so they are never broadcast, at any size."""
+        own = self.docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").join(ids.hint("merge"), "id")
+        return own.groupBy("id").agg(F.collect_set("text").alias("t")).select("id", F.explode("t").alias("text"))
 
     def linked(self, groups: DataFrame, name: str) -> int:
         with batches_of(self.docs.sparkSession, 4):
-            links = written(groups.mapInPandas(confirmed(self.length, self.percent), "a long, b long"), f"{name}-links")
-        self.found = links if self.found is None else self.found.union(links)
+            links = self.scratch.written(groups.mapInPandas(confirmed(self.length, self.percent), "a long, b long"), f"{name}-links")
+        self.found = self.found.union(links)
         return links.count()
 
     def confirm(self, near: DataFrame, name: str) -> int:
@@ -234,10 +246,11 @@ class Links:
         once for many pairs."""
         if near.isEmpty():
             return 0
+        written = self.scratch.written
         ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("f")), F.struct(F.col("b").alias("id"), F.col("a").alias("f")))).alias("e"))
         ends = written(ends.groupBy("e.id").agg(F.min("e.f").alias("f")), f"{name}-ends")
-        sizes = ends.groupBy("f").agg(F.ceil(F.count("*") / (BLOCK // 8)).cast("int").alias("parts"))
-        blocks = ends.join(sizes, "f").select("id", F.xxhash64("f", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+        sizes = ends.groupBy("f").agg(F.ceil(F.count("*") / (TILE // 4)).cast("int").alias("parts"))
+        blocks = salted_join(ends, sizes, "f", "id").select("id", F.xxhash64("f", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
         blocks = written(blocks, f"{name}-blocks")
         pairs = near.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("x")), "a").join(blocks.select(F.col("id").alias("b"), F.col("block").alias("y")), "b")
         pairs = written(pairs.select(F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("g"), "a", "b"), f"{name}-pairs")
@@ -248,12 +261,10 @@ class Links:
         return self.linked(groups.select(*split), name)
 
     def labels(self) -> DataFrame:
-        if self.found is None:
-            return self.reps.sparkSession.createDataFrame([], "id long, component long")
-        return written(components(self.found), "labels")
+        return self.scratch.written(components(self.found, self.scratch), "labels")
 
 
-def prefix_posts(reps: DataFrame, matches: int) -> DataFrame:
+def prefix_posts(reps: DataFrame, matches: int, scratch: Scratch) -> DataFrame:
     """(list, rep, hub): each representative under the shortest of its lists that any partner must share.
 
     Lists are ordered by length for all documents alike, so that two signatures with enough collisions share one of
@@ -264,19 +275,21 @@ def prefix_posts(reps: DataFrame, matches: int) -> DataFrame:
         (F.col("j").cast("long") * F.lit(1 << 32) + F.col("value").cast("long").bitwiseAND(F.lit((1 << 32) - 1))).alias("list"), "rep"
     )
     lengths = posts.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
-    common = posts.join(lengths, "list")
+    common = salted_join(posts, lengths, "list", "rep", salts=4)
     own = common.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "list"))).alias("lists"))
     # The lists of one member, which are not here, come first and use up places of the prefix.
     places = F.lit(COORDINATES - matches + 1) - (F.lit(COORDINATES) - F.size("lists"))
     posted = own.where(places > 0).select("rep", F.explode(F.slice("lists", F.lit(1), places)).alias("l")).select("l.list", "rep")
-    posted = written(posted, "posts")
+    posted = scratch.written(posted, "posts")
     shared = posted.groupBy("list").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    return written(posted.join(shared.select("list", "hub"), "list"), "posts")
+    return scratch.written(salted_join(posted, shared.select("list", "hub"), "list", "rep"), "posts")
 
 
 def near_components(docs: DataFrame, length: int = 3, percent: int = 85, most_hubs: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of `docs`."""
     small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    written = scratch.written
     signed = docs.select("doc_id", "text").mapInPandas(
         signature_rows(length), "doc_id long, n_shingles long, set_key binary, sig array<int>, all_sig binary"
     )
@@ -284,8 +297,8 @@ def near_components(docs: DataFrame, length: int = 3, percent: int = 85, most_hu
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     reps = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("all_sig").alias("all_sig"))
     reps = written(reps, "representatives")
-    posts = prefix_posts(reps, least_matches(COORDINATES, percent))
-    state = Links(docs, reps, length, percent)
+    posts = prefix_posts(reps, least_matches(COORDINATES, percent), scratch)
+    state = Links(docs, reps, same_id_links(filled, reps), length, percent, scratch)
     state.compare(posts.select(F.col("hub").alias("a"), F.col("rep").alias("b")), "hub")
     labels = state.labels()
     for k in range(most_hubs + 1):
@@ -296,22 +309,31 @@ def near_components(docs: DataFrame, length: int = 3, percent: int = 85, most_hu
         left, members = open_lists.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.sum("m")).first()
         if not left:
             break
-        marked = written(marked.join(open_lists.select("list", "m"), "list"), "marked")
+        marked = written(salted_join(marked, open_lists.select("list", "m"), "list", "rep"), "marked")
         if k == most_hubs or left <= 50 * members:
             masks = posts.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(list, 32) as int))")).alias("mask"))
             if state.compare_all(marked, masks):
                 labels = state.labels()
             break
         hubs = marked.groupBy("list").agg(F.max(F.struct("c", "rep")).alias("h")).select("list", F.col("h.c").alias("hc"), F.col("h.rep").alias("a"))
-        if state.compare(marked.join(hubs, "list").where("c <> hc").select("a", F.col("rep").alias("b")), f"hub{k}"):
+        if state.compare(salted_join(marked, hubs, "list", "rep").where("c <> hc").select("a", F.col("rep").alias("b")), f"hub{k}"):
             labels = state.labels()
     classes = reps.select("set_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("set_key", F.coalesce("component", "rep").alias("component_id"))
     known = filled.select("doc_id", "n_shingles", "set_key").join(classes, "set_key").select("doc_id", "n_shingles", "component_id")
     rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    scratch.drop(signed, reps, labels)
     return known.unionByName(rest)
 
 
+def same_id_links(filled: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): representatives of the different sets of one doc_id."""
+    sets = filled.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high")
+    own = filled.select("doc_id", "set_key").join(sets.select("doc_id"), "doc_id").join(reps.select("set_key", "rep"), "set_key")
+    first = own.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return own.join(first, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+
+
 def one_of_each(docs: DataFrame, length: int = 3, percent: int = 85) -> DataFrame:
     """The documents that are the smallest of their component; columns stay. Rows of null doc_id stay."""
     gone = near_components(docs, length, percent).where("component_id < doc_id").select("doc_id").distinct()

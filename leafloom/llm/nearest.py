@@ -1,28 +1,32 @@
 """Operator 10, approximate nearest neighbours by a hash-prefix forest.
 
-Each tree has its own hash strings: a symbol is the largest coordinate, with its sign, of the
-centred vector under one random rotation, and a string holds several symbols. A tree is a sorted
-array of all strings. A query descends in every tree to its longest matching prefix; then all
-trees ascend together, one symbol at a time, until enough rows share the prefix. Those rows are
-compared exactly, on the original vectors in double precision.
-
-Arrays are dealt into ranges of strings, and large ranges into equal shares; only strings and ids
-go through the forest, and candidates meet the vectors once, in blocks. Of equal vectors only the
-rows with the smallest `k + 1` ids enter the arrays: no other copy can be among the nearest k.
-
-Enough rows: `share` of the rows of that length, at least `least`, and so many that some tree holds
-`k + 1`. In many dimensions, where near rows are hardly nearer than others, a recall of 0.9 needs
-such a share. A query that is short of them under its first symbols ascends to the root, at every
-table size: it is compared with all rows, block by block, without the trees.
+Each tree has its own hash strings: the coordinates of the centred vector under the tree's random
+rotation, with their signs, by falling size. A string holds as many symbols as 62 bits take. A tree is
+a sorted array of all strings. A query descends in every tree to its longest matching prefix; then the
+trees ascend together, one symbol at a time and tree after tree, until enough rows share a prefix.
+Those rows are compared exactly, on the original vectors in double precision.
+
+Arrays are dealt into ranges of strings, and large ranges into equal shares; only strings and ids go
+through the forest. What a query finds in a tree goes to the blocks of the vectors in pieces, so neither
+the candidates of a query nor the queries of a block meet in one group: queries too are dealt, `QUERY_ROWS`
+to a group. Of equal vectors only the rows with the smallest `k + 1` ids enter the arrays: no other copy
+can be among the nearest k.
+
+Enough rows: `density * n ** growth` of the n rows of that length, repeated finds counted, and so many
+that some tree holds `k + 1`, at every table size. On vectors that lie evenly on a sphere, near rows are hardly nearer than others, and a
+recall of 0.9 needs that many. A query that is short of them under its first symbols in all trees ascends
+to the root: it is compared with all rows, block by block.
 
 Cases. Vectors that are null, empty, zero, or hold null or non-finite components take no part.
 Vectors of different lengths are never compared. Equal distances: the smaller id. Repeated ids:
-rows of the query's own id are no candidates. Null ids take no part. Extra columns are not read.
+rows of the query's own id are no candidates, and of several query vectors of one id the smallest
+asks. Null ids take no part. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,9 +35,11 @@ from pyspark.sql import functions as F
 
 from leafloom.llm.common import bounded_sample, small_batches, table
 
-TREES, SYMBOLS = 48, 3
-#: Strings of a range, and rows of a block.
-RANGE_ROWS, BLOCK_ROWS = 200_000, 20_000
+TREES, LONGEST = 64, 6
+#: Strings of a range, rows of a block, and queries that meet a block in one group.
+RANGE_ROWS, BLOCK_ROWS, QUERY_ROWS = 200_000, 20_000, 1000
+#: Rows that the centre of the vectors is taken from.
+SAMPLE = 5000
 
 
 def usable(df: DataFrame, vector: str) -> DataFrame:
@@ -42,76 +48,102 @@ def usable(df: DataFrame, vector: str) -> DataFrame:
     return df.where(v.isNotNull() & F.col("vec_id").isNotNull() & sound & F.exists(v, lambda x: x != 0))
 
 
-def rotation(tree: int, symbol: int, dim: int) -> np.ndarray:
-    draw = np.random.default_rng([tree, symbol, dim]).standard_normal((dim, dim))
+def string_length(dim: int) -> int:
+    return max(1, min(LONGEST, dim, int(62 / math.log2(2 * dim))))
+
+
+def rotation(tree: int, dim: int) -> np.ndarray:
+    draw = np.random.default_rng([tree, dim]).standard_normal((dim, dim))
     return np.linalg.qr(draw)[0].astype(np.float32)
 
 
-def strings(vectors: np.ndarray, centre: np.ndarray, trees: int) -> np.ndarray:
-    """(rows, trees, symbols) of symbols."""
+def strings(vectors: np.ndarray, centre: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, trees): first symbols, and whole strings as numbers."""
     dim = vectors.shape[1]
     moved = (vectors - centre).astype(np.float32)
-    out = np.empty((len(vectors), trees, SYMBOLS), dtype=np.int64)
+    first, code = (np.zeros((len(vectors), trees), dtype=np.int64) for _ in range(2))
     row = np.arange(len(vectors))
     for tree in range(trees):
-        for s in range(SYMBOLS):
-            turned = moved @ rotation(tree, s, dim)
-            place = np.abs(turned).argmax(axis=1)
-            out[:, tree, s] = 2 * place + (turned[row, place] > 0)
-    return out
+        turned = moved @ rotation(tree, dim)
+        size = np.abs(turned)
+        for s in range(string_length(dim)):
+            place = size.argmax(axis=1)
+            symbol = 2 * place + (turned[row, place] > 0)
+            size[row, place] = -1
+            code[:, tree] = code[:, tree] * (2 * dim) + symbol
+            if s == 0:
+                first[:, tree] = symbol
+    return first, code
 
 
 def coded(df: DataFrame, centres: dict[int, list[float]], trees: int) -> DataFrame:
     """(vec_id, dim, tree, first, code): a row for each tree."""
 
-    def rows(batches):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["embedding"].map(len)):
                 vectors = np.array(part["embedding"].tolist(), dtype=np.float64)
-                symbols = strings(vectors, np.array(centres.get(dim, [0.0] * dim)), trees)
-                base = 2 * dim
-                code = symbols[:, :, 0]
-                for s in range(1, SYMBOLS):
-                    code = code * base + symbols[:, :, s]
-                yield pd.DataFrame(
-                    {
-                        "vec_id": np.repeat(part["vec_id"].to_numpy(), trees),
-                        "dim": dim,
-                        "tree": np.tile(np.arange(trees), len(part)),
-                        "first": symbols[:, :, 0].ravel(),
-                        "code": code.ravel(),
-                    }
-                )
+                first, code = strings(vectors, np.array(centres.get(dim, [0.0] * dim)), trees)
+                ids, tree = np.repeat(part["vec_id"].to_numpy(), trees), np.tile(np.arange(trees), len(part))
+                yield pd.DataFrame({"vec_id": ids, "dim": dim, "tree": tree, "first": first.ravel(), "code": code.ravel()})
 
     return df.select("vec_id", "embedding").mapInPandas(rows, "vec_id long, dim int, tree int, first int, code long")
 
 
-def prefix_ranges(arrays: np.ndarray, code: int, base: int) -> list[tuple[int, int]]:
-    """Ranges of the sorted array that share 0, 1, ... symbols with a string."""
-    out = [(0, len(arrays))]
-    for s in range(1, SYMBOLS + 1):
-        step = base ** (SYMBOLS - s)
-        low = code // step * step
-        out.append((int(np.searchsorted(arrays, low)), int(np.searchsorted(arrays, low + step))))
-    return out
+def prefix_ranges(arrays: np.ndarray, codes: np.ndarray, dim: int, symbols: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds in the sorted array of what shares that many symbols with each string."""
+    step = np.power(np.int64(2 * dim), string_length(dim) - np.asarray(symbols, dtype=np.int64))
+    low = codes // step * step
+    return np.searchsorted(arrays, low), np.searchsorted(arrays, low + step)
 
 
 def shared_counts(key: tuple, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    arrays, base = np.sort(index["code"].to_numpy()), 2 * int(key[0])
-    rows = [[b - a for a, b in prefix_ranges(arrays, code, base)] for code in asked["code"].tolist()]
-    return pd.DataFrame({"query_id": asked["vec_id"].to_numpy(), "dim": int(key[0]), "counts": pd.Series(rows, dtype=object)})
+    """Of each query of a share of a tree: how many rows share 1, 2, ... symbols."""
+    dim, tree = int(key[0]), int(key[1])
+    arrays, codes = np.sort(index["code"].to_numpy()), asked["code"].to_numpy()
+    bounds = [prefix_ranges(arrays, codes, dim, s) for s in range(1, string_length(dim) + 1)]
+    counts = np.stack([b - a for a, b in bounds], axis=1) if len(codes) else np.zeros((0, 1))
+    return pd.DataFrame({"query_id": asked["vec_id"].to_numpy(), "dim": dim, "tree": tree, "counts": list(counts)})
+
 
+def ascended(density: float, growth: float, fewest: int):
+    """Rows (query_id, dim, rows, per_tree): the symbols that a query shares in each tree when all have ascended far enough;
+    a null tree for one that ascends to the root."""
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, share: float = 0.05, least: int = 2000) -> DataFrame:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for query, n, per_tree in zip(pdf["query_id"], pdf["rows"], pdf["per_tree"], strict=True):
+                trees = np.array([t["tree"] for t in per_tree])
+                counts = np.array([t["counts"] for t in per_tree], dtype=np.int64)
+                order = np.argsort(trees)
+                counts = np.concatenate([counts[order], np.zeros((len(trees), 1), np.int64)], axis=1)
+                # Ascents in their order: from the last symbol to the first, and in each the trees in turn.
+                gain = (counts[:, :-1] - counts[:, 1:])[:, ::-1].T.ravel()
+                enough = np.flatnonzero(np.cumsum(gain) >= max(density * n**growth, fewest))
+                if not len(enough):
+                    out.append((query, None, 0))
+                    continue
+                turn, last = divmod(int(enough[0]), len(trees))
+                symbols = counts.shape[1] - 1 - turn
+                level = np.where(np.arange(len(trees)) <= last, symbols, symbols + 1)
+                out += [(query, int(t), int(s)) for t, s, c in zip(trees[order], level, counts[np.arange(len(trees)), level - 1], strict=True) if c]
+            found = pd.DataFrame(out, columns=["query_id", "tree", "symbols"])
+            yield found.astype({"tree": "Int32"})
+
+    return rows
+
+
+def nearest(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, density: float = 1.9, growth: float = 0.82) -> DataFrame:
     """(query_id, rank, vec_id, score) of `queries` (vec_id, embedding) among the rows of `df` with another id."""
     small_batches(df.sparkSession, 2000)
     rows = usable(df.select("vec_id", "embedding"), "embedding")
-    asked = usable(queries.select("vec_id", "embedding"), "embedding").dropDuplicates(["vec_id"])
+    asked = usable(queries.select("vec_id", "embedding"), "embedding").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n = rows.count()
     of_length = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("rows"))
     copies = Window.partitionBy("embedding").orderBy("vec_id")
-    index = rows.withColumn("__copy", F.row_number().over(copies)).where(F.col("__copy") <= k + 1).drop("__copy")
-    sample = bounded_sample(rows, "vec_id", 5000).toPandas()["embedding"]
+    index = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
+    sample = bounded_sample(rows, "vec_id", SAMPLE).toPandas()["embedding"]
     centres = {d: np.array(v.tolist(), dtype=np.float64).mean(axis=0).tolist() for d, v in sample.groupby(sample.map(len))} if len(sample) else {}
     ranges = max(1, math.ceil(n / RANGE_ROWS))
     shares = max(1, math.ceil(ranges / 128))
@@ -119,70 +151,73 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES,
     arrays = coded(index, centres, trees).select("dim", "tree", of_range, F.pmod(F.xxhash64("vec_id"), F.lit(shares)).cast("int").alias("salt"), "vec_id", "code")
     probes = coded(asked, centres, trees).select("dim", "tree", of_range, F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("salt"), "vec_id", "code")
     keys = ["dim", "tree", "range", "salt"]
-    counted = arrays.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(shared_counts, "query_id long, dim int, counts array<long>")
-    totals = counted.groupBy("query_id", "dim").agg(*[F.sum(F.col("counts")[s]).alias(f"n{s}") for s in range(1, SYMBOLS + 1)])
-    wanted = F.greatest(F.lit(least), F.lit(trees * (k + 1)), share * F.coalesce("rows", F.lit(0)))
-    level = F.lit(0)
-    for s in range(1, SYMBOLS + 1):
-        level = F.when(F.col(f"n{s}") >= wanted, s).otherwise(level)
-    levels = totals.join(F.broadcast(of_length), "dim", "left").select(F.col("query_id").alias("vec_id"), level.alias("level"))
-    blocks = max(1, math.ceil(n / BLOCK_ROWS))
+    counted = arrays.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(shared_counts, "query_id long, dim int, tree int, counts array<long>")
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+    # One row for each share of a tree; a query has `trees` of them in all, once the shares are added.
+    zero = F.expr("cast(array() as array<bigint>)")
+    summed = counted.groupBy("query_id", "dim", "tree").agg(F.aggregate(F.collect_list("counts"), zero, add).alias("counts"))
+    per_tree = summed.groupBy("query_id", "dim").agg(F.collect_list(F.struct("tree", "counts")).alias("per_tree"))
+    per_tree = per_tree.join(F.broadcast(of_length), "dim")  # a row for each length of vector
+    levels = per_tree.select("query_id", "rows", "per_tree").mapInPandas(ascended(density, growth, trees * (k + 1)), "query_id long, tree int, symbols int")
+    blocks, groups = max(1, math.ceil(n / BLOCK_ROWS)), max(1, math.ceil(asked.count() / QUERY_ROWS))
 
     def gathered(key: tuple, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """(query_id, block, ids): what each query finds in a share of a tree, by block of the vectors."""
         order = np.argsort(index["code"].to_numpy(), kind="stable")
-        arrays, ids, base = index["code"].to_numpy()[order], index["vec_id"].to_numpy()[order], 2 * int(key[0])
-        found = []
-        for query, code, s in zip(asked["vec_id"].tolist(), asked["code"].tolist(), asked["level"].tolist(), strict=True):
-            a, b = prefix_ranges(arrays, code, base)[s]
-            found.append((query, ids[a:b].tobytes()))
-        return pd.DataFrame(found, columns=["query_id", "ids"])
-
-    def blocked(key: tuple, found: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.frombuffer(b"".join(found["ids"]), dtype=np.int64))
-        ids = ids[ids != key[0]]
+        arrays, ids = index["code"].to_numpy()[order], index["vec_id"].to_numpy()[order]
+        low, high = prefix_ranges(arrays, asked["code"].to_numpy(), int(key[0]), asked["symbols"].to_numpy()) if len(asked) else ([], [])
         block = ids % blocks
-        order = np.argsort(block, kind="stable")
-        edges = np.searchsorted(block[order], np.arange(blocks + 1))
-        vector = query["embedding"].iloc[0] if len(query) else None
-        out = [(int(p), key[0], vector, ids[order[a:b]].tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-        return pd.DataFrame(out, columns=["block", "query_id", "query", "ids"])
-
-    def compared(key: tuple, vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        ids = vectors["vec_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
+        found = []
+        for query, a, b in zip(asked["vec_id"].tolist(), low, high, strict=True):
+            by = np.argsort(block[a:b], kind="stable")
+            kinds, first = np.unique(block[a:b][by], return_index=True)
+            found += [(query, int(p), part.tobytes()) for p, part in zip(kinds, np.split(ids[a:b][by], first[1:]), strict=True)]
+        return pd.DataFrame(found, columns=["query_id", "block", "ids"])
+
+    def compared(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """The nearest k of each query in a block. Queries come with one row that holds their vector; those without ids
+        are compared with the whole block."""
+        order = np.argsort(vectors["vec_id"].to_numpy(), kind="stable")
+        ids = vectors["vec_id"].to_numpy()[order]
         lengths = vectors["embedding"].map(len).to_numpy()[order] if len(vectors) else np.zeros(0)
         tables = {d: np.array(vectors["embedding"].iloc[order[lengths == d]].tolist(), dtype=np.float64) for d in np.unique(lengths)}
         place = np.zeros(len(ids), dtype=np.int64)
         for d in tables:
             place[lengths == d] = np.arange(int((lengths == d).sum()))
-        for query, vector, wanted_ids in zip(asked["query_id"], asked["query"], asked["ids"], strict=True):
-            if wanted_ids is None:
-                at = np.flatnonzero(ids != query)
+        out = []
+        for query, own in asked.groupby("query_id"):
+            vector = own["query"].dropna()
+            if not len(vector) or not len(ids):
+                continue
+            parts, vector = own["ids"].dropna().tolist(), np.asarray(vector.iloc[0], dtype=np.float64)
+            if own["root"].any():
+                at = np.arange(len(ids))
+            elif parts:
+                some = np.unique(np.frombuffer(b"".join(parts), dtype=np.int64))
+                at = np.flatnonzero(np.isin(ids, some, assume_unique=False))
             else:
-                some = np.frombuffer(wanted_ids, dtype=np.int64)
-                first, last = np.searchsorted(ids, some), np.searchsorted(ids, some, side="right")
-                at = np.repeat(first, last - first) + np.arange(int((last - first).sum())) - np.repeat(np.cumsum(last - first) - (last - first), last - first)
-            at = at[lengths[at] == len(vector)]
+                continue
+            at = at[(ids[at] != query) & (lengths[at] == len(vector))]
             if len(at):
-                gap = tables[len(vector)][place[at]] - np.asarray(vector, dtype=np.float64)
+                gap = tables[len(vector)][place[at]] - vector
                 score = np.sqrt((gap * gap).sum(axis=1))
                 best = np.lexsort((ids[at], score))[:k]
                 out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
-    told = probes.join(levels.where("level > 0"), "vec_id")
-    found = arrays.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInPandas(gathered, "query_id long, ids binary")
-    queries_by_id = asked.withColumnRenamed("vec_id", "query_id")
-    per_block = found.groupBy("query_id").cogroup(queries_by_id.groupBy("query_id"))
-    per_block = per_block.applyInPandas(blocked, "block long, query_id long, query array<double>, ids binary")
+    told = probes.join(levels.where("tree is not null").withColumnRenamed("query_id", "vec_id"), ["vec_id", "tree"])
+    found = arrays.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInPandas(gathered, "query_id long, block long, ids binary")
+    group = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("group")
+    no_ids, no_vector = F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("array<double>").alias("query")
+    found = found.select("block", group, "query_id", no_vector, "ids", F.lit(False).alias("root"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
-    at_root = levels.where("level = 0").withColumnRenamed("vec_id", "query_id").join(queries_by_id, "query_id")
-    at_root = at_root.select(every, "query_id", F.col("embedding").cast("array<double>").alias("query"), F.lit(None).cast("binary").alias("ids"))
-    per_block = per_block.unionByName(at_root)
-    vectors = index.withColumn("block", F.pmod("vec_id", F.lit(blocks)).cast("long"))
-    best = vectors.groupBy("block").cogroup(per_block.groupBy("block")).applyInPandas(compared, "query_id long, vec_id long, score double")
+    at_root = levels.where("tree is null").select("query_id", F.lit(True).alias("root"))
+    own = asked.withColumnRenamed("vec_id", "query_id").join(at_root, "query_id", "left")
+    own = own.select(every, group, "query_id", F.col("embedding").cast("array<double>").alias("query"), no_ids, F.coalesce("root", F.lit(False)).alias("root"))
+    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    vectors = index.select(F.pmod("vec_id", F.lit(blocks)).cast("long").alias("block"), every_group, "vec_id", "embedding")
+    best = vectors.groupBy("block", "group").cogroup(found.unionByName(own).groupBy("block", "group"))
+    best = best.applyInPandas(compared, "query_id long, vec_id long, score double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -6,7 +6,7 @@ ratio per character passes a threshold are added as `markov` spans.
 
 Cases. Null text: no span, and the hash of the empty text. Repeated rows: each is scanned. Ties
 in position: the order of KINDS. Extra columns: `scan` keeps all, and its own column `spans`
-replaces one of that name. Empty sample of either class: no markov span. Cost in one text is quadratic only in the number of its matches.
+replaces one of that name; `redact` touches text and n_chars only. Empty sample of either class: no markov span. Cost in one text is quadratic only in the number of its matches.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import bounded_sample, table
+from leafloom.llm.common import bounded_sample, table, unused
 
 # The kinds in their order, their patterns, and lower-case texts one of which any assignment holds.
 KINDS = ["assign", "access", "hex", "markov"]
@@ -126,23 +126,29 @@ def log_ratio(value: Column, model: list[float]) -> Column:
     return total / (F.length(value) - 1)
 
 
-def scan(docs: DataFrame, model: list[float], threshold: float = 1.0, text: str = "text") -> DataFrame:
-    """Add `spans`: the base spans and, from the models, long tokens with a digit and a letter that touch none of them."""
+def all_spans(docs: DataFrame, model: list[float], threshold: float, text: str, spans: str) -> DataFrame:
+    """Add the spans under a name of the caller's choice."""
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.expr(f"cast(array() as {SPAN})")
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
     tokens = F.when(body.rlike(CANDIDATE), pattern_spans(body, CANDIDATE, 3)).otherwise(none)
-    first = docs.withColumn("spans", base_spans(body)).withColumn("__tokens", tokens)
-    free = lambda s: ~F.exists("spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.filter("__tokens", lambda s: mixed(s["value"]) & free(s) & (log_ratio(s["value"], model) > threshold))
-    return first.withColumn(
-        "spans", F.when(F.size("__tokens") > 0, F.array_sort(F.concat("spans", added))).otherwise(F.col("spans"))
-    ).drop("__tokens")
+    base, long = unused(docs, "base"), unused(docs, "long")
+    first = docs.withColumn(base, base_spans(body)).withColumn(long, tokens)
+    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    added = F.filter(long, lambda s: mixed(s["value"]) & free(s) & (log_ratio(s["value"], model) > threshold))
+    every = F.when(F.size(long) > 0, F.array_sort(F.concat(base, added))).otherwise(F.col(base))
+    return first.withColumn(spans, every).drop(*{base, long} - {spans})
+
+
+def scan(docs: DataFrame, model: list[float], threshold: float = 1.0, text: str = "text") -> DataFrame:
+    """Add `spans`: the base spans and, from the models, long tokens with a digit and a letter that touch none of them."""
+    return all_spans(docs, model, threshold, text, "spans")
 
 
 def redact(docs: DataFrame, model: list[float], threshold: float = 1.0, mask: str = "[SECRET]") -> DataFrame:
     """Replace every span of the text by `mask`; the value alone in an assignment is not told from its key. Columns stay."""
-    found = scan(docs, model, threshold)
+    spans = unused(docs, "secret_spans")
+    found = all_spans(docs, model, threshold, "text", spans)
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, span: Column) -> Column:
@@ -151,9 +157,9 @@ def redact(docs: DataFrame, model: list[float], threshold: float = 1.0, mask: st
         return F.struct(end.alias("at"), F.concat(acc["out"], kept, F.when(span["end"] > acc["at"], mask).otherwise("")).alias("out"))
 
     masked = F.aggregate(
-        "spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+        spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     )
-    out = found.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text"))).drop("spans")
+    out = found.withColumn("text", F.when(F.size(spans) > 0, masked).otherwise(F.col("text"))).drop(spans)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import received, shipped, small_batches, table, text_slices
+from leafloom.llm.common import received, shipped, small_batches, table, text_slices, unused
 from leafloom.llm.pieces import PieceTable, by_length
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -149,8 +149,9 @@ def encoded(docs: DataFrame, codec: Codec, text: str = "text", ids: str = "ids",
             told = [tool.decode(r) if back and r is not None else None for r in rows]
             yield pd.DataFrame({"ids": pd.Series(rows, dtype=object), "back": pd.Series(told, dtype=object)})
 
-    found = docs.withColumn("__coded", encode(F.col(text))).withColumn(ids, F.col("__coded.ids"))
-    return (found.withColumn(back, F.col("__coded.back")) if back else found).drop("__coded")
+    name = unused(docs, "coded")
+    found = docs.withColumn(name, encode(F.col(text))).withColumn(ids, F.col(f"{name}.ids"))
+    return (found.withColumn(back, F.col(f"{name}.back")) if back else found).drop(name)
 
 
 def decoded(df: DataFrame, codec: Codec, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -14,8 +14,12 @@ in one common passage, so with still more occurrences each start is dealt by the
 200 bytes, which is all that is sent of it; equal hashes are counted, not sorted. So what is sorted
 under one key is at most ALONE segments of 368 bytes.
 
+A split names only the parts that it holds something of, so its rows and steps are bounded by its own
+bytes, whatever the number of parts.
+
 Cases. Null, empty and short texts: nothing removed. Matches never cross rows. Rows that share a
-doc_id are different texts. Null doc_id: as any other. Extra columns are not read.
+doc_id are different texts, and are dealt by id and text. Null doc_id: as any other. Extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import table
+from leafloom.llm.common import sections, table
 from leafloom.llm.suffix_sort import repeated_starts
 
 GRAM = 32
@@ -106,11 +110,10 @@ class Texts:
 
     def counted(self, split: int) -> pd.DataFrame:
         kinds, counts = np.unique(self.low, return_counts=True)
-        edges = np.searchsorted(self.part_of(kinds), np.arange(self.parts + 1))
+        parts, edges = sections(self.part_of(kinds))
         rows = [
             (p, split, kinds[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes())
-            for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
-            if b > a
+            for p, a, b in zip(parts.tolist(), edges, edges[1:], strict=False)
         ]
         return pd.DataFrame(rows, columns=["part", "split", "keys", "counts"])
 
@@ -126,10 +129,10 @@ class Texts:
         Last, the single starts of those that are dealt by their whole string.
         """
         kinds, where = np.unique(self.low, return_inverse=True)
-        edges = np.searchsorted(self.part_of(kinds), np.arange(self.parts + 1))
+        parts, edges = sections(self.part_of(kinds))
         class_of = np.zeros(len(kinds), dtype=np.uint8)
         own = answers[answers["stage"] == 1]
-        for p, told in zip(own["part"], own["bits"], strict=True):
+        for p, told in zip(np.searchsorted(parts, own["part"].to_numpy(dtype=np.int64)).tolist(), own["bits"], strict=True):
             class_of[edges[p] : edges[p + 1]] = np.frombuffer(told, dtype=np.uint8)
         kept = class_of[where]
         plain = kept == 1
@@ -174,14 +177,13 @@ class Texts:
 
     def segments(self, split: int, answers: pd.DataFrame) -> pd.DataFrame:
         _, _, _, first, last, key, many, sent = self.distinct(answers)
-        edges = np.searchsorted(self.part_of(key), np.arange(self.parts + 1))
+        parts, edges = sections(self.part_of(key))
         rows = []
-        for p, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)):
-            if b > a:
-                windows = (last[a:b] - first[a:b] + 1).astype(np.uint32)
-                contents = [h or self.content[x : y + self.length] for x, y, h in zip(first[a:b].tolist(), last[a:b].tolist(), sent[a:b], strict=True)]
-                content, lengths = b"".join(contents), np.fromiter(map(len, contents), dtype=np.uint32, count=b - a)
-                rows.append((p, split, key[a:b].tobytes(), windows.tobytes(), lengths.tobytes(), many[a:b].astype(np.uint8).tobytes(), content))
+        for p, a, b in zip(parts.tolist(), edges.tolist(), edges[1:].tolist(), strict=False):
+            windows = (last[a:b] - first[a:b] + 1).astype(np.uint32)
+            contents = [h or self.content[x : y + self.length] for x, y, h in zip(first[a:b].tolist(), last[a:b].tolist(), sent[a:b], strict=True)]
+            content, lengths = b"".join(contents), np.fromiter(map(len, contents), dtype=np.uint32, count=b - a)
+            rows.append((p, split, key[a:b].tobytes(), windows.tobytes(), lengths.tobytes(), many[a:b].astype(np.uint8).tobytes(), content))
         return pd.DataFrame(rows, columns=["part", "split", "keys", "windows", "lengths", "many", "content"])
 
     def removed(self, answers: pd.DataFrame) -> np.ndarray:
@@ -190,9 +192,9 @@ class Texts:
         windows = own_last - own_first + 1
         flags = np.zeros(int(windows.sum()), dtype=bool)
         offset = np.concatenate([[0], np.cumsum(windows)])
-        edges = np.searchsorted(self.part_of(key), np.arange(self.parts + 1))
+        parts, edges = sections(self.part_of(key))
         own = answers[answers["stage"] == 2]
-        for p, bits in zip(own["part"], own["bits"], strict=True):
+        for p, bits in zip(np.searchsorted(parts, own["part"].to_numpy(dtype=np.int64)).tolist(), own["bits"], strict=True):
             a, b = offset[edges[p]], offset[edges[p + 1]]
             flags[a:b] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=b - a).astype(bool)
         sizes = last - first + 1
@@ -246,7 +248,7 @@ def without_repeats(
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row and, with `texts`, `kept`: the bytes that stay."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     splits, parts = max(1, math.ceil(total / split_bytes)), max(1, math.ceil(total / part_bytes))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(splits)).cast("int").alias("split"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(splits)).cast("int").alias("split"), F.col("doc_id").cast("string").alias("doc_id"), "text")
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return Texts(pdf, parts, length).counted(int(key[0]))

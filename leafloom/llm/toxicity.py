@@ -1,20 +1,26 @@
 """Operator 8, toxicity: a counterfactual-regularised linear classifier.
 
 Features are the distinct words of a text and the first letters of longer words, hashed to a fixed
-number of weights. A logistic loss is fitted to labelled texts; for each of them that names a
-group, a copy with the group's term swapped for another is made, and the squared change of the
-score is penalised, so that naming a group alone does not move a score.
+number of weights. A logistic loss is fitted to labelled texts and to counterfactual copies of them,
+which have their text's label, and the squared difference between the score of a copy and of its text
+is penalised, so that naming a group alone does not move a score. Copies are made in two ways: a term
+of a group that a text names is swapped for another of its kind, and into every text two terms, chosen
+by a hash of the text, are put.
 
-The fit reads a bounded sample of labelled rows (`cap`); the weights are of fixed size. Scoring
-reads all texts whole, in tasks.
+The fit reads a bounded sample of labelled rows (`cap`, chosen by a hash of doc_id). Features are
+chosen before anything reaches the driver: those of at least `least` texts whose log odds between
+the classes lie `strength` standard errors from 0, and all identity terms that occur. Only those
+features of a text are sent to it. Scoring reads all texts whole, in tasks.
 
 Cases. Null or empty texts hold no feature: the score of the bias alone. Rows whose label is null
-are not learnt from; repeated labels count as often as they occur. No labelled row, or one class
-only: a constant score from the smoothed share of toxic rows. Extra columns stay untouched.
+are not learnt from; texts with the same features and label count once. No labelled row, or one class
+only: a constant score from the smoothed share of toxic rows. Of the columns only `score` is touched:
+it replaces a namesake; other columns stay.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -23,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import bounded_sample, feature, remainder, small_batches, table, text_slices
+from leafloom.llm.common import Scratch, bounded_sample, feature, remainder, small_batches, table, text_slices
 
 BITS = 20
 PREFIX = 5
@@ -53,61 +59,81 @@ def hashed(word: str) -> list[int]:
     return out
 
 
-def features_of(text: str | None, swap: bool = False) -> list[int]:
-    words = set(TOKEN.findall((text or "").lower()))
-    if swap:
-        words = {SWAP.get(w, w) for w in words}
-    return sorted({f for w in words for f in hashed(w)})
+def features_of(words: set[str]) -> set[int]:
+    return {f for w in words for f in hashed(w)}
+
+
+def copies_of(text: str, words: set[str]) -> list[set[int]]:
+    """Features of the counterfactual copies of a text."""
+    out = []
+    if words & SWAP.keys():
+        out.append(features_of({SWAP.get(w, w) for w in words}))
+    terms = list(SWAP)
+    for k in range(2):
+        out.append(features_of(words | {terms[feature(f"{k} {text}", 30) % len(terms)]}))
+    return out
 
 
 def training_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(y, own, features, copies): `own` tells equal sets of features."""
     for pdf in batches:
-        plain = [features_of(t) for t in pdf["text"]]
-        swapped = [features_of(t, True) if SWAP.keys() & set(TOKEN.findall((t or "").lower())) else [] for t in pdf["text"]]
-        yield pd.DataFrame({"y": pdf["toxic"].astype("int32"), "plain": plain, "swapped": swapped})
+        rows = []
+        for text, y in zip(pdf["text"], pdf["toxic"], strict=True):
+            words = set(TOKEN.findall((text or "").lower()))
+            own = sorted(features_of(words))
+            key = hashlib.sha256(np.array(own, dtype=np.int64).tobytes()).digest()
+            rows.append((int(y), key, own, [sorted(c) for c in copies_of(text or "", words)]))
+        yield pd.DataFrame(rows, columns=["y", "own", "features", "copies"])
+
+
+def kept_features(told: frozenset[int]):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [[f for f in x if f in told] for x in pdf["features"]]
+            copies = [[[f for f in c if f in told] for c in x] for x in pdf["copies"]]
+            yield pd.DataFrame({"y": pdf["y"], "features": own, "copies": copies})
 
+    return rows
 
-def fit(
-    rows: pd.DataFrame, ridge: float = 1e-4, counterfactual: float = 1.0, steps: int = 300, least: int = 4, strength: float = 3.0
-) -> tuple[np.ndarray, float]:
+
+def telling_features(rows: DataFrame, least: int = 4, strength: float = 3.0) -> frozenset[int]:
+    """Features of `least` texts and `strength` standard errors, and the identity terms."""
+    n, toxic_rows = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    counts = rows.select("y", F.explode("features").alias("f")).groupBy("f").agg((F.sum("y") + 0.5).alias("toxic"), (F.sum(1 - F.col("y")) + 0.5).alias("clean"))
+    odds = F.log(F.col("toxic") * float(n - toxic_rows + 1)) - F.log(F.col("clean") * float(toxic_rows + 1))
+    error = F.sqrt(1 / F.col("toxic") + 1 / F.col("clean"))
+    told = counts.where((F.col("toxic") + F.col("clean") - 1 >= least) & (F.abs(odds) >= strength * error))
+    return frozenset(r[0] for r in told.select("f").collect()) | frozenset(f for w in SWAP for f in hashed(w))
+
+
+def fit(rows: pd.DataFrame, ridge: float = 1e-4, counterfactual: float = 5.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch gradient steps (Adam) on loss + counterfactual penalty + ridge.
 
-    Features of fewer than `least` texts, or whose log odds between the classes lie within `strength` standard errors
-    of 0, get no weight. Texts with the same features and label count once.
+    `rows`: y, features, copies (lists of features of the copies), of distinct texts.
     """
-    rows = rows[~pd.DataFrame({"y": rows["y"], "x": rows["plain"].map(lambda x: hash(tuple(x)))}).duplicated()]
     y = rows["y"].to_numpy(dtype=np.float64) if len(rows) else np.zeros(0)
     share = (y.sum() + 1) / (len(y) + 2)
     bias = float(np.log(share / (1 - share)))
     weights = np.zeros(1 << BITS, dtype=np.float32)
     if len(y) == 0 or y.min() == y.max():
         return weights, bias
-    sizes = np.array([len(x) for x in rows["plain"]])
-    ids = np.concatenate([np.asarray(x, dtype=np.int64) for x in rows["plain"]])
-    row = np.repeat(np.arange(len(y)), sizes)
-    toxic = np.bincount(ids, weights=y[row], minlength=1 << BITS) + 0.5
-    clean = np.bincount(ids, weights=1 - y[row], minlength=1 << BITS) + 0.5
-    odds = np.log(toxic * (len(y) - y.sum() + 1)) - np.log(clean * (y.sum() + 1))
-    told = (toxic + clean - 1 >= least) & (np.abs(odds) >= strength * np.sqrt(1 / toxic + 1 / clean))
-    row = row[told[ids]]
-    used, col = np.unique(ids[told[ids]], return_inverse=True)
-    pairs = [(i, np.setdiff1d(p, s), np.setdiff1d(s, p)) for i, (p, s) in enumerate(zip(rows["plain"], rows["swapped"], strict=True)) if len(s)]
-    place = {int(f): k for k, f in enumerate(used)}
-    lost = [(k, place[int(f)], 1.0) for k, (_, gone, _) in enumerate(pairs) for f in gone if int(f) in place]
-    won = [(k, place[int(f)], -1.0) for k, (_, _, new) in enumerate(pairs) for f in new if int(f) in place]
-    swap = np.array(lost + won, dtype=np.float64).reshape(-1, 3)
-    swap_row, swap_col, sign = swap[:, 0].astype(np.int64), swap[:, 1].astype(np.int64), swap[:, 2]
+    of = np.concatenate([np.arange(len(y)), np.repeat(np.arange(len(y)), [len(c) for c in rows["copies"]])])
+    lists = [*rows["features"], *(c for copies in rows["copies"] for c in copies)]
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    used, col = np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]), return_inverse=True)
+    # A text and its copies have the weight of one text together, so that naming a group tells nothing of the label.
+    times = np.bincount(of)[of]
+    balance = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))[of] / times
+    copy = np.arange(len(lists)) >= len(y)
     w, m, v = (np.zeros(len(used)) for _ in range(3))
     m0 = v0 = 0.0
-    balance = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
     for step in range(1, steps + 1):
-        z = bias + np.bincount(row, weights=w[col], minlength=len(y))
-        error = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.bincount(col, weights=error[row], minlength=len(used)) / len(y) + ridge * w
-        if len(swap):
-            change = np.bincount(swap_row, weights=sign * w[swap_col], minlength=len(pairs))
-            grad += counterfactual * np.bincount(swap_col, weights=sign * change[swap_row], minlength=len(used)) / len(pairs)
-        g0 = error.mean()
+        z = np.bincount(row, weights=w[col], minlength=len(lists))
+        error = balance * (1 / (1 + np.exp(-np.clip(z + bias, -30, 30))) - y[of])
+        change = np.where(copy, z - z[of], 0.0)
+        back = change - np.bincount(of, weights=change, minlength=len(y))[of] * ~copy
+        grad = np.bincount(col, weights=(error / len(y) + counterfactual * back / max(1, copy.sum()))[row], minlength=len(used)) + ridge * w
+        g0 = error.sum() / len(y)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         m0, v0 = 0.9 * m0 + 0.1 * g0, 0.999 * v0 + 0.001 * g0 * g0
         rate = 0.05 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -117,13 +143,21 @@ def fit(
     return weights, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, cap: int = 8_000) -> tuple[np.ndarray, float]:
-    """Fit on about `cap` labelled documents, chosen by a hash of doc_id; only their features reach the driver."""
+def chosen_rows(docs: DataFrame, labels: DataFrame, cap: int) -> pd.DataFrame:
+    """The rows of `fit`, of about `cap` labelled documents."""
     small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     chosen = bounded_sample(labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull()), "doc_id", cap)
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
-    rows = texts.mapInPandas(training_rows, "y int, plain array<int>, swapped array<int>").toPandas()
-    return fit(rows)
+    rows = texts.mapInPandas(training_rows, "y int, own binary, features array<int>, copies array<array<int>>")
+    rows = scratch.written(rows.dropDuplicates(["y", "own"]), "training")
+    kept = rows.mapInPandas(kept_features(telling_features(rows)), "y int, features array<int>, copies array<array<int>>").toPandas()
+    scratch.drop()
+    return kept
+
+
+def train(docs: DataFrame, labels: DataFrame, cap: int = 8_000, counterfactual: float = 5.0) -> tuple[np.ndarray, float]:
+    return fit(chosen_rows(docs, labels, cap), counterfactual=counterfactual)
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", score: str = "score") -> DataFrame:

@@ -168,12 +168,43 @@ def test_op2_cases(spark, odd, none):
     assert substring_dedup.without_repeats(none).count() == 0
 
 
+def test_op2_largest_id_and_null(spark):
+    """Null comes after every id, the largest included; that id comes back as it was."""
+    last, text = (1 << 63) - 1, passage(21, 20)
+    for rows in ([(None, text), (last, text)], [(None, text), (None, text)], [(last, text), (last, text)], [(None, text), (last, text), (-1, text)]):
+        got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        least = min((i for i, _ in rows if i is not None), default=None)
+        assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == sorted((str(i), 0 if i == least else 20) for i, _ in rows)
+
+
+def test_op2_equal_first_hashes(monkeypatch):
+    """Windows whose first hashes collide are told apart by the second."""
+    texts = [passage(31, 13), passage(32, 13)]
+    pdf = pd.DataFrame({"doc_id": ["1", "2"], "text": texts})
+    own = substring_dedup.Split(pdf, 1)
+    own.words[:] = 7
+    at, hashes, others = own.windows(np.ones(len(own.words), dtype=np.int64))
+    kinds, more, low, has, where = own.smallest(at, hashes, others)
+    assert len(set(hashes.tolist())) == 1 and len(kinds) == 2 and low.tolist() in ([1, 2], [2, 1]) and has.all()
+
+
+def test_rows_of_a_split_do_not_grow_with_the_parts():
+    pdf = pd.DataFrame({"doc_id": ["1"], "text": [passage(5, 60)]})
+    for parts in (1, 1000, 1 << 30):
+        own = suffix_dedup.Texts(pdf, parts, 200)
+        assert len(own.counted(0)) <= len(np.unique(own.low))
+        words = substring_dedup.Split(pdf, parts)
+        assert len(words.asked(0, np.unique(words.anchors()[1]))) <= 60
+
+
 def test_op3_cases(spark, odd, none):
     got = minhash_dedup.near_components(odd).toPandas()
     by = {k: v for k, v in zip(got["doc_id"], got["component_id"]) if k == k}
     assert by[11] == 10 and by[10] == 10 and by[5] == 5 and by[1] == 1 and by[3] == 3 and len(got) == odd.count()
     assert minhash_dedup.near_components(none).count() == 0
     kept = minhash_dedup.one_of_each(odd)
+    two = spark.createDataFrame([(5, passage(41, 30)), (5, passage(42, 30)), (7, passage(41, 30)), (9, passage(42, 30) + " end"), (3, passage(43, 30))], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_components(two).collect()} == {5: 5, 7: 5, 9: 5, 3: 3}
     assert kept.columns == odd.columns and kept.where("doc_id = 11").count() == 0 and kept.where("doc_id is null").count() == 1
 
 
@@ -204,7 +235,16 @@ def test_op3_dense_family(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def test_op3_small_blocks(spark, monkeypatch):
+    """With tiny blocks and tiles the rest is compared in many rows; components stay those of all exact pairs."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    monkeypatch.setattr(minhash_dedup, "TILE", 4)
+    test_op3_dense_family(spark)
+
+
 def test_components(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(3000)], "a long, b long")
+    assert components.components(chain).where("component <> 0").count() == 0
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (40, 40)], "a long, b long")
     got = {r["id"]: r["component"] for r in components.components(links).collect()}
     assert got == {**{i: 0 for i in range(21)}, 30: 30, 31: 30}
@@ -222,6 +262,38 @@ def test_op4_held_out_and_cases(spark, sf_dir, odd, none):
     assert language_id.known_language(odd, model).columns == odd.columns
 
 
+def test_op4_letters_are_of_category_l(spark):
+    model = language_id.Unigrams([" a", "a"], ["x", "y"], np.array([[0.5, 0.2], [0.5, 0.2]]))
+    df = spark.createDataFrame([(1, "² ½ ① Ⅷ 12 _"), (2, "a²b ½"), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identified(df, model).collect()}
+    assert got[1] == ("und", 0.0) and got[3] == ("und", 0.0) and got[2][0] == "x"
+    assert language_id.letter_words("x²yz ⅷ ab") == ["x", "yz", "ab"]
+
+
+def test_op4_long_words_count_in_the_fit(monkeypatch):
+    """The counts of a word do not depend on the way they are summed, and no word is left out for its length."""
+    pieces = [" a", "a", "ab", "b", " "]
+    model = language_id.Unigrams(pieces, ["x"], np.array([[0.1], [0.2], [0.3], [0.15], [0.25]]))
+    words = np.array([" " + "ab" * n + "a" * 3 for n in (1, 5, 15)], dtype=object)
+    weights = np.array([[1.0], [2.0], [3.0]])
+    plain = language_id.expected_counts(model, words, weights)
+    monkeypatch.setattr(language_id, "PLAIN_LETTERS", 0)
+    assert np.allclose(plain, language_id.expected_counts(model, words, weights))
+    long = language_id.expected_counts(model, np.array([" " + "ab" * 500], dtype=object), np.array([[1.0]]))
+    assert np.isfinite(long).all() and long @ np.ones(1) @ np.array([2, 1, 2, 1, 1]) == pytest.approx(1001)
+
+
+def test_op4_stage_acts_on_the_answer(spark):
+    counts = pd.DataFrame([("en", "the", 50), ("en", "house", 20), ("de", "das", 50), ("de", "haus", 20)], columns=["lang", "word", "n"])
+    model = language_id.fit(counts, language_id.vocabulary_pieces())
+    rows = [(1, "the house the house", "en"), (2, "das haus das haus", "en"), (3, "das haus das haus", "de"), (4, "12", "de"), (5, None, "en"), (6, "the house the house", None), (7, "das haus das", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("s")).withColumn("lang_pred", F.lit("l")).withColumn("judged", F.lit("j"))
+    kept = language_id.known_language(docs, model)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.select("score", "lang_pred", "judged").collect()} == {("s", "l", "j")}
+    assert {r["doc_id"] for r in kept.collect()} == {1, 3, 6, 7}
+    assert {r["doc_id"] for r in language_id.known_language(docs, model, keep=["de"]).collect()} == {3, 7}
+
+
 def test_op4_forward_sums_all_segmentations():
     model = language_id.Unigrams([" a", "a", "ab", "b", " "], ["x"], np.array([[0.1], [0.2], [0.3], [0.15], [0.25]]))
 
@@ -246,6 +318,27 @@ def test_op5_cases(spark):
     assert url_filter.judge(pages, url_filter.rule_table(spark, url_filter.RULES).limit(0)).where("verdict = 'allow'").count() == 12
 
 
+def test_op5_listed_urls(spark):
+    """100,000 listed urls against a plain set; a filter of one block lets nearly all pass, and the join still decides."""
+    listed = spark.range(100_000).select(F.format_string("https://h%d.example.org/p/%d", F.col("id") % 50, "id").alias("url"), F.lit("block").alias("verdict"))
+    rows = [(1, "http://H7.example.org:80/p/./7#top"), (2, "https://h7.example.org/p/8"), (3, "https://h8.example.org/%70/x/../8"), (4, None), (5, "nope"), (6, "https://h7.example.org/p/7?q=1"), (7, ""), (8, "http://" + "a." * 200 + "org/" + "x/" * 3000), (9, "http://h7.example.org./p/7")]
+    pages = spark.createDataFrame(rows * 3, "page_id long, url string").withColumn("canonical", F.lit("c")).withColumn("bits", F.lit("b"))
+    for most in (url_filter.bloom.MOST_BLOCKS, 1):
+        got = url_filter.listed_verdicts(pages, listed, "allow", most).collect()
+        assert len(got) == 27 and {r["page_id"] for r in got if r["verdict"] == "block"} == {1, 3, 9}
+        assert {(r["canonical"], r["bits"]) for r in got} == {("c", "b")}
+    assert {r["verdict"] for r in url_filter.listed_verdicts(pages, listed.limit(0), "allow").collect()} == {"allow"}
+    both = url_filter.judge(pages, url_filter.rule_table(spark, [("allow", "h7.example.org/p/7"), ("block", "org/x/")]), listed=listed).collect()
+    assert {(r["page_id"], r["verdict"]) for r in both if r["rule"] or r["verdict"] == "block"} == {(1, "block"), (3, "block"), (6, "allow"), (8, "block"), (9, "block")}
+    assert url_filter.judge(pages.limit(0), url_filter.rule_table(spark, url_filter.RULES), listed=listed).count() == 0
+
+
+def test_op5_canonical(spark):
+    cases = {"http://A.com:80/x/../y/./z%41%2f?q#f": "a.com/y/zA%2F?q", "https://a.com": "a.com/", "x://b.com/%7euser/a/..": "b.com/~user/", "http://x.org/a/b/../../../c": "x.org/c", "http://x.org/a%zz%4": "x.org/a%zz%4", "https://a.com:80/": "a.com:80/", "nope": None}
+    got = spark.createDataFrame([(u,) for u in cases], "url string").select("url", url_filter.canonical(F.col("url")).alias("c")).collect()
+    assert {r["url"]: r["c"] for r in got} == cases
+
+
 def test_op6_round_trip_and_best_path(spark, odd, none):
     codec = sentencepiece_codec.load()
     score = {codec.text[i].decode(): codec.scores[i] for i in range(len(codec.text)) if np.isfinite(codec.scores[i])}
@@ -297,31 +390,85 @@ def test_op7_brute_force_and_markov(spark, sf_dir, odd, none):
     assert secret_scan.fit_markov(secret_scan.labelled_samples(none)) == [0.0] * len(secret_scan.ALPHABET) ** 2 and secret_scan.scan(none, model).count() == 0
 
 
-def test_op8_swaps_and_cases(spark, odd, none):
+def test_op7_ratio_by_hand_and_columns(spark, odd):
+    """The log ratio of a token against plain Python, and a table whose own `spans` must stay."""
+    rng = random.Random(18)
+    strings = ["".join(rng.choice(secret_scan.ALPHABET) for _ in range(24)) for _ in range(100)]
+    names = [f"{passage(i, 2).replace(' ', '_')}_{i}" for i in range(100)]
+    model = secret_scan.fit_markov(spark.createDataFrame([(v, 1) for v in strings] + [(v, 0) for v in names], "value string, label int"))
+    counts = [Counter(x + y for v in values for x, y in zip(v, v[1:])) for values in (names, strings)]
+
+    def log_p(label, x, y):
+        single = {b: sum(n for p, n in counts[label].items() if p[1] == b) + 0.5 for b in secret_scan.ALPHABET}
+        seen = sum(n for p, n in counts[label].items() if p[0] == x)
+        return np.log((counts[label][x + y] + 5 * single[y] / sum(single.values())) / (seen + 5))
+
+    values = strings[:3] + names[:3]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", secret_scan.log_ratio(F.col("v"), model).alias("r")).collect()
+    for v, r in got:
+        assert r == pytest.approx(np.mean([log_p(1, x, y) - log_p(0, x, y) for x, y in zip(v, v[1:])]))
+    masked = secret_scan.redact(odd, model)
+    assert masked.columns == odd.columns and {r["spans"] for r in masked.select("spans").collect()} == {"x"}
+
+
+def test_op8_counterfactuals(spark, odd, none):
+    """Labels that go with the naming of groups: untied, neutral mentions are called toxic; tied, they are not."""
     rng = random.Random(1)
     rows = []
-    for i in range(300):
+    for i in range(600):
         toxic = i % 3 == 0
-        group = rng.choice(["women", "men", "girls"]) if rng.random() < (0.9 if toxic else 0.1) else ""
-        rows.append((" ".join([passage(i % 50, 5), group, "scum" if toxic and rng.random() < 0.8 else ""]), int(toxic)))
-    pdf = pd.DataFrame(rows, columns=["text", "toxic"])
-    batch = pd.concat(toxicity.training_rows(iter([pdf])))
-    plain, tied = toxicity.fit(batch, counterfactual=0.0), toxicity.fit(batch, counterfactual=20.0)
-    gap = lambda m: np.ptp(toxicity.score_slice(pd.Series(["women talk", "men talk", "girls talk"]), *m))
-    assert gap(tied) <= gap(plain) + 1e-9 and toxicity.score_slice(pd.Series(["scum"]), *tied)[0] > 0.5
+        group = rng.choice(["women", "muslims", "gay"]) if rng.random() < (0.95 if toxic else 0.05) else ""
+        rows.append((i, " ".join([passage(i % 150, 5), group, rng.choice(["scum", "vermin"]) if toxic and rng.random() < 0.6 else ""]), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chosen = toxicity.chosen_rows(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), 8000)
+    plain, tied = toxicity.fit(chosen.assign(copies=[[]] * len(chosen)), counterfactual=0.0), toxicity.fit(chosen, counterfactual=20.0)
+    score = lambda texts, m: toxicity.score_slice(pd.Series(texts), *m)
+    neutral = [f"{passage(1000 + i, 5)} {g}" for i in range(20) for g in ("women", "muslims", "gay")]
+    without = [t.rsplit(" ", 1)[0] for t in neutral]
+    change = lambda m: np.abs(score(neutral, m) - score(without, m)).mean()
+    assert change(plain) > 0.1 and change(tied) < 0.02
+    assert (score(neutral, plain) >= 0.5).mean() > (score(neutral, tied) >= 0.5).mean() == 0
+    assert (score([f"{t} scum" for t in without], tied) >= 0.5).all()
     out = toxicity.scored(odd, tied)
-    assert out.count() == odd.count() and out.where("score is null").count() == 0
+    assert out.count() == odd.count() and out.where("score is null").count() == 0 and set(odd.columns) == set(out.columns)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.train(none, labels)[1] == pytest.approx(0.0) and toxicity.scored(none, tied).count() == 0
 
 
+def test_op8_held_out(spark):
+    """Held-out labels of sf0.1: accuracy of the query's rows."""
+    sf_dir = "/root/testdata/sf0.1"
+    got = queries.QUERIES["op8_toxicity"](spark, sf_dir).toPandas().merge(by_sql("SELECT doc_id, toxic FROM labels", sf_dir))
+    held = got[got["held_out"]]
+    toxic, said = held["toxic"] == 1, held["predicted"] == 1
+    assert len(held) > 500 and (toxic & said).sum() / toxic.sum() > 0.85 and (~toxic & said).sum() / (~toxic).sum() < 0.02
+
+
 def test_op9_cases(spark, odd, none):
     items = spark.createDataFrame([(1, passage(1, 60)), (2, "one two three"), (3, None), (4, ""), (5, passage(1, 60)), (6, passage(77, 30))], "item_id long, text string").withColumn("n_item", F.lit(1))
     for rows in (500_000, 0):
         got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["item_id"]) for r in decontaminate.contained(odd, items, broadcast_rows=rows).collect())
-        assert [p for p in got if p[0] >= 0] == [(5, 1), (5, 5), (6, 1), (6, 5), (10, 2), (11, 2)]
+        assert got == [(-1, 1), (-1, 5), (5, 1), (5, 5), (6, 1), (6, 5), (10, 2), (11, 2)]
     assert decontaminate.contained(none, items).count() == 0 and decontaminate.contained(odd, items.limit(0)).count() == 0
-    assert {r["doc_id"] for r in decontaminate.clean(odd, items).select("doc_id").collect()} == {1, 2, 3, 4, 7, None, 8, 9, 12}
+    kept = decontaminate.clean(odd, items)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 7, 8, 9, 12]
+
+
+def test_op9_sketches_against_all_pairs(spark):
+    """Items of many sizes, parts of them in documents: the sketches with few hits lose none of the exact pairs."""
+    rng = random.Random(6)
+    items = [(i, passage(700 + i, rng.choice([5, 6, 9, 17, 40, 90, 200]))) for i in range(40)]
+    docs = []
+    for i in range(120):
+        words = items[rng.randrange(40)][1].split()
+        cut = int(len(words) * rng.uniform(0.7, 1.0))
+        docs.append((i, " ".join([passage(900 + i, 30), *words[:cut], passage(2000 + i, 30)])))
+    sets = [{x[1]: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for x in rows for w in [x[1].split()]} for rows in (items, docs)]
+    want = sorted((d, i) for d, t in docs for i, u in items if len(sets[0][u] & sets[1][t]) >= np.ceil(0.8 * len(sets[0][u]) - 1e-9))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(want) > 20
+    for rows in (500_000, 0):
+        assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contained(d, i, broadcast_rows=rows).collect()) == want
 
 
 def test_op10_recall_and_cases(spark, sf_dir):
@@ -357,28 +504,57 @@ def test_op10_several_ranges(spark, monkeypatch):
     rows = [(i, v.tolist()) for i, v in enumerate(long)] + [(10_000 + i, v.tolist()) for i, v in enumerate(short)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     asked = df.where("vec_id % 40 = 0 or vec_id >= 10000")
-    out = nearest.nearest(df, asked, trees=12, least=100).orderBy("query_id", "rank").collect()
+    out = nearest.nearest(df, asked, trees=12, density=0.1).orderBy("query_id", "rank").collect()
     by = {}
     for r in out:
         by.setdefault(r["query_id"], []).append(r["vec_id"])
     assert all(by[q] == nearest_by_hand(np.arange(10_000, 10_050), short, q) for q in range(10_000, 10_050))
     assert all(len(by[q]) == 10 for q in range(0, 2000, 40))
     # Nothing is enough here: all ascend to the root.
-    few = nearest.nearest(df, df.where("vec_id % 400 = 0"), trees=12, least=10**9).orderBy("query_id", "rank").collect()
+    few = nearest.nearest(df, df.where("vec_id % 400 = 0"), trees=12, density=1e9).orderBy("query_id", "rank").collect()
     for q in range(0, 2000, 400):
         assert [r["vec_id"] for r in few if r["query_id"] == q] == nearest_by_hand(np.arange(2000), long, q)
 
 
 def test_op10_recall_of_the_forest(spark, monkeypatch):
-    """With `least` small the trees choose the rows; of the 2,000 of sf0.1 in several ranges."""
+    """The 2,000 rows of sf0.1, in several ranges and blocks: most queries find enough in the trees, and recall holds."""
     monkeypatch.setattr(nearest, "RANGE_ROWS", 500)
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 700)
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 30)
     df = common.table(spark, "/root/testdata/sf0.1", "embeddings")
     data = df.toPandas()
     ids, x = data["vec_id"].to_numpy(), np.array(data["embedding"].tolist(), dtype=np.float64)
-    got = nearest.nearest(df, df.where("vec_id % 20 = 0"), least=100).toPandas()
     asked = ids[ids % 20 == 0]
-    hits = sum(len(set(nearest_by_hand(ids, x, q)) & set(got[got["query_id"] == q]["vec_id"])) for q in asked)
-    assert hits / (10 * len(asked)) >= 0.85
+
+    def recall(**args):
+        got = nearest.nearest(df, df.where("vec_id % 20 = 0"), **args).toPandas()
+        return sum(len(set(nearest_by_hand(ids, x, q)) & set(got[got["query_id"] == q]["vec_id"])) for q in asked) / (10 * len(asked))
+
+    assert recall() >= 0.9
+    # Fewer rows are compared and fewer neighbours found: the forest decides.
+    assert 0.3 < recall(density=0.5) < 0.85
+
+
+def test_op10_prefixes():
+    """Counts by ranges of the sorted array against strings compared symbol by symbol."""
+    rng = np.random.default_rng(2)
+    first, code = nearest.strings(rng.standard_normal((300, 4)), np.zeros(4), 3)
+    size = nearest.string_length(4)
+    symbols = (code[:, :, None] // 8 ** np.arange(size - 1, -1, -1)) % 8
+    assert (symbols[:, :, 0] == first).all()
+    for tree in range(3):
+        arrays = np.sort(code[:, tree])
+        for s in range(1, size + 1):
+            low, high = nearest.prefix_ranges(arrays, code[:, tree], 4, s)
+            want = (symbols[:, None, tree, :s] == symbols[None, :, tree, :s]).all(axis=2).sum(axis=1)
+            assert (high - low == want).all()
+
+
+def test_op10_repeated_ids(spark):
+    rows = [(0, [3.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [3.0, 0.1]), (3, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = nearest.nearest(df, df.where("vec_id = 0"), k=2).orderBy("rank").collect()
+    assert [r["vec_id"] for r in out] == [1, 2] and out[0]["score"] == pytest.approx(0.1)
 
 
 def test_pipeline_stages(spark, odd, sf_dir):
@@ -394,3 +570,42 @@ def test_pipeline_stages(spark, odd, sf_dir):
     assert docs.where(F.size(secret_scan.base_spans(F.col("text"))) > 0).count() == 0
     leaks = by_sql(queries.ORACLE_SQL["op9_benchmark_decontamination"], sf_dir)["doc_id"]
     assert not set(leaks) & {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_on_odd_rows(spark, odd, none, sf_dir):
+    """Null and empty texts, a null id, ties, a very long text and clashing columns through every stage, by value."""
+    import corpus_pipeline
+
+    before = {(r["doc_id"], r["text"]) for r in odd.collect()}
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), "odd")
+        rows = docs.collect()
+        assert docs.columns == odd.columns and {(r["doc_id"], r["text"]) for r in rows if r["text"] != "[SECRET]"} <= before, name
+        assert all(r[c] == "x" for r in rows for c in EXTRA), name
+    kept = sorted(r["doc_id"] for r in docs.where("doc_id is not null").collect())
+    assert kept == [4, 5, 5, 6, 7, 8, 9, 10] and docs.where("doc_id is null").count() == 1
+    out = corpus_pipeline.encode(spark, docs, sf_dir)
+    assert out.count() == docs.count() and out.where("not round_trip").count() == 0
+    docs = none
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == 0
+
+
+def test_shared_folder_is_not_made_up_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Session())
