@@ -35,7 +35,9 @@ from leafloom.llm.components import components
 #: Coordinates that are posted, and all that a signature has.
 COORDINATES, LENGTH = 32, 96
 #: Signatures of a list are compared in blocks of so many; pairs are confirmed on the texts of twice TILE documents at most.
-BLOCK, TILE = 2048, 128
+BLOCK, TILE = 2048, 512
+#: Documents that share a smallest partner are sent on in groups of so many.
+GROUP = 32
 
 MULTIPLIERS = (np.random.default_rng(3).integers(1, 1 << 63, LENGTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -236,7 +238,7 @@ class Links:
         return own.groupBy("id").agg(F.collect_set("text").alias("t")).select("id", F.explode("t").alias("text"))
 
     def linked(self, groups: DataFrame, name: str) -> int:
-        with batches_of(self.docs.sparkSession, 4):
+        with batches_of(self.docs.sparkSession, 1):
             links = self.scratch.written(groups.mapInPandas(confirmed(self.length, self.percent), "a long, b long"), f"{name}-links")
         self.found = self.found.union(links)
         return links.count()
@@ -249,7 +251,7 @@ class Links:
         written = self.scratch.written
         ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("f")), F.struct(F.col("b").alias("id"), F.col("a").alias("f")))).alias("e"))
         ends = written(ends.groupBy("e.id").agg(F.min("e.f").alias("f")), f"{name}-ends")
-        sizes = ends.groupBy("f").agg(F.ceil(F.count("*") / (TILE // 4)).cast("int").alias("parts"))
+        sizes = ends.groupBy("f").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
         blocks = salted_join(ends, sizes, "f", "id").select("id", F.xxhash64("f", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
         blocks = written(blocks, f"{name}-blocks")
         pairs = near.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("x")), "a").join(blocks.select(F.col("id").alias("b"), F.col("block").alias("y")), "b")
