@@ -11,6 +11,10 @@ SCORE_WEIGHT = 0.8
 PSM_ORDER = [3, 6, 12, 11, 4, 1]
 CI_CHAR, CI_WORD, EPSILON = 0.30, 0.80, 1e-9
 PLAIN_CONTRAST = 2.0
+# Thresholds and words of the orientation check, by script where they differ.
+PAPER_MIN, MIN_BLOCKS = 96, 8
+MARGINS = {"latin": 0.05, "armenian": 0.02}
+TOO_FEW = {"latin": "too few clear lines of writing to tell which way is up", "armenian": "too few letters to tell which way is up"}
 
 
 def effective_score(score: Column, words: Column, most: Column, weight: float | Column = SCORE_WEIGHT) -> Column:
@@ -70,16 +74,39 @@ def plausible_points(pixels: Column, dpi: Column) -> Column:
     return pixels / sound * 72
 
 
-def orientation(median: Column, votes: Column, blocks: Column, up: Column, margin: float = 0.05) -> Column:
-    """Quarter turns to make a page upright, or null if unsure, from its measures."""
-    sideways = (votes <= -1) & (blocks >= 8)
-    lying = (votes >= 1) & (blocks >= 8)
-    turn = F.when(up >= 0.5 + margin, 0).when(up <= 0.5 - margin, 2)
-    return F.when(median < 96, None).when(sideways, 1).when(lying, turn)
+def sideways(votes: Column, blocks: Column) -> Column:
+    """Enough blocks voted, and clearly for lines that run down the page."""
+    return (blocks >= MIN_BLOCKS) & (votes <= -1)
 
 
-def orientation_text(turns: Column) -> Column:
-    return F.when(turns.isNull(), "unsure").when(turns == 0, "upright").otherwise(F.concat(F.lit("turned "), (turns * 90).cast("string")))
+def orientation(median: Column, votes: Column, blocks: Column, up: Column, script: str = "latin") -> Column:
+    """How to turn a page upright from its measures: struct (turn, unsure).
+
+    turn: clockwise degrees, 0 if unsure; a page whose lines run down is turned by 90 before its share of upright
+    letters `up` was measured, and by 180 more if that says upside down. unsure: why it is left as it is, else null.
+    Checks in their order: too dark, too little text, no clear line direction, no share, a share too near a half.
+    """
+    margin = MARGINS[script]
+    near = F.format_string("cannot tell which way is up: %.2f is too near a half", up)
+    unsure = (
+        F.when(median < PAPER_MIN, "too dark to be a page of text")
+        .when(blocks < MIN_BLOCKS, "no text to read")
+        .when(F.abs(votes) < 1, "the lines run neither clearly across nor clearly down")
+        .when(up.isNull(), TOO_FEW[script])
+        .when((up < 0.5 + margin) & (up > 0.5 - margin), near)
+    )
+    quarter = F.when(votes < 0, 90).otherwise(0)
+    turn = F.when(unsure.isNotNull(), 0).when(up >= 0.5 + margin, quarter).otherwise((quarter + 180) % 360)
+    return F.struct(turn.cast("int").alias("turn"), unsure.alias("unsure"))
+
+
+def orientation_text(turn: Column, unsure: Column) -> Column:
+    """One line for a person."""
+    return (
+        F.when(unsure.isNotNull(), F.concat(F.lit("orientation unsure ("), unsure, F.lit("); read as it is")))
+        .when(turn != 0, F.concat(F.lit("turned "), turn.cast("string"), F.lit("° clockwise to read")))
+        .otherwise("upright")
+    )
 
 
 def refused_reason(width: Column, height: Column, pages: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql.types import DoubleType
 
 # White space as Python's str.isspace has it, letters that need folding, dashes that break words.
 WS = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
+#: Runs of white space that are not one plain space: what has to be replaced.
+ODD_WS = r"(?: {2,}+| ?[\s\x{1c}-\x{1f}\x{85}\p{Z}&&[^ ]])[\s\x{1c}-\x{1f}\x{85}\p{Z}]*+"
 FULL_STOP, DOT_LEADER, EW_PAIR, EW_LIGATURE = "։", "․", "եւ", "և"
 DASHES = "-–—֊"
 SKIPPED_BLOCKS = ["image", "figure", "seal", "chart", "formula_number"]
@@ -35,7 +37,12 @@ def normalise(text: Column) -> Column:
     """Lower case, two marks and a letter pair folded, white space runs as one space, ends trimmed."""
     folded = F.translate(F.lower(text), FULL_STOP + DOT_LEADER, ":.")
     folded = F.replace(folded, F.lit(EW_PAIR), F.lit(EW_LIGATURE))
-    return F.trim(F.regexp_replace(folded, WS, " "))
+    return F.trim(F.regexp_replace(folded, ODD_WS, " "))
+
+
+def normal_tokens(text: Column) -> Column:
+    """Words of a normalised text: single spaces stand between them."""
+    return F.array_remove(F.split(normalise(text), " "), "")
 
 
 def is_word(token: Column) -> Column:
@@ -65,17 +72,31 @@ def character_similarity(actual: Iterator[tuple[pd.Series, pd.Series]]) -> Itera
         yield pd.Series([ratio(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
-def word_recall(actual: Column, expected: Column) -> Column:
-    """Share of the expected words, each occurrence counted, that are among the actual tokens; 1 if none is expected."""
-    wanted = F.filter(tokens(normalise(expected)), is_word)
-    have = F.array_distinct(tokens(normalise(actual)))
+def wanted_words(expected: Column) -> Column:
+    """The expected words in order, each occurrence."""
+    return F.filter(normal_tokens(expected), is_word)
+
+
+def recall_of(actual: Column, wanted: Column) -> Column:
+    """Share of `wanted` words that are among the actual tokens; 1 if none is wanted.
 
-    def share(v: Column) -> Column:
-        missed = F.size(F.filter(v["wanted"], lambda w: ~F.array_contains(v["known"], w)))
-        return F.when(F.size(v["wanted"]) == 0, F.lit(1.0)).otherwise(1 - missed / F.size(v["wanted"]))
+    The words stand sorted with the tokens, each token before its equals, so that one pass counts what is met.
+    """
+    have = F.transform(F.array_distinct(normal_tokens(actual)), lambda w: F.struct(w.alias("w"), F.lit(0).alias("k")))
+    asked = F.transform(wanted, lambda w: F.struct(w.alias("w"), F.lit(1).alias("k")))
+    begin = F.struct(F.lit("").alias("seen"), F.lit(0).alias("met"))
 
-    both = let(F.struct(wanted.alias("wanted"), have.alias("have")), lambda v: F.struct(v["wanted"].alias("wanted"), F.array_intersect(v["wanted"], v["have"]).alias("known")))
-    return let(both, share)
+    def step(acc: Column, x: Column) -> Column:
+        met = acc["met"] + F.when((x["k"] == 1) & (x["w"] == acc["seen"]), 1).otherwise(0)
+        return F.struct(F.when(x["k"] == 0, x["w"]).otherwise(acc["seen"]).alias("seen"), met.alias("met"))
+
+    met = F.aggregate(F.sort_array(F.concat(have, asked)), begin, step, lambda acc: acc["met"])
+    return F.when(F.size(wanted) == 0, F.lit(1.0)).otherwise(met / F.size(wanted))
+
+
+def word_recall(actual: Column, expected: Column) -> Column:
+    """Share of the expected words, each occurrence counted, that are among the actual tokens; 1 if none is expected."""
+    return let(F.struct(actual.alias("actual"), wanted_words(expected).alias("wanted")), lambda v: recall_of(v["actual"], v["wanted"]))
 
 
 def scores_english_text(text: Column) -> Column:

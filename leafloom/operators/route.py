@@ -17,31 +17,53 @@ def sized(df: DataFrame, most: int = BROADCAST_WORDS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def with_counts(words: DataFrame, lexicon: DataFrame, total: int, size: int, most: int = BROADCAST_WORDS) -> DataFrame:
+    """Add `n`, how often the lexicon has the `word`, null if never.
+
+    A lexicon of more than `most` words is joined in two: its frequent words, of which there can be no more than `most`,
+    are broadcast, as they are the hot keys; the rest meets the rare words by shuffle.
+    """
+    if size <= most:
+        return words.join(F.broadcast(lexicon), "word", "left")
+    bound = total / most
+    known = words.join(F.broadcast(lexicon.where(F.col("n") > bound)), "word", "left")
+    rare = known.where("n is null").drop("n").join(lexicon.where(F.col("n") <= bound), "word", "left")
+    return known.where("n is not null").unionByName(rare)
+
+
 def quality_scores(candidates: DataFrame, lexicon: DataFrame, most_tokens: int = 1024) -> DataFrame:
-    """Add words, coverage, perplexity and score to candidates (file, engine_ord, engine, text).
+    """(file, engine_ord, engine, words, english, coverage, perplexity, score) of candidates (file, engine_ord, engine, text).
 
     Coverage: a repeated unknown word costs once. Perplexity: an add-one unigram model of the lexicon stands in for a
-    neural scorer; the first `most_tokens` tokens, and 1000 below five tokens. Score: coverage / log1p(perplexity), 0
-    for blank texts. The tokens of a text stay in one task until they are summed.
+    neural scorer; the first `most_tokens` tokens, as those are all such a scorer reads, and 1000 below five tokens.
+    Score: coverage / log1p(perplexity), 0 for blank texts.
+
+    A text becomes the distinct words of each role beside a few numbers; neither texts nor tokens are shuffled, and what
+    is summed meets in one aggregate.
     """
-    total, size = lexicon.agg(F.sum("n"), F.count("*")).first()
-    total, size = total or 0, size or 0
-    words = T.dictionary_tokens(F.col("text"))
-    exploded = candidates.select("file", "engine_ord", F.posexplode(words).alias("pos", "word"))
-    known = exploded.join(sized(lexicon), "word", "left")
+    total, size = lexicon.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    text = F.col("text")
+    facts = candidates.select(
+        "file", "engine_ord", "engine", T.word_count(text).alias("words"), T.scores_english_text(text).alias("english"),
+        (T.strip(text) == "").alias("blank"), T.dictionary_tokens(text).alias("t"),
+    )
+    role = lambda words, k: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(k).alias("first")))
+    both = F.concat(role(F.array_distinct("t"), 0), role(F.slice("t", 1, most_tokens), 1))
+    own = ["file", "engine_ord", "engine", "words", "english", "blank"]
+    exploded = facts.select(*own, F.size("t").alias("n_tokens"), F.explode_outer(both).alias("e")).select(*own, "n_tokens", "e.*")
+    known = with_counts(exploded, lexicon, total, size)
     log_p = F.log((F.coalesce("n", F.lit(0)) + 1) / float(total + size + 1))
     sums = known.groupBy("file", "engine_ord").agg(
-        F.count("*").alias("n_tokens"),
-        F.size(F.collect_set(F.when(F.col("n").isNull(), F.col("word")))).alias("n_unknown"),
-        F.avg(F.when(F.col("pos") < most_tokens, log_p)).alias("mean_log"),
+        *[F.any_value(c).alias(c) for c in (*own[2:], "n_tokens")],
+        F.count_if((F.col("first") == 0) & F.col("n").isNull()).alias("n_unknown"),
+        F.avg(F.when(F.col("first") == 1, log_p)).alias("mean_log"),
     )
-    out = candidates.join(sums, ["file", "engine_ord"], "left")
-    n = F.coalesce("n_tokens", F.lit(0))
+    n = F.col("n_tokens")
     coverage = F.when(n == 0, 0.0).otherwise((n - F.col("n_unknown")) / n)
     perplexity = F.when(n < 5, 1000.0).otherwise(F.exp(-F.col("mean_log")))
-    out = out.withColumn("words", T.word_count(F.col("text"))).withColumn("coverage", coverage).withColumn("perplexity", perplexity)
-    score = F.when(T.strip(F.col("text")) == "", 0.0).otherwise(F.col("coverage") / F.log1p("perplexity"))
-    return out.withColumn("score", score).drop("n_tokens", "n_unknown", "mean_log")
+    out = sums.withColumn("coverage", coverage).withColumn("perplexity", perplexity)
+    score = F.when(F.col("blank"), 0.0).otherwise(F.col("coverage") / F.log1p("perplexity"))
+    return out.select("file", "engine_ord", "engine", "words", "english", "coverage", "perplexity", score.alias("score"))
 
 
 def eligible(engines: DataFrame, files: DataFrame, gpu: bool = False, opted_in: tuple[str, ...] = ()) -> DataFrame:
@@ -59,9 +81,12 @@ def effective(candidates: DataFrame, weight: float | Column = rules.SCORE_WEIGHT
 def routed(candidates: DataFrame, asked: bool = True) -> DataFrame:
     """One row a file: the engine with the highest effective score (ties: the first), gated on its raw score.
 
+    Candidates are as `quality_scores` leaves them, or have a text instead of `english`.
+
     One aggregate gathers the few candidates of a file; the winner comes from that array, without a second shuffle.
     """
-    row = F.struct("engine_ord", "engine", "words", "score", T.scores_english_text(F.col("text")).alias("english"))
+    english = F.col("english") if "english" in candidates.columns else T.scores_english_text(F.col("text"))
+    row = F.struct("engine_ord", "engine", "words", "score", english.alias("english"))
     each = candidates.groupBy("file").agg(F.collect_list(row).alias("c"), F.greatest(F.max("words"), F.lit(1)).alias("m"))
     ranked = F.transform(
         "c", lambda c: F.struct((-rules.effective_score(c["score"], c["words"], F.col("m"))).alias("e"), c["engine_ord"].alias("o"), c.alias("c"))

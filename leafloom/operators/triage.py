@@ -9,8 +9,8 @@ from leafloom.functions import text as T
 
 
 def records(candidates: DataFrame) -> DataFrame:
-    """(file, best, candidates) of held files: `best` is the first candidate of highest raw score."""
-    own = F.struct("engine_ord", "engine", "score", "text")
+    """(file, best, candidates) of held files: `best` is the first candidate of highest raw score; with their texts, if given."""
+    own = F.struct("engine_ord", "engine", "score", *(["text"] if "text" in candidates.columns else []))
     held = candidates.groupBy("file").agg(F.sort_array(F.collect_list(own)).alias("candidates"))
     best = F.array_min(F.transform("candidates", lambda c: F.struct((-c["score"]).alias("s"), c["engine_ord"].alias("o"), c["engine"].alias("engine"))))
     return held.withColumn("b", best).select("file", F.struct(F.col("b.engine").alias("engine"), (-F.col("b.s")).alias("score")).alias("best"), "candidates")

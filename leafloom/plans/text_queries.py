@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leafloom.functions import rules
 from leafloom.functions import text as T
 from leafloom.operators import route
-from leafloom.plans.views import LEXICON_SQL, candidates, candidates_sql, lexicon, normalise_sql, read, strip_sql, tokens_sql
+from leafloom.plans.views import LEXICON_SQL, candidates, candidates_sql, lexicon, normalise_sql, read, spread, strip_sql, tokens_sql
 
 QUERIES, SQL = {}, {}
 
@@ -48,11 +48,12 @@ _RECALL = (
 )
 
 
-@query(f"WITH c AS (SELECT * FROM ({candidates_sql()}) WHERE engine_ord > 0), {_RECALL} SELECT file, engine, round(recall, 6) AS recall FROM r")
+@query(f"WITH c AS ({candidates_sql()}), {_RECALL} SELECT file, engine, round(recall, 6) AS recall FROM r")
 def t4_word_recall(spark, d):
-    docs = read(spark, d, "documents")
-    pairs = candidates(docs).where("engine_ord > 0").join(docs.select(F.col("doc_id").alias("file"), F.col("text").alias("expected")), "file")
-    return pairs.select("file", "engine", F.round(T.word_recall(F.col("text"), F.col("expected")), 6).alias("recall"))
+    """The transcripts come from the document's own row, so its words are prepared once and no text is shuffled."""
+    docs = spread(read(spark, d, "documents"), "doc_id").withColumn("wanted", T.wanted_words(F.col("text")))
+    pairs = candidates(docs, also=["wanted"])
+    return pairs.select("file", "engine", F.round(T.recall_of(F.col("text"), F.col("wanted")), 6).alias("recall"))
 
 
 @query(r"SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^\p{L}]', '', 'g')) = 0 THEN true ELSE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(regexp_replace(text, '[^\p{L}]', '', 'g')) >= 0.5 END AS english FROM documents")
@@ -73,7 +74,8 @@ s AS (SELECT *, CASE WHEN {strip_sql('text')} = '' THEN 0.0 ELSE coverage / ln(1
 
 
 def _scored(spark, d):
-    return route.quality_scores(candidates(read(spark, d, "documents")), lexicon(read(spark, d, "benchmark")))
+    docs = read(spark, d, "documents")
+    return route.quality_scores(candidates(docs), lexicon(docs))
 
 
 @query(f"WITH {_SCORES} SELECT file, engine, words, round(coverage, 6) AS coverage, round(perplexity, 3) AS perplexity, round(score, 6) AS score FROM s")
@@ -203,13 +205,29 @@ def p13_edges(spark, d):
     return read(spark, d, "part").select("p_partkey", low.alias("low"), high.alias("high"), rules.edge_between(low, high).alias("edge"))
 
 
-@query("""WITH m AS (SELECT event_id, value * 30 AS med, (event_id % 9 - 4) / 2 AS votes, event_id % 20 AS blocks, (event_id % 13) / 12 AS up FROM events),
-t AS (SELECT event_id, CASE WHEN med < 96 THEN NULL WHEN votes <= -1 AND blocks >= 8 THEN 1 WHEN votes >= 1 AND blocks >= 8 THEN CASE WHEN up >= 0.55 THEN 0 WHEN up <= 0.45 THEN 2 END END AS turns FROM m)
-SELECT event_id, turns, CASE WHEN turns IS NULL THEN 'unsure' WHEN turns = 0 THEN 'upright' ELSE 'turned ' || (turns * 90) END AS told FROM t""")
-def p14_orientation(spark, d):
+_TURNED = """WITH m AS (SELECT event_id, value * 30 AS med, (event_id % 9 - 4) / 2 AS votes, event_id % 20 AS blocks, CASE WHEN event_id % 17 > 0 THEN (event_id % 13) / 12 END AS up FROM events),
+s AS (SELECT *, votes < 0 AS down, CASE WHEN med < 96 THEN 'too dark to be a page of text' WHEN blocks < 8 THEN 'no text to read'
+  WHEN votes > -1 AND votes < 1 THEN 'the lines run neither clearly across nor clearly down' WHEN up IS NULL THEN '{few}'
+  WHEN up > {low} AND up < {high} THEN printf('cannot tell which way is up: %.2f is too near a half', up) END AS unsure FROM m),
+t AS (SELECT *, CASE WHEN unsure IS NOT NULL THEN 0 WHEN up > 0.5 THEN CASE WHEN down THEN 90 ELSE 0 END ELSE CASE WHEN down THEN 270 ELSE 180 END END AS turn FROM s)
+SELECT event_id, turn, CASE WHEN unsure IS NOT NULL THEN 'orientation unsure (' || unsure || '); read as it is' WHEN turn > 0 THEN 'turned ' || turn || '° clockwise to read' ELSE 'upright' END AS told, blocks >= 8 AND votes <= -1 AS sideways FROM t"""
+
+
+def _turned(spark, d, script):
     e = F.col("event_id")
-    turns = rules.orientation(F.col("value") * 30, (e % 9 - 4) / 2, e % 20, (e % 13) / 12)
-    return read(spark, d, "events").select("event_id", turns.alias("turns"), rules.orientation_text(turns).alias("told"))
+    votes, blocks, up = (e % 9 - 4) / 2, e % 20, F.when(e % 17 > 0, (e % 13) / 12)
+    read_as = read(spark, d, "events").select("event_id", rules.orientation(F.col("value") * 30, votes, blocks, up, script).alias("o"), rules.sideways(votes, blocks).alias("sideways"))
+    return read_as.select("event_id", "o.turn", rules.orientation_text(F.col("o.turn"), F.col("o.unsure")).alias("told"), "sideways")
+
+
+@query(_TURNED.format(few="too few clear lines of writing to tell which way is up", low=0.45, high=0.55))
+def p14_orientation(spark, d):
+    return _turned(spark, d, "latin")
+
+
+@query(_TURNED.format(few="too few letters to tell which way is up", low=0.48, high=0.52))
+def p15_orientation_armenian(spark, d):
+    return _turned(spark, d, "armenian")
 
 
 @query("SELECT event_id, round(value * 100 / CASE WHEN coalesce(dpi, 300) < 50 THEN 300 ELSE coalesce(dpi, 300) END * 72, 6) AS points FROM (SELECT event_id, value, CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 400 AS DOUBLE) END AS dpi FROM events)")

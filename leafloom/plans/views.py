@@ -12,11 +12,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table that is read in fewer parts than there are cores, dealt over the cores; larger tables as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 ENGINES = ["full", "half", "lower", "garbled", "reversed"]
 
 
-def candidates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(file, engine_ord, engine, text): five transcripts of every document."""
+def candidates(docs: DataFrame, key: str = "doc_id", also: list[str] | None = None) -> DataFrame:
+    """(file, engine_ord, engine, text): five transcripts of every document, with other columns of it."""
     t = F.col("text")
     texts = [
         t,
@@ -26,7 +32,7 @@ def candidates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         F.when(F.col(key) % 7 == 0, "").otherwise(F.reverse(t)),
     ]
     each = F.array(*[F.struct(F.lit(i).alias("engine_ord"), F.lit(ENGINES[i]).alias("engine"), x.alias("text")) for i, x in enumerate(texts)])
-    return docs.select(F.col(key).alias("file"), F.explode(each).alias("c")).select("file", "c.*")
+    return spread(docs, key).select(F.col(key).alias("file"), *(also or []), F.explode(each).alias("c")).select("file", *(also or []), "c.*")
 
 
 def candidates_sql(source: str = "documents", key: str = "doc_id") -> str:
@@ -34,12 +40,12 @@ def candidates_sql(source: str = "documents", key: str = "doc_id") -> str:
     return " UNION ALL ".join(f"SELECT {key} AS file, {i} AS engine_ord, '{ENGINES[i]}' AS engine, {x} AS text FROM {source}" for i, x in enumerate(texts))
 
 
-def lexicon(benchmark: DataFrame) -> DataFrame:
-    """(word, n) of the benchmark texts."""
-    return benchmark.select(F.explode(T.dictionary_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def lexicon(docs: DataFrame) -> DataFrame:
+    """(word, n) of all texts: it grows with the corpus."""
+    return docs.select(F.explode(T.dictionary_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-LEXICON_SQL = "SELECT word, count(*) AS n FROM (SELECT unnest(list_transform(list_filter(regexp_extract_all(text, '[a-zA-Z]+'), lambda w: length(w) >= 2), lambda w: lower(w))) AS word FROM benchmark) GROUP BY word"
+LEXICON_SQL = "SELECT word, count(*) AS n FROM (SELECT unnest(list_transform(list_filter(regexp_extract_all(text, '[a-zA-Z]+'), lambda w: length(w) >= 2), lambda w: lower(w))) AS word FROM documents) GROUP BY word"
 
 WS_SQL = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
 
@@ -74,6 +80,7 @@ TELEMETRY_SQL = (
     "CASE WHEN event_id % 11 = 0 THEN 'error' WHEN event_id % 5 = 0 THEN 'triaged' WHEN event_id % 17 = 0 THEN 'refused' ELSE 'processed' END AS outcome FROM events"
 )
 
+# The grid of settings.
 CONTRASTS, PSMS = [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0], [1, 3, 4, 6, 11, 12]
 
 

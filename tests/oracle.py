@@ -4,12 +4,13 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def cell(v):
-    if v is None or v != v:
+    if pd.api.types.is_scalar(v) and pd.isna(v):
         return "null"
     return f"{v:.6g}" if isinstance(v, float) else str(v)
 
