@@ -11,7 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Least share of a side or a margin, depth of cuts, fewest spans to cut; share and number of boxes that may
+# cross a gutter; of the median height, what is trimmed from a box and how far a divider reaches; column widths; line grid.
 ROOM, DEPTH, FEWEST = 0.15, 6, 4
+CROSS_SHARE, CROSS_FREE = 0.05, 3
+TRIM, REACH = 0.25, 2.0
+WIDTH_SHARE, WIDTH_RATIO = 0.2, 0.5
+GRID_LOW, GRID_HIGH = 0.5, 1.5
 
 
 def line_tolerance(spans: DataFrame, share: float = 0.5) -> DataFrame:
@@ -53,89 +59,123 @@ def gutters(spans: DataFrame, steps: int = 80) -> DataFrame:
     crossed = lambda x: F.size(F.filter("s", lambda s: (s["l"] < x) & (s["r"] > x)))
     tried = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.struct(crossed(at(i)).alias("crossings"), i.alias("i")))
     best = placed.withColumn("b", F.array_min(tried)).withColumn("x", at(F.col("b.i")))
-    left = F.size(F.filter("s", lambda s: (s["l"] + s["r"]) / 2 < F.col("x")))
-    sound = (F.col("n") >= FEWEST) & (F.col("b.crossings") <= F.greatest(F.lit(3.0), F.col("n") * 0.05)) & (F.least(left, F.col("n") - left) >= ROOM * F.col("n"))
+    left = F.size(F.filter("s", lambda s: s["r"] <= F.col("x")))
+    right = F.size(F.filter("s", lambda s: s["l"] >= F.col("x")))
+    few = F.col("b.crossings") <= F.greatest(F.lit(float(CROSS_FREE)), F.col("n") * CROSS_SHARE)
+    sound = (F.col("n") >= FEWEST) & (F.col("high") > F.col("low")) & few & (F.least(left, right) >= ROOM * F.col("n"))
     found = best.select("page", F.when(sound, F.col("x")).alias("gutter"))
     return spans.select("page").distinct().join(found, "page", "left")
 
 
+def median_height(t: np.ndarray, b: np.ndarray) -> float:
+    heights = (b - t)[b > t]
+    return float(np.median(heights)) if len(heights) else 0.0
+
+
 class Cutter:
-    """The recursive cut of one page; every span gets exactly one place."""
+    """The recursive cut of one page: every span gets exactly one place. Spans are numbers; l, t, r, b are NaN without a box."""
 
     def __init__(self, l, t, r, b):
         self.l, self.t, self.r, self.b = l, t, r, b
-        heights = (b - t)[~np.isnan(t) & (b > t)]
-        self.height = float(np.median(heights)) if len(heights) else 0.0
+        self.placed = ~np.isnan(l)
+        self.height = median_height(t[self.placed], b[self.placed])
 
     def regions(self, own: np.ndarray, depth: int = 0) -> list[np.ndarray]:
-        if depth >= DEPTH or (~np.isnan(self.l[own])).sum() < FEWEST:
-            return [own]
-        return self.across(own, depth) or self.down(own, depth) or [own]
-
-    def across(self, own: np.ndarray, depth: int) -> list[np.ndarray] | None:
-        placed = own[~np.isnan(self.t[own])]
-        placed = placed[np.argsort(self.t[placed], kind="stable")]
-        bottom = np.maximum.accumulate(self.b[placed])
-        gap = self.t[placed][1:] - bottom[:-1]
-        open_gaps = gap[gap > 0]
-        if not len(open_gaps):
+        """Bands first, then columns, so that a heading is read above the columns that it introduces."""
+        boxes = own[self.placed[own]]
+        if depth < DEPTH and len(boxes) >= FEWEST:
+            parts = self.bands(own, boxes) or self.columns(own, boxes)
+            if parts:
+                return [x for part, whole in parts for x in ([part] if whole else self.regions(part, depth + 1))]
+        return [own] if len(own) else []
+
+    def bands(self, own: np.ndarray, boxes: np.ndarray) -> list | None:
+        """Above and below the widest gap that no box occupies and that stands out from the other gaps and the type size."""
+        order = boxes[np.argsort(self.t[boxes], kind="stable")]
+        reach = np.maximum.accumulate(self.b[order])[:-1]
+        gap = self.t[order][1:] - reach
+        if not (gap > 0).any():
             return None
-        share = np.arange(1, len(placed)) / len(placed)
-        fits = (gap > max(self.height, 3 * float(np.median(open_gaps)))) & (share >= ROOM) & (share <= 1 - ROOM)
+        middle = reach + gap / 2
+        least = max(median_height(self.t[boxes], self.b[boxes]), 3 * float(np.median(gap[gap > 0])))
+        above = (self.b[boxes][None, :] <= middle[:, None]).sum(axis=1)
+        fits = (gap > least) & (np.minimum(above, len(boxes) - above) >= ROOM * len(boxes))
         if not fits.any():
             return None
-        at = int(np.argmax(np.where(fits, gap, -np.inf)))
-        above = np.isin(own, placed[: at + 1])
-        return self.regions(own[above], depth + 1) + self.regions(own[~above], depth + 1)
-
-    def down(self, own: np.ndarray, depth: int) -> list[np.ndarray] | None:
-        placed = own[~np.isnan(self.l[own])]
-        inset = 0.25 * self.height
-        mid = (self.l[placed] + self.r[placed]) / 2
-        low = np.minimum(self.l[placed] + inset, mid)
-        high = np.maximum(self.r[placed] - inset, mid)
-        left, right = low.min(), high.max()
-        width = right - left
-        edges = np.unique(np.concatenate([low, high]))
-        x = (edges[1:] + edges[:-1]) / 2
-        room = edges[1:] - edges[:-1]
-        inside = (x >= left + ROOM * width) & (x <= right - ROOM * width)
-        if width <= 0 or not inside.any():
-            return None
-        crossings = ((low[None, :] < x[:, None]) & (high[None, :] > x[:, None])).sum(axis=1)
-        order = np.lexsort((x, -room, crossings))
-        at = next(i for i in order if inside[i])
-        cut = x[at]
-        thin, thick = sorted((cut - left, right - cut))
-        straddle = (low < cut) & (high > cut)
-        sides = ((~straddle) & (mid < cut)).sum(), ((~straddle) & (mid >= cut)).sum()
-        if crossings[at] > max(1, 0.15 * len(placed)) or min(sides) < 2 or not (thin >= 0.2 * width or thin >= 0.5 * thick):
-            return None
-        if not len(set(np.round(self.b[placed[mid < cut]], 3))) > 1:
+        y = middle[np.argmax(np.where(fits, gap, -np.inf))]
+        up = self.b[own] <= y  # false without a box
+        return [(own[up], False), (own[~up], False)]
+
+    def trimmed(self, boxes: np.ndarray, by: float) -> tuple[np.ndarray, np.ndarray]:
+        low, high, mid = self.l[boxes] + by, self.r[boxes] - by, (self.l[boxes] + self.r[boxes]) / 2
+        crossed = low >= high
+        return np.where(crossed, mid, low), np.where(crossed, mid, high)
+
+    def gutter(self, boxes: np.ndarray, low: np.ndarray, high: np.ndarray) -> float | None:
+        """The clearest place (fewest boxes across, then widest, then leftmost) that leaves columns on both sides."""
+        left, width = self.l[boxes].min(), self.r[boxes].max() - self.l[boxes].min()
+        if width <= 0:
             return None
-        divides = np.zeros(len(placed), dtype=bool)
-        for i in np.flatnonzero(straddle):
-            level = (self.t[placed] < self.b[placed[i]]) & (self.b[placed] > self.t[placed[i]])
-            far = min(cut - self.l[placed[i]], self.r[placed[i]] - cut) >= 2 * self.height
-            divides[i] = far and level.sum() == 1
-        if straddle.any() and not divides.any() and crossings[at] > 0.05 * len(placed) + 1:
+        first, last = left + ROOM * width, left + (1 - ROOM) * width
+        edges = np.concatenate([low, high])
+        edges = np.unique(np.concatenate([[first, last], edges[(edges > first) & (edges < last)]]))
+        x, room = (edges[1:] + edges[:-1]) / 2, np.diff(edges)
+        across = ((low < x[:, None]) & (high > x[:, None])).sum(axis=1)
+        for i in np.lexsort((x, -room, across)):
+            if across[i] > max(CROSS_FREE, CROSS_SHARE * len(boxes)):
+                return None
+            sides = [(high <= x[i]), (low >= x[i])]
+            if min(side.sum() for side in sides) < ROOM * len(boxes):
+                continue
+            thin, thick = sorted(high[side].max() - low[side].min() for side in sides)
+            if thin >= WIDTH_SHARE * width or thin >= WIDTH_RATIO * thick:
+                return float(x[i])
+        return None
+
+    def line_gap(self, boxes: np.ndarray) -> float | None:
+        """The median gap from a box to the nearest one above it that shares some of its width."""
+        l, t, r, b = (v[boxes] for v in (self.l, self.t, self.r, self.b))
+        gap = t[:, None] - b[None, :]
+        over = (gap >= 0) & (l[None, :] < r[:, None]) & (r[None, :] > l[:, None])
+        np.fill_diagonal(over, False)
+        nearest = np.where(over, gap, np.inf).min(axis=1)
+        return float(np.median(nearest[np.isfinite(nearest)])) if np.isfinite(nearest).any() else None
+
+    def divides(self, i: int, boxes: np.ndarray, x: float, line_gap: float | None) -> bool:
+        """A box across the gutter stands for itself: nothing beside it on its line, and not set on the lines of both columns."""
+        others = boxes[boxes != i]
+        l, t, r, b = (v[others] for v in (self.l, self.t, self.r, self.b))
+        shared = np.minimum(self.b[i], b) - np.maximum(self.t[i], t)
+        beside = (l >= self.r[i]) | (r <= self.l[i])
+        if (beside & (shared >= 0.5 * np.minimum(self.b[i] - self.t[i], b - t))).any():
+            return False
+        if line_gap is None:
+            return True
+        for low, high in ((self.l[i], x), (x, self.r[i])):
+            near = (l < high) & (r > low)
+            for gap in ((self.t[i] - b)[near], (t - self.b[i])[near]):
+                gap = gap[gap >= 0]
+                if not len(gap) or not GRID_LOW * line_gap <= gap.min() <= GRID_HIGH * line_gap:
+                    return True
+        return False
+
+    def columns(self, own: np.ndarray, boxes: np.ndarray) -> list | None:
+        """Left and right of a gutter; or what is above, on and below the topmost divider across it."""
+        height = median_height(self.t[boxes], self.b[boxes])
+        low, high = self.trimmed(boxes, TRIM * height)
+        x = self.gutter(boxes, low, high)
+        if x is None:
             return None
-        out: list[np.ndarray] = []
-        rest = np.concatenate([placed[~divides], own[np.isnan(self.l[own])]])
-        centre = np.where(np.isnan(self.l[rest]), -np.inf, (self.l[rest] + self.r[rest]) / 2)
-        base = np.where(np.isnan(self.b[rest]), np.inf, self.b[rest])
-        bound = -np.inf
-        for d in [*placed[divides][np.argsort(self.b[placed[divides]], kind="stable")], None]:
-            limit = np.inf if d is None else self.b[d]
-            block = (base > bound) & ((base <= limit) if d is None else (base < limit))
-            for side in (centre < cut, centre >= cut):
-                part = np.sort(rest[block & side])
-                if len(part):
-                    out += self.regions(part, depth + 1)
-            if d is not None:
-                out.append(np.array([d]))
-            bound = limit
-        return out
+        line_gap = self.line_gap(boxes)
+        far = (low < x) & (high > x) & (np.minimum(x - low, high - x) >= REACH * height)
+        found = [i for i in boxes[far].tolist() if self.divides(i, boxes, x, line_gap)]
+        if found:
+            divider = min(found, key=lambda i: self.b[i])
+            rest = own[own != divider]
+            above = self.b[rest] <= self.b[divider]
+            return [(rest[above], False), (np.array([divider]), True), (rest[~above], False)]
+        left = (high <= x) | ((low < x) & ((low + high) / 2 < x))
+        return [(np.concatenate([own[~self.placed[own]], boxes[left]]), False), (boxes[~left], False)]
 
 
 def lines_of(region: np.ndarray, baseline: np.ndarray, left: np.ndarray, tolerance: float) -> list[list[int]]:

@@ -356,13 +356,13 @@ def w5_line_tolerance(spark, d):
     return layout.line_tolerance(_boxes(spark, d)).select("page", F.round("tolerance", 6).alias("tolerance"))
 
 
-@query(f"""WITH s AS (SELECT page % 50 AS page, ord, l, r FROM ({_BOXES})), p AS (SELECT page, min(l) AS low, max(r) AS high, count(*) AS n FROM s GROUP BY 1),
+@query(f"""WITH s AS (SELECT page // 8 AS page, ord, l, r FROM ({_BOXES})), p AS (SELECT page, min(l) AS low, max(r) AS high, count(*) AS n FROM s GROUP BY 1),
 x AS (SELECT page, i, low + (high - low) * (0.3 + 0.4 * i / 80) AS x, n FROM p, (SELECT unnest(range(81)) AS i)),
-c AS (SELECT x.page, x.i, any_value(x.x) AS x, any_value(x.n) AS n, count(*) FILTER (s.l < x.x AND s.r > x.x) AS crossings, count(*) FILTER ((s.l + s.r) / 2 < x.x) AS lefts FROM x JOIN s ON s.page = x.page GROUP BY ALL),
+c AS (SELECT x.page, x.i, any_value(x.x) AS x, any_value(x.n) AS n, count(*) FILTER (s.l < x.x AND s.r > x.x) AS crossings, count(*) FILTER (s.r <= x.x) AS lefts, count(*) FILTER (s.l >= x.x) AS rights FROM x JOIN s ON s.page = x.page GROUP BY ALL),
 b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY page ORDER BY crossings, i) = 1)
-SELECT page, CASE WHEN n >= 4 AND crossings <= greatest(3.0, n * 0.05) AND least(lefts, n - lefts) >= 0.15 * n THEN round(x, 6) END AS gutter FROM b""")
+SELECT page, CASE WHEN n >= 4 AND crossings <= greatest(3.0, n * 0.05) AND least(lefts, rights) >= 0.15 * n THEN round(x, 6) END AS gutter FROM b""")
 def g1_gutters(spark, d):
-    return layout.gutters(_boxes(spark, d).withColumn("page", F.col("page") % 50)).select("page", F.round("gutter", 6).alias("gutter"))
+    return layout.gutters(_boxes(spark, d).withColumn("page", F.floor(F.col("page") / 8))).select("page", F.round("gutter", 6).alias("gutter"))
 
 
 _TOKENS = r"SELECT doc_id, i // 120 AS part, i % 120 AS i, tok FROM (SELECT doc_id, unnest(w) AS tok, unnest(range(len(w))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> '') AS w FROM documents))"
@@ -388,3 +388,61 @@ def g4_reading_order(spark, d):
     order = layout.reading_order(page_spans(spark, d))
     each = order.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("w"))
     return each.select("page", F.size("w").cast("long").alias("n"), F.md5(F.array_join(F.transform("w", lambda w: w["text"]), " ").cast("binary")).alias("digest"))
+
+
+# Constructed pages of every shape, one set a nation; the expected order is spelled out in SQL.
+
+
+def _shapes() -> list[tuple[str, list, str]]:
+    """(shape, boxes (text, l, t, r, b) in the engine's order, expected order)."""
+    box = lambda text, left, bottom, width, height=10: (text, float(left), float(bottom - height), float(left + width), float(bottom))
+    two = lambda n, start=20, w=20: [b for i in range(n) for b in (box(f"l{i}", 10, start + 20 * i, w), box(f"r{i}", 110, start + 20 * i, w))]
+    wide = lambda n: [b for i in range(n) for b in (box(f"l{i}", 100, 200 + 30 * i, 160), box(f"r{i}", 500, 200 + 30 * i, 160))]
+    names = lambda c, n: [f"{c}{i}" for i in range(n)]
+    merged = [b for i in range(8) for b in ([box("m", 0, 150, 200, 20)] if i == 4 else [box(f"l{i}", 0, 30 + 30 * i, 95, 20), box(f"r{i}", 105, 30 + 30 * i, 95, 20)])]
+    padded = [b for i in range(8) for b in (box(f"l{i}", 0, 30 + 30 * i, 104, 20), box(f"r{i}", 98, 30 + 30 * i, 102, 20))]
+    three = [box(f"{c}{i}", x, 20 + 20 * i, 80) for i in range(6) for c, x in (("a", 10), ("b", 110), ("c", 210))]
+    numbered = [b for i in range(6) for b in (box(f"n{i}", 10, 20 + 20 * i, 20), box(f"t{i}", 50, 20 + 20 * i, 350))]
+    rule = [*wide(4), box("RULE", 100, 245, 560)]
+    return [
+        ("columns", wide(6), names("l", 6) + names("r", 6)),
+        ("divider", rule, ["l0", "l1", "r0", "r1", "RULE", "l2", "l3", "r2", "r3"]),
+        ("three", three, names("a", 6) + names("b", 6) + names("c", 6)),
+        ("padded", padded, names("l", 8) + names("r", 8)),
+        ("merged", merged, [*names("l", 4), "l5", "l6", "l7", *names("r", 4), "m", "r5", "r6", "r7"]),
+        ("numbered", numbered, [x for i in range(6) for x in (f"n{i}", f"t{i}")]),
+        ("heading", [box("H", 10, 20, 220), *two(6, 60)], ["H", *names("l", 6), *names("r", 6)]),
+        ("nested", [*[box(f"i{k}", 10, 20 + 20 * k, 220) for k in range(3)], *two(6, 140)], [*names("i", 3), *names("l", 6), *names("r", 6)]),
+        ("single", [box(f"s{i}", 10, 20 + 20 * i, 20) for i in range(10)], names("s", 10)),
+        ("unplaced", [(f"u{i}", None, None, None, None) for i in range(3)] + [box("a", 10, 40, 20)], ["u0", "u1", "u2", "a"]),
+    ]
+
+
+_SHAPE_SQL = " UNION ALL ".join(f"SELECT '{name}' AS shape, '{' '.join(order)}' AS reading" for name, _, order in _shapes())
+
+
+def shape_spans(spark, d):
+    """The pages for each nation, moved sideways and down by its key, which changes no order."""
+    rows = [(name, i, *box) for name, boxes, _ in _shapes() for i, box in enumerate(boxes)]
+    shapes = spark.createDataFrame(rows, "shape string, ord long, text string, l double, t double, r double, b double")
+    nations = read(spark, d, "nation").select("n_nationkey")
+    moved = nations.crossJoin(F.broadcast(shapes))  # a fixed set of boxes beside each nation
+    by = F.col("n_nationkey") * 7.0
+    return moved.select(F.concat_ws(":", "n_nationkey", "shape").alias("page"), "ord", "text", *[(F.col(c) + by).alias(c) for c in "ltrb"])
+
+
+@query(f"SELECT n_nationkey || ':' || shape AS page, reading FROM nation, ({_SHAPE_SQL})")
+def g5_page_shapes(spark, d):
+    order = layout.reading_order(shape_spans(spark, d))
+    words = F.sort_array(F.collect_list(F.struct("pos", "text")))
+    return order.groupBy("page").agg(F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("reading"))
+
+
+@query("""WITH o AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)
+SELECT doc_id, len(x) AS lines, md5(array_to_string(list_transform(list_reduce(list_transform(x, lambda t: [t]), lambda a, b: a || b), lambda t: regexp_replace(regexp_replace(t, '^[ ]+', ''), '[ ]+$', '')), '|')) AS digest FROM o""")
+def g6_page_text(spark, d):
+    """Lines of a page from the order of its words, one word a line here: the words of a line joined, lines in order."""
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    order = lines.select(F.col("doc_id").alias("page"), F.lit(0).alias("region"), "line", F.col("line").alias("pos"), F.trim("text").alias("text"))
+    texts = layout.page_texts(order)
+    return texts.select(F.col("page").alias("doc_id"), F.size("lines").cast("long").alias("lines"), F.md5(F.array_join("lines", "|").cast("binary")).alias("digest"))
