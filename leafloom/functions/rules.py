@@ -11,6 +11,8 @@ SCORE_WEIGHT = 0.8
 PSM_ORDER = [3, 6, 12, 11, 4, 1]
 CI_CHAR, CI_WORD, EPSILON = 0.30, 0.80, 1e-9
 PLAIN_CONTRAST = 2.0
+CONTRAST_BANDS = [(34.0, 2.0), (40.0, 2.5), (46.0, 2.0), (67.0, 3.0), (float("inf"), 2.0)]
+PSM_BANDS = [(10.0, 12), (49.0, 3), (69.2, 6), (float("inf"), 3)]
 # Thresholds and words of the orientation check, by script where they differ.
 PAPER_MIN, MIN_BLOCKS = 96, 8
 MARGINS = {"latin": 0.05, "armenian": 0.02}
@@ -35,6 +37,11 @@ def band(value: Column, bands: list[tuple[float, float]]) -> Column:
     return F.when(value.isNull(), None).otherwise(first["setting"])
 
 
+def suggest(stddev: Column, dark_pct: Column) -> Column:
+    """Struct (contrast, psm) by the published band families."""
+    return F.struct(band(stddev, CONTRAST_BANDS).cast("double").alias("contrast"), band(dark_pct, PSM_BANDS).cast("int").alias("psm"))
+
+
 def gate(score: Column, english: Column, asked: bool = True) -> Column:
     """off, skipped (the scorer reads no such script), passed or failed: on the raw score, strictly below the floor."""
     if not asked:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafloom.functions import text as T
+
 
 def fixture_pairs(images: DataFrame, expected: DataFrame) -> DataFrame:
     """Images (stem, suffix, ...) that have a transcript of the same stem."""
@@ -19,6 +21,21 @@ def sweep_pairs(pairs: DataFrame, excluded: DataFrame) -> DataFrame:
     return pairs.join(excluded, "stem", "left_anti")
 
 
+def published_pairs(pairs: DataFrame, published: DataFrame) -> DataFrame:
+    """Pairs of any suffix whose stem is published."""
+    return pairs.join(published.select("stem"), "stem", "left_semi")
+
+
+def corpus_stems(files: DataFrame, path: Column) -> DataFrame:
+    """(stem) of the files that are not hidden, once each."""
+    return files.where(~F.startswith(T.file_name(path), F.lit("."))).select(T.stem(path).alias("stem")).distinct()
+
+
+def first_mention(df: DataFrame, value: str, order: str) -> DataFrame:
+    """(value, order) of each value where it comes first."""
+    return df.groupBy(value).agg(F.min(order).alias(order))
+
+
 def backend_summary(scores: DataFrame) -> DataFrame:
     """Means of both scores and total seconds by backend, over what is not null."""
     return scores.groupBy("backend").agg(F.avg("chr").alias("chr"), F.avg("wrd").alias("wrd"), F.sum("sec").alias("sec"), F.count("chr").alias("n"))

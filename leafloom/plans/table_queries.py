@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafloom.functions import text as T
@@ -97,12 +98,12 @@ def a3_group_means(spark, d):
     return evaluate.with_group_means(rows).select("backend", "layout", "fixture", F.round("chr", 6).alias("chr"), F.round("wrd", 6).alias("wrd"))
 
 
-_CELL = "coalesce(printf('%.4f', {0}), 'N/A')"
+_CELLS = ", ".join(f"coalesce(printf('%.{2 if m == 'sec' else 4}f', max({m}) FILTER (backend = '{b}')), 'N/A') AS \"{b}_{m}\"" for b in "ANR" for m in ("chr", "wrd", "sec"))
 
 
-@query(f"SELECT fixture, coalesce(printf('%.4f', max(chr) FILTER (backend = 'A')), 'N/A') AS \"A_chr\", coalesce(printf('%.2f', max(sec) FILTER (backend = 'R')), 'N/A') AS \"R_sec\" FROM ({_LONG}) GROUP BY 1")
+@query(f"SELECT fixture, {_CELLS} FROM ({_LONG}) GROUP BY 1")
 def k12_wide_benchmark(spark, d):
-    return evaluate.rendered(evaluate.wide(_long(spark, d), ["A", "N", "R"])).select("fixture", "A_chr", "R_sec")
+    return evaluate.rendered(evaluate.wide(_long(spark, d), ["A", "N", "R"]))
 
 
 @query(f"SELECT * FROM (SELECT fixture, backend, round(chr, 6) AS chr FROM ({_LONG}) WHERE backend IN ('A', 'R'))")
@@ -160,10 +161,16 @@ def w11_contiguous_runs(spark, d):
     return calibrate.contiguous_runs(low, "psm", "contrast", "low")
 
 
-@query("SELECT * FROM (VALUES ('contrast', 0, 10.0, 0.0, '10.0000', 1.5), ('contrast', 1, 25.0, 10.0, '25.0000', 2.0), ('contrast', 2, CAST('inf' AS DOUBLE), 25.0, 'unbounded', 2.5), ('psm', 0, CAST('inf' AS DOUBLE), 0.0, 'unbounded', 3.0)) t(setting, idx, upper, lower, shown, value)")
+@query("""WITH b AS (SELECT p_mfgr AS setting, p_size, row_number() OVER w - 1 AS idx, lead(p_size) OVER w AS more, avg(p_retailprice) AS value FROM part GROUP BY 1, 2 WINDOW w AS (PARTITION BY p_mfgr ORDER BY p_size)),
+u AS (SELECT setting, idx, CASE WHEN more IS NULL THEN CAST('inf' AS DOUBLE) ELSE p_size / 2 END AS upper, round(value, 4) AS value FROM b)
+SELECT setting, CAST(idx AS INTEGER) AS idx, upper, value, coalesce(lag(upper) OVER (PARTITION BY setting ORDER BY idx), 0.0) AS lower, CASE WHEN upper = 'inf' THEN 'unbounded' ELSE printf('%.4f', upper) END AS shown FROM u""")
 def w10_band_bounds(spark, d):
-    rows = [("contrast", 0, 10.0, 1.5), ("contrast", 1, 25.0, 2.0), ("contrast", 2, float("inf"), 2.5), ("psm", 0, float("inf"), 3.0)]
-    return calibrate.band_rows(spark.createDataFrame(rows, "setting string, idx int, upper double, value double"))
+    """Bands of a setting by size, from the parts of each manufacturer; the last is unbounded."""
+    along = Window.partitionBy("setting").orderBy("p_size")
+    sizes = read(spark, d, "part").groupBy(F.col("p_mfgr").alias("setting"), "p_size").agg(F.round(F.avg("p_retailprice"), 4).alias("value"))
+    upper = F.when(F.lead("p_size").over(along).isNull(), float("inf")).otherwise(F.col("p_size") / 2)
+    rows = sizes.select("setting", (F.row_number().over(along) - 1).alias("idx"), upper.alias("upper"), "value")
+    return calibrate.band_rows(rows)
 
 
 _ROUTER = f"""WITH {_SCORES}, r AS (SELECT file, engine_ord, engine, round(score, 6) AS score, words, (file * 7 + engine_ord * 13) % 11 / 10 AS char_sim, greatest(max(words) OVER (PARTITION BY file), 1) AS most FROM s),
@@ -329,8 +336,6 @@ _LINES = "SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey
 UNION ALL SELECT s.page, s.ord, s.baseline, CASE WHEN abs(s.baseline - g.anchor) > 5 THEN s.baseline ELSE g.anchor END, CASE WHEN abs(s.baseline - g.anchor) > 5 THEN line + 1 ELSE line END FROM g JOIN s ON s.page = g.page AND s.ord = g.ord + 1)
 SELECT page, ord, line FROM g""")
 def w4_grouped_lines(spark, d):
-    from pyspark.sql import Window
-
     order = Window.partitionBy("l_orderkey").orderBy("l_quantity", "l_linenumber", "l_extendedprice", "l_partkey")
     spans = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.row_number().over(order).cast("long").alias("ord"), (F.col("l_linenumber") * 100.0).alias("left"), F.col("l_quantity").alias("baseline"), F.lit(5.0).alias("tolerance"))
     return layout.grouped_lines(spans)

@@ -139,10 +139,12 @@ def t15_path_pieces(spark, d):
     return read(spark, d, "pages").select("page_id", T.suffix(url).alias("suffix"), T.stem(url).alias("stem"), T.relative(url, "https://").alias("relative"))
 
 
-@query(f"SELECT conv_id, array_to_string(list_transform(list_sort(list(x)), lambda v: v.t), chr(10)) AS block FROM (SELECT conv_id, {{'i': turn, 't': {strip_sql('text')}}} AS x FROM conversations WHERE role NOT IN ('image', 'figure', 'seal', 'chart', 'formula_number') AND role <> 'user') GROUP BY conv_id")
+@query(f"WITH c AS (SELECT conv_id, turn, role, text FROM conversations GROUP BY ALL) SELECT conv_id, coalesce(array_to_string(list_transform(list_sort(list(x) FILTER (turn % 5 <> 3)), lambda v: v.t), chr(10)), '') AS block FROM (SELECT conv_id, turn, {{'i': turn, 'l': role, 't': {strip_sql('text')}}} AS x FROM c) GROUP BY conv_id")
 def t17_block_text(spark, d):
-    turns = read(spark, d, "conversations").where("role <> 'user'").groupBy("conv_id")
-    own = turns.agg(F.sort_array(F.collect_list(F.struct("turn", F.col("role").alias("label"), T.strip(F.col("text")).alias("text")))).alias("b"))
+    """Turns as blocks: every fifth is a figure, which is skipped."""
+    label = F.when(F.col("turn") % 5 == 3, "figure").otherwise(F.col("role")).alias("label")
+    turns = read(spark, d, "conversations").select("conv_id", "turn", "role", "text").distinct().groupBy("conv_id")
+    own = turns.agg(F.sort_array(F.collect_list(F.struct("turn", "role", T.strip(F.col("text")).alias("text"), label))).alias("b"))
     return own.select("conv_id", T.block_text(F.col("b")).alias("block"))
 
 

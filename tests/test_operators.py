@@ -4,7 +4,7 @@ import random
 import pandas as pd
 import pytest
 
-from leafloom.operators import calibrate, evaluate, layout, registers, route, triage
+from leafloom.operators import batch, calibrate, evaluate, layout, registers, route, study, triage
 from leafloom.sources import tables
 
 
@@ -136,3 +136,72 @@ def test_live_log(spark, tmp_path):
     query = live.writeStream.outputMode("complete").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert [tuple(r) for r in spark.sql("SELECT * FROM live").collect()] == [("a", 2, 5.0)]
+
+
+def test_page_shapes():
+    from leafloom.plans.table_queries import _shapes
+
+    for name, boxes, want in _shapes():
+        assert ordered(boxes) == want, name
+
+
+def test_evaluated_table_skips_failed_pages(spark):
+    rows = [("f", "a", "alpha beta", 1.0), ("f", "b", "alpha", 2.0), ("g", "a", "x", 1.0), ("g", "b", None, 2.0), ("z", "a", "not expected", 9.0)]
+    texts = spark.createDataFrame(rows, "fixture string, backend string, text string, sec double")
+    expected = spark.createDataFrame([("f", "alpha beta"), ("g", "x")], "fixture string, expected string")
+    table = {r["fixture"]: r.asDict() for r in study.evaluated(texts, expected, ["a", "b"]).collect()}
+    assert set(table) == {"f", "g", "Average"} and table["g"]["b_chr"] is None and table["Average"]["b_wrd"] == 0.5
+    assert table["Average"]["a_chr"] == 1.0 and table["Average"]["a_sec"] == 2.0 and table["f"]["b_chr"] == pytest.approx(2 / 3, abs=1e-3)
+
+
+def test_serialisations_keep_recall(spark):
+    spans = spark.createDataFrame([("p", i, *s) for i, s in enumerate(columns())], "page string, ord long, text string, l double, t double, r double, b double")
+    expected = spark.createDataFrame([("p", " ".join(f"{c}{i}" for c in "LR" for i in range(6)))], "page string, expected string")
+    scores = study.serialisation_scores(spans, expected)
+    by = {r["strategy"]: (r["chr"], r["wrd"]) for r in scores.collect()}
+    assert by["column"] == (1.0, 1.0) and by["linesort"][0] < 1 and study.uneven(scores).count() == 0
+
+
+def test_refusals(spark):
+    a = spark.createDataFrame([("d", 1), ("d", 2)], "doc string, page int")
+    with pytest.raises(ValueError):
+        study.zipped(a.withColumn("x", a["page"]), a.where("page = 1").withColumn("y", a["page"]), "doc", "page")
+    means = spark.createDataFrame([(0.1, 0.2, 0.3, 0, 1, 4)], "plain double, fitted double, oracle double, regressions long, unmet long, fixtures long")
+    with pytest.raises(ValueError):
+        study.writable(means)
+
+
+def test_batch_states(spark):
+    files = spark.createDataFrame([("a", "x/a.pdf", 10, 10, 1), ("b", "x/b.png", 40_000, 1, 1), ("c", "x/c.png", 1, 1, 1)], "file string, path string, width int, height int, pages int")
+    scored = candidates(spark, [("a", 0, "e", "text", 9, 0.5), ("b", 0, "e", "text", 9, 0.5)])
+    rows = {r["file"]: r for r in batch.processed(files, scored, "pdf,md").collect()}
+    assert rows["a"]["outputs"] == ["a.searchable.pdf", "a.md"] and rows["a"]["location"] == "processed"
+    assert (rows["b"]["status"], rows["b"]["note"], rows["c"]["status"], rows["c"]["location"]) == ("refused", "side too long", "error", "scans")
+    assert {r["status"]: r["outputs"] for r in batch.summary(batch.processed(files, scored, None)).collect()} == {"processed": 1, "refused": 0, "error": 0}
+
+
+def test_large_lexicon_is_joined_in_two(spark):
+    df = spark.createDataFrame([("f", 0, "e", "the cat the dog unknown word here"), ("g", 0, "e", ""), ("g", 1, "e2", "cat cat")], "file string, engine_ord int, engine string, text string")
+    lexicon = spark.createDataFrame([("the", 50), ("cat", 3), ("dog", 2), ("here", 1)], "word string, n long")
+    words = spark.createDataFrame([(w,) for w in ("the", "cat", "dog", "here", "unknown", "the")], "word string")
+    by = lambda most: sorted(map(tuple, route.with_counts(words, lexicon, 56, 4, most).select("word", "n").collect()), key=str)
+    assert by(10) == by(2) == by(1)
+    assert [tuple(r) for r in route.quality_scores(df, lexicon).orderBy("file", "engine_ord").select("words", "coverage", "score").collect()][1] == (0, 0.0, 0.0)
+
+
+def test_reading_files_back(spark, tmp_path):
+    from leafloom.sources import engines
+
+    (tmp_path / "s.csv").write_text("fixture,contrast,psm,char_sim,word_recall,seconds\nf,2.0,3,0.5,0.4,1.5\n")
+    assert tables.typed_csv(spark, str(tmp_path / "s.csv"), tables.SWEEP).first()["psm"] == 3
+    (tmp_path / "b.csv").write_text("backend,page,char_sim,word_recall\na,1,0.5,0.5\na,2,,\n")
+    assert tables.baselines(spark, str(tmp_path / "b.csv")).count() == 1
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "A.PDF").write_bytes(b"%PDF")
+    (tmp_path / "in" / "n.txt").write_text("x")
+    assert [r["stem"] for r in tables.scan(spark, str(tmp_path / "in"), [".pdf"]).select("stem").collect()] == ["A"]
+    files = spark.createDataFrame([("a", ".png", 1, "words"), ("b", ".pdf", 3, "more")], "file string, suffix string, pages int, content string")
+    own = [engines.existing("one", "content", (".png", ".pdf")), engines.Engine("two", lambda c, s: c, (".pdf",), True)]
+    assert {(r["file"], r["engine"]) for r in engines.transcribed(files, own).collect()} == {("a", "one"), ("b", "one")}
+    cache = spark.createDataFrame([("a", "one")], "file string, engine string")
+    assert {tuple(r) for r in engines.missing(files, own, cache).collect()} == {("b", "one"), ("b", "two")}
