@@ -103,7 +103,7 @@ def shared_counts(key: tuple, index: pd.DataFrame, asked: pd.DataFrame) -> pd.Da
     arrays, codes = np.sort(index["code"].to_numpy()), asked["code"].to_numpy()
     bounds = [prefix_ranges(arrays, codes, dim, s) for s in range(1, string_length(dim) + 1)]
     counts = np.stack([b - a for a, b in bounds], axis=1) if len(codes) else np.zeros((0, 1))
-    return pd.DataFrame({"query_id": asked["vec_id"].to_numpy(), "dim": dim, "tree": tree, "counts": list(counts)})
+    return pd.DataFrame({"query_id": asked["vec_id"].to_numpy(), "dim": dim, "tree": tree, "counts": pd.Series(list(counts), dtype=object)})
 
 
 def ascended(density: float, growth: float, fewest: int):
