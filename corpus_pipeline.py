@@ -14,7 +14,7 @@ from leafloom.llm.common import table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found go."""
+    """Documents in which no language is found go, and those surely in another language than they say."""
     return language_id.known_language(docs, language_id.train(docs))
 
 
