@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -121,16 +123,25 @@ def fitted_bands(fixtures: list[dict], values: list, most: int) -> tuple[tuple,
 
     The fit is over a handful of fixtures by design, so it runs on the driver.
     """
-    ordered = sorted(fixtures, key=lambda f: f["feature"])
-    groups = [list(g) for _, g in itertools.groupby(ordered, key=lambda f: f["feature"])]
+    groups = tied(fixtures, "feature")
     costs = [{v: tuple(map(sum, zip(*[f["cost"][v] for f in g], strict=True))) for v in values} for g in groups]
     cost, chosen = best_partition(costs, most)
-    bands = []
-    for i, value in enumerate(chosen):
-        if i + 1 == len(chosen) or chosen[i + 1] != value:
-            upper = math.inf if i + 1 == len(chosen) else edge(groups[i][0]["feature"], groups[i + 1][0]["feature"])
-            bands.append((upper, value))
-    return cost, bands
+    return cost, banded([g[0]["feature"] for g in groups], chosen)
+
+
+def tied(fixtures: list[dict], feature: str) -> list[list[dict]]:
+    """Fixtures by ascending feature, those with equal ones together."""
+    return [list(g) for _, g in itertools.groupby(sorted(fixtures, key=lambda f: f[feature]), key=lambda f: f[feature])]
+
+
+def banded(features: list[float], chosen: list) -> list[tuple[float, object]]:
+    """Bands (bound, value) of the values chosen along ascending features."""
+    ends = [i for i in range(len(chosen)) if i + 1 == len(chosen) or chosen[i + 1] != chosen[i]]
+    return [(math.inf if i + 1 == len(chosen) else edge(features[i], features[i + 1]), chosen[i]) for i in ends]
+
+
+def band_value(bands: list[tuple[float, object]], feature: float) -> object:
+    return next(v for upper, v in bands if feature < upper)
 
 
 def edge(low: float, high: float) -> float:
@@ -143,5 +154,44 @@ def leave_one_out(fixtures: list[dict], values: list, most: int) -> list[tuple[s
     out = []
     for held in fixtures:
         _, bands = fitted_bands([f for f in fixtures if f is not held], values, most)
-        out.append((held["fixture"], next(v for upper, v in bands if held["feature"] < upper)))
+        out.append((held["fixture"], band_value(bands, held["feature"])))
     return out
+
+
+def joint_fit(spark: SparkSession, fixtures: list[dict], contrasts: list, psms: list, most_contrasts: int, most_psms: int) -> tuple[tuple, list, list]:
+    """(cost, bands of contrast over stddev, bands of psm over dark_pct) that cost least together.
+
+    Fixtures hold `stddev`, `dark_pct` and `cost` by (contrast, psm). The cost of a cell depends on both settings, so
+    each way to band psm is a row, for which a task finds the best bands of contrast; of equal costs the first way wins.
+    """
+    dark = tied(fixtures, "dark_pct")
+    ways = pd.DataFrame(enumerate(step_functions(len(dark), psms, most_psms)), columns=["way", "psm"])
+
+    def bands_of(psm: list) -> tuple[tuple, list]:
+        own = [(f, p) for g, p in zip(dark, psm, strict=True) for f in g]
+        return fitted_bands([{"feature": f["stddev"], "cost": {c: f["cost"][c, p] for c in contrasts}} for f, p in own], contrasts, most_contrasts)
+
+    def priced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            costs = [[round(float(x), 9) for x in bands_of(psm.tolist())[0]] for psm in pdf["psm"]]
+            yield pd.DataFrame({"cost": costs, "way": pdf["way"]})
+
+    rows = spark.createDataFrame(ways, "way long, psm array<long>").repartition(spark.sparkContext.defaultParallelism)
+    best = rows.mapInPandas(priced, "cost array<double>, way long").agg(F.min(F.struct("cost", "way")).alias("b")).first()["b"]
+    psm = ways["psm"][best["way"]]
+    return tuple(best["cost"]), bands_of(psm)[1], banded([g[0]["dark_pct"] for g in dark], psm)
+
+
+def joint_leave_one_out(spark: SparkSession, fixtures: list[dict], contrasts: list, psms: list, most_contrasts: int, most_psms: int) -> tuple[DataFrame, float]:
+    """Rows (fixture, contrast, psm, regret): each scored by the bands of the others; and the gap of their mean to the in-sample one.
+
+    Regret is the second field of a cost, as in `cell_costs`.
+    """
+    rows = []
+    for held in fixtures:
+        _, contrast_bands, psm_bands = joint_fit(spark, [f for f in fixtures if f is not held], contrasts, psms, most_contrasts, most_psms)
+        cell = band_value(contrast_bands, held["stddev"]), band_value(psm_bands, held["dark_pct"])
+        rows.append((held["fixture"], float(cell[0]), int(cell[1]), float(held["cost"][cell][1])))
+    inside = joint_fit(spark, fixtures, contrasts, psms, most_contrasts, most_psms)[0][1]
+    out = spark.createDataFrame(rows, "fixture string, contrast double, psm int, regret double")
+    return out, (sum(r[3] for r in rows) - inside) / len(rows)

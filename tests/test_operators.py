@@ -67,6 +67,29 @@ def test_best_partition_is_exact():
         assert got == pytest.approx(want)
 
 
+def test_joint_fit_beats_every_pair_of_bandings(spark):
+    chance = random.Random(5)
+    contrasts, psms = [1.0, 1.5], [3, 6]
+    cells = list(itertools.product(contrasts, psms))
+    fixtures = [
+        {"fixture": str(i), "stddev": s, "dark_pct": d, "cost": {c: (chance.randrange(2), chance.randrange(8) / 8) for c in cells}}
+        for i, (s, d) in enumerate([(5.0, 2.0), (9.0, 1.0), (7.0, 4.0), (9.0, 3.0), (2.0, 3.0)])
+    ]
+    light, dark = calibrate.tied(fixtures, "stddev"), calibrate.tied(fixtures, "dark_pct")
+    place = lambda groups: {f["fixture"]: i for i, g in enumerate(groups) for f in g}
+    at, to = place(light), place(dark)
+    total = lambda c, p: tuple(map(sum, zip(*[f["cost"][c[at[f["fixture"]]], p[to[f["fixture"]]]] for f in fixtures], strict=True)))
+    least = min(total(c, p) for c in calibrate.step_functions(len(light), contrasts, 2) for p in calibrate.step_functions(len(dark), psms, 2))
+    cost, contrast_bands, psm_bands = calibrate.joint_fit(spark, fixtures, contrasts, psms, 2, 2)
+    assert cost == least
+    chosen = [f["cost"][calibrate.band_value(contrast_bands, f["stddev"]), calibrate.band_value(psm_bands, f["dark_pct"])] for f in fixtures]
+    assert tuple(map(sum, zip(*chosen, strict=True))) == least
+    rows, gap = calibrate.joint_leave_one_out(spark, fixtures, contrasts, psms, 2, 2)
+    rows = rows.toPandas()
+    assert len(rows) == 5 and gap == pytest.approx(rows["regret"].mean() - least[1] / 5)
+    assert all(r.regret == fixtures[int(r.fixture)]["cost"][r.contrast, r.psm][1] for r in rows.itertuples())
+
+
 def test_bands_and_leave_one_out():
     fixtures = [{"fixture": str(i), "feature": float(i), "cost": {1: (0, abs(i - 1)), 2: (0, abs(i - 5))}} for i in range(6)]
     _, bands = calibrate.fitted_bands(fixtures, [1, 2], 2)
