@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from leafloom.functions.blocks import ratios
+
 # White space as Python's str.isspace has it, letters that need folding, dashes that break words.
 WS = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
 #: Runs of white space that are not one plain space: what has to be replaced.
@@ -60,16 +61,8 @@ def char_count(text: Column) -> Column:
 @F.pandas_udf(DoubleType())
 def character_similarity(actual: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp ratio of two normalised texts (actual, expected); the order matters. Null if either is."""
-
-    def ratio(a: str | None, b: str | None) -> float | None:
-        if a is None or b is None:
-            return None
-        if not a or not b:
-            return float(a == b)
-        return 1.0 if a == b else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
-
     for left, right in actual:
-        yield pd.Series([ratio(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
+        yield pd.Series(ratios(left.tolist(), right.tolist()), dtype="float64")
 
 
 def wanted_words(expected: Column) -> Column:

@@ -49,10 +49,13 @@ def moving_average(profile: DataFrame, width: int) -> DataFrame:
 
 
 def block_vote(blocks: DataFrame) -> DataFrame:
-    """(image, vote, blocks): median log ratio of row to column variance of the blocks with a plausible share of ink."""
-    vote = F.log((F.col("var_row") + 1e-9) / (F.col("var_col") + 1e-9))
-    kept = blocks.where((F.col("mean") >= 0.005) & (F.col("mean") <= 0.5) & (F.col("peak") <= 8 * F.col("mean")))
-    return kept.groupBy("image").agg(F.median(vote).alias("vote"), F.count("*").alias("blocks"))
+    """(image, vote, blocks): median log ratio of row to column variance of the blocks with a plausible share of ink.
+
+    A block without variance has no direction and is left out; an image without any block left has vote 0 of 0 blocks.
+    """
+    plausible = (F.col("mean") >= 0.005) & (F.col("mean") <= 0.5) & (F.col("peak") <= 8 * F.col("mean")) & (F.col("var_row") + F.col("var_col") > 0)
+    vote = F.when(plausible, F.log((F.col("var_row") + 1e-9) / (F.col("var_col") + 1e-9)))
+    return blocks.groupBy("image").agg(F.coalesce(F.median(vote), F.lit(0.0)).alias("vote"), F.count(vote).alias("blocks"))
 
 
 def lifted(levels: DataFrame) -> DataFrame:

@@ -55,7 +55,9 @@ def gutters(spans: DataFrame, steps: int = 80) -> DataFrame:
     """(page, gutter): of 81 positions over the middle 40 % of the width, the one that fewest boxes cross (first wins);
     null with fewer than four placed spans, too many crossings, or a side that is too thin."""
     placed = spans.where("l is not null").groupBy("page").agg(F.collect_list(F.struct("l", "r")).alias("s"), F.min("l").alias("low"), F.max("r").alias("high"), F.count("*").alias("n"))
-    at = lambda i: F.col("low") + (F.col("high") - F.col("low")) * (0.3 + 0.4 * i / steps)
+    first, last = F.col("low") + 0.3 * (F.col("high") - F.col("low")), F.col("low") + 0.7 * (F.col("high") - F.col("low"))
+    # In this order of operations: a box that ends on a place crosses it or not by the last bit.
+    at = lambda i: first + (last - first) * i / steps
     crossed = lambda x: F.size(F.filter("s", lambda s: (s["l"] < x) & (s["r"] > x)))
     tried = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.struct(crossed(at(i)).alias("crossings"), i.alias("i")))
     best = placed.withColumn("b", F.array_min(tried)).withColumn("x", at(F.col("b.i")))

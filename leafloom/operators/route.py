@@ -32,7 +32,7 @@ def with_counts(words: DataFrame, lexicon: DataFrame, total: int, size: int, mos
 
 
 def quality_scores(candidates: DataFrame, lexicon: DataFrame, most_tokens: int = 1024) -> DataFrame:
-    """(file, engine_ord, engine, words, english, coverage, perplexity, score) of candidates (file, engine_ord, engine, text).
+    """(file, engine_ord, engine, words, english, n_tokens, n_unknown, coverage, perplexity, score) of candidates (file, engine_ord, engine, text).
 
     Coverage: a repeated unknown word costs once. Perplexity: an add-one unigram model of the lexicon stands in for a
     neural scorer; the first `most_tokens` tokens, as those are all such a scorer reads, and 1000 below five tokens.
@@ -63,7 +63,7 @@ def quality_scores(candidates: DataFrame, lexicon: DataFrame, most_tokens: int =
     perplexity = F.when(n < 5, 1000.0).otherwise(F.exp(-F.col("mean_log")))
     out = sums.withColumn("coverage", coverage).withColumn("perplexity", perplexity)
     score = F.when(F.col("blank"), 0.0).otherwise(F.col("coverage") / F.log1p("perplexity"))
-    return out.select("file", "engine_ord", "engine", "words", "english", "coverage", "perplexity", score.alias("score"))
+    return out.select("file", "engine_ord", "engine", "words", "english", "n_tokens", "n_unknown", "coverage", "perplexity", score.alias("score"))
 
 
 def eligible(engines: DataFrame, files: DataFrame, gpu: bool = False, opted_in: tuple[str, ...] = ()) -> DataFrame:

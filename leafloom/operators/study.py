@@ -19,8 +19,12 @@ def scored_pairs(transcripts: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def evaluated(transcripts: DataFrame, expected: DataFrame, backends: list[str]) -> DataFrame:
-    """The wide table of all engines with its Average row: means of scores, total seconds."""
-    table = evaluate.wide(scored_pairs(transcripts, expected), backends)
+    """The wide table of all engines with its Average row."""
+    return with_average(evaluate.wide(scored_pairs(transcripts, expected), backends))
+
+
+def with_average(table: DataFrame) -> DataFrame:
+    """A wide table and its Average row: means of scores, total seconds."""
     means = [(F.sum if c.endswith("_sec") else F.avg)(c).alias(c) for c in table.columns if c != "fixture"]
     average = table.agg(*means).select(F.lit("Average").alias("fixture"), *table.columns[1:])
     return table.withColumn("fixture", F.col("fixture").cast("string")).unionByName(average)
@@ -52,6 +56,17 @@ def serialisation_scores(spans: DataFrame, expected: DataFrame) -> DataFrame:
     return pairs.select("page", "strategy", ratio.alias("chr"), T.word_recall(F.col("text"), F.col("expected")).alias("wrd"))
 
 
+def reading_order_study(spans: DataFrame, expected: DataFrame, layouts: DataFrame) -> DataFrame:
+    """(backend, layout, fixture, chr, wrd): every serialisation of every page of (page, layout) and, for each serialisation
+    and layout, a `mean` row. Refused if a page's recall differs between serialisations, as then an order lost words."""
+    scores = serialisation_scores(spans, expected)
+    odd = uneven(scores).limit(5).collect()
+    if odd:
+        raise ValueError(f"serialisations of one page with different words: {odd}")
+    rows = scores.join(layouts, "page").select(F.col("strategy").alias("backend"), "layout", F.col("page").alias("fixture"), "chr", "wrd")
+    return evaluate.with_group_means(rows).drop("is_mean")
+
+
 def uneven(scores: DataFrame) -> DataFrame:
     """Pages whose recall differs between serialisations: must be empty, as an order loses no word."""
     return scores.groupBy("page").agg(F.min(F.round("wrd", 9)).alias("low"), F.max(F.round("wrd", 9)).alias("high")).where("low < high")

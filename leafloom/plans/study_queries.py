@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leafloom.functions import outputs, rules
 from leafloom.functions import text as T
 from leafloom.operators import batch, calibrate, evaluate, registers, study
-from leafloom.plans.table_queries import _BOXES, _LONG, _REG, _SHAPE_SQL, _boxes, _long, shape_spans
+from leafloom.plans.table_queries import _BOXES, _LONG, _REG, _SHAPE_SQL, _boxes, _long, page_spans, shape_spans
 from leafloom.plans.text_queries import _RECALL, _ROUTE, _scored
 from leafloom.plans.views import CONTRASTS, PSMS, SWEEP_SQL, candidates, candidates_sql, engine_pages, read, sweep
 
@@ -74,6 +74,20 @@ def q3_evaluate(spark, d):
     return evaluate.backend_summary(scores).select("backend", F.round("wrd", 6).alias("wrd"), "n")
 
 
+@query()
+def q3_wide_table(spark, d):
+    """The table of all engines over whole documents, similarity and recall, seconds by rule, with its Average row."""
+    docs = read(spark, d, "documents").withColumns({"expected": T.normalise(F.col("text")), "wanted": T.wanted_words(F.col("text"))})
+    pairs = candidates(docs, also=["expected", "wanted"]).where("engine <> 'full'")
+    missing = (F.col("engine") == "reversed") & (F.col("file") % 7 == 0)
+    text = F.when(~missing, F.col("text"))
+    scores = pairs.select(
+        F.col("file").alias("fixture"), F.col("engine").alias("backend"), T.character_similarity(T.normalise(text), F.col("expected")).alias("chr"),
+        F.when(~missing, T.recall_of(F.col("text"), F.col("wanted"))).alias("wrd"), F.when(~missing, F.length("text") / 1000).alias("sec"),
+    )
+    return study.with_average(evaluate.wide(scores, ["half", "lower", "garbled", "reversed"]))
+
+
 @query(f"SELECT backend, round(avg(chr), 6) AS chr, round(avg(wrd), 6) AS wrd FROM ({_LONG}) WHERE backend IN ('A', 'R') GROUP BY 1")
 def a10_averages(spark, d):
     return study.averages(evaluate.wide(_long(spark, d), ["A", "R", "none"])).select("backend", F.round("chr", 6).alias("chr"), F.round("wrd", 6).alias("wrd"))
@@ -88,6 +102,26 @@ def g7_serialisations(spark, d):
     return pairs.select("page", "strategy", F.round(T.word_recall(F.col("text"), F.col("expected")), 6).alias("wrd"))
 
 
+def _true_order(spans):
+    """(page, expected) of the pages that the documents' words fill: down the first column, then the second."""
+    return spans.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("l", "b", "text"))).alias("w")).select("page", F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("expected"))
+
+
+@query()
+def g7_serialisation_scores(spark, d):
+    """Similarity and recall of the engine's order, the line order and the reading order of all documents' words, as pages."""
+    spans = page_spans(spark, d)
+    return study.serialisation_scores(spans, _true_order(spans)).select("page", "strategy", F.round("chr", 6).alias("chr"), F.round("wrd", 6).alias("wrd"))
+
+
+@query()
+def q8_reading_order(spark, d):
+    """The reading-order study over all documents' words, as pages: every serialisation, and means by layout."""
+    spans = page_spans(spark, d)
+    layouts = spans.groupBy("page").agg(F.when(F.count_distinct("l") > 1, "multi-column").otherwise("single-column").alias("layout"))
+    return study.reading_order_study(spans, _true_order(spans), layouts).select("backend", "layout", "fixture", F.round("chr", 6).alias("chr"), F.round("wrd", 6).alias("wrd"))
+
+
 _SORTED = {
     "columns": "l0 r0 l1 r1 l2 r2 l3 r3 l4 r4 l5 r5", "divider": "l0 r0 l1 r1 RULE l2 r2 l3 r3", "three": " ".join(f"{c}{i}" for i in range(6) for c in "abc"),
     "merged": "l0 r0 l1 r1 l2 r2 l3 r3 m l5 r5 l6 r6 l7 r7", "single": " ".join(f"s{i}" for i in range(10)),

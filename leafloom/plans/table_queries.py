@@ -299,6 +299,49 @@ def a17_grey_statistics(spark, d):
 _PROFILE = "SELECT l_suppkey AS image, x, v AS value FROM (SELECT l_suppkey, CAST(l_partkey % 300 AS BIGINT) AS x, max(l_quantity) AS v FROM lineitem GROUP BY ALL)"
 
 
+def _profile(spark, d):
+    return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("image"), (F.col("l_partkey") % 300).alias("x")).agg(F.max("l_quantity").alias("value"))
+
+
+@query(f"""WITH p AS ({_PROFILE}), b AS (SELECT *, min(value) OVER w AS low, max(value) OVER w AS high, count(*) OVER w AS width FROM p WINDOW w AS (PARTITION BY image)),
+m AS (SELECT *, value > (low + high) / 2 AS paper FROM b), i AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY x) - row_number() OVER (PARTITION BY image, paper ORDER BY x) AS g FROM m),
+r AS (SELECT image, paper, g, count(*) AS n, min(x) AS a, max(x) AS b, any_value(width) AS width, any_value(low) AS low, any_value(high) AS high FROM i GROUP BY image, paper, g),
+k AS (SELECT image, min(a) AS fi, max(b) AS li FROM r WHERE NOT paper GROUP BY 1)
+SELECT image, count(*) FILTER (paper AND n >= greatest(1, floor(width * 0.02)) AND a > fi AND b < li AND high - low >= 8) AS gutters FROM r LEFT JOIN k USING (image) GROUP BY image""")
+def w7_interior_gutters(spark, d):
+    return imagestat.interior_gutters(_profile(spark, d))
+
+
+@query(f"SELECT image, x, round(avg(value) OVER (PARTITION BY image ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS smooth FROM ({_PROFILE})")
+def w8_moving_average(spark, d):
+    return imagestat.moving_average(_profile(spark, d), 7).select("image", "x", F.round("smooth", 6).alias("smooth"))
+
+
+@query("""WITH b AS (SELECT l_suppkey AS image, CASE WHEN l_linenumber % 4 > 0 THEN l_quantity ELSE 0 END AS r, CASE WHEN l_linenumber % 4 > 0 THEN l_tax ELSE 0 END AS c, l_discount * 5 AS mean, l_discount * 20 + l_tax AS peak FROM lineitem),
+v AS (SELECT image, median(ln((r + 1e-9) / (c + 1e-9))) AS vote, count(*) AS blocks FROM b WHERE mean >= 0.005 AND mean <= 0.5 AND peak <= 8 * mean AND r + c > 0 GROUP BY 1)
+SELECT image, round(coalesce(vote, 0), 6) AS vote, coalesce(blocks, 0) AS blocks FROM (SELECT DISTINCT image FROM b) LEFT JOIN v USING (image)""")
+def a19_block_vote(spark, d):
+    some = F.col("l_linenumber") % 4 > 0
+    blocks = read(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("image"), F.when(some, F.col("l_quantity")).otherwise(0.0).alias("var_row"), F.when(some, F.col("l_tax")).otherwise(0.0).alias("var_col"),
+        (F.col("l_discount") * 5).alias("mean"), (F.col("l_discount") * 20 + F.col("l_tax")).alias("peak"),
+    )
+    return imagestat.block_vote(blocks).select("image", F.round("vote", 6).alias("vote"), "blocks")
+
+
+@query(f"WITH h AS ({_HIST}), r AS (SELECT *, sum(n) OVER (PARTITION BY image ORDER BY level) AS running, sum(n) OVER (PARTITION BY image) AS total FROM h) SELECT image, min(level) FILTER (running >= 0.5 * total) AS level FROM r GROUP BY image")
+def a16_histogram_quantile(spark, d):
+    return imagestat.histogram_quantile(_histogram(spark, d), 0.5)
+
+
+@query("SELECT l_suppkey AS image, round(stddev_pop(CAST(l_quantity * 5 AS BIGINT)), 6) AS stddev, round(100 * avg(CASE WHEN CAST(l_quantity * 5 AS BIGINT) < 128 THEN 1 ELSE 0 END), 6) AS dark_pct FROM lineitem GROUP BY 1")
+def a17_grey_statistics(spark, d):
+    return imagestat.grey_statistics(_histogram(spark, d)).select("image", F.round("stddev", 6).alias("stddev"), F.round("dark_pct", 6).alias("dark_pct"))
+
+
+_PROFILE = "SELECT l_suppkey AS image, x, v AS value FROM (SELECT l_suppkey, CAST(l_partkey % 300 AS BIGINT) AS x, max(l_quantity) AS v FROM lineitem GROUP BY ALL)"
+
+
 def _profile(spark, d):
     return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("image"), (F.col("l_partkey") % 300).alias("x")).agg(F.max("l_quantity").alias("value"))
 
@@ -363,7 +406,8 @@ def w5_line_tolerance(spark, d):
 
 
 @query(f"""WITH s AS (SELECT page // 8 AS page, ord, l, r FROM ({_BOXES})), p AS (SELECT page, min(l) AS low, max(r) AS high, count(*) AS n FROM s GROUP BY 1),
-x AS (SELECT page, i, low + (high - low) * (0.3 + 0.4 * i / 80) AS x, n FROM p, (SELECT unnest(range(81)) AS i)),
+f AS (SELECT page, n, low + CAST(0.3 AS DOUBLE) * (high - low) AS first, low + CAST(0.7 AS DOUBLE) * (high - low) AS last FROM p),
+x AS (SELECT page, i, first + (last - first) * CAST(i AS DOUBLE) / CAST(80 AS DOUBLE) AS x, n FROM f, (SELECT unnest(range(81)) AS i)),
 c AS (SELECT x.page, x.i, any_value(x.x) AS x, any_value(x.n) AS n, count(*) FILTER (s.l < x.x AND s.r > x.x) AS crossings, count(*) FILTER (s.r <= x.x) AS lefts, count(*) FILTER (s.l >= x.x) AS rights FROM x JOIN s ON s.page = x.page GROUP BY ALL),
 b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY page ORDER BY crossings, i) = 1)
 SELECT page, CASE WHEN n >= 4 AND crossings <= greatest(3.0, n * 0.05) AND least(lefts, rights) >= 0.15 * n THEN round(x, 6) END AS gutter FROM b""")
@@ -376,9 +420,8 @@ _TOKENS = r"SELECT doc_id, i // 120 AS part, i % 120 AS i, tok FROM (SELECT doc_
 
 def page_spans(spark, d):
     """Tokens of the documents, 120 a page, in two columns (one on pages of fewer than 12)."""
-    tokens = read(spark, d, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("i", "text"))
-    sizes = read(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("total"))
-    own = tokens.join(sizes, "doc_id").withColumn("part", F.floor(F.col("i") / 120))
+    words = read(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"))
+    own = words.select("doc_id", F.size("w").alias("total"), F.posexplode("w").alias("i", "text")).withColumn("part", F.floor(F.col("i") / 120))
     n = F.least(F.lit(120), F.col("total") - F.col("part") * 120)
     rows = F.when(n < 12, n).otherwise(F.ceil(n / 2))
     i = F.col("i") % 120

@@ -34,10 +34,10 @@ def t2_word_tokens(spark, d):
 
 @query()
 def t3_character_similarity(spark, d):
-    items = read(spark, d, "benchmark")
-    pairs = candidates(items, "item_id").join(items.select(F.col("item_id").alias("file"), F.col("text").alias("expected")), "file")
-    ratio = T.character_similarity(T.normalise(F.col("text")), T.normalise(F.col("expected")))
-    return pairs.select("file", "engine", F.round(ratio, 6).alias("char_sim"))
+    """Whole transcripts against whole documents; the document's text stands in the row of its transcripts."""
+    docs = read(spark, d, "documents").withColumn("expected", T.normalise(F.col("text")))
+    pairs = candidates(docs, also=["expected"])
+    return pairs.select("file", "engine", F.round(T.character_similarity(T.normalise(F.col("text")), F.col("expected")), 6).alias("char_sim"))
 
 
 _WANTED = rf"list_filter({tokens_sql(normalise_sql('e.text'))}, lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]'))"
@@ -67,7 +67,7 @@ c AS ({candidates_sql()}), lex AS ({LEXICON_SQL}), tot AS (SELECT sum(n) AS tota
 tok AS (SELECT file, engine_ord, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT file, engine_ord, {_TOKENS} AS w FROM c)),
 agg AS (SELECT file, engine_ord, count(*) AS n_tokens, count(DISTINCT CASE WHEN n IS NULL THEN word END) AS n_unknown,
   avg(CASE WHEN pos < 1024 THEN ln((coalesce(n, 0) + 1) / (total + size + 1)) END) AS mean_log FROM tok LEFT JOIN lex USING (word), tot GROUP BY 1, 2),
-m AS (SELECT c.*, len({tokens_sql('text')}) AS words, CASE WHEN coalesce(n_tokens, 0) = 0 THEN 0.0 ELSE (n_tokens - n_unknown) / n_tokens END AS coverage,
+m AS (SELECT c.*, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_unknown, 0) AS n_unknown, len({tokens_sql('text')}) AS words, CASE WHEN coalesce(n_tokens, 0) = 0 THEN 0.0 ELSE (n_tokens - n_unknown) / n_tokens END AS coverage,
   CASE WHEN coalesce(n_tokens, 0) < 5 THEN 1000.0 ELSE exp(-mean_log) END AS perplexity FROM c LEFT JOIN agg USING (file, engine_ord)),
 s AS (SELECT *, CASE WHEN {strip_sql('text')} = '' THEN 0.0 ELSE coverage / ln(1 + perplexity) END AS score FROM m)
 """
@@ -78,9 +78,9 @@ def _scored(spark, d):
     return route.quality_scores(candidates(docs), lexicon(docs))
 
 
-@query(f"WITH {_SCORES} SELECT file, engine, words, round(coverage, 6) AS coverage, round(perplexity, 3) AS perplexity, round(score, 6) AS score FROM s")
+@query(f"WITH {_SCORES} SELECT file, engine, words, n_tokens, n_unknown, round(perplexity, 3) AS perplexity, round(score, 6) AS score FROM s")
 def t8_quality_scores(spark, d):
-    return _scored(spark, d).select("file", "engine", F.col("words").cast("long"), F.round("coverage", 6).alias("coverage"), F.round("perplexity", 3).alias("perplexity"), F.round("score", 6).alias("score"))
+    return _scored(spark, d).select("file", "engine", F.col("words").cast("long"), F.col("n_tokens").cast("long"), "n_unknown", F.round("perplexity", 3).alias("perplexity"), F.round("score", 6).alias("score"))
 
 
 _ROUTE = rf"""

@@ -1,9 +1,13 @@
+import difflib
 import math
+import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafloom.functions import rules
+from leafloom.functions import blocks, rules
 from leafloom.functions import text as T
 
 
@@ -65,3 +69,57 @@ def test_gate(spark):
 def test_english_share_counts_ascii_only(spark):
     share = T.scores_english_text(F.col("t"))
     assert [one(spark, share, t=t) for t in ("ab éé", "a éé", "123", "")] == [True, False, True, True]
+
+
+def python_ratio(a, b):
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+def noisy_pairs(n, seed):
+    rng = random.Random(seed)
+    for k in range(n):
+        letters = rng.choice(["ab", "abc", "abcdefgh ", "aé漢😀 "])
+        b = "".join(rng.choice(letters) for _ in range(rng.randint(0, 70)))
+        other = "".join(rng.choice(letters) for _ in range(rng.randint(0, 70)))
+        yield other if k % 2 else "".join(c if rng.random() > 0.15 else rng.choice(letters) for c in b), b
+
+
+def test_ratio_equals_the_quadratic_one(monkeypatch):
+    """Many ties, chains of short blocks, other scripts; all pairs in one call and in many."""
+    pairs = list(noisy_pairs(600, 1))
+    want = [python_ratio(a, b) for a, b in pairs]
+    assert blocks.ratios([a for a, _ in pairs], [b for _, b in pairs]) == want
+    monkeypatch.setattr(blocks, "SLICE", 1)
+    assert blocks.ratios([a for a, _ in pairs[:60]], [b for _, b in pairs[:60]]) == want[:60]
+    assert blocks.ratios([None, "a", None], ["a", None, None]) == [None] * 3
+
+
+def test_ratio_of_windows_that_only_share_their_hash(monkeypatch):
+    """With hashes that say nothing every block found is compared as text, and the pair is scored again."""
+    monkeypatch.setattr(blocks._Hashes, "windows", lambda self, at, size: np.zeros(len(at), np.uint64))
+    pairs = list(noisy_pairs(40, 2))
+    assert blocks.ratios([a for a, _ in pairs], [b for _, b in pairs]) == [python_ratio(a, b) for a, b in pairs]
+
+
+def test_ratio_of_a_long_text():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    text = " ".join(rng.choice(words) for _ in range(20_000))
+    start = time.time()
+    assert 0.85 < blocks.ratios([text.translate(str.maketrans("eao", "c0q"))], [text])[0] < 0.95
+    assert time.time() - start < 20  # about 1.5 s alone
+
+
+def test_t3_on_whole_documents(spark, sf_dir):
+    from leafloom import plans
+
+    got = plans.QUERIES["t3_character_similarity"](spark, sf_dir).toPandas()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 1200").toPandas()
+    assert got["file"].nunique() == 200 and len(got) == 1000
+    norm = lambda t: " ".join(t.lower().replace("։", ":").replace("․", ".").replace("եւ", "և").split())
+    by = {(r.file, r.engine): r.char_sim for r in got.itertuples()}
+    for r in docs.head(25).itertuples():
+        texts = {"half": r.text[: len(r.text) // 2], "garbled": r.text.translate(str.maketrans("eao", "c0q")), "reversed": "" if r.doc_id % 7 == 0 else r.text[::-1]}
+        for engine, t in texts.items():
+            a, b = norm(t), norm(r.text)
+            assert by[r.doc_id, engine] == pytest.approx(python_ratio(a, b) if a and b else float(a == b), abs=1e-6)

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pandas as pd
@@ -228,3 +229,38 @@ def test_reading_files_back(spark, tmp_path):
     assert {(r["file"], r["engine"]) for r in engines.transcribed(files, own).collect()} == {("a", "one"), ("b", "one")}
     cache = spark.createDataFrame([("a", "one")], "file string, engine string")
     assert {tuple(r) for r in engines.missing(files, own, cache).collect()} == {("b", "one"), ("b", "two")}
+
+
+def test_evaluation_over_documents(spark, sf_dir):
+    """The wide table of q3: failed pages are left out of averages, and scores are those of the functions."""
+    from leafloom import plans
+
+    table = {r["fixture"]: r.asDict() for r in plans.QUERIES["q3_wide_table"](spark, sf_dir).collect()}
+    pages = [r for f, r in table.items() if f != "Average"]
+    assert len(pages) == 200 and all((r["reversed_chr"] is None) == (int(r["fixture"]) % 7 == 0) for r in pages)
+    for c, fold in (("half_chr", lambda x: sum(x) / len(x)), ("reversed_wrd", lambda x: sum(x) / len(x)), ("garbled_sec", sum)):
+        assert table["Average"][c] == pytest.approx(fold([r[c] for r in pages if r[c] is not None]))
+    assert all(r["lower_chr"] == 1.0 and 0 < r["half_chr"] < 0.7 for r in pages)
+
+
+def test_reading_order_study_over_documents(spark, sf_dir):
+    from leafloom import plans
+
+    rows = plans.QUERIES["q8_reading_order"](spark, sf_dir).toPandas()
+    one = rows[(rows["layout"] == "single-column") & (rows["fixture"] == "mean")]
+    assert set(one["chr"]) == {1.0}
+    several = rows[(rows["layout"] == "multi-column") & (rows["fixture"] == "mean")].set_index("backend")["chr"]
+    assert several["column"] == 1.0 and several["engine"] < 0.9 and several["linesort"] < 0.9
+    detail = rows[rows["fixture"] != "mean"]
+    assert set(detail["wrd"]) == {1.0}
+    mean = detail[(detail["backend"] == "engine") & (detail["layout"] == "multi-column")]["chr"].mean()
+    assert several["engine"] == pytest.approx(mean, abs=1e-5)
+
+
+def test_blocks_without_variance_have_no_direction(spark):
+    from leafloom.operators import imagestat
+
+    rows = [("blank", 0.0, 0.0, 0.1, 0.2)] * 9 + [("mixed", 0.0, 0.0, 0.1, 0.2), ("mixed", 4.0, 1.0, 0.1, 0.2)]
+    df = spark.createDataFrame(rows, "image string, var_row double, var_col double, mean double, peak double")
+    got = {r["image"]: (r["vote"], r["blocks"]) for r in imagestat.block_vote(df).collect()}
+    assert got["blank"] == (0.0, 0) and got["mixed"] == (pytest.approx(math.log(4.0)), 1)
