@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,16 +84,6 @@ def drifted(stored: DataFrame, derived: DataFrame) -> DataFrame:
     return stored.exceptAll(derived).withColumn("side", F.lit("stored")).unionByName(derived.exceptAll(stored).withColumn("side", F.lit("derived")))
 
 
-def step_functions(groups: int, values: list, most: int):
-    """All ways to give `groups` ordered places values in at most `most` runs, neighbours of which differ."""
-    for runs in range(1, min(most, groups) + 1):
-        for cuts in itertools.combinations(range(1, groups), runs - 1):
-            for chosen in itertools.product(values, repeat=runs):
-                if all(a != b for a, b in zip(chosen, chosen[1:], strict=False)):
-                    edges = [0, *cuts, groups]
-                    yield [v for v, a, b in zip(chosen, edges, edges[1:], strict=False) for _ in range(a, b)]
-
-
 def best_partition(costs: list[dict], most: int) -> tuple[tuple, list]:
     """The cheapest step function over ordered groups: costs[i][value] is a tuple that adds by field. Exact, by prefixes."""
     n, values = len(costs), list(costs[0])
@@ -156,42 +144,3 @@ def leave_one_out(fixtures: list[dict], values: list, most: int) -> list[tuple[s
         _, bands = fitted_bands([f for f in fixtures if f is not held], values, most)
         out.append((held["fixture"], band_value(bands, held["feature"])))
     return out
-
-
-def joint_fit(spark: SparkSession, fixtures: list[dict], contrasts: list, psms: list, most_contrasts: int, most_psms: int) -> tuple[tuple, list, list]:
-    """(cost, bands of contrast over stddev, bands of psm over dark_pct) that cost least together.
-
-    Fixtures hold `stddev`, `dark_pct` and `cost` by (contrast, psm). The cost of a cell depends on both settings, so
-    each way to band psm is a row, for which a task finds the best bands of contrast; of equal costs the first way wins.
-    """
-    dark = tied(fixtures, "dark_pct")
-    ways = pd.DataFrame(enumerate(step_functions(len(dark), psms, most_psms)), columns=["way", "psm"])
-
-    def bands_of(psm: list) -> tuple[tuple, list]:
-        own = [(f, p) for g, p in zip(dark, psm, strict=True) for f in g]
-        return fitted_bands([{"feature": f["stddev"], "cost": {c: f["cost"][c, p] for c in contrasts}} for f, p in own], contrasts, most_contrasts)
-
-    def priced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            costs = [[round(float(x), 9) for x in bands_of(psm.tolist())[0]] for psm in pdf["psm"]]
-            yield pd.DataFrame({"cost": costs, "way": pdf["way"]})
-
-    rows = spark.createDataFrame(ways, "way long, psm array<long>").repartition(spark.sparkContext.defaultParallelism)
-    best = rows.mapInPandas(priced, "cost array<double>, way long").agg(F.min(F.struct("cost", "way")).alias("b")).first()["b"]
-    psm = ways["psm"][best["way"]]
-    return tuple(best["cost"]), bands_of(psm)[1], banded([g[0]["dark_pct"] for g in dark], psm)
-
-
-def joint_leave_one_out(spark: SparkSession, fixtures: list[dict], contrasts: list, psms: list, most_contrasts: int, most_psms: int) -> tuple[DataFrame, float]:
-    """Rows (fixture, contrast, psm, regret): each scored by the bands of the others; and the gap of their mean to the in-sample one.
-
-    Regret is the second field of a cost, as in `cell_costs`.
-    """
-    rows = []
-    for held in fixtures:
-        _, contrast_bands, psm_bands = joint_fit(spark, [f for f in fixtures if f is not held], contrasts, psms, most_contrasts, most_psms)
-        cell = band_value(contrast_bands, held["stddev"]), band_value(psm_bands, held["dark_pct"])
-        rows.append((held["fixture"], float(cell[0]), int(cell[1]), float(held["cost"][cell][1])))
-    inside = joint_fit(spark, fixtures, contrasts, psms, most_contrasts, most_psms)[0][1]
-    out = spark.createDataFrame(rows, "fixture string, contrast double, psm int, regret double")
-    return out, (sum(r[3] for r in rows) - inside) / len(rows)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafloom.functions import outputs, rules
 from leafloom.functions import text as T
-from leafloom.operators import batch, calibrate, evaluate, registers, study
+from leafloom.operators import bandfit, batch, calibrate, evaluate, registers, study
 from leafloom.plans.table_queries import _BOXES, _LONG, _REG, _SHAPE_SQL, _boxes, _long, page_spans, shape_spans
 from leafloom.plans.text_queries import _RECALL, _ROUTE, _scored
 from leafloom.plans.views import CONTRASTS, PSMS, SWEEP_SQL, candidates, candidates_sql, engine_pages, read, sweep
@@ -186,6 +186,28 @@ def a21_fit_means(spark, d):
     return means.select(*[F.round(c, 6).alias(c) for c in ("plain", "fitted", "oracle")], "regressions", "unmet", "fixtures")
 
 
+def _brands(spark, d):
+    """Cells and features of a sweep over brands: the means of their parts, so that all parts count and fixtures stay few."""
+    parts = sweep(read(spark, d, "part")).join(read(spark, d, "part").select(F.col("p_partkey").alias("fixture"), "p_brand"), "fixture")
+    mean = lambda c: F.round(F.avg(c), 6).alias(c)
+    cells = parts.groupBy(F.col("p_brand").alias("fixture"), "contrast", "psm").agg(mean("char_sim"), mean("word_recall"))
+    return calibrate.cell_costs(cells), parts.groupBy(F.col("p_brand").alias("fixture")).agg(mean("stddev"), mean("dark_pct"))
+
+
+@query()
+def q7_band_fit(spark, d):
+    """Both families of bands fitted together to the brands' sweep: 42,006 ways for the page mode, contrast bands solved for each."""
+    bands = bandfit.fitted(*_brands(spark, d), most_contrasts=4, most_psms=3)
+    return calibrate.band_rows(bands).select("setting", "idx", "lower", "upper", "shown", "value", "violations", F.round("regret", 6).alias("regret"))
+
+
+@query()
+def a20_leave_one_out(spark, d):
+    """Each brand under the bands fitted without it, and the gap of the mean regret to the in-sample one."""
+    rows = bandfit.leave_one_out(*_brands(spark, d), most_contrasts=4, most_psms=3)
+    return rows.select("fixture", "contrast", "psm", *[F.round(c, 6).alias(c) for c in ("regret", "in_sample", "loo_mean", "gap")])
+
+
 @query("SELECT p_partkey AS fixture, CAST(contrast AS DOUBLE) AS contrast, psm FROM part, (SELECT unnest([1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0]) AS contrast), (SELECT unnest([1, 3, 4, 6, 11, 12]) AS psm) WHERE p_partkey % 10 = 3 AND psm = 11")
 def m2_missing_cells(spark, d):
     cells = sweep(read(spark, d, "part")).where("not (fixture % 10 = 3 and psm = 11)")

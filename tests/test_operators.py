@@ -2,10 +2,12 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from leafloom.operators import batch, calibrate, evaluate, layout, registers, route, study, triage
+from leafloom.operators import bandfit, batch, calibrate, evaluate, layout, registers, route, study, triage
 from leafloom.sources import tables
 
 
@@ -58,37 +60,84 @@ def test_lines_are_anchored(spark):
     assert [r["line"] for r in layout.grouped_lines(df).orderBy("ord").collect()] == [1, 1, 2, 2, 3]
 
 
+def step_functions(groups, values, most):
+    """All ways, listed: the plain counterpart of the numbered ones."""
+    for runs in range(1, min(most, groups) + 1):
+        for cuts in itertools.combinations(range(1, groups), runs - 1):
+            for chosen in itertools.product(values, repeat=runs):
+                if all(a != b for a, b in zip(chosen, chosen[1:])):
+                    yield [chosen[sum(c <= g for c in cuts)] for g in range(groups)]
+
+
 def test_best_partition_is_exact():
     rng = random.Random(7)
     for _ in range(20):
         n, values = rng.randint(2, 5), [1.0, 2.0, 3.0]
         costs = [{v: (rng.randint(0, 1), round(rng.random(), 4)) for v in values} for _ in range(n)]
         got, _ = calibrate.best_partition(costs, 3)
-        want = min(tuple(map(sum, zip(*[c[v] for c, v in zip(costs, f)]))) for f in calibrate.step_functions(n, values, 3))
+        want = min(tuple(map(sum, zip(*[c[v] for c, v in zip(costs, f)]))) for f in step_functions(n, values, 3))
         assert got == pytest.approx(want)
 
 
+def test_ways_are_numbered_in_order():
+    for groups, values, most in itertools.product((1, 2, 5, 6), (1, 2, 3), (1, 2, 4)):
+        want = list(step_functions(groups, list(range(values)), most))
+        assert bandfit.number_of_ways(groups, values, most) == len(want)
+        numbers = np.random.default_rng(0).permutation(len(want))
+        assert bandfit.decoded(numbers, groups, values, most).tolist() == [want[i] for i in numbers]
+
+
+def fit_problem(spark, rows):
+    """rows: (name, stddev, dark_pct, {(contrast, psm): (violations, regret)}); cells and features of them."""
+    cells = [(n, c, p, (int(v), float(r), int(p), abs(c - 2.0))) for n, _, _, cost in rows for (c, p), (v, r) in cost.items()]
+    kind = "fixture string, contrast double, psm int, cost struct<violations:int,regret:double,psm_rank:int,distance:double>"
+    return spark.createDataFrame(cells, kind), spark.createDataFrame([r[:3] for r in rows], "fixture string, stddev double, dark_pct double")
+
+
+def best_of_all(rows, contrasts, psms, most):
+    """(cost, assignments) of the best pair of bandings: every one tried, whole costs compared."""
+    place = {}
+    for k in (1, 2):
+        kinds = sorted({r[k] for r in rows})
+        place[k] = ([kinds.index(r[k]) for r in rows], len(kinds))
+    costs = {}
+    for c in step_functions(place[1][1], contrasts, most):
+        for p in step_functions(place[2][1], psms, most):
+            cells = [(c[i], p[j]) for i, j in zip(place[1][0], place[2][0])]
+            each = [(*r[3][cell], cell[1], abs(cell[0] - 2.0)) for r, cell in zip(rows, cells)]
+            costs.setdefault(tuple(round(sum(x), 9) for x in zip(*each)), []).append(tuple(cells))
+    return min(costs), costs[min(costs)]
+
+
 def test_joint_fit_beats_every_pair_of_bandings(spark):
-    chance = random.Random(5)
-    contrasts, psms = [1.0, 1.5], [3, 6]
-    cells = list(itertools.product(contrasts, psms))
-    fixtures = [
-        {"fixture": str(i), "stddev": s, "dark_pct": d, "cost": {c: (chance.randrange(2), chance.randrange(8) / 8) for c in cells}}
-        for i, (s, d) in enumerate([(5.0, 2.0), (9.0, 1.0), (7.0, 4.0), (9.0, 3.0), (2.0, 3.0)])
-    ]
-    light, dark = calibrate.tied(fixtures, "stddev"), calibrate.tied(fixtures, "dark_pct")
-    place = lambda groups: {f["fixture"]: i for i, g in enumerate(groups) for f in g}
-    at, to = place(light), place(dark)
-    total = lambda c, p: tuple(map(sum, zip(*[f["cost"][c[at[f["fixture"]]], p[to[f["fixture"]]]] for f in fixtures], strict=True)))
-    least = min(total(c, p) for c in calibrate.step_functions(len(light), contrasts, 2) for p in calibrate.step_functions(len(dark), psms, 2))
-    cost, contrast_bands, psm_bands = calibrate.joint_fit(spark, fixtures, contrasts, psms, 2, 2)
-    assert cost == least
-    chosen = [f["cost"][calibrate.band_value(contrast_bands, f["stddev"]), calibrate.band_value(psm_bands, f["dark_pct"])] for f in fixtures]
-    assert tuple(map(sum, zip(*chosen, strict=True))) == least
-    rows, gap = calibrate.joint_leave_one_out(spark, fixtures, contrasts, psms, 2, 2)
-    rows = rows.toPandas()
-    assert len(rows) == 5 and gap == pytest.approx(rows["regret"].mean() - least[1] / 5)
-    assert all(r.regret == fixtures[int(r.fixture)]["cost"][r.contrast, r.psm][1] for r in rows.itertuples())
+    """Ties of features stay together; every fold is the best there is; regret, mean and gap follow from the folds."""
+    contrasts, psms = [1.0, 1.5, 2.0], [3, 6]
+    for seed in range(3):
+        chance = random.Random(seed)
+        draw = lambda: {c: (chance.randrange(2), chance.randrange(8) / 8) for c in itertools.product(contrasts, psms)}  # noqa: B023, E731
+        rows = [(str(i), s, d, draw()) for i, (s, d) in enumerate([(5.0, 2.0), (9.0, 1.0), (7.0, 4.0), (9.0, 3.0), (2.0, 3.0), (2.5, 0.5)])]
+        cells, features = fit_problem(spark, rows)
+        bands = bandfit.fitted(cells, features, 2, 2, leave_out=True).persist()
+        got = {(r["fold"], r["fixture"]): (r["contrast"], r["psm"]) for r in bandfit.applied(bands, features).collect()}
+        for held in [None, *[r[0] for r in rows]]:
+            kept = [r for r in rows if r[0] != held]
+            cost, ways = best_of_all(kept, contrasts, psms, 2)
+            assert tuple(got[held, r[0]] for r in kept) in ways
+            head = bands.where(F.col("fold").eqNullSafe(F.lit(held))).first()
+            assert (head["violations"], head["regret"]) == (cost[0], pytest.approx(cost[1]))
+        out = bandfit.leave_one_out(cells, features, 2, 2).toPandas()
+        regret = {r[0]: r[3][got[r[0], r[0]]][1] for r in rows}
+        assert dict(zip(out["fixture"], out["regret"])) == pytest.approx(regret)
+        inside = sum(r[3][got[None, r[0]]][1] for r in rows) / len(rows)
+        assert out["gap"].tolist() == pytest.approx([sum(regret.values()) / len(rows) - inside] * len(rows))
+
+
+def test_fit_refuses_gaps_and_takes_no_fixtures(spark):
+    cells, features = fit_problem(spark, [("a", 1.0, 1.0, {(1.0, 3): (0, 0.5), (2.0, 3): (1, 0.25)}), ("b", 1.0, 2.0, {(1.0, 3): (0, 0.5), (2.0, 3): (0, 0.25)})])
+    assert bandfit.fitted(cells, features).where("setting = 'contrast'").select("upper", "value").collect() == [(math.inf, 1.0)]
+    assert bandfit.fitted(cells.limit(0), features.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        bandfit.fitted(cells.where("fixture = 'a' or contrast = 1"), features)
 
 
 def test_bands_and_leave_one_out():
@@ -96,7 +145,7 @@ def test_bands_and_leave_one_out():
     _, bands = calibrate.fitted_bands(fixtures, [1, 2], 2)
     assert bands[0][1] == 1 and bands[-1] == (float("inf"), 2) and 2 < bands[0][0] <= 4
     assert dict(calibrate.leave_one_out(fixtures, [1, 2], 2))["5"] == 2
-    assert all(len(set(f)) for f in itertools.islice(calibrate.step_functions(3, [1, 2], 2), 5))
+    assert all(len(set(f)) for f in itertools.islice(step_functions(3, [1, 2], 2), 5))
 
 
 def candidates(spark, rows):
