@@ -31,11 +31,12 @@ def with_counts(words: DataFrame, lexicon: DataFrame, total: int, size: int, mos
     return known.where("n is not null").unionByName(rare)
 
 
-def quality_scores(candidates: DataFrame, lexicon: DataFrame, most_tokens: int = 1024) -> DataFrame:
+def quality_scores(candidates: DataFrame, lexicon: DataFrame, most_tokens: int = 1024, perplexities: DataFrame | None = None) -> DataFrame:
     """(file, engine_ord, engine, words, english, n_tokens, n_unknown, coverage, perplexity, score) of candidates (file, engine_ord, engine, text).
 
     Coverage: a repeated unknown word costs once. Perplexity: an add-one unigram model of the lexicon stands in for a
     neural scorer; the first `most_tokens` tokens, as those are all such a scorer reads, and 1000 below five tokens.
+    A scorer's `perplexities` (file, engine_ord, perplexity; scorer.py) take its place.
     Score: coverage / log1p(perplexity), 0 for blank texts.
 
     A text becomes the distinct words of each role beside a few numbers; neither texts nor tokens are shuffled, and what
@@ -61,7 +62,8 @@ def quality_scores(candidates: DataFrame, lexicon: DataFrame, most_tokens: int =
     n = F.col("n_tokens")
     coverage = F.when(n == 0, 0.0).otherwise((n - F.col("n_unknown")) / n)
     perplexity = F.when(n < 5, 1000.0).otherwise(F.exp(-F.col("mean_log")))
-    out = sums.withColumn("coverage", coverage).withColumn("perplexity", perplexity)
+    out = sums.withColumn("coverage", coverage)
+    out = out.withColumn("perplexity", perplexity) if perplexities is None else out.join(perplexities, ["file", "engine_ord"], "left")
     score = F.when(F.col("blank"), 0.0).otherwise(F.col("coverage") / F.log1p("perplexity"))
     return out.select("file", "engine_ord", "engine", "words", "english", "n_tokens", "n_unknown", "coverage", "perplexity", score.alias("score"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from leafloom.functions import rules
 from leafloom.functions import text as T
-from leafloom.operators import calibrate, evaluate, imagestat, layout, log, registers, route, search, triage
+from leafloom.operators import calibrate, evaluate, imagestat, layout, log, orientation, registers, route, search, triage
 from leafloom.plans.text_queries import _SCORES, _scored
 from leafloom.plans.views import ENGINE_PAGES_SQL, SWEEP_SQL, TELEMETRY_SQL, candidates, candidates_sql, engine_pages, read, sweep, telemetry
 from leafloom.sources import tables
@@ -329,46 +330,55 @@ def a19_block_vote(spark, d):
     return imagestat.block_vote(blocks).select("image", F.round("vote", 6).alias("vote"), "blocks")
 
 
-@query(f"WITH h AS ({_HIST}), r AS (SELECT *, sum(n) OVER (PARTITION BY image ORDER BY level) AS running, sum(n) OVER (PARTITION BY image) AS total FROM h) SELECT image, min(level) FILTER (running >= 0.5 * total) AS level FROM r GROUP BY image")
-def a16_histogram_quantile(spark, d):
-    return imagestat.histogram_quantile(_histogram(spark, d), 0.5)
+@query(f"WITH h AS ({_HIST}), r AS (SELECT *, sum(n) OVER (PARTITION BY image ORDER BY level) AS running, sum(n) OVER (PARTITION BY image) AS total FROM h), q AS (SELECT image, min(level) FILTER (running >= 0.001 * total) AS ink, min(level) FILTER (running >= 0.6 * total) AS paper FROM r GROUP BY image) SELECT image, ink > 45 AND paper >= ink + 30 AS lift FROM q")
+def g10_faint_ink(spark, d):
+    return imagestat.lifted(_histogram(spark, d))
 
 
-@query("SELECT l_suppkey AS image, round(stddev_pop(CAST(l_quantity * 5 AS BIGINT)), 6) AS stddev, round(100 * avg(CASE WHEN CAST(l_quantity * 5 AS BIGINT) < 128 THEN 1 ELSE 0 END), 6) AS dark_pct FROM lineitem GROUP BY 1")
-def a17_grey_statistics(spark, d):
-    return imagestat.grey_statistics(_histogram(spark, d)).select("image", F.round("stddev", 6).alias("stddev"), F.round("dark_pct", 6).alias("dark_pct"))
+# Pixels: every document's text in rows of 48 characters, each character a pixel; every ninth row starts a line of text,
+# whose ink grows and fades over its rows, more slowly below. Documents with an odd id are turned on their side.
 
+_COLUMNS = 48
+_INK = [0, 40, 160, 255, 240, 130, 70, 25, 5]
+_PIXELS = f"""SELECT image, CASE WHEN image % 2 = 0 THEN c ELSE r END AS x, CASE WHEN image % 2 = 0 THEN r ELSE c END AS y, v FROM (
+  SELECT doc_id AS image, CAST(i % {_COLUMNS} AS BIGINT) AS c, CAST(i // {_COLUMNS} AS BIGINT) AS r, CASE WHEN ch = ' ' THEN 0.0 ELSE CAST({_INK}[i // {_COLUMNS} % 9 + 1] AS DOUBLE) * (4 - unicode(ch) % 4) / 4 END AS v
+  FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS i FROM documents))"""
 
-_PROFILE = "SELECT l_suppkey AS image, x, v AS value FROM (SELECT l_suppkey, CAST(l_partkey % 300 AS BIGINT) AS x, max(l_quantity) AS v FROM lineitem GROUP BY ALL)"
 
+def _pixels(spark, d):
 
-def _profile(spark, d):
-    return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("image"), (F.col("l_partkey") % 300).alias("x")).agg(F.max("l_quantity").alias("value"))
+    chars = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "")).alias("i", "ch"))
+    r, c = F.floor(F.col("i") / _COLUMNS), (F.col("i") % _COLUMNS).cast("long")
+    ink = F.get(F.array(*map(F.lit, map(float, _INK))), (r % 9).cast("int"))
+    v = F.when(F.col("ch") == " ", 0.0).otherwise(ink * (F.lit(4) - F.ascii("ch") % 4) / 4)
+    even = F.col("doc_id") % 2 == 0
+    return chars.select(F.col("doc_id").alias("image"), F.when(even, c).otherwise(r).alias("x"), F.when(even, r).otherwise(c).alias("y"), v.alias("v"))
 
 
-@query(f"""WITH p AS ({_PROFILE}), b AS (SELECT *, min(value) OVER w AS low, max(value) OVER w AS high, count(*) OVER w AS width FROM p WINDOW w AS (PARTITION BY image)),
-m AS (SELECT *, value > (low + high) / 2 AS paper FROM b), i AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY x) - row_number() OVER (PARTITION BY image, paper ORDER BY x) AS g FROM m),
-r AS (SELECT image, paper, g, count(*) AS n, min(x) AS a, max(x) AS b, any_value(width) AS width, any_value(low) AS low, any_value(high) AS high FROM i GROUP BY image, paper, g),
-k AS (SELECT image, min(a) AS fi, max(b) AS li FROM r WHERE NOT paper GROUP BY 1)
-SELECT image, count(*) FILTER (paper AND n >= greatest(1, floor(width * 0.02)) AND a > fi AND b < li AND high - low >= 8) AS gutters FROM r LEFT JOIN k USING (image) GROUP BY image""")
-def w7_interior_gutters(spark, d):
-    return imagestat.interior_gutters(_profile(spark, d))
-
-
-@query(f"SELECT image, x, round(avg(value) OVER (PARTITION BY image ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS smooth FROM ({_PROFILE})")
-def w8_moving_average(spark, d):
-    return imagestat.moving_average(_profile(spark, d), 7).select("image", "x", F.round("smooth", 6).alias("smooth"))
+@query(f"""WITH p AS ({_PIXELS}), z AS (SELECT image, max(x) + 1 AS width, max(y) + 1 AS height FROM p GROUP BY 1),
+o AS (SELECT image, y // (height // 12) * 12 + x // (width // 12) AS block, x, y, v FROM p JOIN z USING (image) WHERE width >= 12 AND height >= 12 AND x < 12 * (width // 12) AND y < 12 * (height // 12)),
+l AS (SELECT image, block, y AS at, true AS across, floor(avg(v) + 0.5) / 255 AS v FROM o GROUP BY image, block, y UNION ALL SELECT image, block, x, false, floor(avg(v) + 0.5) / 255 FROM o GROUP BY image, block, x),
+b AS (SELECT image, block, var_pop(v) FILTER (across) AS r0, var_pop(v) FILTER (NOT across) AS c0, avg(v) FILTER (across) AS mean, max(v) AS peak FROM l GROUP BY 1, 2),
+k AS (SELECT *, CASE WHEN r0 < 1e-12 THEN 0 ELSE r0 END AS r, CASE WHEN c0 < 1e-12 THEN 0 ELSE c0 END AS c FROM b),
+g AS (SELECT image, round(median(ln((r + 1e-9) / (c + 1e-9))), 6) AS vote, count(*) AS blocks FROM k WHERE mean >= 0.005 AND mean <= 0.5 AND peak <= 8 * mean AND r + c > 0 GROUP BY 1)
+SELECT image, coalesce(vote, 0) AS vote, coalesce(blocks, 0) AS blocks, coalesce(blocks, 0) >= 8 AND coalesce(vote, 0) <= -1 AS sideways FROM (SELECT DISTINCT image FROM k) LEFT JOIN g USING (image)""")
+def g14_line_direction(spark, d):
+    votes = orientation.line_direction(_pixels(spark, d))
+    return votes.select("image", F.round("vote", 6).alias("vote"), "blocks", rules.sideways(F.col("vote"), F.col("blocks")).alias("sideways"))
 
 
-@query("SELECT image, round(median(ln((r + 1e-9) / (c + 1e-9))), 6) AS vote, count(*) AS blocks FROM (SELECT l_suppkey AS image, l_quantity AS r, l_tax AS c, l_discount * 5 AS mean, l_discount * 20 + l_tax AS peak FROM lineitem) WHERE mean >= 0.005 AND mean <= 0.5 AND peak <= 8 * mean GROUP BY 1")
-def a19_block_vote(spark, d):
-    blocks = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("image"), F.col("l_quantity").alias("var_row"), F.col("l_tax").alias("var_col"), (F.col("l_discount") * 5).alias("mean"), (F.col("l_discount") * 20 + F.col("l_tax")).alias("peak"))
-    return imagestat.block_vote(blocks).select("image", F.round("vote", 6).alias("vote"), "blocks")
+@query()
+def w9_lines(spark, d):
+    """Lines (upper valley, peak, lower valley) of each profile of w7, as it comes."""
+    profile = _profile(spark, d).groupBy("image").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "value"))), lambda r: r["value"] / 255).alias("rows"))
+    found = profile.select("image", orientation.text_lines(F.col("rows")).alias("f"))
+    return found.select("image", F.col("f.candidates").alias("candidates"), F.inline("f.lines"))
 
 
-@query(f"WITH h AS ({_HIST}), r AS (SELECT *, sum(n) OVER (PARTITION BY image ORDER BY level) AS running, sum(n) OVER (PARTITION BY image) AS total FROM h), q AS (SELECT image, min(level) FILTER (running >= 0.001 * total) AS ink, min(level) FILTER (running >= 0.6 * total) AS paper FROM r GROUP BY image) SELECT image, ink > 45 AND paper >= ink + 30 AS lift FROM q")
-def g10_faint_ink(spark, d):
-    return imagestat.lifted(_histogram(spark, d))
+@query()
+def g16_up_share(spark, d):
+    """Which side of the lines the ink stands out on, of every document as a page of pixels."""
+    return orientation.up_shares(orientation.strip_profiles(_pixels(spark, d))).select("image", F.round("share", 6).alias("share"), "found", "seen")
 
 
 # Layout

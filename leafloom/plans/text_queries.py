@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafloom.functions import rules
 from leafloom.functions import text as T
-from leafloom.operators import route
+from leafloom.operators import route, scorer
 from leafloom.plans.views import LEXICON_SQL, candidates, candidates_sql, lexicon, normalise_sql, read, spread, strip_sql, tokens_sql
 
 QUERIES, SQL = {}, {}
@@ -83,6 +83,29 @@ def t8_quality_scores(spark, d):
     return _scored(spark, d).select("file", "engine", F.col("words").cast("long"), F.col("n_tokens").cast("long"), "n_unknown", F.round("perplexity", 3).alias("perplexity"), F.round("score", 6).alias("score"))
 
 
+_BIGRAM = f"""
+c AS ({candidates_sql()}),
+dt AS (SELECT {_TOKENS} AS t FROM documents), ct AS (SELECT file, engine_ord, engine, ({_TOKENS})[1:1024] AS t FROM c),
+big AS (SELECT u, w, count(*) AS n FROM (SELECT unnest(list_concat([''], t[1:len(t) - 1])) AS u, unnest(t) AS w FROM dt WHERE len(t) > 0) GROUP BY ALL),
+ctx AS (SELECT u, sum(n) AS total, count(*) AS followers FROM big GROUP BY u), aft AS (SELECT w, count(*) AS follows FROM big GROUP BY w),
+z AS (SELECT count(*) AS kinds, (SELECT count(*) FROM aft) AS words FROM big),
+q AS (SELECT file, engine_ord, unnest(list_concat([''], t[1:len(t) - 1])) AS u, unnest(t) AS w FROM ct WHERE len(t) > 0),
+e AS (SELECT file, engine_ord, (coalesce(follows - 0.75::DOUBLE, 0) + 0.75::DOUBLE * words / (words + 1)) / kinds AS own, coalesce((n - 0.75::DOUBLE) / total, 0) AS gain, coalesce(0.75::DOUBLE * followers / total, 1) AS back
+  FROM q LEFT JOIN big USING (u, w) LEFT JOIN ctx USING (u) LEFT JOIN aft USING (w), z),
+s AS (SELECT file, engine_ord, avg(ln(gain + back * own)) AS mean_log, count(*) AS n FROM e GROUP BY 1, 2)
+SELECT file, engine, CASE WHEN coalesce(n, 0) < 5 THEN 1000.0::DOUBLE ELSE round(exp(-mean_log), 3) END AS perplexity FROM c LEFT JOIN s USING (file, engine_ord)
+"""
+
+
+@query(f"WITH {_BIGRAM}")
+def t7_bigram_perplexity(spark, d):
+    """Perplexity of all candidates by a bigram model of all documents: 1,024 tokens of a text, 1000 below five."""
+    docs = read(spark, d, "documents")
+    own = candidates(docs)
+    scores = scorer.Bigrams().fit(docs).perplexity(own)
+    return own.select("file", "engine_ord", "engine").join(scores, ["file", "engine_ord"]).select("file", "engine", F.round("perplexity", 3).alias("perplexity"))
+
+
 _ROUTE = rf"""
 WITH {_SCORES},
 g AS (SELECT *, greatest(max(words) OVER (PARTITION BY file), 1) AS most FROM s),

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from leafloom.operators import bandfit, batch, calibrate, evaluate, layout, registers, route, study, triage
+from leafloom.operators import bandfit, batch, calibrate, evaluate, layout, orientation, registers, route, scorer, study, triage
 from leafloom.sources import tables
 
 
@@ -313,3 +313,117 @@ def test_blocks_without_variance_have_no_direction(spark):
     df = spark.createDataFrame(rows, "image string, var_row double, var_col double, mean double, peak double")
     got = {r["image"]: (r["vote"], r["blocks"]) for r in imagestat.block_vote(df).collect()}
     assert got["blank"] == (0.0, 0) and got["mixed"] == (pytest.approx(math.log(4.0)), 1)
+
+
+def test_bigram_chances_sum_to_one(spark):
+    """After any word, over all words and one never seen; by a plain count of the same rule."""
+    texts = ["the cat sat on the mat", "the cat ran", "a dog sat on the cat", "", "12 x"]
+    model = scorer.Bigrams().fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    gain = {(r["u"], r["w"]): r["gain"] for r in model.bigrams.collect()}
+    back = {r["u"]: r["back"] for r in model.contexts.collect()}
+    own = {r["w"]: r["own"] for r in model.words.collect()}
+    assert sum(own.values()) + model.unseen == pytest.approx(1.0)
+    for u in ["", "the", "cat", "sat", "on"]:
+        assert sum(gain.get((u, w), 0.0) + back[u] * p for w, p in own.items()) + back[u] * model.unseen == pytest.approx(1.0)
+    # "the" comes after the start twice and after "on" twice: two different words before it, of all kinds of pairs.
+    kinds = {p for t in texts for w in [[x for x in t.split() if len(x) > 1 and x.isalpha()]] for p in zip(["", *w], w)}
+    assert own["the"] == pytest.approx((2 - 0.75 + 0.75 * len(own) / (len(own) + 1)) / len(kinds))
+
+
+def test_scorers_are_slots(spark):
+    """Below five tokens 1000; 1,024 tokens count; all ways of looking up agree; a scorer's perplexity enters the score."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee"]) for _ in range(30)) for _ in range(10)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    long = " ".join(["aa bb"] * 700)
+    rows = [("f", 0, "e", texts[0]), ("f", 1, "g", "zz yy xx ww vv"), ("g", 0, "e", "aa bb cc dd"), ("h", 0, "e", long), ("i", 0, "e", long + " zz" * 500), ("j", 0, "e", "")]
+    df = spark.createDataFrame(rows, "file string, engine_ord int, engine string, text string")
+    by = [{(r["file"], r["engine_ord"]): r["perplexity"] for r in scorer.Bigrams(most=most).fit(docs).perplexity(df).collect()} for most in (1000, 4, 1)]
+    assert by[0] == pytest.approx(by[1]) and by[0] == pytest.approx(by[2])
+    assert by[0]["g", 0] == by[0]["j", 0] == 1000.0 and by[0]["f", 1] > by[0]["f", 0]
+    assert by[0]["h", 0] == pytest.approx(by[0]["i", 0]) and len(by[0]) == 6
+    lexicon = spark.createDataFrame([("aa", 5), ("bb", 5), ("cc", 2)], "word string, n long")
+    scored = route.quality_scores(df, lexicon, perplexities=scorer.Bigrams().fit(docs).perplexity(df)).where("file = 'f' and engine_ord = 0").first()
+    assert scored["score"] == pytest.approx(scored["coverage"] / math.log1p(by[0]["f", 0]))
+
+
+def lines_by_hand(rows):
+    """The rules for lines of a profile, in loops: smoothed values, candidates, lines (a, p, b)."""
+    n = len(rows)
+    at = lambda y: rows[y] if 0 <= y < n else 0.0
+    sm = [(at(y - 1) + at(y) + at(y + 1)) / len(rows[max(0, y - 1) : y + 2]) for y in range(n)]  # not sum(), which rounds otherwise
+    tops = [y for y in range(2, n - 2) if sm[y - 1] < sm[y] >= sm[y + 1] and sm[y] > 0.01]
+    thin = []
+    for y in tops:
+        if not thin or y - thin[-1] >= 6:
+            thin.append(y)
+        elif sm[y] > sm[thin[-1]]:
+            thin[-1] = y
+    merged = []
+    for y in thin:
+        if not merged or min(sm[merged[-1] : y + 1]) <= 0.5 * min(sm[merged[-1]], sm[y]):
+            merged.append(y)
+        elif sm[y] > sm[merged[-1]]:
+            merged[-1] = y
+
+    def middle_of_lowest(low, high):
+        places = [y for y in range(low, high + 1) if sm[y] <= min(sm[low : high + 1]) + 1e-9]
+        return places[len(places) // 2]
+
+    bounds = [max(0, merged[0] - 80), *merged, min(n - 1, merged[-1] + 80)] if merged else []
+    every = [(middle_of_lowest(bounds[k], p), p, middle_of_lowest(p, bounds[k + 2])) for k, p in enumerate(merged)]
+    wide = [x for x in every if 3 <= x[1] - x[0] <= 80 and 3 <= x[2] - x[1] <= 80]
+    return sm, len(wide), [x for x in wide if max(sm[x[0]], sm[x[2]]) <= 0.5 * sm[x[1]]]
+
+
+def shares_by_hand(sm, lines):
+    for a, p, b in lines:
+        half = 0.5 * sm[p]
+        top = max([y for y in range(a, p + 1) if sm[y] < half], default=a)
+        bottom = min([y for y in range(p, b + 1) if sm[y] < half], default=b)
+        above, below = sum(sm[a:top]), sum(sm[bottom + 1 : b + 1])
+        if above + below > 0:
+            yield above / (above + below)
+
+
+def test_lines_of_profiles(spark):
+    """Plateaus, twin maxima, crowded and bare profiles of many lengths: the same lines and shares as the loops find."""
+    rng = random.Random(8)
+    profiles = [[], [0.5], [0.2, 0.9, 0.2, 0.1], [0.0] * 40]
+    for _ in range(60):
+        period, noise = rng.choice([5, 8, 13, 30, 120]), rng.choice([0.0, 0.02, 0.2])
+        bell = [math.exp(-(((k - period / 2) / (period / 5)) ** 2)) for k in range(period)]
+        plateau = [min(0.6, v) for v in bell] if rng.random() < 0.5 else bell
+        profiles.append([round(min(1.0, max(0.0, plateau[(y * (1 + y // 200)) % period] + rng.uniform(-noise, noise))) * 255) / 255 for y in range(rng.randint(5, 400))])
+    df = spark.createDataFrame(list(enumerate(profiles)), "image long, rows array<double>")
+    found = df.select("image", orientation.text_lines(F.col("rows")).alias("f")).select("image", "f", orientation.shares_above(F.col("f")).alias("s")).collect()
+    total = 0
+    for r in found:
+        sm, candidates, lines = lines_by_hand(profiles[r["image"]])
+        assert r["f"]["sm"] == pytest.approx(sm) and r["f"]["candidates"] == candidates
+        assert [tuple(x) for x in r["f"]["lines"]] == lines
+        assert r["s"] == pytest.approx(list(shares_by_hand(sm, lines)))
+        total += len(lines)
+    assert total > 200
+
+
+def test_up_share_needs_lines_and_trust(spark):
+    bell = [0.0, 0.0, 0.15, 0.3, 0.9, 1.0, 0.9, 0.1, 0.0, 0.0]
+    rows = [("page", 0, bell * 4), ("page", 1, bell * 4), ("turned", 0, bell[::-1] * 8), ("few", 0, bell * 3), ("bare", 0, [0.0] * 90)]
+    got = {r["image"]: r for r in orientation.up_shares(spark.createDataFrame(rows, "image string, strip int, rows array<double>")).collect()}
+    assert got["page"]["share"] > 0.55 and got["turned"]["share"] == pytest.approx(1 - got["page"]["share"], abs=0.05)
+    assert got["few"]["share"] is None and got["few"]["found"] == 3 and got["bare"]["share"] is None and got["bare"]["seen"] == 0
+
+
+def test_line_direction_of_pixels(spark):
+    """Stripes across vote above 0, the same page on its side below 0; a page of one tone and a blank one have no vote."""
+    pixels = lambda name, f, w=36, h=36: [(name, x, y, float(f(x, y))) for x in range(w) for y in range(h)]
+    rows = pixels("across", lambda x, y: 120 * (y % 3 == 0) + x % 2) + pixels("down", lambda x, y: 120 * (x % 3 == 0) + y % 2)
+    rows += pixels("tone", lambda x, y: 60) + pixels("blank", lambda x, y: 0)
+    got = {r["image"]: (r["vote"], r["blocks"]) for r in orientation.line_direction(spark.createDataFrame(rows, "image string, x long, y long, v double")).collect()}
+    assert got["across"][0] > 1 and got["across"][1] == 144 and got["down"] == (pytest.approx(-got["across"][0]), 144)
+    assert got["tone"] == got["blank"] == (0.0, 0)
+    block = [r for r in rows if r[0] == "across" and r[1] < 3 and r[2] < 3]
+    level = lambda key, k: math.floor(sum(r[3] for r in block if r[key] == k) / 3 + 0.5) / 255
+    one = orientation.blocks(spark.createDataFrame(rows, "image string, x long, y long, v double")).where("image = 'across' and block = 0").first()
+    assert one["var_row"] == pytest.approx(np.var([level(2, k) for k in range(3)])) and one["var_col"] == pytest.approx(np.var([level(1, k) for k in range(3)]))
