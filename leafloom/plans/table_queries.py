@@ -11,6 +11,7 @@ from leafloom.operators import calibrate, evaluate, imagestat, layout, log, orie
 from leafloom.plans.text_queries import _SCORES, _scored
 from leafloom.plans.views import ENGINE_PAGES_SQL, SWEEP_SQL, TELEMETRY_SQL, candidates, candidates_sql, engine_pages, read, sweep, telemetry
 from leafloom.sources import tables
+from leafloom.streaming import queue
 
 QUERIES, SQL = {}, {}
 
@@ -236,6 +237,16 @@ def w12_elapsed(spark, d):
     return log.elapsed(telemetry(read(spark, d, "events"))).select("event_id", F.round("elapsed", 3).alias("elapsed"))
 
 
+@query(f"""WITH e AS (SELECT *, CASE event_id % 4 WHEN 0 THEN 'file_start' WHEN 3 THEN 'file_finish' ELSE 'page' END AS event FROM ({TELEMETRY_SQL})),
+s AS (SELECT *, last_value(CASE event WHEN 'file_start' THEN 'open' WHEN 'file_finish' THEN outcome END IGNORE NULLS) OVER (PARTITION BY run, file ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS status FROM e)
+SELECT event_id, round((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY run, file ORDER BY ts, event_id))) / 1e6, 3) AS elapsed, coalesce(status, 'open') AS status FROM s""")
+def q12_file_status(spark, d):
+    """What the stateful log comes to once all events have passed: elapsed seconds and how each file stands after each event."""
+    kind = F.when(F.col("event_id") % 4 == 0, "file_start").when(F.col("event_id") % 4 == 3, "file_finish").otherwise("page")
+    events = telemetry(read(spark, d, "events")).withColumns({"event": kind, "reason": F.lit(None).cast("string")})
+    return queue.followed_in_batch(events).select("event_id", F.round("elapsed", 3).alias("elapsed"), "status")
+
+
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{\"event_id\":' || event_id || ',\"user_id\":' || user_id || '}' ELSE '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}' END AS line FROM events")
 def k8_json_lines(spark, d):
     kind = F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("event_type")
