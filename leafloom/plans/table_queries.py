@@ -10,7 +10,7 @@ from leafloom.functions import text as T
 from leafloom.operators import calibrate, evaluate, imagestat, layout, log, orientation, registers, route, search, triage
 from leafloom.plans.text_queries import _SCORES, _scored
 from leafloom.plans.views import ENGINE_PAGES_SQL, SWEEP_SQL, TELEMETRY_SQL, candidates, candidates_sql, engine_pages, read, sweep, telemetry
-from leafloom.sources import tables
+from leafloom.sources import runs, tables
 from leafloom.streaming import queue
 
 QUERIES, SQL = {}, {}
@@ -232,6 +232,31 @@ def a8_run_totals(spark, d):
     return log.run_totals(telemetry(read(spark, d, "events")))
 
 
+_RUN_SCORES = f"SELECT run AS run_id, backend, count(*) AS n, sum(seconds) AS seconds FROM ({TELEMETRY_SQL}) GROUP BY ALL"
+
+
+def _run_scores(spark, d):
+    """A result table for each run: what each backend did in it."""
+    return telemetry(read(spark, d, "events")).groupBy(F.col("run").alias("run_id"), "backend").agg(F.count("*").alias("n"), F.sum("seconds").alias("seconds"))
+
+
+@query(f"WITH r AS ({_RUN_SCORES}) SELECT backend, n, round(seconds, 4) AS seconds, run_id FROM r QUALIFY row_number() OVER (PARTITION BY backend ORDER BY run_id DESC) = 1")
+def k13_latest_run(spark, d):
+    return runs.latest(_run_scores(spark, d), ["backend"]).select("backend", "n", F.round("seconds", 4).alias("seconds"), "run_id")
+
+
+@query(f"""WITH r AS ({_RUN_SCORES}), a AS (SELECT * FROM r WHERE run_id = (SELECT min(run_id) FROM r) AND backend <> 'view'), b AS (SELECT * FROM r WHERE run_id = (SELECT max(run_id) FROM r) AND backend <> 'purchase')
+SELECT backend, a.n AS n_before, b.n AS n_after, b.n - a.n AS n_change, round(a.seconds, 4) AS seconds_before, round(b.seconds, 4) AS seconds_after, round(b.seconds - a.seconds, 4) AS seconds_change,
+  CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'gone' ELSE 'kept' END AS state FROM a FULL JOIN b USING (backend)""")
+def k13_runs_compared(spark, d):
+    """The first and the last run beside each other; one backend is left out of each, so that some are added and gone."""
+    rows = _run_scores(spark, d)
+    first, last = rows.agg(F.min("run_id"), F.max("run_id")).first()
+    rows = rows.where(~((F.col("run_id") == first) & (F.col("backend") == "view")) & ~((F.col("run_id") == last) & (F.col("backend") == "purchase")))
+    out = runs.compared(rows, first, last, ["backend"], ["n", "seconds"])
+    return out.select("backend", *[F.round(c, 4).alias(c) if c.startswith("seconds") else c for c in out.columns[1:]])
+
+
 @query(f"SELECT event_id, round((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY run, file ORDER BY ts, event_id))) / 1e6, 3) AS elapsed FROM ({TELEMETRY_SQL})")
 def w12_elapsed(spark, d):
     return log.elapsed(telemetry(read(spark, d, "events"))).select("event_id", F.round("elapsed", 3).alias("elapsed"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafloom.functions import text as T
 from leafloom.operators import evaluate
 
+# The columns of stored tables.
 SWEEP = "fixture string, contrast double, psm int, char_sim double, word_recall double, seconds double"
 ROUTER = "fixture string, backend string, combined_score double, word_count int, char_sim double"
 FEATURES = "fixture string, stddev double, dark_pct double, interior_gutters int, width int, height int"
@@ -23,6 +24,7 @@ RECORD = (
     "file string, stem string, reason string, held_at string, backend string, best struct<engine:string, score:double>, "
     "candidates array<struct<backend:string, score:double, transcript:string>>, version string"
 )
+# The columns of the manifest, in order.
 MANIFEST = ["file", "status", "backend", "engine", "quality", "quality_gate", "transcript", "outputs", "location", "note", "run", "finished_at", "version"]
 # Which suffixes each engine reads.
 RASTER = [".bmp", ".jpeg", ".jpg", ".png", ".tif", ".tiff", ".webp"]
@@ -77,8 +79,17 @@ def split_manifest(spark: SparkSession, content: str) -> DataFrame:
     return spark.createDataFrame(rows, "split string, role string, stem string")
 
 
+def absent(spark: SparkSession, path: str) -> bool:
+    """No file or folder of that name, in whatever store Spark reads it from."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def triage_records(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(RECORD).json(folder, multiLine=True)
+    """The records of a triage folder, as they are; none if there is no folder. For its items see folders.Triage."""
+    if absent(spark, folder):
+        return spark.createDataFrame([], RECORD)
+    return spark.read.schema(RECORD).option("pathGlobFilter", "*.json").json(folder, multiLine=True)
 
 
 def log(spark: SparkSession, path: str) -> DataFrame:
