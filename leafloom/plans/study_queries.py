@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafloom.functions import outputs, rules
+from leafloom.functions import headers, outputs, rules
 from leafloom.functions import text as T
 from leafloom.operators import bandfit, batch, calibrate, evaluate, registers, study
 from leafloom.plans.table_queries import _BOXES, _LONG, _REG, _SHAPE_SQL, _boxes, _long, page_spans, shape_spans
 from leafloom.plans.text_queries import _RECALL, _ROUTE, _scored
 from leafloom.plans.views import CONTRASTS, PSMS, SWEEP_SQL, candidates, candidates_sql, engine_pages, read, sweep
+from leafloom.sources import engines
 
 QUERIES, SQL = {}, {}
 
@@ -24,20 +25,35 @@ def query(sql: str | None = None):
     return add
 
 
-@query(rf"""WITH r AS ({_ROUTE}), f AS (SELECT doc_id AS file, 'p/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.PDF' ELSE '.png' END AS path,
+_BATCH = rf"""WITH r AS ({_ROUTE}), f AS (SELECT doc_id AS file, 'p/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.PDF' ELSE '.png' END AS path,
   CASE WHEN doc_id % 19 = 0 THEN 'side too long' WHEN doc_id % 23 = 0 THEN 'too many pages' END AS note FROM documents),
 s AS (SELECT f.file, path, CASE WHEN note IS NOT NULL THEN 'refused' WHEN r.status = 'triage' THEN 'triage' ELSE 'processed' END AS status, r.*, note FROM f LEFT JOIN r ON r.file = f.file AND note IS NULL)
 SELECT s.file, s.status, engine, quality, coalesce(quality_gate, 'skipped') AS quality_gate,
   CASE WHEN s.status = 'processed' THEN s.file || '.md;' || s.file || CASE WHEN s.file % 3 = 0 THEN '.searchable.pdf' ELSE '.pdf' END ELSE '' END AS outputs,
-  CASE WHEN s.status = 'processed' THEN 'processed' ELSE 'triage' END AS location, note FROM (SELECT file, path, status, engine, quality, quality_gate, note FROM s) s""")
+  CASE WHEN s.status = 'processed' THEN 'processed' ELSE 'triage' END AS location, note FROM (SELECT file, path, status, engine, quality, quality_gate, note FROM s) s"""
+
+
+@query(_BATCH)
 def q2_batch(spark, d):
+    return _batch(spark, d).withColumn("outputs", F.array_join("outputs", ";"))
+
+
+@query(f"""WITH b AS ({_BATCH}) SELECT file, event, CASE WHEN event = 'file_finish' THEN CASE status WHEN 'triage' THEN 'triaged' ELSE status END END AS outcome,
+  CASE WHEN event = 'file_finish' THEN note END AS reason, CASE WHEN event = 'file_finish' THEN round(quality, 6) END AS score, CASE WHEN event = 'file_finish' AND outputs <> '' THEN outputs END AS outputs
+FROM (SELECT CAST(file AS VARCHAR) AS file, status, note, quality, outputs FROM b), (SELECT unnest(['file_start', 'file_finish']) AS event)""")
+def q2_log_rows(spark, d):
+    """The events that the batch leaves in the log, two a file."""
+    rows = batch.log_rows(_batch(spark, d), "r")
+    return rows.select("file", "event", "outcome", "reason", F.round("score", 6).alias("score"), F.array_join("outputs", ";").alias("outputs"))
+
+
+def _batch(spark, d):
     key = F.col("doc_id")
     path = F.concat(F.lit("p/"), key.cast("string"), F.when(key % 3 == 0, ".PDF").otherwise(".png"))
     files = read(spark, d, "documents").select(
         key.alias("file"), path.alias("path"), F.when(key % 19 == 0, 40_000).otherwise(100).alias("width"), F.lit(100).alias("height"), F.when(key % 23 == 0, 501).otherwise(1).alias("pages")
     )
-    rows = batch.processed(files, _scored(spark, d), "md, pdf,markdown")
-    return rows.withColumn("outputs", F.array_join("outputs", ";"))
+    return batch.processed(files, _scored(spark, d), "md, pdf,markdown")
 
 
 @query("""SELECT page_id, ['markdown,pdf', 'text', 'markdown', 'text,markdown', NULL, 'pdf'][page_id % 6 + 1] AS formats FROM pages""")
@@ -171,6 +187,47 @@ def a22_span_counts(spark, d):
     return study.span_counts(_boxes(spark, d).withColumn("evaluation", F.col("page") % 10), "evaluation")
 
 
+@query("""WITH e AS (SELECT * FROM (VALUES ('one', ['src0', 'src1', 'src2']), ('two', ['src1', 'src3'])) v(engine, suffixes)), w AS (SELECT doc_id AS file, engine FROM documents, e WHERE list_contains(suffixes, source) AND NOT (engine = 'two' AND n_chars > 1000))
+SELECT file, engine FROM w WHERE NOT ((engine = 'one' AND file % 3 = 0) OR (engine = 'two' AND file % 2 = 0))""")
+def m13_missing_pairs(spark, d):
+    """What a cache lacks, for each engine that can read the file's kind; one of them reads short files only."""
+    files = read(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("source").alias("suffix"), "n_chars")
+    own = [engines.existing("one", "text", ("src0", "src1", "src2")), engines.existing("two", "text", ("src1", "src3"))]
+    have = files.select("file", F.explode(F.array(F.when(F.col("file") % 3 == 0, "one"), F.when((F.col("file") % 2 == 0) | (F.col("n_chars") > 1000), "two"))).alias("engine")).where("engine is not null")
+    return engines.missing(files, own, have)
+
+
+_HEADER_SQL = """SELECT l_orderkey, l_linenumber, l_partkey % 70000 + 1 AS width, l_suppkey * 7 % 40000 + 1 AS height, l_linenumber % 5 AS kind, l_orderkey % 7 AS named, l_quantity * 12 AS pages FROM lineitem"""
+
+
+@query(f"""WITH h AS ({_HEADER_SQL}), k AS (SELECT l_orderkey, l_linenumber, ['png', 'jpeg', 'tiff', 'pdf', NULL][kind + 1] AS format, named, pages,
+  CASE WHEN kind < 3 THEN CASE WHEN kind = 1 THEN width % 65536 ELSE width END END AS width, CASE WHEN kind < 3 THEN height END AS height FROM h),
+n AS (SELECT *, ['.png', '.jpg', '.tif', '.pdf', '.png', '.JPEG', '.tiff'][named + 1] AS suffix, ['png', 'jpeg', 'tiff', 'pdf', 'png', 'jpeg', 'tiff'][named + 1] AS claim FROM k)
+SELECT l_orderkey, l_linenumber, format, width, height, CASE WHEN format IS NULL THEN 'not a JPEG, PNG, TIFF or PDF file' WHEN claim <> format THEN 'named ' || lower(suffix) || ' but is ' || format
+  WHEN format <> 'pdf' AND (width = 0 OR height = 0) THEN 'no size in its header' WHEN width * height > 89478485 THEN 'too many pixels' WHEN greatest(width, height) > 30000 THEN 'side too long' WHEN pages > 500 THEN 'too many pages' END AS refused FROM n""")
+def s18_real_format(spark, d):
+    """Headers of five kinds made of each line item's numbers, under names that are right or wrong; what the bytes say."""
+    n = lambda c, digits: F.lpad(F.hex(c), digits, "0")
+    swapped = lambda c, size: F.concat(*[F.substring(n(c, 2 * size), 2 * (size - i) - 1, 2) for i in range(size)])
+    rows = read(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_partkey") % 70_000 + 1).cast("long").alias("width"), (F.col("l_suppkey") * 7 % 40_000 + 1).cast("long").alias("height"),
+        (F.col("l_linenumber") % 5).cast("int").alias("kind"), (F.col("l_quantity") * 12).alias("pages"),
+        F.get(F.array(*map(F.lit, [".png", ".jpg", ".tif", ".pdf", ".png", ".JPEG", ".tiff"])), (F.col("l_orderkey") % 7).cast("int")).alias("suffix"),
+    )
+    w, h = F.col("width"), F.col("height")
+    text = [
+        F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), n(w, 8), n(h, 8)),
+        # A JFIF segment, a fill byte, a comment, then the frame; sides are 16 bits.
+        F.concat(F.lit("FFD8FFE00004AAAAFFFFFE0003AAFFC0000B08"), n(h, 4), n(w % 65536, 4), F.lit("0100")),
+        # Little-endian: three entries, the height as 32 bits.
+        F.concat(F.lit("49492A0008000000" + "0300" + "FE0004000100000000000000" + "0001" + "0400" + "01000000"), swapped(w, 4), F.lit("0101" + "0400" + "01000000"), swapped(h, 4)),
+        F.lit("255044462D312E37"), F.lit("47494638396101000100"),
+    ]
+    made = rows.withColumn("content", F.unhex(F.get(F.array(*text), F.col("kind"))))
+    size = headers.real_size(F.col("content"))
+    return made.select("l_orderkey", "l_linenumber", headers.real_format(F.col("content")).alias("format"), size["width"].alias("width"), size["height"].alias("height"), headers.refused(F.col("content"), F.col("suffix"), F.col("pages")).alias("refused"))
+
+
 _CHOSEN = f"s AS ({SWEEP_SQL}), g AS (SELECT fixture, max(char_sim) AS best, max(CASE WHEN contrast = 2.0 AND psm = 3 THEN char_sim END) AS plain FROM s GROUP BY 1), b AS (SELECT *, greatest(plain, 0.30) AS floor FROM g)"
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafloom.functions import blocks, rules
+from leafloom.functions import blocks, headers, rules
 from leafloom.functions import text as T
 
 
@@ -123,3 +123,39 @@ def test_t3_on_whole_documents(spark, sf_dir):
         for engine, t in texts.items():
             a, b = norm(t), norm(r.text)
             assert by[r.doc_id, engine] == pytest.approx(python_ratio(a, b) if a and b else float(a == b), abs=1e-6)
+
+
+def made_headers():
+    """(name, bytes, format, width, height): each format in each byte order, with parts before the size, and cut short."""
+    import struct
+
+    png = b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + struct.pack(">II", 640, 480)
+    frame = lambda marker, w, h: bytes([255, marker]) + struct.pack(">HBHH", 17, 8, h, w) + b"\3"
+    segment = lambda marker, n: bytes([255, marker]) + struct.pack(">H", n) + b"\xff\xc0" * ((n - 2) // 2)
+    entry = lambda order, tag, kind, value: struct.pack(order + "HHI", tag, kind, 1) + (struct.pack(order + "HH", value, 0) if kind == 3 else struct.pack(order + "I", value))
+    tiff = lambda order, gap, entries: (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8 + gap) + b"\7" * gap + struct.pack(order + "H", len(entries)) + b"".join(entry(order, *e) for e in entries)
+    return [
+        ("png", png, "png", 640, 480), ("png cut", png[:20], "png", 640, None),
+        ("jpeg", b"\xff\xd8" + segment(0xE0, 16) + segment(0xE1, 300) + b"\xff\xff" + frame(0xC2, 3000, 2000), "jpeg", 3000, 2000),
+        ("jpeg tables first", b"\xff\xd8" + segment(0xDB, 66) + segment(0xC4, 30) + frame(0xC0, 65535, 1), "jpeg", 65535, 1),
+        ("jpeg without frame", b"\xff\xd8" + segment(0xE0, 16), "jpeg", None, None),
+        ("tiff little", tiff("<", 0, [(254, 4, 0), (256, 3, 77), (257, 4, 70_000)]), "tiff", 77, 70_000),
+        ("tiff big", tiff(">", 10, [(256, 4, 123_456), (257, 3, 99), (258, 3, 8)]), "tiff", 123_456, 99),
+        ("tiff without size", tiff("<", 0, [(258, 3, 8)]), "tiff", None, None), ("tiff cut", b"MM\0*\0\0\0\x08", "tiff", None, None),
+        ("pdf", b"%PDF-1.7\n", "pdf", None, None), ("gif", b"GIF89a\x01\0\x01\0", None, None, None), ("postscript", b"%!PS-Adobe", None, None, None), ("empty", b"", None, None, None),
+    ]
+
+
+def test_headers_tell_format_and_size(spark):
+    df = spark.createDataFrame([(n, bytearray(b)) for n, b, *_ in made_headers()], "name string, content binary")
+    size = headers.real_size(F.col("content"))
+    plan = df.select("name", headers.real_format(F.col("content")).alias("format"), size["width"].alias("w"), size["height"].alias("h"))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {r["name"]: (r["format"], r["w"], r["h"]) for r in plan.collect()} == {n: (f, w, h) for n, _, f, w, h in made_headers()}
+
+
+def test_a_false_name_is_refused(spark):
+    rows = [(n, bytearray(b), s) for n, b, s in [("a", made_headers()[0][1], ".PNG"), ("b", made_headers()[0][1], ".jpg"), ("c", b"%!PS", ".png"), ("d", b"%PDF-1", ".pdf"), ("e", made_headers()[3][1], ".jpg"), ("f", b"\xff\xd8\xff\xd9", ".jpeg"), ("g", b"%PDF-1", ".bmp")]]
+    df = spark.createDataFrame(rows, "name string, content binary, suffix string")
+    got = {r["name"]: r["why"] for r in df.select("name", headers.refused(F.col("content"), F.col("suffix"), F.lit(1)).alias("why")).collect()}
+    assert got == {"a": None, "b": "named .jpg but is png", "c": "not a JPEG, PNG, TIFF or PDF file", "d": None, "e": "side too long", "f": "no size in its header", "g": "named .bmp but is pdf"}

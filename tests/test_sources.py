@@ -83,3 +83,80 @@ def test_runs_are_kept_once_and_compared(spark, tmp_path):
     assert got == {"a": (0.5, 0.75, 0.25, "kept"), "b": (0.25, None, None, "gone"), "c": (None, None, None, "added")}
     with pytest.raises(ValueError):
         runs.keep(everything, folder, first)
+
+
+def test_registry_says_what_can_run(spark):
+    from leafloom.sources import engines
+
+    registry = engines.Registry()
+    base = registry.add(engines.per_file("plain", lambda c, s, mark="": c + mark, (".png",)))
+    registry.add(engines.Engine("absent", base.transcribe, (".png",), requires=("no_such_module",), extra="ocr"))
+    registry.add(engines.Engine("gone", base.transcribe, (".png",), requires=("no_such_module",), withdrawn="use another"))
+    registry.wrapper("louder", "plain", engines.per_file("x", lambda c, s, mark="": c + mark, (), mark="!").transcribe)
+    assert registry.available() == ["plain", "louder"] and registry.get("louder").suffixes == (".png",)
+    with pytest.raises(engines.MissingEngine, match="needs no_such_module; install the extra 'ocr'"):
+        registry.get("absent")
+    with pytest.raises(engines.WithdrawnEngine, match="use another"):
+        registry.get("gone")
+    with pytest.raises(engines.UnknownEngine, match="plain, absent, gone, louder"):
+        registry.get("other")
+    with pytest.raises(ValueError):
+        registry.add(base)
+    rows = {r["engine"]: (r["engine_ord"], r["available"], r["error"]) for r in registry.capabilities(spark).collect()}
+    assert rows["plain"] == (0, True, None) and rows["gone"] == (2, False, "use another")
+    names = spark.createDataFrame([(n,) for n in ("zz", "louder", "aa", "plain")], "engine string")
+    assert [r["engine"] for r in registry.ordered(names).collect()] == ["plain", "louder", "aa", "zz"]
+
+
+def test_cache_fills_only_what_it_lacks(spark, tmp_path):
+    from leafloom.sources import engines
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def read(content, suffix, fails=("bad",)):
+        (calls / content).write_text("x")
+        if content in fails:
+            raise RuntimeError("torn page")
+        return content.upper()
+
+    folder = str(tmp_path / "cache")
+    files = spark.createDataFrame([("a", ".png", 1, "one"), ("b", ".png", 1, "bad"), ("c", ".pdf", 3, "long"), ("d", ".txt", 1, "no")], "file string, suffix string, pages int, content string")
+    own = [engines.per_file("e", read, (".png", ".pdf")), engines.per_file("single", read, (".png", ".pdf"), single_page=True), engines.existing("kept", "content", (".png",))]
+    assert engines.fill(files, own, folder) == 3 + 2 + 2
+    rows = {(r["engine"], r["file"]): (r["text"], r["error"]) for r in engines.cached(spark, folder).collect()}
+    assert rows["e", "a"] == ("ONE", None) and rows["e", "b"] == (None, "RuntimeError: torn page") and ("single", "c") not in rows and rows["kept", "b"] == ("bad", None)
+    for p in calls.iterdir():
+        p.unlink()
+    assert engines.fill(files, own, folder) == 0 and not list(calls.iterdir())
+    more = files.union(spark.createDataFrame([("n", ".png", 1, "new")], files.schema))
+    assert engines.fill(more, own, folder) == 3 and {p.name for p in calls.iterdir()} == {"new"}
+    mended = [engines.per_file("e", read, (".png", ".pdf"), fails=())]
+    assert engines.fill(more, mended, folder, again=True) == 1
+    rows = {(r["engine"], r["file"]): r["text"] for r in engines.cached(spark, folder).collect()}
+    assert rows["e", "b"] == "BAD" and rows["e", "a"] == "ONE" and len(rows) == 10
+    texts = {(r["file"], r["engine"]): r["text"] for r in engines.transcribed(files, own).collect()}
+    assert texts["a", "e"] == "ONE" and texts["b", "e"] is None and texts["b", "kept"] == "bad"
+
+
+def test_a_batch_is_written_once_with_its_totals(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from leafloom.operators import batch, log
+
+    files = spark.createDataFrame([(f, f"p/{f}.png", w, 10, 1) for f, w in (("a", 10), ("b", 40_000), ("c", 10), ("d", 10))], "file string, path string, width int, height int, pages int")
+    scored = spark.createDataFrame([("a", 0, "e", "text here", 2, 0.5), ("c", 0, "e", "poor", 1, 0.01)], "file string, engine_ord int, engine string, text string, words long, score double")
+    rows = batch.processed(files, scored, "md")
+    totals = batch.write_run(rows, str(tmp_path), "r1")
+    assert totals == {"files": 4, "processed": 1, "triaged": 2, "errors": 1}
+    written = spark.read.json(str(tmp_path / "log"))
+    finishes = written.where("event = 'file_finish'")
+    assert log.run_totals(finishes).first().asDict() == {"run": "r1", **totals}
+    assert {r["file"]: (r["outcome"], r["reason"]) for r in finishes.collect()} == {"a": ("processed", None), "b": ("refused", "side too long"), "c": ("triaged", None), "d": ("error", "no engine read the file")}
+    end = written.where("event = 'run_finish'").first()
+    assert (end["files"], end["errors"]) == (4, 1) and written.where("event = 'run_start'").count() == 1 and written.count() == 10
+    manifest = spark.read.csv(str(tmp_path / "manifest"), header=True)
+    assert manifest.columns == tables.MANIFEST and {r["file"]: r["location"] for r in manifest.collect()} == {"a": "processed", "b": "triage", "c": "triage", "d": "scans"}
+    # The same run again replaces its file rows.
+    batch.write_run(rows, str(tmp_path), "r1")
+    assert spark.read.parquet(str(tmp_path / "files")).groupBy("run_id").agg(F.count("*").alias("n")).collect() == [("r1", 4)]
