@@ -1,21 +1,21 @@
 """Operator 10, approximate nearest neighbours by a hash-prefix forest.
 
-Each tree has its own hash strings: the coordinates of the centred vector under the tree's random
-rotation, with their signs, by falling size. A string holds as many symbols as 62 bits take. A tree is
-a sorted array of all strings. A query descends in every tree to its longest matching prefix; then the
-trees ascend together, one symbol at a time and tree after tree, until enough rows share a prefix.
-Those rows are compared exactly, on the original vectors in double precision.
-
-Arrays are dealt into ranges of strings, and large ranges into equal shares; only strings and ids go
-through the forest. What a query finds in a tree goes to the blocks of the vectors in pieces, so neither
-the candidates of a query nor the queries of a block meet in one group: queries too are dealt, `QUERY_ROWS`
-to a group. Of equal vectors only the rows with the smallest `k + 1` ids enter the arrays: no other copy
-can be among the nearest k.
-
-Enough rows: `density * n ** growth` of the n rows of that length, repeated finds counted, and so many
-that some tree holds `k + 1`, at every table size. On vectors that lie evenly on a sphere, near rows are hardly nearer than others, and a
-recall of 0.9 needs that many. A query that is short of them under its first symbols in all trees ascends
-to the root: it is compared with all rows, block by block.
+Each tree has its own hash strings: 62 bits, the sides on which a centred vector lies of the tree's random hyperplanes,
+orthogonal as far as the dimension goes. A tree is a sorted array of all strings. A query descends in every tree to its
+longest matching prefix with another row; then the trees ascend together, one bit at a time and tree after tree, until
+enough rows share a prefix. Those rows are compared exactly, on the original vectors in double precision.
+
+Arrays are dealt into ranges by the first bits of the strings, at most `RANGE_BITS` of them, and large ranges into equal
+shares; only strings and ids go through the forest. What a query finds in a tree goes to the blocks of the vectors in
+pieces, so neither the candidates of a query nor the queries of a block meet in one group: queries too are dealt,
+`QUERY_ROWS` to a group. A query's vector goes only to the blocks in which it found rows, and a block only to the groups
+that ask it. Of equal vectors only the rows with the smallest `k + 1` ids enter the arrays: no other copy can be among
+the nearest k (the engine keeps as many of each vector before it shuffles, so a hot vector is no hot task).
+
+Enough rows: `density * n ** growth` of the n rows of that length, repeated finds counted and the query's own rows not,
+and some tree must hold `k`. On vectors that lie evenly on a sphere, near rows are hardly nearer than others, and a
+recall of 0.9 needs that many. A query that is short of them under the bits that number the ranges (one at least)
+ascends to the root: it is compared with all rows, block by block.
 
 Cases. Vectors that are null, empty, zero, or hold null or non-finite components take no part.
 Vectors of different lengths are never compared. Equal distances: the smaller id. Repeated ids:
@@ -33,9 +33,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import bounded_sample, small_batches, table
+from leafloom.llm.common import Scratch, bounded_sample, small_batches, table
 
-TREES, LONGEST = 64, 6
+TREES, BITS = 128, 62
+#: First bits of a string that may number its range: fewer than queries share with the rows they find.
+RANGE_BITS = 6
 #: Strings of a range, rows of a block, and queries that meet a block in one group.
 RANGE_ROWS, BLOCK_ROWS, QUERY_ROWS = 200_000, 20_000, 1000
 #: Rows that the centre of the vectors is taken from.
@@ -48,95 +50,107 @@ def usable(df: DataFrame, vector: str) -> DataFrame:
     return df.where(v.isNotNull() & F.col("vec_id").isNotNull() & sound & F.exists(v, lambda x: x != 0))
 
 
-def string_length(dim: int) -> int:
-    return max(1, min(LONGEST, dim, int(62 / math.log2(2 * dim))))
+def hyperplanes(tree: int, dim: int) -> np.ndarray:
+    """(dim, BITS): as many random rotations as give so many columns."""
+    draws = np.random.default_rng([tree, dim]).standard_normal((-(-BITS // dim), dim, dim))
+    return np.concatenate([np.linalg.qr(d)[0] for d in draws], axis=1)[:, :BITS].astype(np.float32)
 
 
-def rotation(tree: int, dim: int) -> np.ndarray:
-    draw = np.random.default_rng([tree, dim]).standard_normal((dim, dim))
-    return np.linalg.qr(draw)[0].astype(np.float32)
-
-
-def strings(vectors: np.ndarray, centre: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, trees): first symbols, and whole strings as numbers."""
-    dim = vectors.shape[1]
+def strings(vectors: np.ndarray, centre: np.ndarray, trees: int) -> np.ndarray:
+    """(rows, trees): the strings as numbers, the first bit highest."""
     moved = (vectors - centre).astype(np.float32)
-    first, code = (np.zeros((len(vectors), trees), dtype=np.int64) for _ in range(2))
-    row = np.arange(len(vectors))
-    for tree in range(trees):
-        turned = moved @ rotation(tree, dim)
-        size = np.abs(turned)
-        for s in range(string_length(dim)):
-            place = size.argmax(axis=1)
-            symbol = 2 * place + (turned[row, place] > 0)
-            size[row, place] = -1
-            code[:, tree] = code[:, tree] * (2 * dim) + symbol
-            if s == 0:
-                first[:, tree] = symbol
-    return first, code
+    weights = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+    return np.stack([((moved @ hyperplanes(tree, vectors.shape[1])) > 0) @ weights for tree in range(trees)], axis=1)
 
 
 def coded(df: DataFrame, centres: dict[int, list[float]], trees: int) -> DataFrame:
-    """(vec_id, dim, tree, first, code): a row for each tree."""
+    """(vec_id, dim, tree, code): a row for each tree."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["embedding"].map(len)):
                 vectors = np.array(part["embedding"].tolist(), dtype=np.float64)
-                first, code = strings(vectors, np.array(centres.get(dim, [0.0] * dim)), trees)
+                code = strings(vectors, np.array(centres.get(dim, [0.0] * dim)), trees)
                 ids, tree = np.repeat(part["vec_id"].to_numpy(), trees), np.tile(np.arange(trees), len(part))
-                yield pd.DataFrame({"vec_id": ids, "dim": dim, "tree": tree, "first": first.ravel(), "code": code.ravel()})
+                yield pd.DataFrame({"vec_id": ids, "dim": dim, "tree": tree, "code": code.ravel()})
 
-    return df.select("vec_id", "embedding").mapInPandas(rows, "vec_id long, dim int, tree int, first int, code long")
+    return df.select("vec_id", "embedding").mapInPandas(rows, "vec_id long, dim int, tree int, code long")
 
 
-def prefix_ranges(arrays: np.ndarray, codes: np.ndarray, dim: int, symbols: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds in the sorted array of what shares that many symbols with each string."""
-    step = np.power(np.int64(2 * dim), string_length(dim) - np.asarray(symbols, dtype=np.int64))
+def prefix_ranges(arrays: np.ndarray, codes: np.ndarray, bits: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds in the sorted array of what shares that many bits with each string."""
+    step = np.int64(1) << (BITS - np.asarray(bits, dtype=np.int64))
     low = codes // step * step
     return np.searchsorted(arrays, low), np.searchsorted(arrays, low + step)
 
 
-def shared_counts(key: tuple, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """Of each query of a share of a tree: how many rows share 1, 2, ... symbols."""
-    dim, tree = int(key[0]), int(key[1])
-    arrays, codes = np.sort(index["code"].to_numpy()), asked["code"].to_numpy()
-    bounds = [prefix_ranges(arrays, codes, dim, s) for s in range(1, string_length(dim) + 1)]
-    counts = np.stack([b - a for a, b in bounds], axis=1) if len(codes) else np.zeros((0, 1))
-    return pd.DataFrame({"query_id": asked["vec_id"].to_numpy(), "dim": dim, "tree": tree, "counts": pd.Series(list(counts), dtype=object)})
-
-
-def ascended(density: float, growth: float, fewest: int):
-    """Rows (query_id, dim, rows, per_tree): the symbols that a query shares in each tree when all have ascended far enough;
-    a null tree for one that ascends to the root."""
+def shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The length of the common prefix of each pair of strings."""
+    return BITS - np.array([int(x).bit_length() for x in a ^ b], dtype=np.int64)
+
+
+def shared_counts(fewest_bits: int):
+    """Of each query of a share of a tree: how many other rows share `fewest_bits` bits, one more, and so on to its longest
+    match."""
+
+    def counts_of(key: tuple, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        arrays, codes = np.sort(index["code"].to_numpy()), asked["code"].to_numpy()
+        levels = np.arange(fewest_bits, BITS + 1)
+        own = asked.assign(row=np.arange(len(asked))).merge(index[["vec_id", "code"]], on="vec_id", suffixes=("", "_own"))
+        own_bits = shared_bits(own["code"].to_numpy(), own["code_own"].to_numpy())
+        columns = []
+        for level in levels:
+            low, high = prefix_ranges(arrays, codes, level)
+            count = high - low
+            np.subtract.at(count, own["row"].to_numpy()[own_bits >= level], 1)
+            if not count.any():
+                break
+            columns.append(count)
+        counts = [np.trim_zeros(c, "b") for c in np.stack(columns, axis=1)] if columns else [np.zeros(0, np.int64)] * len(codes)
+        return pd.DataFrame({"query_id": asked["vec_id"].to_numpy(), "dim": int(key[0]), "tree": int(key[1]), "counts": pd.Series(counts, dtype=object)})
+
+    return counts_of
+
+
+def ascended(density: float, growth: float, k: int, fewest_bits: int):
+    """Rows (query_id, tree, bits): the bits that a query shares in each tree when all have ascended far enough; a null
+    tree for one that ascends to the root."""
+
+    def levels_of(counts: np.ndarray, enough: float) -> np.ndarray | None:
+        """The level (column) of each tree (row) of `counts`, of which the last column is zero; None for the root."""
+        n, deepest = len(counts), counts.shape[1] - 1
+        # Ascents in their order: from the longest match to the shortest, and at each length the trees in turn.
+        gain = (counts[:, :-1] - counts[:, 1:])[:, ::-1].T.ravel()
+        fullest = np.maximum.accumulate(counts[:, :-1][:, ::-1].T.ravel())
+        done = np.flatnonzero((np.cumsum(gain) >= enough) & (fullest >= k))
+        if not len(done):
+            return None
+        turn, last = divmod(int(done[0]), n)
+        return np.where(np.arange(n) <= last, deepest - 1 - turn, deepest - turn)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for query, n, per_tree in zip(pdf["query_id"], pdf["rows"], pdf["per_tree"], strict=True):
-                trees = np.array([t["tree"] for t in per_tree])
-                counts = np.array([t["counts"] for t in per_tree], dtype=np.int64)
-                order = np.argsort(trees)
-                counts = np.concatenate([counts[order], np.zeros((len(trees), 1), np.int64)], axis=1)
-                # Ascents in their order: from the last symbol to the first, and in each the trees in turn.
-                gain = (counts[:, :-1] - counts[:, 1:])[:, ::-1].T.ravel()
-                enough = np.flatnonzero(np.cumsum(gain) >= max(density * n**growth, fewest))
-                if not len(enough):
+                per_tree = sorted(per_tree, key=lambda t: t["tree"])
+                counts = np.zeros((len(per_tree), max(len(t["counts"]) for t in per_tree) + 1), np.int64)
+                for row, t in zip(counts, per_tree, strict=True):
+                    row[: len(t["counts"])] = t["counts"]
+                level = levels_of(counts, density * n**growth)
+                if level is None:
                     out.append((query, None, 0))
-                    continue
-                turn, last = divmod(int(enough[0]), len(trees))
-                symbols = counts.shape[1] - 1 - turn
-                level = np.where(np.arange(len(trees)) <= last, symbols, symbols + 1)
-                out += [(query, int(t), int(s)) for t, s, c in zip(trees[order], level, counts[np.arange(len(trees)), level - 1], strict=True) if c]
-            found = pd.DataFrame(out, columns=["query_id", "tree", "symbols"])
-            yield found.astype({"tree": "Int32"})
+                else:
+                    some = counts[np.arange(len(counts)), level] > 0
+                    out += [(query, t["tree"], fewest_bits + int(s)) for t, s, c in zip(per_tree, level, some, strict=True) if c]
+            yield pd.DataFrame(out, columns=["query_id", "tree", "bits"]).astype({"tree": "Int32"})
 
     return rows
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, density: float = 1.9, growth: float = 0.82) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, density: float = 2.1, growth: float = 0.83) -> DataFrame:
     """(query_id, rank, vec_id, score) of `queries` (vec_id, embedding) among the rows of `df` with another id."""
     small_batches(df.sparkSession, 2000)
+    scratch = Scratch(df.sparkSession)
     rows = usable(df.select("vec_id", "embedding"), "embedding")
     asked = usable(queries.select("vec_id", "embedding"), "embedding").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n = rows.count()
@@ -145,27 +159,28 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES,
     index = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
     sample = bounded_sample(rows, "vec_id", SAMPLE).toPandas()["embedding"]
     centres = {d: np.array(v.tolist(), dtype=np.float64).mean(axis=0).tolist() for d, v in sample.groupby(sample.map(len))} if len(sample) else {}
-    ranges = max(1, math.ceil(n / RANGE_ROWS))
-    shares = max(1, math.ceil(ranges / 128))
-    of_range = F.floor(F.col("first") * min(ranges, 128) / (2 * F.col("dim"))).cast("int").alias("range")
+    range_bits = min(RANGE_BITS, max(0, math.ceil(math.log2(max(n, 1) / RANGE_ROWS))))
+    shares = max(1, math.ceil(n / (RANGE_ROWS << range_bits)))
+    fewest_bits = max(1, range_bits)
+    of_range = F.shiftright("code", BITS - range_bits).cast("int").alias("range")
     arrays = coded(index, centres, trees).select("dim", "tree", of_range, F.pmod(F.xxhash64("vec_id"), F.lit(shares)).cast("int").alias("salt"), "vec_id", "code")
     probes = coded(asked, centres, trees).select("dim", "tree", of_range, F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("salt"), "vec_id", "code")
     keys = ["dim", "tree", "range", "salt"]
-    counted = arrays.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(shared_counts, "query_id long, dim int, tree int, counts array<long>")
+    counted = arrays.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(shared_counts(fewest_bits), "query_id long, dim int, tree int, counts array<long>")
     add = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
     # One row for each share of a tree; a query has `trees` of them in all, once the shares are added.
     zero = F.expr("cast(array() as array<bigint>)")
     summed = counted.groupBy("query_id", "dim", "tree").agg(F.aggregate(F.collect_list("counts"), zero, add).alias("counts"))
     per_tree = summed.groupBy("query_id", "dim").agg(F.collect_list(F.struct("tree", "counts")).alias("per_tree"))
     per_tree = per_tree.join(F.broadcast(of_length), "dim")  # a row for each length of vector
-    levels = per_tree.select("query_id", "rows", "per_tree").mapInPandas(ascended(density, growth, trees * (k + 1)), "query_id long, tree int, symbols int")
+    levels = scratch.written(per_tree.select("query_id", "rows", "per_tree").mapInPandas(ascended(density, growth, k, fewest_bits), "query_id long, tree int, bits int"), "levels")
     blocks, groups = max(1, math.ceil(n / BLOCK_ROWS)), max(1, math.ceil(asked.count() / QUERY_ROWS))
 
     def gathered(key: tuple, index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         """(query_id, block, ids): what each query finds in a share of a tree, by block of the vectors."""
         order = np.argsort(index["code"].to_numpy(), kind="stable")
         arrays, ids = index["code"].to_numpy()[order], index["vec_id"].to_numpy()[order]
-        low, high = prefix_ranges(arrays, asked["code"].to_numpy(), int(key[0]), asked["symbols"].to_numpy()) if len(asked) else ([], [])
+        low, high = prefix_ranges(arrays, asked["code"].to_numpy(), asked["bits"].to_numpy()) if len(asked) else ([], [])
         block = ids % blocks
         found = []
         for query, a, b in zip(asked["vec_id"].tolist(), low, high, strict=True):
@@ -208,14 +223,18 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES,
     told = probes.join(levels.where("tree is not null").withColumnRenamed("query_id", "vec_id"), ["vec_id", "tree"])
     found = arrays.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInPandas(gathered, "query_id long, block long, ids binary")
     group = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("group")
+    found = scratch.written(found.select("block", group, "query_id", "ids"), "found")
     no_ids, no_vector = F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("array<double>").alias("query")
-    found = found.select("block", group, "query_id", no_vector, "ids", F.lit(False).alias("root"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
-    at_root = levels.where("tree is null").select("query_id", F.lit(True).alias("root"))
-    own = asked.withColumnRenamed("vec_id", "query_id").join(at_root, "query_id", "left")
-    own = own.select(every, group, "query_id", F.col("embedding").cast("array<double>").alias("query"), no_ids, F.coalesce("root", F.lit(False)).alias("root"))
-    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
-    vectors = index.select(F.pmod("vec_id", F.lit(blocks)).cast("long").alias("block"), every_group, "vec_id", "embedding")
+    at_root = levels.where("tree is null").select("query_id", every).select("block", group, "query_id", F.lit(True).alias("root"))
+    asks = found.select("block", "group", "query_id", F.lit(False).alias("root")).distinct().unionByName(at_root)
+    own = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query"))
+    own = asks.join(own, "query_id").select("block", "group", "query_id", "query", no_ids, "root")
+    found = found.select("block", "group", "query_id", no_vector, "ids", F.lit(False).alias("root"))
+    # A row a block, with the groups that ask it.
+    askers = asks.groupBy("block").agg(F.collect_set("group").alias("askers"))
+    vectors = index.withColumn("block", F.pmod("vec_id", F.lit(blocks)).cast("long")).join(askers, "block")
+    vectors = vectors.select("block", F.explode("askers").alias("group"), "vec_id", "embedding")
     best = vectors.groupBy("block", "group").cogroup(found.unionByName(own).groupBy("block", "group"))
     best = best.applyInPandas(compared, "query_id long, vec_id long, score double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
