@@ -2,7 +2,10 @@
 
 Three fixed patterns give base spans. Two character Markov models, one of random strings and one
 of ordinary identifiers, are counted from labelled samples; long tokens whose log-likelihood
-ratio per character passes a threshold are added as `markov` spans.
+ratio per character passes a threshold are added as `markov` spans. Random samples are digests in
+several alphabets, beside the values of base spans; ordinary ones are names, constants, paths and
+versions made of the words of documents. The threshold is the ratio that all but one in a thousand
+of the ordinary samples that the models were not counted from stay below.
 
 Cases. Null text: no span, and the hash of the empty text. Repeated rows: each is scanned. Ties
 in position: the order of KINDS. Extra columns: `scan` keeps all, and its own column `spans`
@@ -70,15 +73,62 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def random_strings(spark: SparkSession, n: int) -> DataFrame:
+    """(value, kind): digests of the numbers below n, 20 to 43 characters, in five alphabets."""
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    base64 = F.base64(F.unhex(digest))
+    forms = {"base62": F.translate(base64, "+/=", "aZ0"), "base64": base64, "base64url": F.translate(base64, "+/", "-_"), "hex": digest, "HEX": F.upper(digest)}
+    of = F.array(*[F.struct(F.substring(v, F.lit(1), (F.col("id") % 24 + 20).cast("int")).alias("value"), F.lit(k).alias("kind")) for k, v in forms.items()])
+    return spark.range(n).select(F.inline(of))
+
+
+def identifiers(texts: DataFrame) -> DataFrame:
+    """(value, kind): every three words of a text as a name, a constant, a path or a version, by turns."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w.rlike("^[A-Za-z]{2,12}$"))
+
+    def name(w: Column, i: Column) -> Column:
+        a, b, c = (F.get(w, (i * 3 + k).cast("int")) for k in range(3))
+        number = F.pmod(F.xxhash64(a, b, c), F.lit(100_000)).cast("string")
+        forms = [
+            ("snake", F.concat_ws("_", a, b, c)), ("numbered", F.concat_ws("_", a, b, c, number)), ("camel", F.concat(F.lower(a), F.initcap(b), F.initcap(c), F.substring(number, 1, 2))),
+            ("constant", F.upper(F.concat_ws("_", a, b, c, number))), ("path", F.concat(F.lit("/"), F.concat_ws("/", a, b, c, number))),
+            ("version", F.concat(F.concat_ws("-", a, b, c), F.lit("-"), F.substring(number, 1, 1), F.lit("_"), F.substring(number, 2, 2))),
+        ]
+        return F.get(F.array(*[F.struct(v.alias("value"), F.lit(k).alias("kind")) for k, v in forms]), F.pmod(F.xxhash64(a, b, c, i), F.lit(len(forms))).cast("int"))
+
+    made = lambda w: F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / 3).cast("int") - 1), lambda i: name(w, i))
+    each = texts.select(words.alias("w")).where(F.size("w") >= 3)
+    return each.select(F.inline(made(F.col("w"))))
+
+
 def labelled_samples(docs: DataFrame, cap: int = 20_000) -> DataFrame:
-    """(value, label) from about `cap` documents: values of base spans are random strings (1), words of letters,
-    digits and underscores that stand in no such span are ordinary identifiers (0)."""
+    """(value, kind, label): random strings (1) are digests and the values of base spans of about `cap` documents; ordinary
+    identifiers (0) are made of these documents' words."""
     texts = bounded_sample(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id", cap)
-    spans = base_spans(F.col("text"))
-    randoms = texts.select(F.explode(spans).alias("s")).select(F.col("s.value").alias("value"), F.lit(1).alias("label"))
-    words = texts.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("value"))
-    plain = words.where(F.col("value").rlike(r"^[A-Za-z_][A-Za-z0-9_]{5,}$") & ~F.col("value").rlike(f"^(?:{ACCESS}|{HEX})$"))
-    return randoms.unionByName(plain.withColumn("label", F.lit(0)))
+    found = texts.select(F.explode(base_spans(F.col("text"))).alias("s")).select(F.col("s.value").alias("value"), F.lit("found").alias("kind"))
+    randoms = random_strings(docs.sparkSession, 2_000).unionByName(found).withColumn("label", F.lit(1))
+    return randoms.unionByName(identifiers(texts).withColumn("label", F.lit(0))).where(F.col("value").rlike(r"^[A-Za-z0-9+/_=-]{2,}$"))
+
+
+def held_out() -> Column:
+    """Samples from which the threshold is taken, not the models; equal ones are on one side."""
+    return F.pmod(F.xxhash64("value"), F.lit(5)) == 0
+
+
+def fitted(docs: DataFrame, cap: int = 20_000, false_alarms: float = 0.001) -> tuple[list[float], float]:
+    """The models as log ratios, and the threshold: that quantile of the held-out ordinary samples, 0 at least."""
+    samples = labelled_samples(docs, cap)
+    model = fit_markov(samples.where(~held_out()))
+    ordinary = samples.where(held_out() & (F.col("label") == 0) & (F.length("value") >= 20))
+    bound = ordinary.agg(F.percentile_approx(log_ratio(F.col("value"), model), 1 - false_alarms, 100_000)).first()[0]
+    return model, max(bound or 0.0, 0.0)
+
+
+def quality(samples: DataFrame, model: list[float], threshold: float) -> DataFrame:
+    """(kind, label, samples, called): how many of the held-out samples of 20 characters or more are called random."""
+    rows = samples.where(held_out() & (F.length("value") >= 20))
+    called = F.count_if(log_ratio(F.col("value"), model) > threshold)
+    return rows.groupBy("kind", "label").agg(F.count("*").alias("samples"), called.alias("called"))
 
 
 def fit_markov(samples: DataFrame, smoothing: float = 0.5, backoff: float = 5.0) -> list[float]:
@@ -165,7 +215,7 @@ def redact(docs: DataFrame, model: list[float], threshold: float = 1.0, mask: st
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs, fit_markov(labelled_samples(docs)))
+    found = scan(docs, *fitted(docs))
     names = F.array(*map(F.lit, KINDS))
     told = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ","

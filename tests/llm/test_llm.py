@@ -390,6 +390,24 @@ def test_op7_brute_force_and_markov(spark, sf_dir, odd, none):
     assert secret_scan.fit_markov(secret_scan.labelled_samples(none)) == [0.0] * len(secret_scan.ALPHABET) ** 2 and secret_scan.scan(none, model).count() == 0
 
 
+def test_op7_tells_random_from_ordinary(spark, none):
+    """On samples it was not counted from, kind by kind; tokens of neither sample; and a text with both."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    model, threshold = secret_scan.fitted(docs)
+    rows = {r["kind"]: r for r in secret_scan.quality(secret_scan.labelled_samples(docs), model, threshold).collect()}
+    called = lambda label: sum(r["called"] for r in rows.values() if r["label"] == label)
+    total = lambda label: sum(r["samples"] for r in rows.values() if r["label"] == label)
+    assert called(1) >= 0.97 * total(1) and called(0) <= 0.002 * total(0) and called(1) >= 0.97 * (called(1) + called(0))
+    assert all(rows[k]["called"] >= 0.9 * rows[k]["samples"] for k in ("base62", "base64", "base64url", "hex", "HEX"))
+    assert {"snake", "numbered", "camel", "constant", "path", "version"} <= set(rows)
+    secrets = ["8Zx7Kq9Lf2Tp3Vw7Rn4Bv9Qm1", "dGhpcyBpcyBub3QgYSBrZXk9Zz0x", "xK4-9vTq_Lm2Zr8YwB7sNd3Hf", "A93F0C77D1E85B2649AA0317FE"]
+    plain = ["my_function_name_number_12345", "src/module/reading_order_2", "calibrate-router-weights-1_20", "MAX_RETRY_COUNT_PER_REQUEST_10"]
+    text = " ".join(x for pair in zip(secrets, plain) for x in pair)
+    spans = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model, threshold).first()["spans"]
+    assert [text[s["start"] : s["end"]] for s in spans] == secrets
+    assert secret_scan.fitted(none) == ([0.0] * len(secret_scan.ALPHABET) ** 2, 0.0) and secret_scan.scan(none, *secret_scan.fitted(none)).count() == 0
+
+
 def test_op7_ratio_by_hand_and_columns(spark, odd):
     """The log ratio of a token against plain Python, and a table whose own `spans` must stay."""
     rng = random.Random(18)
