@@ -30,7 +30,7 @@ def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in their texts are masked."""
-    return secret_scan.redact(docs, secret_scan.fit_markov(secret_scan.labelled_samples(docs))).select(*docs.columns)
+    return secret_scan.redact(docs, *secret_scan.fitted(docs)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
