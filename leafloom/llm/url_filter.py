@@ -25,8 +25,8 @@ from leafloom.llm.common import salted_join, table, unused
 
 # The rules of the query (verdict, host and path as one text).
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: The query's list of blocked urls: those of `pages` whose host starts with this.
-LISTED_HOSTS = "blog."
+#: The query's list of blocked urls: every third page's, written in another way, beside urls of no page.
+LISTED_EVERY = 3
 
 #: Blocks of the filter of rules, which stands in the plan; most distinct lengths of listed paths.
 RULE_BLOCKS, PATH_LENGTHS = 1 << 13, 1000
@@ -171,9 +171,20 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", listed:
     return judged.where("rule is not null").unionByName(rest)
 
 
+def written_otherwise(pages: DataFrame) -> DataFrame:
+    """(url): the urls of pages with another scheme, host in upper case, default port, dot segment, percent-encoded letters
+    and fragment; all have the canonical form of the page's url."""
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    query = F.regexp_extract("url", r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+    encoded = F.replace(F.replace(F.substr(path, F.lit(2)), F.lit("a"), F.lit("%61")), F.lit("e"), F.lit("%65"))
+    return pages.where(host != "").select(F.concat(F.lit("HTTPS://"), F.upper(host), F.lit(":443/./"), encoded, query, F.lit("#top")).alias("url"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(F.startswith(host_of(F.col("url")), F.lit(LISTED_HOSTS))).select("url", F.lit("block").alias("verdict"))
+    own = written_otherwise(pages.where(F.col("page_id") % LISTED_EVERY == 0))
+    other = pages.select(F.concat(F.lit("http://"), host_of(F.col("url")), F.lit("/never/"), F.col("page_id").cast("string")).alias("url"))
+    listed = own.unionByName(other).withColumn("verdict", F.lit("block"))
     return judge(pages, rule_table(spark, RULES), listed=listed).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -181,9 +192,10 @@ OP5_SQL = r"""
 WITH p AS (
   SELECT page_id,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)', 1), '') AS query FROM pages),
+c AS (SELECT page_id, host || CASE WHEN path = '' THEN '/' ELSE path END || query AS form FROM p WHERE host <> ''),
 r(rule, rule_verdict, h, q) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'),
   ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
 m AS (SELECT p.*, (SELECT rule FROM r WHERE (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.q) ORDER BY length(rule) DESC LIMIT 1) AS rule FROM p)
-SELECT page_id, host, path, m.rule, coalesce(rule_verdict, CASE WHEN starts_with(host, 'blog.') THEN 'block' ELSE 'allow' END) AS verdict FROM m LEFT JOIN r ON m.rule = r.rule
+SELECT page_id, host, path, m.rule, coalesce(rule_verdict, CASE WHEN page_id IN (SELECT page_id FROM c WHERE form IN (SELECT form FROM c WHERE page_id % 3 = 0)) THEN 'block' ELSE 'allow' END) AS verdict FROM m LEFT JOIN r ON m.rule = r.rule
 """
