@@ -93,10 +93,16 @@ def word_recall(actual: Column, expected: Column) -> Column:
 
 
 def scores_english_text(text: Column) -> Column:
-    """At least half of the letters are ASCII letters; true without letters."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    latin = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
-    return F.when(letters == 0, F.lit(True)).otherwise(latin / letters >= 0.5)
+    """At least half of the letters are ASCII letters; true without letters.
+
+    Where half of all characters are ASCII letters, half of the letters are, and they need not be told apart.
+    """
+
+    def share(latin: Column) -> Column:
+        letters = F.length(F.regexp_replace(text, r"[^\p{L}]++", ""))
+        return F.when(latin * 2 >= F.length(text), F.lit(True)).otherwise(letters <= latin * 2)
+
+    return let(F.length(F.regexp_replace(text, "[^A-Za-z]++", "")), share)
 
 
 def dictionary_tokens(text: Column) -> Column:

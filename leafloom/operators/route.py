@@ -42,6 +42,7 @@ def quality_scores(candidates: DataFrame, lexicon: DataFrame, most_tokens: int =
     A text becomes the distinct words of each role beside a few numbers; neither texts nor tokens are shuffled, and what
     is summed meets in one aggregate.
     """
+    lexicon = lexicon.persist()  # a row a word: counted here and looked up below
     total, size = lexicon.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     text = F.col("text")
     facts = candidates.select(
