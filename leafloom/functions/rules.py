@@ -75,6 +75,19 @@ def edge_between(low: Column, high: Column) -> Column:
     return F.coalesce(*[F.when((low < c) & (c <= high), c) for c in rounded], mid)
 
 
+def engine_spans(texts: Column, scores: Column, polygons: Column) -> Column:
+    """Spans (text, confidence 0 to 100, polygon) of an engine's lists, blank texts left out. Scores come from 0 to 1;
+    polygons are attached only if there is one for each text, as otherwise nobody knows which belongs to which."""
+    whole = F.size(polygons) == F.size(texts)
+    span = lambda t, i: F.struct(t.alias("text"), (F.get(scores, i) * 100).alias("confidence"), F.when(whole, F.get(polygons, i)).alias("polygon"))
+    return F.filter(F.transform(texts, span), lambda s: F.trim(s["text"]) != "")
+
+
+def detector_input(suffix: Column, faint: Column) -> Column:
+    """What a detector is handed: the path, or PNG bytes of a TIFF or of a faint page, which is stretched first."""
+    return F.when(faint | F.lower(suffix).isin(".tif", ".tiff"), "png").otherwise("path")
+
+
 def plausible_points(pixels: Column, dpi: Column) -> Column:
     """Page size in points; a missing or implausible resolution counts as 300."""
     sound = F.when(F.coalesce(dpi, F.lit(300.0)) < 50, F.lit(300.0)).otherwise(F.coalesce(dpi, F.lit(300.0)))

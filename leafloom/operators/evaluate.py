@@ -81,9 +81,30 @@ def merged(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.join(F.broadcast(fresh.select("backend").distinct()), "backend", "left_anti").unionByName(fresh)
 
 
-def spliced(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of `stored` but those whose keys are fresh, and the fresh ones."""
-    return stored.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
+def merged_wide(table: DataFrame, fresh: DataFrame, backend: str, order: list[str]) -> DataFrame:
+    """Put one backend's scores (fixture, chr, wrd, sec) into a rendered wide table, which has an Average row.
+
+    The other backends' cells, their Average among them, stay the text they are: nothing that was not measured again is
+    computed again. Columns come in `order`, backends it lacks last. Refused if the fixtures differ.
+    """
+    old, new = table.where("fixture <> 'Average'").select("fixture"), fresh.select(F.col("fixture").cast("string").alias("fixture"))
+    odd = old.exceptAll(new).withColumn("where", F.lit("table")).unionByName(new.exceptAll(old).withColumn("where", F.lit("fresh")))
+    if not odd.isEmpty():
+        raise ValueError(f"the fixtures differ: {odd.limit(10).collect()}")
+    names = [f"{backend}_{m}" for m in ("chr", "wrd", "sec")]
+    own = fresh.select(F.col("fixture").cast("string").alias("fixture"), *[F.col(m).alias(n) for m, n in zip(("chr", "wrd", "sec"), names, strict=True)])
+    average = own.agg(F.lit("Average").alias("fixture"), F.avg(names[0]).alias(names[0]), F.avg(names[1]).alias(names[1]), F.sum(names[2]).alias(names[2]))
+    cells = rendered(own.unionByName(average))
+    backends = [c.removesuffix("_chr") for c in table.columns if c.endswith("_chr")]
+    place = {b: i for i, b in enumerate(order)}
+    listed = sorted({*backends, backend}, key=lambda b: (place.get(b, len(order)), (backends + [backend]).index(b)))
+    return table.drop(*names).join(cells, "fixture").select("fixture", *[f"{b}_{m}" for b in listed for m in ("chr", "wrd", "sec")])
+
+
+def spliced(stored: DataFrame, fresh: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows of `stored` but those whose keys are fresh, and the fresh ones; sorted, if an order is given."""
+    rows = stored.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
+    return rows.orderBy(*order) if order else rows
 
 
 def split_problems(on_disk: DataFrame, splits: DataFrame) -> DataFrame:

@@ -41,6 +41,15 @@ def interior_gutters(profile: DataFrame, width_share: float = 0.02) -> DataFrame
     return found.groupBy("image").agg(F.count_if(counted).alias("gutters"))
 
 
+def features(levels: DataFrame, profile: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(fixture, stddev, dark_pct, interior_gutters, width, height): the feature table of all images of `sizes` (image,
+    width, height), sorted; stddev and dark_pct to four places. Images without a histogram or profile have nulls."""
+    grey = grey_statistics(levels).select("image", F.round("stddev", 4).alias("stddev"), F.round("dark_pct", 4).alias("dark_pct"))
+    gutters = interior_gutters(profile).withColumnRenamed("gutters", "interior_gutters")
+    rows = sizes.join(grey, "image", "left").join(gutters, "image", "left")
+    return rows.select(F.col("image").alias("fixture"), "stddev", "dark_pct", "interior_gutters", "width", "height").orderBy("fixture")
+
+
 def moving_average(profile: DataFrame, width: int) -> DataFrame:
     """Centred mean, over fewer values at the edges."""
     half = width // 2

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafloom.functions import text as T
+
 # Least share of a side or a margin, depth of cuts, fewest spans to cut; share and number of boxes that may
 # cross a gutter; of the median height, what is trimmed from a box and how far a divider reaches; column widths; line grid.
 ROOM, DEPTH, FEWEST = 0.15, 6, 4
@@ -217,6 +219,21 @@ def page_texts(order: DataFrame) -> DataFrame:
     return lines.groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("lines"))
 
 
+def page_transcripts(order: DataFrame) -> DataFrame:
+    """(page, text): the lines of a page, one below the other, words that a line break parts rejoined."""
+    return page_texts(order).select("page", F.array_join(T.dehyphenated(F.col("lines")), "\n").alias("text"))
+
+
+def single_gutter_order(spans: DataFrame) -> DataFrame:
+    """(page, region, line, pos, text): the frozen baseline as an order: block by block, left, right, then the divider, in
+    lines within each side. Positions number the spans of a line; region and line sort a page."""
+    placed = spans.withColumns({"baseline": F.coalesce("b", F.lit(0.0)), "left": F.coalesce("l", F.lit(0.0))})
+    lines = grouped_lines(placed.select("page", "ord", "baseline", "left").join(line_tolerance(spans), "page"))
+    own = single_gutter_blocks(spans).join(lines, ["page", "ord"]).join(placed.select("page", "ord", "left", "text"), ["page", "ord"])
+    pos = F.row_number().over(Window.partitionBy("page", "block", "side", "line").orderBy("left", "ord"))
+    return own.select("page", F.struct("block", "side").alias("region"), "line", pos.alias("pos"), "text")
+
+
 def single_gutter_blocks(spans: DataFrame) -> DataFrame:
     """(page, ord, block, side): the frozen baseline, in which spans across the gutter split both columns. Block: how
     many dividers stand above; side: 0 left, 1 right, 2 the divider itself."""

@@ -11,6 +11,11 @@ def backend_seconds(events: DataFrame) -> DataFrame:
     return events.groupBy("backend").agg(F.count("*").alias("n"), F.floor(F.avg("seconds")).alias("mean_seconds"), F.median("seconds").alias("median_seconds"))
 
 
+def slowest_first(summary: DataFrame) -> DataFrame:
+    """The rows of `backend_seconds` by their mean, the slowest backend first."""
+    return summary.orderBy(F.desc("mean_seconds"), "backend")
+
+
 def run_totals(events: DataFrame) -> DataFrame:
     """files, processed, triaged (refused files among them) and errors by run."""
     return (

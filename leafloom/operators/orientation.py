@@ -22,6 +22,15 @@ def sizes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
 
 
+def turned(pixels: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Pixels of (image, turn) pictures turned clockwise by a multiple of 90 degrees; a picture without a turn stays."""
+    own = pixels.join(sizes(pixels), "image").join(degrees, "image", "left").withColumn("turn", F.pmod(F.coalesce("turn", F.lit(0)), F.lit(360)))
+    right, below = F.col("width") - 1 - F.col("x"), F.col("height") - 1 - F.col("y")
+    x = F.when(F.col("turn") == 90, below).when(F.col("turn") == 180, right).when(F.col("turn") == 270, F.col("y")).otherwise(F.col("x"))
+    y = F.when(F.col("turn") == 90, F.col("x")).when(F.col("turn") == 180, below).when(F.col("turn") == 270, right).otherwise(F.col("y"))
+    return own.select("image", x.alias("x"), y.alias("y"), "v")
+
+
 def level(mean: Column) -> Column:
     """A mean as a share of full ink, in steps of one level, as a profile of 8-bit pixels holds it."""
     return F.floor(mean + 0.5) / 255

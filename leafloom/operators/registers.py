@@ -30,7 +30,10 @@ def comparison(pages: DataFrame, ours: str) -> DataFrame:
     return kept.unionByName(overall).withColumn("is_ours", F.col("engine") == ours)
 
 
-def leaders(scores: DataFrame, metric: str) -> DataFrame:
-    """The engine with the highest metric by register; ties: first by name."""
-    best = scores.groupBy("register").agg(F.min(F.struct((-F.col(metric)).alias("m"), "engine")).alias("b"))
-    return best.select("register", F.col("b.engine").alias("leader"), (-F.col("b.m")).alias("best"))
+def leaders(scores: DataFrame, metric: str, order: list[str] | None = None) -> DataFrame:
+    """The engine with the highest metric by register. Ties: the first in the engines' `order`, those it lacks last; by
+    name without one."""
+    place = F.array_position(F.array(*map(F.lit, order or [""])), F.col("engine"))
+    tie = F.struct(F.when(place > 0, place).otherwise(len(order or []) + 1).alias("p"), "engine")
+    best = scores.groupBy("register").agg(F.min(F.struct((-F.col(metric)).alias("m"), tie.alias("t"))).alias("b"))
+    return best.select("register", F.col("b.t.engine").alias("leader"), (-F.col("b.m")).alias("best"))

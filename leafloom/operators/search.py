@@ -18,3 +18,15 @@ def search(entries: DataFrame, query: str, limit: int = 8) -> DataFrame:
     for part in each:
         scored = scored.where(part > 0)
     return scored.select("ord", "title", "url", "score").orderBy(F.desc("score"), "ord").limit(limit)
+
+
+def index(pages: DataFrame) -> DataFrame:
+    """(entry): the search index as JSON objects, of the pages (title, section, url, text, private) that are not private."""
+    public = pages.where(~F.coalesce(F.col("private"), F.lit(False)))
+    return public.select(F.to_json(F.struct("title", "section", "url", "text")).alias("entry"))
+
+
+def advisories(records: DataFrame, base: str) -> DataFrame:
+    """(date, slug, record): each record (date, slug, fields) as JSON with the url of its page added, the newest first."""
+    merged = F.map_concat("fields", F.create_map(F.lit("url"), F.concat(F.lit(base), F.col("slug"), F.lit("/"))))
+    return records.select("date", "slug", F.to_json(merged).alias("record")).orderBy(F.desc("date"), "slug")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,42 @@ def uneven(scores: DataFrame) -> DataFrame:
     return scores.groupBy("page").agg(F.min(F.round("wrd", 9)).alias("low"), F.max(F.round("wrd", 9)).alias("high")).where("low < high")
 
 
+def engine_text(spans: DataFrame) -> DataFrame:
+    own = spans.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("w"))
+    return own.select("page", F.array_join(F.transform("w", lambda w: w["text"]), "\n").alias("text"))
+
+
+def gutter_text(spans: DataFrame) -> DataFrame:
+    """By the single-gutter baseline, a line of text for each line of a side."""
+    lines = layout.single_gutter_order(spans).groupBy("page", "region", "line").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("w"))
+    lines = lines.select("page", "region", "line", F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("text"))
+    pages = lines.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("region", "line", "text"))).alias("w"))
+    return pages.select("page", F.array_join(F.transform("w", lambda w: w["text"]), "\n").alias("text"))
+
+
+def _one(name: str):
+    return lambda spans: serialisations(spans).where(F.col("strategy") == name).select("page", "text")
+
+
+#: Ways to make a text of a page's spans, by name: each gives (page, text).
+STRATEGIES = {
+    "detector": engine_text, "lines": _one("linesort"), "gutter": gutter_text, "xy-cut": _one("column"),
+    "shipped": lambda spans: layout.page_transcripts(layout.reading_order(spans)),
+}
+
+
+def layout_comparison(spans: DataFrame, expected: DataFrame, registers: DataFrame, strategies: dict = STRATEGIES) -> DataFrame:
+    """(register, strategy, chr, wrd, pages) of spans against (page, expected), pages by (page, register); and rows of the
+    register `MEAN OVER REGISTERS`, in which a register counts once, however many pages it has."""
+    told = [make(spans).select("page", F.lit(name).alias("strategy"), "text") for name, make in strategies.items()]
+    pairs = reduce(DataFrame.unionByName, told).join(expected, "page").join(registers, "page")
+    ratio = T.character_similarity(T.normalise(F.col("text")), T.normalise(F.col("expected")))
+    scores = pairs.select("register", "strategy", ratio.alias("chr"), T.word_recall(F.col("text"), F.col("expected")).alias("wrd"))
+    means = scores.groupBy("register", "strategy").agg(F.avg("chr").alias("chr"), F.avg("wrd").alias("wrd"), F.count("*").alias("pages"))
+    overall = means.groupBy("strategy").agg(F.avg("chr").alias("chr"), F.avg("wrd").alias("wrd"), F.sum("pages").alias("pages"))
+    return means.unionByName(overall.withColumn("register", F.lit("MEAN OVER REGISTERS")))
+
+
 def layout_of(stem, multi_column: list[str]):
     """Column: whether a page is listed as one of several columns."""
     return F.when(stem.isin(multi_column), "multi-column").otherwise("single-column")

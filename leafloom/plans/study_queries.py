@@ -243,6 +243,35 @@ def a21_fit_means(spark, d):
     return means.select(*[F.round(c, 6).alias(c) for c in ("plain", "fitted", "oracle")], "regressions", "unmet", "fixtures")
 
 
+@query()
+def g9_layout_comparison(spark, d):
+    """Five ways to read the documents' words as pages, by the documents' source, and over the sources."""
+    spans = page_spans(spark, d)
+    sources = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.col("source").alias("register"))
+    pages = spans.select("page").distinct().withColumn("doc", F.substring_index("page", ":", 1)).join(sources, "doc").select("page", "register")
+    out = study.layout_comparison(spans, _true_order(spans), pages)
+    return out.select("register", "strategy", F.round("chr", 6).alias("chr"), F.round("wrd", 6).alias("wrd"), "pages")
+
+
+_STORED = "SELECT CAST(p_partkey AS VARCHAR) AS fixture, printf('%.4f', p_size / 50) AS a_chr, CASE WHEN p_partkey % 7 = 0 THEN 'N/A' ELSE printf('%.4f', p_size / 60) END AS a_wrd, printf('%.2f', p_size / 10) AS a_sec FROM part"
+
+
+@query(f"""WITH t AS ({_STORED} UNION ALL SELECT 'Average', '0.1234', '0.5678', '9.99'), b AS (SELECT CAST(p_partkey AS VARCHAR) AS fixture, p_size / 100 AS chr, p_size / 200 AS wrd, CAST(p_size AS DOUBLE) AS sec FROM part),
+f AS (SELECT fixture, printf('%.4f', chr) AS b_chr, printf('%.4f', wrd) AS b_wrd, printf('%.2f', sec) AS b_sec FROM b UNION ALL SELECT 'Average', printf('%.4f', avg(chr)), printf('%.4f', avg(wrd)), printf('%.2f', sum(sec)) FROM b)
+SELECT fixture, b_chr, b_wrd, b_sec, a_chr, a_wrd, a_sec FROM t JOIN f USING (fixture)""")
+def q4_merged_table(spark, d):
+    """A second backend beside a stored one, whose Average stays as it is stored."""
+    size = F.col("p_size")
+    part = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("fixture"), "p_partkey", "p_size")
+    stored = part.select(
+        "fixture", F.format_string("%.4f", size / 50).alias("a_chr"), F.when(F.col("p_partkey") % 7 == 0, "N/A").otherwise(F.format_string("%.4f", size / 60)).alias("a_wrd"),
+        F.format_string("%.2f", size / 10).alias("a_sec"),
+    )
+    stored = stored.unionByName(spark.createDataFrame([("Average", "0.1234", "0.5678", "9.99")], stored.schema))
+    fresh = part.select("fixture", (size / 100).alias("chr"), (size / 200).alias("wrd"), size.cast("double").alias("sec"))
+    return evaluate.merged_wide(stored, fresh, "b", ["b", "a"])
+
+
 def _brands(spark, d):
     """Cells and features of a sweep over brands: the means of their parts, so that all parts count and fixtures stay few."""
     parts = sweep(read(spark, d, "part")).join(read(spark, d, "part").select(F.col("p_partkey").alias("fixture"), "p_brand"), "fixture")

@@ -215,6 +215,13 @@ def a14_leaders(spark, d):
     return registers.leaders(registers.engine_means(engine_pages(read(spark, d, "orders"))), "chr").select("register", "leader", F.round("best", 6).alias("best"))
 
 
+@query(f"WITH {_REG} SELECT register, engine AS leader, round(w, 1) AS best FROM (SELECT *, round(wrd, 1) AS w FROM m) QUALIFY row_number() OVER (PARTITION BY register ORDER BY w DESC, CASE engine WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, engine) = 1")
+def a14_leaders_in_order(spark, d):
+    """Ties, of which there are many to one place, go to the first in the engines' order."""
+    means = registers.engine_means(engine_pages(read(spark, d, "orders"))).withColumn("wrd", F.round("wrd", 1))
+    return registers.leaders(means, "wrd", ["P", "O"]).select("register", "leader", F.round("best", 1).alias("best"))
+
+
 @query("SELECT year(o_orderdate) AS year, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
 def a15_counts_by_year(spark, d):
     return read(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"))
@@ -371,6 +378,74 @@ def g10_faint_ink(spark, d):
     return imagestat.lifted(_histogram(spark, d))
 
 
+@query("""WITH g AS (SELECT l_suppkey AS image, round(stddev_pop(CAST(l_quantity * 5 AS BIGINT)), 4) AS stddev, round(100 * avg(CASE WHEN CAST(l_quantity * 5 AS BIGINT) < 128 THEN 1 ELSE 0 END), 4) AS dark_pct FROM lineitem GROUP BY 1), w AS (""" + SQL["w7_interior_gutters"] + """)
+SELECT s_suppkey AS fixture, stddev, dark_pct, gutters AS interior_gutters, s_suppkey % 50 + 100 AS width, s_nationkey + 200 AS height FROM supplier LEFT JOIN g ON image = s_suppkey LEFT JOIN w ON w.image = s_suppkey""")
+def m12_features(spark, d):
+    """The feature table of all suppliers as images."""
+    sizes = read(spark, d, "supplier").select(F.col("s_suppkey").alias("image"), (F.col("s_suppkey") % 50 + 100).alias("width"), (F.col("s_nationkey") + 200).alias("height"))
+    return imagestat.features(_histogram(spark, d), _profile(spark, d), sizes)
+
+
+@query("""SELECT doc_id, len(t) AS n, md5(array_to_string(list_transform(list_zip(t, range(len(t))), lambda z: z[1] || ':' || CAST(z[2] % 5 * 25 AS VARCHAR) || ':' || CASE WHEN doc_id % 3 > 0 THEN CAST(z[2] AS VARCHAR) ELSE '-' END), '|')) AS digest
+FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ')[1:40] AS t FROM documents) WHERE NOT list_contains(t, '')""")
+def p9_engine_spans(spark, d):
+    """Spans of each document's first words as an engine's result; every third has one polygon too many."""
+    docs = read(spark, d, "documents").select("doc_id", F.slice(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "), 1, 40).alias("t")).where(~F.array_contains("t", ""))
+    scores = F.transform("t", lambda _, i: i % 5 / 4)
+    polygons = F.transform(F.sequence(F.lit(0), F.size("t") - F.when(F.col("doc_id") % 3 > 0, 1).otherwise(0)), lambda i: F.array(i))
+    spans = docs.select("doc_id", rules.engine_spans(F.col("t"), scores, polygons).alias("s"))
+    told = F.transform("s", lambda s: F.concat_ws(":", s["text"], s["confidence"].cast("int").cast("string"), F.coalesce(s["polygon"][0].cast("string"), F.lit("-"))))
+    return spans.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join(told, "|").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 OR source IN ('src1', 'src2') THEN 'png' ELSE 'path' END AS input FROM documents")
+def g11_detector_input(spark, d):
+    suffix = F.when(F.col("source").isin("src1", "src2"), ".TIF").otherwise(".png")
+    return read(spark, d, "documents").select("doc_id", rules.detector_input(suffix, F.col("doc_id") % 6 == 0).alias("input"))
+
+
+@query("""SELECT page_id, md5('{"title":"' || t || '","section":"' || s || '","url":"' || url || '","text":"' || x || '"}') AS digest FROM (SELECT page_id, url, 'p' || page_id AS t, regexp_extract(url, '://([^/]*)', 1) AS s, regexp_replace(html, '[^A-Za-z0-9 ]', '', 'g') AS x FROM pages) WHERE page_id % 5 > 0""")
+def k17_search_index(spark, d):
+    """Full texts of the pages that are not private."""
+    pages = read(spark, d, "pages").select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("title"), F.regexp_extract("url", "://([^/]*)", 1).alias("section"), "url",
+        F.regexp_replace("html", "[^A-Za-z0-9 ]", "").alias("text"), F.when(F.col("page_id") % 5 == 0, True).alias("private"),
+    )
+    entry = search.index(pages)
+    return entry.select(F.get_json_object("entry", "$.title").substr(2, 20).cast("long").alias("page_id"), F.md5(F.col("entry").cast("binary")).alias("digest"))
+
+
+@query("""SELECT o_orderdate AS date, 'o' || o_orderkey AS slug, '{"status":"' || o_orderstatus || '","url":"https://x/o' || o_orderkey || '/"}' AS record FROM orders""")
+def o11_advisories(spark, d):
+    rows = read(spark, d, "orders").select(F.col("o_orderdate").alias("date"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("slug"), F.create_map(F.lit("status"), "o_orderstatus").alias("fields"))
+    return search.advisories(rows, "https://x/")
+
+
+_QUEUE = "SELECT doc_id AS stem, 'f' || doc_id || '.png' AS file, CASE WHEN toxic = 1 THEN NULL ELSE 'e' || quality END AS best_engine, CASE WHEN toxic = 1 THEN NULL ELSE quality / 8 END AS best_score, 'a < \"b\" & ' || quality AS reason FROM labels"
+
+
+def _queue(spark, d):
+    clean = F.col("toxic") != 1
+    return read(spark, d, "labels").select(
+        F.col("doc_id").alias("stem"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".png")).alias("file"), F.when(clean, F.concat(F.lit("e"), F.col("quality").cast("string"))).alias("best_engine"),
+        F.when(clean, F.col("quality") / 8).alias("best_score"), F.concat(F.lit('a < "b" & '), F.col("quality").cast("string")).alias("reason"), F.when(F.col("doc_id") % 2 == 0, "2026").otherwise("").alias("held_at"), F.lit(2).alias("n_candidates"),
+    )
+
+
+@query(f"""WITH q AS ({_QUEUE}), k AS (SELECT count(*) AS n, max(length(file)) AS w FROM q)
+SELECT 4 AS part, stem, rpad(file, w::INTEGER, ' ') || '  ' || lpad(coalesce(printf('%.4f', best_score), '–'), 7, ' ') || '  ' || rpad(coalesce(best_engine, '–'), 14, ' ') || '  ' || reason AS line FROM q, k
+UNION ALL SELECT 0, NULL, n || ' item(s) in t' FROM k UNION ALL SELECT 1, NULL, '' UNION ALL SELECT 2, NULL, rpad('File', w::INTEGER, ' ') || '     Best  ' || rpad('Engine', 14, ' ') || '  Reason held' FROM k
+UNION ALL SELECT 3, NULL, repeat('-', w) || '  -------  --------------  -----------' FROM k""")
+def k16_queue_table(spark, d):
+    return triage.described(_queue(spark, d), "t")
+
+
+@query(f"""SELECT stem, '<tr><td><code>' || file || '</code></td><td class="num">' || coalesce(printf('%.4f', best_score), '–') || '</td><td>' || coalesce(best_engine, '–') || '</td><td>' ||
+  replace(replace(replace(reason, '&', '&amp;'), '<', '&lt;'), '"', '&quot;') || '</td><td>' || CASE WHEN stem % 2 = 0 THEN '2026' ELSE '–' END || '</td><td class="num">2</td></tr>' AS row FROM ({_QUEUE})""")
+def k16_queue_page(spark, d):
+    return triage.html_rows(_queue(spark, d))
+
+
 # Pixels: every document's text in rows of 48 characters, each character a pixel; every ninth row starts a line of text,
 # whose ink grows and fades over its rows, more slowly below. Documents with an odd id are turned on their side.
 
@@ -403,6 +478,16 @@ def g14_line_direction(spark, d):
     return votes.select("image", F.round("vote", 6).alias("vote"), "blocks", rules.sideways(F.col("vote"), F.col("blocks")).alias("sideways"))
 
 
+@query(f"""WITH p AS ({_PIXELS}), z AS (SELECT image, max(x) + 1 AS w, max(y) + 1 AS h FROM p GROUP BY 1), t AS (SELECT p.*, w, h, image % 4 * 90 AS turn FROM p JOIN z USING (image)),
+r AS (SELECT image, CASE turn WHEN 90 THEN h - 1 - y WHEN 180 THEN w - 1 - x WHEN 270 THEN y ELSE x END AS x, CASE turn WHEN 90 THEN x WHEN 180 THEN h - 1 - y WHEN 270 THEN w - 1 - x ELSE y END AS y, v FROM t)
+SELECT image, count(*) AS n, max(x) AS right, max(y) AS bottom, CAST(sum((x * 3 + y * 7) % 101 * floor(v)) AS BIGINT) AS mark FROM r GROUP BY 1""")
+def g19_turned(spark, d):
+    """Every document as a page of pixels, turned by a quarter for each step of its id; where its ink lies then."""
+    turns = read(spark, d, "documents").select(F.col("doc_id").alias("image"), (F.col("doc_id") % 4 * 90 + 360).alias("turn")).where("turn > 360")
+    mark = F.sum((F.col("x") * 3 + F.col("y") * 7) % 101 * F.floor("v")).cast("long")
+    return orientation.turned(_pixels(spark, d), turns).groupBy("image").agg(F.count("*").alias("n"), F.max("x").alias("right"), F.max("y").alias("bottom"), mark.alias("mark"))
+
+
 @query()
 def w9_lines(spark, d):
     """Lines (upper valley, peak, lower valley) of each profile of w7, as it comes."""
@@ -541,3 +626,12 @@ def g6_page_text(spark, d):
     order = lines.select(F.col("doc_id").alias("page"), F.lit(0).alias("region"), "line", F.col("line").alias("pos"), F.trim("text").alias("text"))
     texts = layout.page_texts(order)
     return texts.select(F.col("page").alias("doc_id"), F.size("lines").cast("long").alias("lines"), F.md5(F.array_join("lines", "|").cast("binary")).alias("digest"))
+
+
+@query(r"""WITH o AS (SELECT doc_id, string_split(replace(text, 'on', '-' || chr(10) || 'on'), chr(10)) AS x FROM documents), t AS (SELECT doc_id, list_transform(x, lambda t: regexp_replace(regexp_replace(t, '^[ ]+', ''), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '')) AS x FROM o)
+SELECT doc_id, md5(list_reduce(x, lambda a, b: CASE WHEN regexp_matches(a, '\p{L}[-–—֊]$') AND regexp_matches(b, '^\p{L}') THEN left(a, length(a) - 1) || b ELSE a || chr(10) || b END)) AS digest FROM t""")
+def g6_transcripts(spark, d):
+    """Transcripts from the order of words, one word a line here; words that were parted at the end of a line are whole."""
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.replace(F.col("text"), F.lit("on"), F.lit("-\non")), "\n")).alias("line", "text"))
+    order = lines.select(F.col("doc_id").alias("page"), F.lit(0).alias("region"), "line", F.col("line").alias("pos"), F.trim("text").alias("text"))
+    return layout.page_transcripts(order).select(F.col("page").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"))

@@ -427,3 +427,52 @@ def test_line_direction_of_pixels(spark):
     level = lambda key, k: math.floor(sum(r[3] for r in block if r[key] == k) / 3 + 0.5) / 255
     one = orientation.blocks(spark.createDataFrame(rows, "image string, x long, y long, v double")).where("image = 'across' and block = 0").first()
     assert one["var_row"] == pytest.approx(np.var([level(2, k) for k in range(3)])) and one["var_col"] == pytest.approx(np.var([level(1, k) for k in range(3)]))
+
+
+def test_layout_comparison_counts_a_register_once(spark):
+    """Two registers of one and three pages; the way that reads both columns in turn is best, and means are of registers."""
+    one = columns(4)
+    rows = [(f"{r}:{k}", i, *s) for r, k in (("a", 0), ("b", 0), ("b", 1), ("b", 2)) for i, s in enumerate(one if r == "b" else [span("alone", 10, 40), span("below", 10, 60)])]
+    spans = spark.createDataFrame(rows, "page string, ord long, text string, l double, t double, r double, b double")
+    words = " ".join(f"{c}{i}" for c in "LR" for i in range(4))
+    expected = spark.createDataFrame([("a:0", "alone below"), *[(f"b:{k}", words) for k in range(3)]], "page string, expected string")
+    registers_ = spark.createDataFrame([("a:0", "a"), *[(f"b:{k}", "b") for k in range(3)]], "page string, register string")
+    got = {(r["register"], r["strategy"]): r for r in study.layout_comparison(spans, expected, registers_).collect()}
+    assert len(got) == 15 and all(r["wrd"] == 1.0 for r in got.values())
+    assert got["b", "gutter"]["chr"] == got["b", "xy-cut"]["chr"] == got["b", "shipped"]["chr"] == 1.0 > got["b", "detector"]["chr"]
+    assert {got["a", s]["chr"] for s in study.STRATEGIES} == {1.0}
+    mean = got["MEAN OVER REGISTERS", "lines"]
+    assert mean["chr"] == pytest.approx((got["a", "lines"]["chr"] + got["b", "lines"]["chr"]) / 2) and mean["pages"] == 4
+
+
+def test_shipped_text_rejoins_words(spark):
+    order = spark.createDataFrame([("p", 0, 0, 0, "exam-"), ("p", 0, 1, 1, "ple"), ("p", 0, 1, 2, "text")], "page string, region int, line int, pos int, text string")
+    assert layout.page_transcripts(order).first()["text"] == "example text"
+
+
+def test_merged_table_keeps_what_was_not_measured(spark):
+    table = spark.createDataFrame([("f", "0.5000", "N/A", "1.00", "0.1000", "0.2000", "3.00"), ("Average", "0.4999", "N/A", "9.00", "0.7777", "0.2000", "3.00")], "fixture string, a_chr string, a_wrd string, a_sec string, z_chr string, z_wrd string, z_sec string")
+    fresh = spark.createDataFrame([("f", 0.25, None, 2.0)], "fixture string, chr double, wrd double, sec double")
+    out = {r["fixture"]: r.asDict() for r in evaluate.merged_wide(table, fresh, "a", ["z", "a"]).collect()}
+    assert list(out["f"])[1:4] == ["z_chr", "z_wrd", "z_sec"] and out["f"]["a_chr"] == "0.2500" and out["f"]["a_wrd"] == "N/A"
+    assert out["Average"]["z_chr"] == "0.7777" and out["Average"]["a_chr"] == "0.2500" and out["Average"]["a_sec"] == "2.00"
+    with pytest.raises(ValueError):
+        evaluate.merged_wide(table, fresh.replace("f", "g"), "a", [])
+
+
+def test_turned_four_times_is_as_before(spark):
+    pixels = spark.createDataFrame([("p", x, y, float(10 * x + y)) for x in range(3) for y in range(2)], "image string, x long, y long, v double")
+    quarter = spark.createDataFrame([("p", 90)], "image string, turn int")
+    once = orientation.turned(pixels, quarter)
+    # The left edge of a picture is its upper edge after a quarter turn clockwise.
+    assert {(r["x"], r["y"]): r["v"] for r in once.collect()} == {(1, 0): 0.0, (0, 0): 1.0, (1, 1): 10.0, (0, 1): 11.0, (1, 2): 20.0, (0, 2): 21.0}
+    back = orientation.turned(orientation.turned(once, spark.createDataFrame([("p", 180)], quarter.schema)), spark.createDataFrame([("p", -270)], quarter.schema))
+    assert sorted(back.select("image", "x", "y", "v").collect()) == sorted(pixels.collect())
+
+
+def test_empty_queue_and_order_of_ties(spark):
+    none = spark.createDataFrame([], "stem string, file string, best_engine string, best_score double, reason string")
+    assert [r["line"] for r in triage.described(none, "t").collect()] == ["The triage queue is empty (t)."]
+    scores = spark.createDataFrame([("r", e, 0.5) for e in "abc"], "register string, engine string, chr double")
+    by = lambda *order: registers.leaders(scores, "chr", list(order) or None).first()["leader"]
+    assert (by(), by("c", "b"), by("x")) == ("a", "c", "a")
