@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafloom.functions import rules
 from leafloom.functions import text as T
-from leafloom.operators import calibrate, evaluate, imagestat, layout, log, orientation, registers, route, search, triage
+from leafloom.operators import calibrate, evaluate, imagestat, layout, log, orientation, registers, route, search, triage, views
 from leafloom.plans.text_queries import _SCORES, _scored
 from leafloom.plans.views import ENGINE_PAGES_SQL, SWEEP_SQL, TELEMETRY_SQL, candidates, candidates_sql, engine_pages, read, sweep, telemetry
 from leafloom.sources import runs, tables
@@ -210,6 +210,50 @@ def q9_registers(spark, d):
     return registers.comparison(engine_pages(read(spark, d, "orders")), "F").select("register", "engine", F.round("chr", 6).alias("chr"), F.round("wrd", 6).alias("wrd"), "is_ours")
 
 
+_REGISTER_ROWS = f"""{_REG}, k AS (SELECT m.* FROM m JOIN keep USING (engine)), u AS (SELECT register, engine, round(chr, 6) AS chr, round(wrd, 6) AS wrd FROM (SELECT register, engine, chr, wrd FROM k UNION ALL SELECT 'mean', engine, avg(chr), avg(wrd) FROM k GROUP BY engine))"""
+
+
+def _register_rows(spark, d):
+    rows = registers.comparison(engine_pages(read(spark, d, "orders")), "F")
+    return rows.select("register", "engine", F.round("chr", 6).alias("chr"), F.round("wrd", 6).alias("wrd"))
+
+
+@query(f"""WITH {_REGISTER_ROWS} SELECT engine, printf('%.3f', chr) AS chr, printf('%.3f', wrd) AS wrd, chr = max(chr) OVER () AS best_chr, wrd = max(wrd) OVER () AS best_wrd,
+  (SELECT count(DISTINCT register) FROM u WHERE register <> 'mean') AS registers FROM u WHERE register = 'mean'""")
+def q13_register_summary(spark, d):
+    return views.register_summary(_register_rows(spark, d))
+
+
+@query(f"WITH {_REGISTER_ROWS} SELECT register, engine, printf('%.3f', chr) AS cell, chr = max(chr) OVER (PARTITION BY register) AS is_best FROM u")
+def q13_register_cells(spark, d):
+    return views.register_cells(_register_rows(spark, d), "chr")
+
+
+_BENCH_ROWS = """b AS (SELECT CAST(o_custkey AS VARCHAR) AS fixture, o_orderstatus AS backend, CASE WHEN min(o_orderkey) % 5 > 0 THEN floor(max(o_totalprice) % 100) / 100 END AS chr, count(*) / 50 AS wrd, CASE WHEN min(o_orderkey) % 5 > 0 THEN CAST(sum(o_custkey) AS DOUBLE) / 4 END AS sec FROM orders GROUP BY ALL),
+r AS (SELECT * FROM b UNION ALL SELECT 'Average', backend, round(avg(chr), 3) + 0.001, 0.5, sum(sec) FROM b GROUP BY backend)"""
+
+
+def _bench_rows(spark, d):
+    some = F.min("o_orderkey") % 5 > 0
+    rows = read(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("fixture"), F.col("o_orderstatus").alias("backend")).agg(
+        F.when(some, F.floor(F.max("o_totalprice") % 100) / 100).alias("chr"), (F.count("*") / 50).alias("wrd"), F.when(some, F.sum("o_custkey").cast("double") / 4).alias("sec")
+    )
+    average = rows.groupBy("backend").agg((F.round(F.avg("chr"), 3) + 0.001).alias("chr"), F.lit(0.5).alias("wrd"), F.sum("sec").alias("sec"))
+    return rows.unionByName(average.withColumn("fixture", F.lit("Average")))
+
+
+@query(f"""WITH {_BENCH_ROWS}, t AS (SELECT *, max(CASE WHEN backend <> 'P' THEN chr END) OVER (PARTITION BY fixture) AS top FROM r)
+SELECT fixture AS label, backend, CASE WHEN chr IS NULL THEN 'N/A' ELSE printf('%.2f', chr) || '/' || printf('%.2f', wrd) END AS cell, coalesce(backend <> 'P' AND fixture <> 'Average' AND chr = top, false) AS is_best FROM t WHERE fixture <> 'Average'""")
+def q13_benchmark_cells(spark, d):
+    """Customers as fixtures, order states as backends, one of which is not local."""
+    return views.benchmark_cells(_bench_rows(spark, d), ["P"]).where("label <> 'Average'")
+
+
+@query(f"WITH {_BENCH_ROWS} SELECT CASE WHEN fixture = 'Average' THEN 'Total seconds' ELSE fixture END AS label, backend, CASE WHEN sec IS NULL THEN '—' ELSE printf('%.1f', sec + 1e-9) END AS cell, false AS is_best FROM r")
+def q13_benchmark_seconds(spark, d):
+    return views.benchmark_cells(_bench_rows(spark, d).withColumn("sec", F.col("sec") + 1e-9), ["P"], "sec")
+
+
 @query(f"WITH {_REG} SELECT register, engine AS leader, round(chr, 6) AS best FROM m QUALIFY row_number() OVER (PARTITION BY register ORDER BY chr DESC, engine) = 1")
 def a14_leaders(spark, d):
     return registers.leaders(registers.engine_means(engine_pages(read(spark, d, "orders"))), "chr").select("register", "leader", F.round("best", 6).alias("best"))

@@ -476,3 +476,26 @@ def test_empty_queue_and_order_of_ties(spark):
     scores = spark.createDataFrame([("r", e, 0.5) for e in "abc"], "register string, engine string, chr double")
     by = lambda *order: registers.leaders(scores, "chr", list(order) or None).first()["leader"]
     assert (by(), by("c", "b"), by("x")) == ("a", "c", "a")
+
+
+def test_views_show_and_mark(spark):
+    from leafloom.operators import views
+
+    rows = [("x", "a", 0.5, 0.25), ("x", "b", 0.5, 0.75), ("mean", "a", 0.5, 0.25), ("mean", "b", 0.25, 0.75)]
+    scores = spark.createDataFrame(rows, "register string, engine string, chr double, wrd double")
+    assert [tuple(r) for r in views.register_summary(scores).collect()] == [("b", "0.250", "0.750", False, True, 1), ("a", "0.500", "0.250", True, False, 1)]
+    assert {tuple(r) for r in views.register_cells(scores, "chr").collect()} == {("x", "a", "0.500", True), ("x", "b", "0.500", True), ("mean", "a", "0.500", True), ("mean", "b", "0.250", False)}
+    with pytest.raises(ValueError):
+        views.register_summary(scores.where("register = 'x'"))
+    with pytest.raises(ValueError):
+        views.register_cells(scores, "sec")
+    rows = [("f", "far", 0.9, 0.9, 1.0), ("f", "near", 0.5, 0.5, 2.0), ("f", "blind", None, None, None), ("Average", "near", 0.5, 0.5, 2.0)]
+    bench = spark.createDataFrame(rows, "fixture string, backend string, chr double, wrd double, sec double")
+    assert {tuple(r) for r in views.benchmark_cells(bench, ["far"]).collect()} == {("f", "far", "0.90/0.90", False), ("f", "near", "0.50/0.50", True), ("f", "blind", "N/A", False), ("Average", "near", "0.50/0.50", False)}
+    assert {tuple(r)[:3] for r in views.benchmark_cells(bench, [], "sec").collect()} == {("f", "far", "1.0"), ("f", "near", "2.0"), ("f", "blind", "—"), ("Total seconds", "near", "2.0")}
+    rows = [("p", "e", "multi-column", "engine", 0.5, 1.0), ("p", "e", "multi-column", "column", 1.0, 1.0), ("mean", "e", "multi-column", "engine", 0.5, 1.0), ("mean", "e", "single-column", "engine", 0.7, 1.0), ("mean", "e", "multi-column", "column", 1.0, 1.0)]
+    study_rows = spark.createDataFrame(rows, "fixture string, backend string, layout string, strategy string, chr double, wrd double")
+    assert {tuple(r) for r in views.reading_order_cells(study_rows).collect()} == {("e", "engine", "0.500", False), ("e", "column", "1.000", True)}
+    assert {r["row"] for r in views.reading_order_cells(study_rows, "chr", "e").collect()} == {"p", "mean, multi-column", "mean, single-column"}
+    with pytest.raises(ValueError):
+        views.reading_order_cells(study_rows, "chr", "none")
