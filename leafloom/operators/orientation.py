@@ -31,9 +31,12 @@ def turned(pixels: DataFrame, degrees: DataFrame) -> DataFrame:
     return own.select("image", x.alias("x"), y.alias("y"), "v")
 
 
+FULL = 255
+
+
 def level(mean: Column) -> Column:
-    """A mean as a share of full ink, in steps of one level, as a profile of 8-bit pixels holds it."""
-    return F.floor(mean + 0.5) / 255
+    """A mean as a whole level, as a profile of 8-bit pixels holds it: sums of levels are exact, and so are ties."""
+    return F.floor(mean + 0.5)
 
 
 def blocks(pixels: DataFrame, grid: int = GRID) -> DataFrame:
@@ -46,7 +49,8 @@ def blocks(pixels: DataFrame, grid: int = GRID) -> DataFrame:
     own = own.select("image", (F.floor(F.col("y") / F.col("bh")) * grid + F.floor(F.col("x") / F.col("bw"))).alias("block"), "x", "y", "v")
     lines = own.groupingSets([["image", "block", "y"], ["image", "block", "x"]], "image", "block", "x", "y").agg(level(F.avg("v")).alias("v"), F.grouping("x").alias("across"))
     row, col = F.when(F.col("across") == 1, F.col("v")), F.when(F.col("across") == 0, F.col("v"))
-    return lines.groupBy("image", "block").agg(F.var_pop(row).alias("var_row"), F.var_pop(col).alias("var_col"), F.avg(row).alias("mean"), F.max("v").alias("peak"))
+    variance = lambda c, name: (F.var_pop(c) / (FULL * FULL)).alias(name)
+    return lines.groupBy("image", "block").agg(variance(row, "var_row"), variance(col, "var_col"), (F.avg(row) / FULL).alias("mean"), (F.max("v") / FULL).alias("peak"))
 
 
 def line_direction(pixels: DataFrame) -> DataFrame:
@@ -140,7 +144,7 @@ def strip_profiles(pixels: DataFrame, strips: int = STRIPS) -> DataFrame:
     """(image, strip, rows): the mean ink of each row of each vertical strip, from the top; columns beyond the last whole
     strip are left out, and rows without a pixel are bare."""
     own = pixels.join(sizes(pixels), "image").withColumn("sw", F.floor(F.col("width") / strips)).where(F.col("x") < strips * F.col("sw"))
-    means = own.groupBy("image", F.floor(F.col("x") / F.col("sw")).alias("strip"), "y").agg(level(F.avg("v")).alias("v"), F.first("height").alias("height"))
+    means = own.groupBy("image", F.floor(F.col("x") / F.col("sw")).alias("strip"), "y").agg((level(F.avg("v")) / FULL).alias("v"), F.first("height").alias("height"))
     each = means.groupBy("image", "strip").agg(F.map_from_entries(F.collect_list(F.struct(F.col("y").cast("long"), "v"))).alias("at"), F.first("height").alias("height"))
     rows = F.transform(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1), lambda y: F.coalesce(F.try_element_at("at", y), F.lit(0.0)))
     return each.select("image", "strip", rows.alias("rows"))

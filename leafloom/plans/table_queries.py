@@ -512,14 +512,14 @@ def _pixels(spark, d):
 
 @query(f"""WITH p AS ({_PIXELS}), z AS (SELECT image, max(x) + 1 AS width, max(y) + 1 AS height FROM p GROUP BY 1),
 o AS (SELECT image, y // (height // 12) * 12 + x // (width // 12) AS block, x, y, v FROM p JOIN z USING (image) WHERE width >= 12 AND height >= 12 AND x < 12 * (width // 12) AND y < 12 * (height // 12)),
-l AS (SELECT image, block, y AS at, true AS across, floor(avg(v) + 0.5) / 255 AS v FROM o GROUP BY image, block, y UNION ALL SELECT image, block, x, false, floor(avg(v) + 0.5) / 255 FROM o GROUP BY image, block, x),
-b AS (SELECT image, block, var_pop(v) FILTER (across) AS r0, var_pop(v) FILTER (NOT across) AS c0, avg(v) FILTER (across) AS mean, max(v) AS peak FROM l GROUP BY 1, 2),
+l AS (SELECT image, block, y AS at, true AS across, floor(avg(v) + 0.5) AS v FROM o GROUP BY image, block, y UNION ALL SELECT image, block, x, false, floor(avg(v) + 0.5) FROM o GROUP BY image, block, x),
+b AS (SELECT image, block, var_pop(v) FILTER (across) / 65025 AS r0, var_pop(v) FILTER (NOT across) / 65025 AS c0, avg(v) FILTER (across) / 255 AS mean, max(v) / 255 AS peak FROM l GROUP BY 1, 2),
 k AS (SELECT *, CASE WHEN r0 < 1e-12 THEN 0 ELSE r0 END AS r, CASE WHEN c0 < 1e-12 THEN 0 ELSE c0 END AS c FROM b),
-g AS (SELECT image, round(median(ln((r + 1e-9) / (c + 1e-9))), 6) AS vote, count(*) AS blocks FROM k WHERE mean >= 0.005 AND mean <= 0.5 AND peak <= 8 * mean AND r + c > 0 GROUP BY 1)
+g AS (SELECT image, round(median(ln((r + 1e-9) / (c + 1e-9))), 6) + 0.0 AS vote, count(*) AS blocks FROM k WHERE mean >= 0.005 AND mean <= 0.5 AND peak <= 8 * mean AND r + c > 0 GROUP BY 1)
 SELECT image, coalesce(vote, 0) AS vote, coalesce(blocks, 0) AS blocks, coalesce(blocks, 0) >= 8 AND coalesce(vote, 0) <= -1 AS sideways FROM (SELECT DISTINCT image FROM k) LEFT JOIN g USING (image)""")
 def g14_line_direction(spark, d):
     votes = orientation.line_direction(_pixels(spark, d))
-    return votes.select("image", F.round("vote", 6).alias("vote"), "blocks", rules.sideways(F.col("vote"), F.col("blocks")).alias("sideways"))
+    return votes.select("image", (F.round("vote", 6) + 0.0).alias("vote"), "blocks", rules.sideways(F.col("vote"), F.col("blocks")).alias("sideways"))
 
 
 @query(f"""WITH p AS ({_PIXELS}), z AS (SELECT image, max(x) + 1 AS w, max(y) + 1 AS h FROM p GROUP BY 1), t AS (SELECT p.*, w, h, image % 4 * 90 AS turn FROM p JOIN z USING (image)),
