@@ -499,3 +499,17 @@ def test_views_show_and_mark(spark):
     assert {r["row"] for r in views.reading_order_cells(study_rows, "chr", "e").collect()} == {"p", "mean, multi-column", "mean, single-column"}
     with pytest.raises(ValueError):
         views.reading_order_cells(study_rows, "chr", "none")
+
+
+def test_scores_do_not_depend_on_how_words_are_looked_up(spark):
+    """A lexicon that is too large to be broadcast is asked by blocks, with the same scores to the last bit; no tokens are
+    sorted, neither for the scores nor for the perplexity."""
+    rows = [(f, e, "x", " ".join(f"w{chr(97 + (f * e + i) % 26)}{chr(97 + i % 7)}" for i in range(40))) for f in range(6) for e in range(3)]
+    df = spark.createDataFrame([*rows, (9, 0, "x", "")], "file long, engine_ord int, engine string, text string")
+    lexicon = df.where("file < 4").selectExpr("explode(split(text, ' ')) AS word").groupBy("word").agg(F.count("*").alias("n"))
+    few, many = (route.quality_scores(df, lexicon, most=most) for most in (10_000, 3))
+    assert sorted(few.collect()) == sorted(many.collect())
+    own, blocks = route.in_blocks(df, "file")
+    assert sorted(route.quality_scores(own, lexicon, blocks=blocks, most=3).collect()) == sorted(few.collect())
+    plans_ = [p._jdf.queryExecution().executedPlan().toString() for p in (few, many, scorer.Bigrams(most=3).fit(df).perplexity(df))]
+    assert not any("SortAggregate" in p or "SortMergeJoin [block" in p for p in plans_)
