@@ -144,8 +144,12 @@ def with_labels(scores: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 
 
 def missing_cells(sweep: DataFrame, fixtures: DataFrame, grid: DataFrame) -> DataFrame:
-    """(fixture, contrast, psm) that a sweep lacks: must be empty before a fit."""
-    return fixtures.crossJoin(F.broadcast(grid)).join(sweep, ["fixture", "contrast", "psm"], "left_anti")  # a fixed grid
+    """(fixture, contrast, psm) that a sweep lacks: must be empty before a fit. What a fixture has stands in one row of it."""
+    cell = F.struct("contrast", "psm")
+    have = sweep.groupBy("fixture").agg(F.collect_set(cell).alias("have")).hint("shuffle_hash")
+    both = fixtures.join(have, "fixture", "left").crossJoin(F.broadcast(grid.agg(F.collect_list(cell).alias("grid"))))  # one row of a fixed grid
+    lacks = F.filter("grid", lambda g: ~F.coalesce(F.array_contains("have", g), F.lit(False)))
+    return both.select("fixture", F.explode(lacks).alias("g")).select("fixture", "g.*")
 
 
 def fit_means(chosen: DataFrame, reference: DataFrame) -> DataFrame:

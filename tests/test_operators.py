@@ -513,3 +513,25 @@ def test_scores_do_not_depend_on_how_words_are_looked_up(spark):
     assert sorted(route.quality_scores(own, lexicon, blocks=blocks, most=3).collect()) == sorted(few.collect())
     plans_ = [p._jdf.queryExecution().executedPlan().toString() for p in (few, many, scorer.Bigrams(most=3).fit(df).perplexity(df))]
     assert not any("SortAggregate" in p or "SortMergeJoin [block" in p for p in plans_)
+
+
+def test_sweeps_of_parts_are_never_broadcast(spark, sf_dir):
+    """Cells are dealt with their part and joined by hash: neither they nor the parts pass through the driver."""
+    from leafloom import plans
+    from leafloom.plans import study_queries
+
+    frames = {name: plans.QUERIES[name](spark, sf_dir) for name in ("p12_cell_costs", "m2_missing_cells")}
+    cells, features = study_queries._brands(spark, sf_dir)
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in text(frames["p12_cell_costs"]) + text(frames["m2_missing_cells"]) + text(features)
+    assert text(cells).count("p_brand") > 0 and "BroadcastHashJoin" not in text(cells)
+    assert text(frames["p12_cell_costs"]).count("Exchange hashpartitioning") <= 2
+    assert calibrate.best_cells(views_sweep(spark, sf_dir)).count() == spark.read.parquet(f"{sf_dir}/part.parquet").count()
+
+
+def views_sweep(spark, sf_dir):
+    from leafloom.plans import views
+
+    cells = views.sweep(views.read(spark, sf_dir, "part"))
+    assert cells.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    return cells
