@@ -6,6 +6,9 @@ a page's spans. The recursive cut is one grouped pandas function: a page is smal
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -206,10 +209,61 @@ def ordered_page(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def paged(spans: DataFrame) -> DataFrame:
+    """(page, spans): a page's spans (ord, text, l, t, r, b) in one row, by their order; such rows stay as they are."""
+    if "spans" in spans.columns:
+        return spans
+    return spans.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("ord", "text", "l", "t", "r", "b"))).alias("spans"))
+
+
+def unpaged(spans: DataFrame) -> DataFrame:
+    """A row a span again, of pages in rows."""
+    return spans.select("page", F.inline("spans")) if "spans" in spans.columns else spans
+
+
+#: Forms whose order a task remembers: pages that are boxed alike, of which corpora have many, are cut once.
+FORMS = 4096
+
+
+def ordered_boxes(boxes: np.ndarray) -> tuple[list[tuple[int, int, int]], list[list[int]]]:
+    """(span, region, line) in reading order, and the lines across the whole page, of the boxes (l, t, r, b) of one page."""
+    l, t, r, b = boxes
+    cutter = Cutter(l, t, r, b)
+    baseline, left, tolerance = np.nan_to_num(b), np.nan_to_num(l), 0.5 * cutter.height
+    everything = np.arange(len(l))
+    order = [(i, region, line) for region, own in enumerate(cutter.regions(everything)) for line, members in enumerate(lines_of(own, baseline, left, tolerance)) for i in members]
+    return order, lines_of(everything, baseline, left, tolerance)
+
+
+def with_orders(pages: DataFrame) -> DataFrame:
+    """Pages (page, spans, ...) with `o`: (i, region, line) of the spans in reading order, `lines`: the spans of each line
+    across the page, and `read`: those of each line in reading order."""
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.schema.fields)
+
+    def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
+        for pdf in batches:
+            found = []
+            for spans in pdf["spans"]:
+                boxes = np.array([[s[c] for s in spans] for c in "ltrb"], dtype=np.float64)
+                key = boxes.tobytes()
+                if key not in known:
+                    if len(known) >= FORMS:
+                        known.clear()
+                    order, lines = ordered_boxes(boxes)
+                    read = [[i for i, _, _ in run] for _, run in itertools.groupby(order, lambda x: x[1:])]
+                    known[key] = [{"i": i, "region": x, "line": y} for i, x, y in order], lines, read
+                found.append(known[key])
+            yield pdf.assign(o=[x[0] for x in found], lines=[x[1] for x in found], read=[x[2] for x in found])
+
+    return pages.mapInPandas(ordered, f"{own}, o array<struct<i:int,region:int,line:int>>, lines array<array<int>>, read array<array<int>>")
+
+
 def reading_order(spans: DataFrame) -> DataFrame:
     """(page, ord, text, region, line, pos): the order of every span of every page by the recursive cut."""
-    page = spans.schema["page"].dataType.simpleString()
-    return spans.groupBy("page").applyInPandas(ordered_page, f"page {page}, ord long, text string, region int, line int, pos int")
+    placed = with_orders(paged(spans)).select("page", "spans", F.posexplode("o").alias("pos", "o"))
+    span = F.get("spans", F.col("o.i"))
+    return placed.select("page", span["ord"].alias("ord"), span["text"].alias("text"), "o.region", "o.line", "pos")
 
 
 def page_texts(order: DataFrame) -> DataFrame:

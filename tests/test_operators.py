@@ -535,3 +535,16 @@ def views_sweep(spark, sf_dir):
     cells = views.sweep(views.read(spark, sf_dir, "part"))
     assert cells.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     return cells
+
+
+def test_pages_in_rows_are_not_shuffled(spark, sf_dir):
+    """Pages made in the document's row are ordered and scored there, and are those of the spans, a row each."""
+    from leafloom.plans import table_queries
+
+    rows = table_queries.page_rows(spark, sf_dir)
+    scores = study.serialisation_scores(rows.where("size(spans) < 20").withColumn("expected", F.lit("a")))
+    assert "hashpartitioning(page" not in scores._jdf.queryExecution().executedPlan().toString()
+    spans = table_queries.page_spans(spark, sf_dir)
+    assert layout.paged(spans).exceptAll(rows).isEmpty() and rows.exceptAll(layout.paged(spans)).isEmpty()
+    some = layout.unpaged(rows.where("page like '1%'"))
+    assert study.shipped_text(some).exceptAll(layout.page_transcripts(layout.reading_order(some))).isEmpty()
