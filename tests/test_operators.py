@@ -548,3 +548,10 @@ def test_pages_in_rows_are_not_shuffled(spark, sf_dir):
     assert layout.paged(spans).exceptAll(rows).isEmpty() and rows.exceptAll(layout.paged(spans)).isEmpty()
     some = layout.unpaged(rows.where("page like '1%'"))
     assert study.shipped_text(some).exceptAll(layout.page_transcripts(layout.reading_order(some))).isEmpty()
+
+
+def test_zip_is_dealt_by_document_in_parts_of_bounded_size(spark, sf_dir):
+    from leafloom import plans
+
+    plan = plans.QUERIES["j9_positional_zip"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2
