@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafloom.functions.outputs import rounded
+
 
 def histogram_quantile(levels: DataFrame, share: float) -> DataFrame:
     """(image, level): the smallest level at which the cumulative count reaches the share; 255 without pixels."""
@@ -22,7 +24,7 @@ def grey_statistics(levels: DataFrame) -> DataFrame:
         F.sum(n).alias("n"), F.sum(n * level).alias("s"), F.sum(n * level * level).alias("q"), F.sum(F.when(level < 128, n).otherwise(0)).alias("dark")
     )
     mean = F.col("s") / F.col("n")
-    return sums.select("image", F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("stddev"), (100 * F.col("dark") / F.col("n")).alias("dark_pct"))
+    return sums.select("image", F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("stddev"), (100 * (F.col("dark") / F.col("n"))).alias("dark_pct"))
 
 
 def interior_gutters(profile: DataFrame, width_share: float = 0.02) -> DataFrame:
@@ -44,7 +46,7 @@ def interior_gutters(profile: DataFrame, width_share: float = 0.02) -> DataFrame
 def features(levels: DataFrame, profile: DataFrame, sizes: DataFrame) -> DataFrame:
     """(fixture, stddev, dark_pct, interior_gutters, width, height): the feature table of all images of `sizes` (image,
     width, height), sorted; stddev and dark_pct to four places. Images without a histogram or profile have nulls."""
-    grey = grey_statistics(levels).select("image", F.round("stddev", 4).alias("stddev"), F.round("dark_pct", 4).alias("dark_pct"))
+    grey = grey_statistics(levels).select("image", rounded(F.col("stddev"), 4).alias("stddev"), rounded(F.col("dark_pct"), 4).alias("dark_pct"))
     gutters = interior_gutters(profile).withColumnRenamed("gutters", "interior_gutters")
     rows = sizes.join(grey, "image", "left").join(gutters, "image", "left")
     return rows.select(F.col("image").alias("fixture"), "stddev", "dark_pct", "interior_gutters", "width", "height").orderBy("fixture")

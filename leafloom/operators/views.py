@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafloom.functions.outputs import printed
+
 MEAN, AVERAGE = "mean", "Average"
 
 
@@ -27,7 +29,7 @@ def register_summary(scores: DataFrame) -> DataFrame:
         raise ValueError("no mean row")
     top = means.agg(F.max("chr").alias("top_chr"), F.max("wrd").alias("top_wrd"))
     shown = means.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(n))  # one row each
-    three = lambda c: F.format_string("%.3f", c).alias(c)
+    three = lambda c: printed(F.col(c), 3).alias(c)
     shown = shown.orderBy(F.desc("wrd"), "engine")
     return shown.select("engine", three("chr"), three("wrd"), (F.col("chr") == F.col("top_chr")).alias("best_chr"), (F.col("wrd") == F.col("top_wrd")).alias("best_wrd"), "registers")
 
@@ -36,7 +38,7 @@ def register_cells(scores: DataFrame, metric: str = "wrd") -> DataFrame:
     """(register, engine, cell, is_best): every register and the mean row in one metric; the mean row's best is marked too,
     as its cells are of the same kind."""
     _known(metric, ("wrd", "chr"), "metric")
-    return scores.select("register", "engine", F.format_string("%.3f", metric).alias("cell"), best_of(F.col(metric), ["register"]).alias("is_best"))
+    return scores.select("register", "engine", printed(F.col(metric), 3).alias("cell"), best_of(F.col(metric), ["register"]).alias("is_best"))
 
 
 def benchmark_cells(scores: DataFrame, not_local: list[str], metric: str = "score") -> DataFrame:
@@ -50,9 +52,9 @@ def benchmark_cells(scores: DataFrame, not_local: list[str], metric: str = "scor
     average = F.col("fixture") == AVERAGE
     if metric == "sec":
         label = F.when(average, "Total seconds").otherwise(F.col("fixture"))
-        return scores.select(label.alias("label"), "backend", F.when(F.col("sec").isNull(), "—").otherwise(F.format_string("%.1f", "sec")).alias("cell"), F.lit(False).alias("is_best"))
+        return scores.select(label.alias("label"), "backend", F.when(F.col("sec").isNull(), "—").otherwise(printed(F.col("sec"), 1)).alias("cell"), F.lit(False).alias("is_best"))
     local = F.when(~F.col("backend").isin(not_local), F.col("chr"))
-    cell = F.when(F.col("chr").isNull(), "N/A").otherwise(F.concat_ws("/", F.format_string("%.2f", "chr"), F.format_string("%.2f", "wrd")))
+    cell = F.when(F.col("chr").isNull(), "N/A").otherwise(F.concat_ws("/", printed(F.col("chr"), 2), printed(F.col("wrd"), 2)))
     return scores.select(F.col("fixture").alias("label"), "backend", cell.alias("cell"), (~average & best_of(local, ["fixture"])).alias("is_best"))
 
 
@@ -67,4 +69,4 @@ def reading_order_cells(rows: DataFrame, metric: str = "chr", backend: str | Non
         shown = rows.where(F.col("backend") == backend).withColumn("row", label)
         if shown.isEmpty():
             raise ValueError(f"no rows for backend {backend!r}")
-    return shown.select("row", "strategy", F.format_string("%.3f", metric).alias("cell"), best_of(F.col(metric), ["row"]).alias("is_best"))
+    return shown.select("row", "strategy", printed(F.col(metric), 3).alias("cell"), best_of(F.col(metric), ["row"]).alias("is_best"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.functions import text as T
+from leafloom.functions.outputs import printed
 from leafloom.operators import evaluate
 
 # The columns of stored tables.
@@ -101,7 +102,7 @@ def manifest_rows(rows: DataFrame) -> DataFrame:
     unknown = set(rows.columns) - set(MANIFEST)
     if unknown:
         raise ValueError(f"not columns of the manifest: {sorted(unknown)}")
-    shown = {"quality": F.when(F.col("quality").isNotNull(), F.format_string("%.4f", "quality")) if "quality" in rows.columns else None, "outputs": F.array_join("outputs", ";") if "outputs" in rows.columns else None}
+    shown = {"quality": F.when(F.col("quality").isNotNull(), printed(F.col("quality").cast("double"), 4)) if "quality" in rows.columns else None, "outputs": F.array_join("outputs", ";") if "outputs" in rows.columns else None}
     return rows.select(*[F.coalesce((shown[c] if c in shown else F.col(c)).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in MANIFEST])
 
 

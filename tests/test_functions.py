@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafloom.functions import blocks, headers, rules
+from leafloom.functions import blocks, headers, outputs, rules
 from leafloom.functions import text as T
 
 
@@ -159,3 +159,19 @@ def test_a_false_name_is_refused(spark):
     df = spark.createDataFrame(rows, "name string, content binary, suffix string")
     got = {r["name"]: r["why"] for r in df.select("name", headers.refused(F.col("content"), F.col("suffix"), F.lit(1)).alias("why")).collect()}
     assert got == {"a": None, "b": "named .jpg but is png", "c": "not a JPEG, PNG, TIFF or PDF file", "d": None, "e": "side too long", "f": "no size in its header", "g": "named .bmp but is pdf"}
+
+
+def test_numbers_print_and_round_at_ties_as_in_c(spark):
+    random.seed(5)
+    values = [0.25, 0.75, 0.15, 0.35, -0.25, -0.01, 2.5, 12345678.25, 12345678.75, 0.0, 0.05375, 0.03125, 0.05625, -7e-9]
+    values += [random.randrange(0, 100_000) / 8 / 10 ** random.randrange(5) for _ in range(500)] + [random.random() * 10 ** random.randrange(-6, 9) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in [*values, None, math.inf]], "v double")
+    made = df.select("v", *[outputs.printed(F.col("v"), p).alias(f"p{p}") for p in (1, 2, 3, 4)], outputs.rounded(F.col("v"), 4).alias("r")).collect()
+    for row in made[:-2]:
+        assert [row[f"p{p}"] for p in (1, 2, 3, 4)] == [f"{row['v']:.{p}f}" for p in (1, 2, 3, 4)]
+    assert made[-1]["r"] == math.inf and made[-2]["r"] is None
+    mean = (0.04 + 0.01 + 0.07 + 0.09 + 0.02 + 0.1 + 0.04 + 0.06) / 8  # 0.05375, or the double beside it
+    nearest = lambda v: math.floor(v * 1e4 + 0.5) / 1e4
+    assert one(spark, outputs.rounded(F.col("v"), 4), v=mean) == nearest(mean)
+    below = 0.056249999999999994  # scaled, exactly 562.5
+    assert below * 1e4 == 562.5 and one(spark, outputs.rounded(F.col("v"), 4), v=below) == 0.0563
