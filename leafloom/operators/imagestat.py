@@ -29,15 +29,15 @@ def grey_statistics(levels: DataFrame) -> DataFrame:
 
 def interior_gutters(profile: DataFrame, width_share: float = 0.02) -> DataFrame:
     """(image, gutters): long runs of paper columns (image, x, value) that have ink on both sides."""
-    bounds = profile.groupBy("image").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("width"))
-    marked = profile.join(bounds, "image").withColumn("paper", F.col("value") > (F.col("low") + F.col("high")) / 2)
+    own = Window.partitionBy("image")
+    bounds = {"low": F.min("value").over(own), "high": F.max("value").over(own), "width": F.count("*").over(own)}
+    marked = profile.withColumns(bounds).withColumn("paper", F.col("value") > (F.col("low") + F.col("high")) / 2)
     along, alike = Window.partitionBy("image").orderBy("x"), Window.partitionBy("image", "paper").orderBy("x")
     island = F.row_number().over(along) - F.row_number().over(alike)
     runs = marked.withColumn("island", island).groupBy("image", "paper", "island").agg(
         F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"), F.first("width").alias("width"), F.first("low").alias("low"), F.first("high").alias("high")
     )
-    ink = runs.where("not paper").groupBy("image").agg(F.min("a").alias("first_ink"), F.max("b").alias("last_ink"))
-    found = runs.join(ink, "image", "left")
+    found = runs.withColumns({"first_ink": F.min(F.when(~F.col("paper"), F.col("a"))).over(own), "last_ink": F.max(F.when(~F.col("paper"), F.col("b"))).over(own)})
     least = F.greatest(F.lit(1), F.floor(F.col("width") * width_share))
     counted = F.col("paper") & (F.col("n") >= least) & (F.col("a") > F.col("first_ink")) & (F.col("b") < F.col("last_ink")) & (F.col("high") - F.col("low") >= 8)
     return found.groupBy("image").agg(F.count_if(counted).alias("gutters"))

@@ -555,3 +555,25 @@ def test_zip_is_dealt_by_document_in_parts_of_bounded_size(spark, sf_dir):
 
     plan = plans.QUERIES["j9_positional_zip"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_line_items_stay_in_parts_of_a_bounded_size(spark, sf_dir, monkeypatch):
+    """More rows make more parts, not larger ones, and what follows needs no second shuffle."""
+    from leafloom.plans import QUERIES, table_queries
+
+    monkeypatch.setattr(table_queries, "LINES", 500)
+    for name, shuffles in (("s9_wide_to_long", 1), ("w7_interior_gutters", 1), ("w8_moving_average", 1), ("a17_grey_statistics", 1)):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == shuffles, name
+    parts = evaluate.wide(table_queries._long(spark, sf_dir), ["A"]).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(parts) >= 12 and max(r["count"] for r in parts) < 500
+
+
+def test_merge_refuses_fixtures_of_one_side(spark):
+    rows = lambda *names: spark.createDataFrame([(n, "A", 0.5, 0.5, 1.0) for n in names], "fixture string, backend string, chr double, wrd double, sec double")
+    assert evaluate.merged(rows("a", "a", None), rows(None, "a")).count() == 2
+    for odd in (rows("a", "b"), rows("a", None)):
+        with pytest.raises(ValueError, match="the fixtures differ"):
+            evaluate.merged(odd, rows("a"))
+        with pytest.raises(ValueError, match="the fixtures differ"):
+            evaluate.merged(rows("a"), odd)
