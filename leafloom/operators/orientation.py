@@ -22,9 +22,15 @@ def sizes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
 
 
+def _sized(pixels: DataFrame) -> DataFrame:
+    """Pixels with their picture's width and height. Sizes are looked up by hash: pixels are neither sorted nor, if they are
+    dealt by picture, moved."""
+    return pixels.join(sizes(pixels).hint("shuffle_hash"), "image")
+
+
 def turned(pixels: DataFrame, degrees: DataFrame) -> DataFrame:
     """Pixels of (image, turn) pictures turned clockwise by a multiple of 90 degrees; a picture without a turn stays."""
-    own = pixels.join(sizes(pixels), "image").join(degrees, "image", "left").withColumn("turn", F.pmod(F.coalesce("turn", F.lit(0)), F.lit(360)))
+    own = _sized(pixels).join(degrees.hint("shuffle_hash"), "image", "left").withColumn("turn", F.pmod(F.coalesce("turn", F.lit(0)), F.lit(360)))
     right, below = F.col("width") - 1 - F.col("x"), F.col("height") - 1 - F.col("y")
     x = F.when(F.col("turn") == 90, below).when(F.col("turn") == 180, right).when(F.col("turn") == 270, F.col("y")).otherwise(F.col("x"))
     y = F.when(F.col("turn") == 90, F.col("x")).when(F.col("turn") == 180, below).when(F.col("turn") == 270, right).otherwise(F.col("y"))
@@ -44,11 +50,12 @@ def blocks(pixels: DataFrame, grid: int = GRID) -> DataFrame:
 
     One pass sums the pixels of each row and of each column of a block; a second takes both profiles' variances.
     """
-    own = pixels.join(sizes(pixels), "image").withColumns({"bw": F.floor(F.col("width") / grid), "bh": F.floor(F.col("height") / grid)})
+    own = _sized(pixels).withColumns({"bw": F.floor(F.col("width") / grid), "bh": F.floor(F.col("height") / grid)})
     own = own.where((F.col("x") < grid * F.col("bw")) & (F.col("y") < grid * F.col("bh")))
     own = own.select("image", (F.floor(F.col("y") / F.col("bh")) * grid + F.floor(F.col("x") / F.col("bw"))).alias("block"), "x", "y", "v")
-    lines = own.groupingSets([["image", "block", "y"], ["image", "block", "x"]], "image", "block", "x", "y").agg(level(F.avg("v")).alias("v"), F.grouping("x").alias("across"))
-    row, col = F.when(F.col("across") == 1, F.col("v")), F.when(F.col("across") == 0, F.col("v"))
+    either = F.explode(F.array(F.struct(F.lit(True).alias("across"), F.col("y").alias("at")), F.struct(F.lit(False).alias("across"), F.col("x").alias("at"))))
+    lines = own.select("image", "block", "v", either.alias("l")).groupBy("image", "block", "l.across", "l.at").agg(level(F.avg("v")).alias("v"))
+    row, col = F.when(F.col("across"), F.col("v")), F.when(~F.col("across"), F.col("v"))
     variance = lambda c, name: (F.var_pop(c) / (FULL * FULL)).alias(name)
     return lines.groupBy("image", "block").agg(variance(row, "var_row"), variance(col, "var_col"), (F.avg(row) / FULL).alias("mean"), (F.max("v") / FULL).alias("peak"))
 
@@ -143,10 +150,13 @@ def shares_above(found: Column) -> Column:
 def strip_profiles(pixels: DataFrame, strips: int = STRIPS) -> DataFrame:
     """(image, strip, rows): the mean ink of each row of each vertical strip, from the top; columns beyond the last whole
     strip are left out, and rows without a pixel are bare."""
-    own = pixels.join(sizes(pixels), "image").withColumn("sw", F.floor(F.col("width") / strips)).where(F.col("x") < strips * F.col("sw"))
-    means = own.groupBy("image", F.floor(F.col("x") / F.col("sw")).alias("strip"), "y").agg((level(F.avg("v")) / FULL).alias("v"), F.first("height").alias("height"))
-    each = means.groupBy("image", "strip").agg(F.map_from_entries(F.collect_list(F.struct(F.col("y").cast("long"), "v"))).alias("at"), F.first("height").alias("height"))
-    rows = F.transform(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1), lambda y: F.coalesce(F.try_element_at("at", y), F.lit(0.0)))
+    own = _sized(pixels).withColumn("sw", F.floor(F.col("width") / strips)).where(F.col("x") < strips * F.col("sw"))
+    means = own.groupBy("image", F.floor(F.col("x") / F.col("sw")).alias("strip"), "height", "y").agg((level(F.avg("v")) / FULL).alias("v"))
+    each = means.groupBy("image", "strip", "height").agg(F.sort_array(F.collect_list(F.struct(F.col("y").cast("int").alias("y"), "v"))).alias("at"))
+    bare = lambda n: F.array_repeat(F.lit(0.0), n)
+    before = lambda i: F.coalesce(F.get("at", i - 1)["y"], F.lit(-1))
+    filled = F.flatten(F.transform("at", lambda r, i: F.concat(bare(r["y"] - before(i) - 1), F.array(r["v"]))))
+    rows = F.concat(filled, bare(F.col("height").cast("int") - 1 - F.element_at("at", -1)["y"]))
     return each.select("image", "strip", rows.alias("rows"))
 
 

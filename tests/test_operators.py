@@ -577,3 +577,20 @@ def test_merge_refuses_fixtures_of_one_side(spark):
             evaluate.merged(odd, rows("a"))
         with pytest.raises(ValueError, match="the fixtures differ"):
             evaluate.merged(rows("a"), odd)
+
+
+def test_pixels_are_not_moved_once_their_document_is_dealt(spark, sf_dir, monkeypatch):
+    """One shuffle, that of the documents' texts; no pixel is sorted or joined by sorting."""
+    from leafloom.plans import QUERIES, table_queries
+
+    monkeypatch.setattr(table_queries, "PAGES", 20)
+    for name, shuffles in (("g14_line_direction", 2), ("g16_up_share", 2), ("g19_turned", 3)):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == shuffles and plan.count("REPARTITION_BY_NUM") == 2, name
+        assert "SortMergeJoin" not in plan and "Expand" not in plan
+
+
+def test_strip_profiles_fill_rows_without_pixels(spark):
+    pixels = spark.createDataFrame([(1, x, y, 255.0) for y in (1, 4) for x in range(16)] + [(1, 0, 6, 255.0)], "image long, x long, y long, v double")
+    rows = {r["strip"]: r["rows"] for r in orientation.strip_profiles(pixels, 2).collect()}
+    assert rows == {0: [0, 1, 0, 0, 1, 0, 1], 1: [0, 1, 0, 0, 1, 0, 0]}
