@@ -1,7 +1,7 @@
 """Reading order of positioned text spans (page, ord, text, l, t, r, b); boxes may be null.
 
-Line grouping, gutters and the single-gutter baseline are DataFrame expressions over the array of
-a page's spans. The recursive cut is one grouped pandas function: a page is small, pages are many.
+Line grouping and the single-gutter baseline are DataFrame expressions over the array of a page's
+spans; gutters are tried in numpy for a batch of pages. The recursive cut is one grouped pandas function: a page is small, pages are many.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from leafloom.functions import text as T
 
@@ -58,20 +60,48 @@ def bands_of_ink(spans: DataFrame) -> DataFrame:
 
 def gutters(spans: DataFrame, steps: int = 80) -> DataFrame:
     """(page, gutter): of 81 positions over the middle 40 % of the width, the one that fewest boxes cross (first wins);
-    null with fewer than four placed spans, too many crossings, or a side that is too thin."""
-    placed = spans.where("l is not null").groupBy("page").agg(F.collect_list(F.struct("l", "r")).alias("s"), F.min("l").alias("low"), F.max("r").alias("high"), F.count("*").alias("n"))
-    first, last = F.col("low") + 0.3 * (F.col("high") - F.col("low")), F.col("low") + 0.7 * (F.col("high") - F.col("low"))
-    # In this order of operations: a box that ends on a place crosses it or not by the last bit.
-    at = lambda i: first + (last - first) * i / steps
-    crossed = lambda x: F.size(F.filter("s", lambda s: (s["l"] < x) & (s["r"] > x)))
-    tried = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.struct(crossed(at(i)).alias("crossings"), i.alias("i")))
-    best = placed.withColumn("b", F.array_min(tried)).withColumn("x", at(F.col("b.i")))
-    left = F.size(F.filter("s", lambda s: s["r"] <= F.col("x")))
-    right = F.size(F.filter("s", lambda s: s["l"] >= F.col("x")))
-    few = F.col("b.crossings") <= F.greatest(F.lit(float(CROSS_FREE)), F.col("n") * CROSS_SHARE)
-    sound = (F.col("n") >= FEWEST) & (F.col("high") > F.col("low")) & few & (F.least(left, right) >= ROOM * F.col("n"))
-    found = best.select("page", F.when(sound, F.col("x")).alias("gutter"))
-    return spans.select("page").distinct().join(found, "page", "left")
+    null with fewer than four placed spans, too many crossings, or a side that is too thin.
+
+    One grouping brings a page's boxes together; the positions are tried for all pages of an Arrow batch at once.
+    """
+    side = lambda c: F.when(F.col("l").isNotNull(), F.col(c).cast("double"))
+    boxes = F.collect_list(F.when(F.col("l").isNotNull(), F.struct(side("l").alias("l"), side("r").alias("r"))))
+    pages = spans.groupBy("page").agg(boxes.alias("s")).select("page", F.transform("s", lambda s: s["l"]).alias("l"), F.transform("s", lambda s: s["r"]).alias("r"))
+
+    def tried(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _gutters(batch.column(1), batch.column(2), steps)], ["page", "gutter"])
+
+    return pages.mapInArrow(tried, StructType([spans.schema["page"], StructField("gutter", DoubleType())]))
+
+
+def _gutters(left: pa.ListArray, right: pa.ListArray, steps: int) -> pa.Array:
+    """The gutter of each page from its boxes' left and right sides."""
+    ends = np.cumsum(left.value_lengths().to_numpy(zero_copy_only=False))
+    n = np.diff(ends, prepend=0)
+    own = np.flatnonzero(n >= FEWEST)
+    out = np.full(len(n), np.nan)
+    if len(own):
+        kept = np.repeat(n >= FEWEST, n)
+        l, r = (x.flatten().to_numpy(zero_copy_only=False)[kept] for x in (left, right))  # noqa: E741
+        n = n[own]
+        begin = np.cumsum(n) - n
+        low, high = np.fmin.reduceat(l, begin), np.fmax.reduceat(r, begin)
+        first, last = low + 0.3 * (high - low), low + 0.7 * (high - low)
+        count = lambda boxes: np.add.reduceat(boxes.astype(np.int64), begin)
+        fewest, x = np.full(len(n), np.iinfo(np.int64).max), first
+        for i in range(steps + 1):
+            # In this order of operations: a box that ends on a place crosses it or not by the last bit.
+            at = first + (last - first) * i / steps
+            each = np.repeat(at, n)
+            crossings = count((l < each) & (r > each))
+            better = crossings < fewest
+            fewest, x = np.where(better, crossings, fewest), np.where(better, at, x)
+        each = np.repeat(x, n)
+        thin = np.minimum(count(r <= each), count(l >= each)) < ROOM * n
+        sound = (high > low) & (fewest <= np.maximum(float(CROSS_FREE), n * CROSS_SHARE)) & ~thin
+        out[own[sound]] = x[sound]
+    return pa.array(out, from_pandas=True)
 
 
 def median_height(t: np.ndarray, b: np.ndarray) -> float:

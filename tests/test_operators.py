@@ -590,6 +590,16 @@ def test_pixels_are_not_moved_once_their_document_is_dealt(spark, sf_dir, monkey
         assert "SortMergeJoin" not in plan and "Expand" not in plan
 
 
+def test_gutters_come_from_one_grouping(spark, sf_dir):
+    from leafloom.plans import QUERIES
+
+    plan = QUERIES["g1_gutters"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    boxes = [(p, float(x), x + 40.0) for p, n in (("a", 4), ("b", 3), ("c", 40)) for i in range(n) for x in (10 + 100 * (i % 2),)] + [("d", None, None), ("a", None, None)]
+    found = {r["page"]: r["gutter"] for r in layout.gutters(spark.createDataFrame(boxes, "page string, l double, r double")).collect()}
+    assert found == {"a": 52.0, "b": None, "c": 52.0, "d": None}
+
+
 def test_strip_profiles_fill_rows_without_pixels(spark):
     pixels = spark.createDataFrame([(1, x, y, 255.0) for y in (1, 4) for x in range(16)] + [(1, 0, 6, 255.0)], "image long, x long, y long, v double")
     rows = {r["strip"]: r["rows"] for r in orientation.strip_profiles(pixels, 2).collect()}
