@@ -110,6 +110,35 @@ def test_ratio_of_a_long_text():
     assert time.time() - start < 20  # about 1.5 s alone
 
 
+def long_text(words=20_000, seed=3):
+    rng = random.Random(seed)
+    kinds = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    return " ".join(rng.choice(kinds) for _ in range(words))
+
+
+@pytest.mark.parametrize("change", ["garbled", "reversed"])
+def test_ratio_looks_at_few_windows(monkeypatch, change):
+    """Work, not time: windows hashed for each character of both sides. Halving in every round took 101 and 62 of them."""
+    text = long_text()
+    actual = text[::-1] if change == "reversed" else text.translate(str.maketrans("eao", "c0q"))
+    hashed, windows = [], blocks._Hashes.windows
+    monkeypatch.setattr(blocks._Hashes, "windows", lambda self, at, size: hashed.append(len(at)) or windows(self, at, size))
+    blocks.ratios([actual], [text])
+    assert sum(hashed) < 45 * (len(actual) + len(text))
+
+
+def test_ratio_of_long_and_short_blocks_in_turn():
+    """Blocks around the length at which the search changes, repeated ones and one-sided rests, against `difflib`."""
+    rng = random.Random(9)
+    parts = ["".join(rng.choice("abc") for _ in range(n)) for n in (1, 3, 5, 30, 63, 64, 65, 66, 130)]
+    pairs = []
+    for _ in range(40):
+        b = "".join(rng.choice([*parts, "x", "yy"]) for _ in range(rng.randint(1, 14)))
+        a = "".join(rng.choice([*parts, "z", ""]) for _ in range(rng.randint(1, 14)))
+        pairs.append((a, b))
+    assert blocks.ratios([a for a, _ in pairs], [b for _, b in pairs]) == [python_ratio(a, b) for a, b in pairs]
+
+
 def test_t3_on_whole_documents(spark, sf_dir):
     from leafloom import plans
 
