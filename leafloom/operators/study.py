@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafloom.functions import text as T
@@ -15,9 +15,13 @@ def scored_pairs(transcripts: DataFrame, expected: DataFrame) -> DataFrame:
     """(fixture, backend, chr, wrd, sec) of transcripts (fixture, backend, text, sec) that have an expected text (fixture,
     expected); null scores where the transcript is null: such an engine failed there, and averages skip it."""
     pairs = transcripts.join(expected, "fixture")
-    ratio = T.character_similarity(T.normalise(F.col("text")), T.normalise(F.col("expected")))
-    recall = F.when(F.col("text").isNotNull(), T.word_recall(F.col("text"), F.col("expected")))
-    return pairs.select("fixture", "backend", ratio.alias("chr"), recall.alias("wrd"), "sec")
+    return pairs.select("fixture", "backend", _scores().alias("s"), "sec").select("fixture", "backend", "s.*", "sec")
+
+
+def _scores() -> Column:
+    """struct(chr, wrd) of the columns text and expected."""
+    text, expected = F.col("text"), F.col("expected")
+    return T.scores_of(T.normalise(text), T.normalise(expected), T.wanted_text(expected))
 
 
 def evaluated(transcripts: DataFrame, expected: DataFrame, backends: list[str]) -> DataFrame:
@@ -58,9 +62,8 @@ def serialisation_scores(spans: DataFrame, expected: DataFrame | None = None) ->
     """(page, strategy, chr, wrd) of every serialisation against (page, expected), or the pages' own column `expected`;
     a column `layout` of the pages stays."""
     pairs = serialisations(spans) if expected is None else serialisations(spans).join(expected, "page")
-    ratio = T.character_similarity(T.normalise(F.col("text")), T.normalise(F.col("expected")))
     own = ["page", "strategy", *(["layout"] if "layout" in pairs.columns else [])]
-    return pairs.select(*own, ratio.alias("chr"), T.word_recall(F.col("text"), F.col("expected")).alias("wrd"))
+    return pairs.select(*own, _scores().alias("s")).select(*own, "s.*")
 
 
 def reading_order_study(spans: DataFrame, expected: DataFrame | None = None, layouts: DataFrame | None = None) -> DataFrame:

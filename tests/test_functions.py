@@ -139,6 +139,18 @@ def test_ratio_of_long_and_short_blocks_in_turn():
     assert blocks.ratios([a for a, _ in pairs], [b for _, b in pairs]) == [python_ratio(a, b) for a, b in pairs]
 
 
+def test_scores_in_one_pass(spark):
+    """Similarity and recall of one pass are those of the two functions, with blanks, marks alone, repeats and nulls."""
+    rows = [("Ab c ab", "ab  AB x ."), ("", "a"), ("a", ""), ("a b", "- ."), ("x", "X"), (None, "a"), ("a", None)]
+    df = spark.createDataFrame(rows, "a string, e string")
+    a, e = F.col("a"), F.col("e")
+    one_pass = df.select(T.scores_of(T.normalise(a), T.normalise(e), T.wanted_text(e)).alias("s")).select("s.*")
+    want = df.select(T.character_similarity(T.normalise(a), T.normalise(e)), F.when(a.isNotNull(), T.word_recall(a, e)))
+    got = [tuple(r) for r in one_pass.collect()]
+    assert got[:5] == [tuple(r) for r in want.collect()][:5] and [g[1] for g in got[:5]] == [2 / 3, 0.0, 1.0, 1.0, 1.0]
+    assert got[5:] == [(None, None)] * 2
+
+
 def test_t3_on_whole_documents(spark, sf_dir):
     from leafloom import plans
 
