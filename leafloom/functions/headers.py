@@ -23,18 +23,18 @@ def _hex(content: Column, at: Column | int, length: int) -> Column:
     return F.hex(F.substring(content, at, length))
 
 
+def _number(content: Column, at: Column | int, data: Column, length: int) -> Column:
+    there = F.length(content) >= (F.lit(at) if isinstance(at, int) else at) + (length - 1)
+    return F.when(there, F.conv(F.hex(data), 16, 10).cast("long"))
+
+
 def _big(content: Column, at: Column | int, length: int) -> Column:
     """Unsigned, highest byte first; null beyond the end. `at` counts from 1."""
-    digits = _hex(content, at, length)
-    return F.when(F.length(digits) == 2 * length, F.conv(digits, 16, 10).cast("long"))
+    return _number(content, at, F.substring(content, at, length), length)
 
 
 def _little(content: Column, at: Column | int, length: int) -> Column:
-    parts = [F.conv(_hex(content, at + i, 1), 16, 10).cast("long") * (1 << 8 * i) for i in range(length)]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return F.when(F.length(_hex(content, at, length)) == 2 * length, total)
+    return _number(content, at, F.concat(*[F.substring(content, at + i, 1) for i in reversed(range(length))]), length)
 
 
 def real_format(content: Column) -> Column:
@@ -56,16 +56,19 @@ def _size(width: Column, height: Column) -> Column:
 
 
 def _jpeg_size(content: Column) -> Column:
-    """The first frame header's; segments before it are skipped by their length, fill bytes one by one."""
+    """The first frame header's; segments before it are skipped by their length, fill bytes one by one. Nothing more is read
+    once it is found or the bytes end."""
     begin = F.struct(F.lit(3).cast("long").alias("at"), _none().alias("size"))
 
     def step(acc: Column, _: Column) -> Column:
         at = acc["at"].cast("int")
         marker = _hex(content, at, 2)
         frame = _size(_big(content, at + 7, 2), _big(content, at + 5, 2))
-        size = F.when(acc["size"].isNull() & marker.isin(FRAMES), frame).otherwise(acc["size"])
         skip = F.when(marker == "FFFF", F.lit(1).cast("long")).otherwise(2 + F.coalesce(_big(content, at + 2, 2), F.lit(HEAD)))
-        return F.struct(F.least(acc["at"] + skip, F.lit(1 << 30)).cast("long").alias("at"), size.alias("size"))
+        further = F.struct(F.least(acc["at"] + skip, F.lit(1 << 30)).cast("long").alias("at"), _none().alias("size"))
+        found = F.struct(acc["at"].alias("at"), frame.alias("size"))
+        ended = acc["size"].isNotNull() | (acc["at"] > F.length(content))
+        return F.when(ended, acc).when(marker.isin(FRAMES), found).otherwise(further)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_SEGMENTS)), begin, step, lambda acc: acc["size"])
 
@@ -73,17 +76,19 @@ def _jpeg_size(content: Column) -> Column:
 def _tiff_size(content: Column) -> Column:
     """The first page's tags, as 16 or 32 bits, in the file's byte order."""
 
-    def ordered(number) -> Column:
+    def ordered(number, order: str) -> Column:
+        short = lambda n: F.lit(n.to_bytes(2, order))
+
         def of(base: Column) -> Column:
             count = F.coalesce(F.least(number(content, base, 2), F.lit(MOST_ENTRIES)), F.lit(0))
             places = F.transform(F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(F.expr("cast(array() as array<bigint>)")), lambda i: (base + 2 + 12 * i).cast("int"))
-            value = lambda at: F.when(number(content, at + 2, 2) == 3, number(content, at + 8, 2)).otherwise(number(content, at + 8, 4))
-            tag = lambda t: F.get(F.transform(F.filter(places, lambda at: number(content, at, 2) == t), value), 0)
+            value = lambda at: F.when(F.substring(content, at + 2, 2) == short(3), number(content, at + 8, 2)).otherwise(number(content, at + 8, 4))
+            tag = lambda t: F.get(F.transform(F.filter(places, lambda at: F.substring(content, at, 2) == short(t)), value), 0)
             return _size(tag(WIDTH_TAG), tag(HEIGHT_TAG))
 
-        return let((number(content, 5, 4) + 1).cast("int"), of)
+        return let(F.least(number(content, 5, 4) + 1, F.lit(1 << 30)).cast("int"), of)
 
-    return F.when(_hex(content, 1, 2) == "4949", ordered(_little)).otherwise(ordered(_big))
+    return F.when(_hex(content, 1, 2) == "4949", ordered(_little, "little")).otherwise(ordered(_big, "big"))
 
 
 def real_size(content: Column) -> Column:
@@ -93,13 +98,14 @@ def real_size(content: Column) -> Column:
     return F.when(kind == "png", png).when(kind == "jpeg", _jpeg_size(content)).when(kind == "tiff", _tiff_size(content)).otherwise(_none())
 
 
-def refused(content: Column, suffix: Column, pages: Column) -> Column:
-    """Why a file is not admitted, from its own bytes; null if it is."""
+def refused(content: Column, suffix: Column, pages: Column, size: Column | None = None) -> Column:
+    """Why a file is not admitted, from its own bytes; null if it is. `size`: its `real_size`, where a column has it."""
+    if size is None:
+        return let(real_size(content), lambda known: refused(content, suffix, pages, known))
     kind = real_format(content)
     named = F.lit(None).cast("string")
     for name, endings in SUFFIXES.items():
         named = F.when(F.lower(suffix).isin(endings), name).otherwise(named)
-    size = real_size(content)
     reason = (
         F.when(kind.isNull(), "not a JPEG, PNG, TIFF or PDF file")
         .when(named.isNull() | (named != kind), F.concat(F.lit("named "), F.coalesce(F.lower(suffix), F.lit("")), F.lit(" but is "), kind))

@@ -216,3 +216,14 @@ def test_numbers_print_and_round_at_ties_as_in_c(spark):
     assert one(spark, outputs.rounded(F.col("v"), 4), v=mean) == nearest(mean)
     below = 0.056249999999999994  # scaled, exactly 562.5
     assert below * 1e4 == 562.5 and one(spark, outputs.rounded(F.col("v"), 4), v=below) == 0.0563
+
+
+def test_headers_are_read_once(spark, sf_dir):
+    """The walk through a file's segments stands once in the plan, for its size and for what is refused by it."""
+    from leafloom import plans
+
+    df = plans.QUERIES["s18_real_format"](spark, sf_dir)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    alone = spark.range(1).select(headers.refused(F.lit(b"\xff\xd8\xff\xc0"), F.lit(".jpg"), F.lit(1)).alias("why"))
+    assert alone._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+    assert alone.first()["why"] == "no size in its header"
