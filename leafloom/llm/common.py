@@ -101,6 +101,21 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def unbroadcast(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside join by shuffle only: sides that grow with the documents are sent to no driver, however small Spark
+    takes them for. It reads the size of a table off its compressed files and does not see that an explode makes more rows."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(name, None) for name in names]
+    for name in names:
+        spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

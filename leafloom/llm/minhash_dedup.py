@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm.common import Scratch, batches_of, salted_join, small_batches, table, text_slices
+from leafloom.llm.common import Scratch, batches_of, salted_join, small_batches, table, text_slices, unbroadcast
 from leafloom.llm.components import components
 
 #: Coordinates that are posted, and all that a signature has.
@@ -288,9 +288,22 @@ def prefix_posts(reps: DataFrame, matches: int, scratch: Scratch) -> DataFrame:
 
 
 def near_components(docs: DataFrame, length: int = 3, percent: int = 85, most_hubs: int = 1) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of `docs`."""
+    """(doc_id, n_shingles, component_id), a row for each row of `docs`. No side of a join is broadcast, as all grow with them."""
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
+    with unbroadcast(docs.sparkSession):
+        signed, reps, labels = signed_and_labelled(docs, length, percent, most_hubs, scratch)
+    filled = signed.where("n_shingles > 0 and doc_id is not null")
+    classes = reps.select("set_key", "rep").join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
+    classes = classes.select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    known = filled.select("doc_id", "n_shingles", "set_key").join(classes.hint("merge"), "set_key").select("doc_id", "n_shingles", "component_id")
+    rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    scratch.drop(signed, reps, labels)
+    return known.unionByName(rest)
+
+
+def signed_and_labelled(docs: DataFrame, length: int, percent: int, most_hubs: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signatures of the documents, their representatives, and the component of each representative that is linked."""
     written = scratch.written
     signed = docs.select("doc_id", "text").mapInPandas(
         signature_rows(length), "doc_id long, n_shingles long, set_key binary, sig array<int>, all_sig binary"
@@ -320,12 +333,7 @@ def near_components(docs: DataFrame, length: int = 3, percent: int = 85, most_hu
         hubs = marked.groupBy("list").agg(F.max(F.struct("c", "rep")).alias("h")).select("list", F.col("h.c").alias("hc"), F.col("h.rep").alias("a"))
         if state.compare(salted_join(marked, hubs, "list", "rep").where("c <> hc").select("a", F.col("rep").alias("b")), f"hub{k}"):
             labels = state.labels()
-    classes = reps.select("set_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    classes = classes.select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    known = filled.select("doc_id", "n_shingles", "set_key").join(classes, "set_key").select("doc_id", "n_shingles", "component_id")
-    rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    scratch.drop(signed, reps, labels)
-    return known.unionByName(rest)
+    return signed, reps, labels
 
 
 def same_id_links(filled: DataFrame, reps: DataFrame) -> DataFrame:
