@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from leafloom.functions import text as T
 
@@ -289,6 +290,92 @@ def with_orders(pages: DataFrame) -> DataFrame:
     return pages.mapInPandas(ordered, f"{own}, o array<struct<i:int,region:int,line:int>>, lines array<array<int>>, read array<array<int>>")
 
 
+def gutter_lines(boxes: np.ndarray) -> list[list[int]]:
+    """The lines of one page by the single-gutter baseline (see `single_gutter_order`), as the spans of each."""
+    l, t, r, b = boxes
+    heights = (b - t)[b > t]
+    tolerance = 0.5 * float(np.median(heights)) if len(heights) else 0.0
+    baseline, left = np.nan_to_num(b), np.nan_to_num(l)
+    line, anchor, n = np.zeros(len(l), np.int64), None, 0
+    for i in np.lexsort((left, baseline)).tolist():
+        if anchor is None or abs(baseline[i] - anchor) > tolerance:
+            anchor, n = baseline[i], n + 1
+        line[i] = n
+    placed = ~np.isnan(l)
+    x = _gutters(pa.array([l[placed]]), pa.array([r[placed]]), 80)[0].as_py()
+    block = side = np.zeros(len(l), np.int64)
+    if x is not None:
+        divider = (l < x) & (r > x)
+        at = np.where(np.isnan(b), -np.inf, b)
+        block = np.searchsorted(np.sort(at[divider]), at, "right") - divider
+        side = np.where(divider, 2, np.where((l + r) / 2 < x, 0, 1))
+    order = np.lexsort((left, line, side, block))
+    return [list(own) for _, own in itertools.groupby(order.tolist(), lambda i: (block[i], side[i], line[i]))]
+
+
+#: The texts that a page's spans make: in the engine's order, in lines across the page, in reading order, by the single gutter,
+#: and in the lines of the reading order with words that a line break parts rejoined.
+WAYS = ["engine", "linesort", "column", "gutter", "shipped"]
+
+
+#: Pages of a batch that are told together.
+PART = 500
+
+
+@lru_cache(FORMS)
+def form(n: int, boxes: bytes, gutter: bool) -> tuple[list[int], list[list[int]], list[list[int]], list[list[int]]]:
+    """Of a page of `n` boxes: its spans in reading order, the lines across it, those of the reading order, and those by the single
+    gutter. Pages of one form are cut once in a Python worker, however many tasks it runs."""
+    sides = np.frombuffer(boxes).reshape(4, n)
+    order, lines = ordered_boxes(sides)
+    read = [[i for i, _, _ in run] for _, run in itertools.groupby(order, lambda x: x[1:])]
+    return [i for i, _, _ in order], lines, read, gutter_lines(sides) if gutter else []
+
+
+def told(spans: DataFrame, ways: list[str]) -> DataFrame:
+    """(strategy, text) of each page in each of the WAYS, beside the pages' other columns (page, spans, ...).
+
+    All are made in the row of the page, of whole batches of pages; pages that are boxed alike are cut once.
+    """
+    pages = paged(spans)
+    own = [f for f in pages.schema.fields if f.name != "spans"]
+    fields = [StructField("strategy", StringType()), StructField("text", StringType()), StructField("rows", ArrayType(StringType()))]
+
+    def texts(words: list[str | None], known: tuple) -> Iterator[tuple[str | None, list[str] | None]]:
+        order, lines, read, gutter = known
+        line = (lambda own: " ".join([words[i] for i in own])) if None not in words else (lambda own: " ".join([words[i] for i in own if words[i] is not None]))
+        for way in ways:
+            if way == "shipped":
+                yield None, [line(own) for own in read]
+            elif way == "column":
+                yield line(order), None
+            elif way == "engine":
+                yield "\n".join(w for w in words if w is not None), None
+            else:
+                yield "\n".join([line(own) for own in (lines if way == "linesort" else gutter)]), None
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A batch is taken in parts, so that few words are Python objects at a time.
+        for batch in (b.slice(low, PART) for b in batches for low in range(0, b.num_rows, PART)):
+            spans = batch.column(batch.schema.get_field_index("spans"))
+            flat = spans.flatten()
+            words = flat.field("text").to_pylist()
+            boxes = np.stack([flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in "ltrb"])
+            found, low = [], 0
+            for n in spans.value_lengths().to_pylist():
+                page = np.ascontiguousarray(boxes[:, low : low + n])
+                found += texts(words[low : low + n], form(n, page.tobytes(), "gutter" in ways))
+                low += n
+            at = pa.array(np.repeat(np.arange(len(spans)), len(ways)))
+            columns = [batch.column(batch.schema.get_field_index(f.name)).take(at) for f in own]
+            made = [pa.array(ways * len(spans), pa.string()), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns + made, [f.name for f in (*own, *fields)])
+
+    out = pages.mapInArrow(rows, StructType([*own, *fields]))
+    text = F.coalesce("text", F.array_join(T.dehyphenated(F.col("rows")), "\n"))
+    return out.select(*[f.name for f in own], "strategy", text.alias("text"))
+
+
 def reading_order(spans: DataFrame) -> DataFrame:
     """(page, ord, text, region, line, pos): the order of every span of every page by the recursive cut."""
     placed = with_orders(paged(spans)).select("page", "spans", F.posexplode("o").alias("pos", "o"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,24 +44,24 @@ def serialisations(spans: DataFrame) -> DataFrame:
 
     All three are made in the row of the page; pages in rows (page, spans) are not shuffled.
     """
-    word = lambda i: F.get("spans", i)["text"]
-    lines = F.transform("lines", lambda line: F.array_join(F.transform(line, word), " "))
-    texts = {
-        "engine": F.array_join(F.transform("spans", lambda s: s["text"]), "\n"), "linesort": F.array_join(lines, "\n"),
-        "column": F.array_join(F.transform("o", lambda o: word(o["i"])), " "),
-    }
-    each = F.array(*[F.struct(F.lit(name).alias("strategy"), text.alias("text")) for name, text in texts.items()])
-    pages = layout.paged(spans)
-    own = [c for c in pages.columns if c != "spans"]
-    return layout.with_orders(pages).select(*own, F.explode(each).alias("e")).select(*own, "e.*")
+    return layout.told(spans, ["engine", "linesort", "column"])
 
 
 def serialisation_scores(spans: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """(page, strategy, chr, wrd) of every serialisation against (page, expected), or the pages' own column `expected`;
     a column `layout` of the pages stays."""
-    pairs = serialisations(spans) if expected is None else serialisations(spans).join(expected, "page")
-    own = ["page", "strategy", *(["layout"] if "layout" in pairs.columns else [])]
-    return pairs.select(*own, _scores().alias("s")).select(*own, "s.*")
+    return _told_scores(spans, expected, ["engine", "linesort", "column"])
+
+
+def _told_scores(spans: DataFrame, expected: DataFrame | None, ways: list[str]) -> DataFrame:
+    """(page, strategy, chr, wrd) of pages told in these ways, beside `layout` or `register` of the pages. What is expected is
+    prepared once a page."""
+    pages = layout.paged(spans)
+    pages = pages if expected is None else pages.join(expected, "page")
+    own = [c for c in ("page", "layout", "register") if c in pages.columns]
+    pages = pages.select(*own, "spans", T.normalise(F.col("expected")).alias("expected"), T.wanted_text(F.col("expected")).alias("wanted"))
+    scores = T.scores_of(T.normalise(F.col("text")), F.col("expected"), F.col("wanted"))
+    return layout.told(pages, ways).select(*own, "strategy", scores.alias("s")).select(*own, "strategy", "s.*")
 
 
 def reading_order_study(spans: DataFrame, expected: DataFrame | None = None, layouts: DataFrame | None = None) -> DataFrame:
@@ -82,43 +80,25 @@ def uneven(scores: DataFrame) -> DataFrame:
     return scores.groupBy("page").agg(F.min(F.round("wrd", 9)).alias("low"), F.max(F.round("wrd", 9)).alias("high")).where("low < high")
 
 
-def engine_text(spans: DataFrame) -> DataFrame:
-    return layout.paged(spans).select("page", F.array_join(F.transform("spans", lambda s: s["text"]), "\n").alias("text"))
-
-
 def shipped_text(spans: DataFrame) -> DataFrame:
     """The lines of the reading order, one below the other, words that a line break parts rejoined."""
-    lines = F.transform("read", lambda line: F.array_join(F.transform(line, lambda i: F.get("spans", i)["text"]), " "))
-    return layout.with_orders(layout.paged(spans)).select("page", F.array_join(T.dehyphenated(lines), "\n").alias("text"))
-
-
-def gutter_text(spans: DataFrame) -> DataFrame:
-    """By the single-gutter baseline, a line of text for each line of a side."""
-    lines = layout.single_gutter_order(layout.unpaged(spans)).groupBy("page", "region", "line").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("w"))
-    lines = lines.select("page", "region", "line", F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("text"))
-    pages = lines.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("region", "line", "text"))).alias("w"))
-    return pages.select("page", F.array_join(F.transform("w", lambda w: w["text"]), "\n").alias("text"))
+    return layout.told(spans, ["shipped"]).select("page", "text")
 
 
-def _one(name: str):
-    return lambda spans: serialisations(spans).where(F.col("strategy") == name).select("page", "text")
+#: Ways to make a text of a page's spans (layout.WAYS), by the name they are compared under.
+STRATEGIES = {"detector": "engine", "lines": "linesort", "gutter": "gutter", "xy-cut": "column", "shipped": "shipped"}
 
 
-#: Ways to make a text of a page's spans, by name: each gives (page, text).
-STRATEGIES = {
-    "detector": engine_text, "lines": _one("linesort"), "gutter": gutter_text, "xy-cut": _one("column"),
-    "shipped": shipped_text,
-}
-
-
-def layout_comparison(spans: DataFrame, expected: DataFrame, registers: DataFrame, strategies: dict = STRATEGIES) -> DataFrame:
-    """(register, strategy, chr, wrd, pages) of spans against (page, expected), pages by (page, register); and rows of the
-    register `MEAN OVER REGISTERS`, in which a register counts once, however many pages it has."""
-    told = [make(spans).select("page", F.lit(name).alias("strategy"), "text") for name, make in strategies.items()]
-    pairs = reduce(DataFrame.unionByName, told).join(expected, "page").join(registers, "page")
-    ratio = T.character_similarity(T.normalise(F.col("text")), T.normalise(F.col("expected")))
-    scores = pairs.select("register", "strategy", ratio.alias("chr"), T.word_recall(F.col("text"), F.col("expected")).alias("wrd"))
-    means = scores.groupBy("register", "strategy").agg(F.avg("chr").alias("chr"), F.avg("wrd").alias("wrd"), F.count("*").alias("pages"))
+def layout_comparison(spans: DataFrame, expected: DataFrame | None = None, registers: DataFrame | None = None, strategies: dict[str, str] = STRATEGIES) -> DataFrame:
+    """(register, strategy, chr, wrd, pages) of spans against (page, expected), pages by (page, register), or the pages' own
+    columns of these names; and rows of the register `MEAN OVER REGISTERS`, in which a register counts once, however many pages
+    it has. All texts of a page are made and scored in its row."""
+    pages = layout.paged(spans)
+    pages = pages if registers is None else pages.join(registers, "page")
+    names = {way: name for name, way in strategies.items()}
+    scores = _told_scores(pages, expected, list(names))
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("strategy"))
+    means = scores.groupBy("register", named.alias("strategy")).agg(F.avg("chr").alias("chr"), F.avg("wrd").alias("wrd"), F.count("*").alias("pages"))
     overall = means.groupBy("strategy").agg(F.avg("chr").alias("chr"), F.avg("wrd").alias("wrd"), F.sum("pages").alias("pages"))
     return means.unionByName(overall.withColumn("register", F.lit("MEAN OVER REGISTERS")))
 
