@@ -29,8 +29,11 @@ def _sized(pixels: DataFrame) -> DataFrame:
 
 
 def turned(pixels: DataFrame, degrees: DataFrame) -> DataFrame:
-    """Pixels of (image, turn) pictures turned clockwise by a multiple of 90 degrees; a picture without a turn stays."""
-    own = _sized(pixels).join(degrees.hint("shuffle_hash"), "image", "left").withColumn("turn", F.pmod(F.coalesce("turn", F.lit(0)), F.lit(360)))
+    """Pixels of (image, turn) pictures turned clockwise by a multiple of 90 degrees; a picture without a turn stays. Its turn is
+    looked up beside its size, so that a row that names it again makes no more pixels."""
+    turn = F.pmod(F.coalesce(F.min("turn"), F.lit(0)), F.lit(360)).alias("turn")
+    told = sizes(pixels).join(degrees.hint("shuffle_hash"), "image", "left").groupBy("image", "width", "height").agg(turn)
+    own = pixels.join(told.hint("shuffle_hash"), "image")
     right, below = F.col("width") - 1 - F.col("x"), F.col("height") - 1 - F.col("y")
     x = F.when(F.col("turn") == 90, below).when(F.col("turn") == 180, right).when(F.col("turn") == 270, F.col("y")).otherwise(F.col("x"))
     y = F.when(F.col("turn") == 90, F.col("x")).when(F.col("turn") == 180, below).when(F.col("turn") == 270, right).otherwise(F.col("y"))
