@@ -247,11 +247,6 @@ def paged(spans: DataFrame) -> DataFrame:
     return spans.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("ord", "text", "l", "t", "r", "b"))).alias("spans"))
 
 
-def unpaged(spans: DataFrame) -> DataFrame:
-    """A row a span again, of pages in rows."""
-    return spans.select("page", F.inline("spans")) if "spans" in spans.columns else spans
-
-
 #: Forms whose order a task remembers: pages that are boxed alike, of which corpora have many, are cut once.
 FORMS = 4096
 
